@@ -167,12 +167,9 @@ FEATURE_KEYS = ["upper_sql", "query_type", "tables", "join_tables", "n_joins", "
                 "has_star", "complexity", "cost_class", "advice"]
 
 
-def validate_sql(sql: Column, f: dict[str, Column] | None = None) -> dict[str, Column]:
-    """VAL-01..09 over one SQL text column; returns named result columns.
-
-    ``f`` may map feature names to already-projected columns (see
-    ``tessera.operators.scoring.with_features``) so features are computed once.
-    """
+def validation_issues(sql: Column, f: dict[str, Column] | None = None) -> dict[str, Column]:
+    """VAL-01..06 issue arrays (syntax, schema, business, aggregation, performance,
+    security) plus the performance-acceptable flag."""
     f = f or sql_features(sql)
     u, tables, has_where = f["upper_sql"], f["tables"], f["has_where"]
     is_blank = F.coalesce(F.trim(sql), F.lit("")) == ""
@@ -276,10 +273,27 @@ def validate_sql(sql: Column, f: dict[str, Column] | None = None) -> dict[str, C
         F.when(sql.contains(";") & (F.substring(trimmed, -1, 1) != ";"), "Multiple SQL statements detected"),
         *[F.when(_has(low, rf"\b{t}\b"), F.lit(f"Access to system table '{t}' detected")) for t in P.SYSTEM_TABLES])
 
+    return {
+        **f,
+        "syntax_errors": syntax, "schema_errors": schema, "business_errors": business,
+        "aggregation_errors": agg_consistency, "performance_warnings": perf, "optimizations": optimizations,
+        "security_warnings": security, "performance_acceptable": perf_ok,
+    }
+
+
+ISSUE_KEYS = ["syntax_errors", "schema_errors", "business_errors", "aggregation_errors", "performance_warnings",
+              "optimizations", "security_warnings", "performance_acceptable"]
+
+
+def validation_summary(v: dict[str, Column], f: dict[str, Column]) -> dict[str, Column]:
+    """VAL-07/08/09 from the issue arrays (pass projected columns to avoid recomputation)."""
+    syntax, schema, business = v["syntax_errors"], v["schema_errors"], v["business_errors"]
+    perf, security = v["performance_warnings"], v["security_warnings"]
     syntax_ok = F.size(syntax) == 0
     schema_ok = F.size(schema) == 0
     business_ok = F.size(business) == 0
     security_ok = F.size(security) == 0
+    n_tables = F.size(f["tables"])
 
     # VAL-07 suggestions
     suggestions = _issues(
@@ -292,7 +306,7 @@ def validate_sql(sql: Column, f: dict[str, Column] | None = None) -> dict[str, C
         F.when(F.size(perf) > 0, "Consider performance optimizations for production use"),
         F.when(~security_ok, "Review query for potential security vulnerabilities"),
         F.when(f["limit_value"].isNull() & (f["query_type"] == "SELECT"), "Consider adding LIMIT for testing"),
-        F.when((n_tables == 1) & ~has_where, "Add WHERE clause to filter results"))
+        F.when((n_tables == 1) & ~f["has_where"], "Add WHERE clause to filter results"))
 
     # VAL-08 confidence
     cx = f["complexity"]
@@ -300,12 +314,9 @@ def validate_sql(sql: Column, f: dict[str, Column] | None = None) -> dict[str, C
             - F.size(perf) * 0.05 - F.size(security) * 0.25
             - F.when(cx > 7, 0.1).when(cx > 5, 0.05).otherwise(0.0))
     return {
-        **f,
-        "syntax_errors": syntax, "schema_errors": schema, "business_errors": business,
-        "aggregation_errors": agg_consistency, "performance_warnings": perf, "optimizations": optimizations,
-        "security_warnings": security, "suggestions": suggestions,
+        "suggestions": suggestions,
         "syntax_valid": syntax_ok, "schema_compliant": schema_ok, "business_valid": business_ok,
-        "performance_acceptable": perf_ok, "security_passed": security_ok,
+        "security_passed": security_ok,
         "confidence": _clamp(conf, 0.0, 1.0),
         # VAL-09
         "is_valid_strict": syntax_ok & schema_ok & business_ok & security_ok,
@@ -313,6 +324,18 @@ def validate_sql(sql: Column, f: dict[str, Column] | None = None) -> dict[str, C
     }
 
 
+def validate_sql(sql: Column, f: dict[str, Column] | None = None) -> dict[str, Column]:
+    """VAL-01..09 over one SQL text column; returns named result columns.
+
+    ``f`` may map feature names to already-projected columns. For large inputs
+    prefer ``tessera.operators.scoring.validate``, which projects features,
+    issue arrays and the summary in three layers so nothing is recomputed.
+    """
+    f = f or sql_features(sql)
+    v = validation_issues(sql, f)
+    return {**v, **validation_summary(v, f)}
+
+
 # ----------------------------------------------------------------- RWD
 
 def syntax_reward_basic(sql: Column) -> Column:
@@ -368,50 +391,84 @@ def performance_reward_basic(sql: Column) -> Column:
     return _clamp(r, -1.0, 1.0)
 
 
-def reasoning_reward(reasoning: Column, query: Column) -> Column:
-    """RWD-05: length, structure, keyword and query-overlap credits, clamped to ±1."""
+REASONING_INPUT_KEYS = ["rsn_text", "rsn_lower", "rsn_overlap", "rsn_query_len"]
+
+
+def reasoning_inputs(reasoning: Column, query: Column) -> dict[str, Column]:
+    """Lower-cased reasoning and its word overlap with the question (layer 1)."""
     r = F.coalesce(reasoning, F.lit(""))
     q = F.coalesce(query, F.lit(""))
     lr = F.lower(r)
-    n_kw = sum((F.when(lr.contains(k), 1).otherwise(0) for k in P.REASONING_KEYWORDS), F.lit(0))
-    n_sql = sum((F.when(lr.contains(k), 1).otherwise(0) for k in P.SQL_REASONING_TERMS), F.lit(0))
     qw = F.array_distinct(words(F.lower(q)))
     rw = F.array_distinct(words(lr))
-    overlap = F.size(F.array_intersect(qw, rw))
+    return {"rsn_text": r, "rsn_lower": lr, "rsn_overlap": F.size(F.array_intersect(qw, rw)),
+            "rsn_query_len": F.length(q)}
+
+
+def reasoning_from(i: dict[str, Column]) -> Column:
+    """RWD-05 from :func:`reasoning_inputs` (layer 2)."""
+    r, lr = i["rsn_text"], i["rsn_lower"]
+    n_kw = sum((F.when(lr.contains(k), 1).otherwise(0) for k in P.REASONING_KEYWORDS), F.lit(0))
+    n_sql = sum((F.when(lr.contains(k), 1).otherwise(0) for k in P.SQL_REASONING_TERMS), F.lit(0))
     score = (F.when(F.length(r) > 50, 0.2).otherwise(0.0)
              + F.when(r.contains("Step") | r.contains("step"), 0.3).otherwise(0.0)
              + F.least(n_kw * 0.1, F.lit(0.3)) + F.least(n_sql * 0.1, F.lit(0.3))
-             + F.when((F.length(q) > 10) & (overlap > 2), 0.2).otherwise(0.0))
+             + F.when((i["rsn_query_len"] > 10) & (i["rsn_overlap"] > 2), 0.2).otherwise(0.0))
     return (F.when(r == "", P.P_MISSING_REASONING).when(F.length(r) < 20, -0.5)
             .otherwise(_clamp(score, -1.0, 1.0)))
 
 
+def reasoning_reward(reasoning: Column, query: Column) -> Column:
+    """RWD-05: length, structure, keyword and query-overlap credits, clamped to ±1."""
+    return reasoning_from(reasoning_inputs(reasoning, query))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Edit-distance similarity ``1 - levenshtein / max(len)`` (native in both engines)."""
     m = F.greatest(F.length(a), F.length(b))
     return F.when(m == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / m)
 
 
-def accuracy_reward(sql: Column, expected: Column, sim: Column | None = None) -> Column:
-    """RWD-06. NULL when there is no ground truth (0.0 would read as "computed")."""
+ACCURACY_INPUT_KEYS = ["acc_gen_norm", "acc_exp_norm", "acc_gen_type", "acc_exp_type", "acc_gen_tables",
+                      "acc_exp_tables", "acc_gen_where", "acc_exp_where", "acc_gen_blank", "acc_exp_null",
+                      "acc_exp_blank"]
+
+
+def accuracy_inputs(sql: Column, expected: Column) -> dict[str, Column]:
+    """Normalised texts and structures of generated and expected SQL (layer 1)."""
     g = F.coalesce(sql, F.lit(""))
-    e = expected
-    gn, en = normalize_sql(g), normalize_sql(e)
-    gs, es = sql_structure(g), sql_structure(e)
+    gs, es = sql_structure(g), sql_structure(expected)
+    return {
+        "acc_gen_norm": normalize_sql(g), "acc_exp_norm": normalize_sql(expected),
+        "acc_gen_type": gs["query_type"], "acc_exp_type": es["query_type"],
+        "acc_gen_tables": F.array_sort(F.array_distinct(gs["tables"])),
+        "acc_exp_tables": F.array_sort(F.array_distinct(es["tables"])),
+        "acc_gen_where": gs["has_where"], "acc_exp_where": es["has_where"],
+        "acc_gen_blank": g == "", "acc_exp_null": expected.isNull(), "acc_exp_blank": expected == "",
+    }
+
+
+def accuracy_from(i: dict[str, Column], sim: Column | None = None) -> Column:
+    """RWD-06 from :func:`accuracy_inputs` (layer 2)."""
+    gn, en = i["acc_gen_norm"], i["acc_exp_norm"]
     s = sim if sim is not None else similarity(gn, en)
-    same_tables = F.array_sort(F.array_distinct(gs["tables"])) == F.array_sort(F.array_distinct(es["tables"]))
-    struct = (F.when(gs["query_type"] == es["query_type"], 0.3).otherwise(0.0)
-              + F.when(same_tables, 0.4).otherwise(0.0)
-              + F.when(gs["has_where"] == es["has_where"], 0.3).otherwise(0.0))
+    struct = (F.when(i["acc_gen_type"] == i["acc_exp_type"], 0.3).otherwise(0.0)
+              + F.when(i["acc_gen_tables"] == i["acc_exp_tables"], 0.4).otherwise(0.0)
+              + F.when(i["acc_gen_where"] == i["acc_exp_where"], 0.3).otherwise(0.0))
     combined = s * 0.6 + struct * 0.4
     graded = (F.when(combined > 0.9, 1.8).when(combined > 0.7, 1.0).when(combined > 0.5, 0.3)
               .when(combined > 0.3, -0.5).otherwise(-1.5))
-    return (F.when(e.isNull(), F.lit(None).cast("double"))
-            .when((g == "") | (e == ""), -1.0)
+    return (F.when(i["acc_exp_null"], F.lit(None).cast("double"))
+            .when(i["acc_gen_blank"] | i["acc_exp_blank"], -1.0)
             .when(gn == en, 2.0)
             .otherwise(graded))
 
 
+def accuracy_reward(sql: Column, expected: Column, sim: Column | None = None) -> Column:
+    """RWD-06. NULL when there is no ground truth (0.0 would read as "computed")."""
+    return accuracy_from(accuracy_inputs(sql, expected), sim)
+
+
 def total_reward(syntax: Column, schema: Column, business: Column, performance: Column,
                  reasoning: Column, accuracy: Column) -> Column:
     """RWD-07: sum of the five components plus 2 x accuracy when accuracy != 0."""

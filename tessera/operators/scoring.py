@@ -6,8 +6,9 @@ Plan shape (one job, two shuffles):
   expected SQL) runs once per distinct ``(sql, expected_sql)`` pair. The
   distinct is a map-side-combined aggregate, so a hot SQL template shared by a
   third of all rows collapses before the shuffle;
-* the scored pairs are joined back on a 128-bit md5 key (AQE broadcasts them
-  when small, otherwise a sort-merge join whose skewed partitions AQE splits);
+* the scored pairs are joined back on the (null-safe) text pair itself — no
+  hash key, so no collision risk; AQE broadcasts them when small, otherwise a
+  sort-merge join whose skewed partitions AQE splits;
 * per-row work that depends on the row (reasoning reward, totals) is a plain
   projection;
 * group statistics use ``groupBy(prompt_id)`` partial aggregation plus a join,
@@ -16,6 +17,8 @@ Plan shape (one job, two shuffles):
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,25 +38,28 @@ def r6(c: Column | str) -> Column:
     return rounded(c, 6)
 
 
-def with_features(df: DataFrame, sql: str = "sql") -> DataFrame:
+@lru_cache(maxsize=None)
+def _feature_cols(sql: str) -> tuple[Column, ...]:
+    # Column trees are session-independent; building them once saves thousands
+    # of Py4J calls per query.
     f = T.sql_features(F.col(sql))
-    return df.select("*", *[f[k].alias(k) for k in T.FEATURE_KEYS])
+    return tuple(f[k].alias(k) for k in T.FEATURE_KEYS)
 
 
-def validate(df: DataFrame, sql: str = "sql") -> DataFrame:
-    """VAL-09 over a DataFrame: adds feature and validation columns."""
-    d = with_features(df, sql)
-    v = T.validate_sql(F.col(sql), {k: F.col(k) for k in T.FEATURE_KEYS})
-    return d.select("*", *[v[k].alias(k) for k in VAL_KEYS])
+@lru_cache(maxsize=None)
+def _issue_cols(sql: str) -> tuple[Column, ...]:
+    v = T.validation_issues(F.col(sql), {k: F.col(k) for k in T.FEATURE_KEYS})
+    return tuple(v[k].alias(k) for k in T.ISSUE_KEYS)
 
 
-def _per_sql(pairs: DataFrame, validated: bool) -> DataFrame:
-    """Per distinct SQL text: validation plus both reward modes.
+@lru_cache(maxsize=None)
+def _summary_cols() -> tuple[Column, ...]:
+    v = T.validation_summary({k: F.col(k) for k in T.ISSUE_KEYS}, {k: F.col(k) for k in T.FEATURE_KEYS})
+    return tuple(c.alias(k) for k, c in v.items())
 
-    ``*_reward`` feed the total (validated or basic mode per ``validated``);
-    ``*_reward_basic`` always carry the validation-free scores.
-    """
-    d = validate(pairs, "sql")
+
+@lru_cache(maxsize=None)
+def _reward_cols(validated: bool) -> tuple[Column, ...]:
     s = F.col("sql")
     basic = {"syntax_reward_basic": T.syntax_reward_basic(s), "schema_reward_basic": T.schema_reward_basic(s),
              "business_reward_basic": T.business_reward_basic(s),
@@ -64,12 +70,60 @@ def _per_sql(pairs: DataFrame, validated: bool) -> DataFrame:
     else:
         comp = {k.replace("_basic", ""): c for k, c in basic.items()}
     comp.update(basic)
-    comp["accuracy_reward"] = T.accuracy_reward(s, F.col("expected_sql"))
-    return d.select("*", *[c.alias(k) for k, c in comp.items()])
+    comp["accuracy_reward"] = T.accuracy_from({k: F.col(k) for k in T.ACCURACY_INPUT_KEYS})
+    return tuple(c.alias(k) for k, c in comp.items())
 
 
-def _key(sql: Column, expected: Column) -> Column:
-    return F.md5(F.concat_ws("\u0001", F.coalesce(sql, F.lit("\u0002")), F.coalesce(expected, F.lit("\u0002"))))
+@lru_cache(maxsize=None)
+def _accuracy_input_cols() -> tuple[Column, ...]:
+    i = T.accuracy_inputs(F.col("sql"), F.col("expected_sql"))
+    return tuple(i[k].alias(k) for k in T.ACCURACY_INPUT_KEYS)
+
+
+@lru_cache(maxsize=None)
+def _reasoning_input_cols() -> tuple[Column, ...]:
+    i = T.reasoning_inputs(F.col("reasoning"), F.col("query"))
+    return tuple(i[k].alias(k) for k in T.REASONING_INPUT_KEYS)
+
+
+@lru_cache(maxsize=None)
+def _reasoning_col() -> Column:
+    return T.reasoning_from({k: F.col(k) for k in T.REASONING_INPUT_KEYS}).alias("reasoning_reward")
+
+
+def with_features(df: DataFrame, sql: str = "sql") -> DataFrame:
+    return df.select("*", *_feature_cols(sql))
+
+
+def validate(df: DataFrame, sql: str = "sql") -> DataFrame:
+    """VAL-09 over a DataFrame: adds feature, issue and summary columns.
+
+    Three projection layers (features -> issue arrays -> flags/confidence), so
+    every regex and array is evaluated once per row even when several outputs
+    depend on it.
+    """
+    return with_features(df, sql).select("*", *_issue_cols(sql)).select("*", *_summary_cols())
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a deduplicated, CPU-heavy frame over all cores.
+
+    It is small in bytes, so AQE would coalesce it into one task; the explicit
+    partition count is the cluster's default parallelism.
+    """
+    sc = df.sparkSession.sparkContext
+    n = max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, key)
+
+
+def _per_sql(pairs: DataFrame, validated: bool) -> DataFrame:
+    """Per distinct SQL text: validation plus both reward modes.
+
+    ``*_reward`` feed the total (validated or basic mode per ``validated``);
+    ``*_reward_basic`` always carry the validation-free scores.
+    """
+    return (validate(pairs, "sql").select("*", *_accuracy_input_cols())
+            .select("*", *_reward_cols(validated)).drop(*T.ACCURACY_INPUT_KEYS))
 
 
 def score(df: DataFrame, validated: bool = True, dedupe: bool = True) -> DataFrame:
@@ -80,13 +134,14 @@ def score(df: DataFrame, validated: bool = True, dedupe: bool = True) -> DataFra
     instead (no shuffle; better when nearly every SQL text is unique).
     """
     if dedupe:
-        keyed = df.withColumn("__k", _key(F.col("sql"), F.col("expected_sql")))
-        pairs = keyed.select("__k", "sql", "expected_sql").dropDuplicates(["__k"])
-        per = _per_sql(pairs, validated).drop("sql", "expected_sql")
-        rows = keyed.join(per, "__k", "inner").drop("__k")
+        pairs = df.select("sql", "expected_sql").dropDuplicates(["sql", "expected_sql"])
+        per = _per_sql(spread(pairs, "sql"), validated)
+        per = per.withColumnRenamed("sql", "__sql").withColumnRenamed("expected_sql", "__exp")
+        cond = df["sql"].eqNullSafe(per["__sql"]) & df["expected_sql"].eqNullSafe(per["__exp"])
+        rows = df.join(per, cond, "inner").drop("__sql", "__exp")
     else:
         rows = _per_sql(df, validated)
-    rows = rows.withColumn("reasoning_reward", T.reasoning_reward(F.col("reasoning"), F.col("query")))
+    rows = rows.select("*", *_reasoning_input_cols()).select("*", _reasoning_col()).drop(*T.REASONING_INPUT_KEYS)
     return rows.withColumn("total_reward", T.total_reward(*[F.col(c) for c in COMPONENTS]))
 
 

@@ -1 +1,169 @@
-"""Registered queries (filled in as operators land)."""
+"""DQ-00..13 queries over the ERP fixture views, with DuckDB twins."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import quality as Q
+from .registry import query
+
+
+def _dom(table: str) -> str:
+    return ", ".join(f"'{v}'" for v in Q.STATUS_DOMAIN[table])
+
+
+@query("dq_01", "SELECT project_code, start_date, end_date FROM projects WHERE end_date < start_date")
+def dq_01(v):
+    return Q.end_before_start(v.projects).select("project_code", "start_date", "end_date")
+
+
+@query("dq_02", "SELECT project_code, budget, actual_cost FROM projects WHERE actual_cost > budget")
+def dq_02(v):
+    return Q.cost_over_budget(v.projects).select("project_code", "budget", "actual_cost")
+
+
+_DQ03 = [("projects", "project_code"), ("staff", "staff_id"), ("contracts", "contract_number"),
+         ("resources", "resource_code"), ("companies", "company_code")]
+
+
+@query("dq_03", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{k}' AS key_column, CAST({k} AS VARCHAR) AS key_value, count(*) AS n "
+    f"FROM {t} GROUP BY {k} HAVING count(*) > 1" for t, k in _DQ03))
+def dq_03(v):
+    return reduce(DataFrame.unionByName, [Q.duplicate_keys(getattr(v, t), k, t) for t, k in _DQ03])
+
+
+@query("dq_04", """SELECT r.resource_code, r.capacity, a.allocated FROM resources r
+JOIN (SELECT resource_code, SUM(allocation_percent) AS allocated FROM staff WHERE status = 'Assigned' GROUP BY resource_code) a
+ON r.resource_code = a.resource_code WHERE a.allocated > r.capacity""")
+def dq_04(v):
+    return Q.over_capacity(v.resources, v.staff).select("resource_code", "capacity", "allocated")
+
+
+@query("dq_05", """SELECT s.staff_id, s.resource_code, r.availability FROM staff s JOIN resources r
+ON s.resource_code = r.resource_code WHERE s.status = 'Assigned' AND r.availability <> 'Available'""")
+def dq_05(v):
+    return Q.assigned_unavailable(v.staff, v.resources).select("staff_id", "resource_code", "availability")
+
+
+@query("dq_06", "SELECT resource_code, cost_rate, billing_rate FROM resources WHERE cost_rate >= billing_rate")
+def dq_06(v):
+    return Q.cost_not_below_billing(v.resources).select("resource_code", "cost_rate", "billing_rate")
+
+
+_FKS = [("staff.project_code", "staff", "project_code", "projects", "project_code"),
+        ("staff.resource_code", "staff", "resource_code", "resources", "resource_code"),
+        ("contracts.project_code", "contracts", "project_code", "projects", "project_code"),
+        ("contracts.company_code", "contracts", "company_code", "companies", "company_code"),
+        ("contacts.company_id", "contacts", "company_id", "companies", "company_id"),
+        ("srm_projects.company_id", "srm_projects", "company_id", "companies", "company_id"),
+        ("srm_projects.parent_id", "srm_projects", "parent_id", "srm_projects", "project_id"),
+        ("tickets.company_code", "tickets", "company_code", "companies", "company_code"),
+        ("revisions.project_code", "revisions", "project_code", "projects", "project_code"),
+        ("opportunities.company_id", "opportunities", "company_id", "companies", "company_id")]
+
+
+@query("dq_07", " UNION ALL ".join(
+    f"SELECT '{fk}' AS foreign_key, CAST(c.{ck} AS VARCHAR) AS key_value FROM {ct} c "
+    f"WHERE c.{ck} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {pt} p WHERE p.{pk} = c.{ck})"
+    for fk, ct, ck, pt, pk in _FKS))
+def dq_07(v):
+    return reduce(DataFrame.unionByName, [Q.orphans(getattr(v, ct), ck, getattr(v, pt), pk, fk)
+                                          for fk, ct, ck, pt, pk in _FKS])
+
+
+@query("dq_08", """SELECT ct.contract_number, ct.contract_value, p.budget FROM contracts ct
+JOIN projects p ON ct.project_code = p.project_code WHERE abs(ct.contract_value - p.budget) > 0.005""")
+def dq_08(v):
+    return Q.contract_value_mismatch(v.contracts, v.projects).select("contract_number", "contract_value", "budget")
+
+
+@query("dq_09", """SELECT ct.contract_number, ct.start_date, ct.end_date FROM contracts ct
+JOIN projects p ON ct.project_code = p.project_code
+WHERE ct.start_date < p.start_date OR (p.end_date IS NOT NULL AND ct.end_date > p.end_date)""")
+def dq_09(v):
+    return Q.contract_outside_project(v.contracts, v.projects).select("contract_number", "start_date", "end_date")
+
+
+@query("dq_10", f"""SELECT 'projects' AS table_name, status AS value, count(*) AS n FROM projects
+WHERE NOT coalesce(status IN ({_dom('projects')}), FALSE) GROUP BY status
+UNION ALL SELECT 'resources', availability, count(*) FROM resources
+WHERE NOT coalesce(availability IN ({_dom('resources')}), FALSE) GROUP BY availability
+UNION ALL SELECT 'tickets', status, count(*) FROM tickets
+WHERE NOT coalesce(status IN ({_dom('tickets')}), FALSE) GROUP BY status
+UNION ALL SELECT 'contracts', status, count(*) FROM contracts
+WHERE NOT coalesce(status IN ({_dom('contracts')}), FALSE) GROUP BY status""")
+def dq_10(v):
+    parts = [(v.projects, "projects", "status"), (v.resources, "resources", "availability"),
+             (v.tickets, "tickets", "status"), (v.contracts, "contracts", "status")]
+    return reduce(DataFrame.unionByName, [
+        Q.status_outside_domain(df, t, c).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit(t).alias("table_name"), "value", "n") for df, t, c in parts])
+
+
+@query("dq_11", f"""SELECT 'projects.budget' AS rule_column, project_code AS key_value, budget AS value FROM projects
+WHERE NOT (budget BETWEEN {Q.BUDGET_MIN} AND {Q.BUDGET_MAX})
+UNION ALL SELECT 'resources.capacity', resource_code, capacity FROM resources
+WHERE NOT (capacity BETWEEN {Q.CAPACITY_MIN} AND {Q.CAPACITY_MAX})""")
+def dq_11(v):
+    a = Q.out_of_range(v.projects, "budget", Q.BUDGET_MIN, Q.BUDGET_MAX).select(
+        F.lit("projects.budget").alias("rule_column"), F.col("project_code").alias("key_value"), F.col("budget").alias("value"))
+    b = Q.out_of_range(v.resources, "capacity", Q.CAPACITY_MIN, Q.CAPACITY_MAX).select(
+        F.lit("resources.capacity").alias("rule_column"), F.col("resource_code").alias("key_value"),
+        F.col("capacity").alias("value"))
+    return a.unionByName(b)
+
+
+_DQ12_SQL = """WITH RECURSIVE h(project_id, depth) AS (
+  SELECT project_id, 1 FROM srm_projects WHERE parent_id IS NULL
+  UNION ALL SELECT c.project_id, h.depth + 1 FROM srm_projects c JOIN h ON c.parent_id = h.project_id WHERE h.depth < 5)
+SELECT s.project_id, s.parent_id FROM srm_projects s WHERE s.project_id NOT IN (SELECT project_id FROM h)"""
+
+
+@query("dq_12", _DQ12_SQL)
+def dq_12(v):
+    return Q.too_deep(v.srm_projects).select("project_id", "parent_id")
+
+
+_NULL_COLS = {"projects": ["project_name", "status", "end_date"], "contacts": ["email", "phone"],
+              "resources": ["email"], "staff": ["end_date"]}
+
+
+@query("dq_13", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS checked, '{c}' AS column_name, "
+    f"sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS null_count FROM {t}"
+    for t, cols in _NULL_COLS.items() for c in cols))
+def dq_13(v):
+    return reduce(DataFrame.unionByName, [Q.null_counts(getattr(v, t), t, cols) for t, cols in _NULL_COLS.items()])
+
+
+_ROLLUP = [
+    ("DQ-01 end_before_start", "projects", "SELECT * FROM projects WHERE end_date < start_date"),
+    ("DQ-02 cost_over_budget", "projects", "SELECT * FROM projects WHERE actual_cost > budget"),
+    ("DQ-06 cost_not_below_billing", "resources", "SELECT * FROM resources WHERE cost_rate >= billing_rate"),
+    ("DQ-11 capacity_range", "resources",
+     f"SELECT * FROM resources WHERE NOT (capacity BETWEEN {Q.CAPACITY_MIN} AND {Q.CAPACITY_MAX})"),
+]
+
+
+@query("dq_00", " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, (SELECT count(*) FROM {t}) AS checked, (SELECT count(*) FROM ({bad})) AS violations, "
+    f"CASE WHEN (SELECT count(*) FROM {t}) > 0 THEN (SELECT count(*) FROM ({bad})) / (SELECT count(*) FROM {t}) "
+    f"ELSE 0.0 END AS rate" for rule, t, bad in _ROLLUP)
+    + """ UNION ALL SELECT 'DQ-05 assigned_unavailable', (SELECT count(*) FROM staff WHERE status = 'Assigned'),
+(SELECT count(*) FROM staff s JOIN resources r ON s.resource_code = r.resource_code
+ WHERE s.status = 'Assigned' AND r.availability <> 'Available'),
+(SELECT count(*) FROM staff s JOIN resources r ON s.resource_code = r.resource_code
+ WHERE s.status = 'Assigned' AND r.availability <> 'Available') / (SELECT count(*) FROM staff WHERE status = 'Assigned')""")
+def dq_00(v):
+    p, r, s = v.projects, v.resources, v.staff
+    return Q.rollup([
+        ("DQ-01 end_before_start", p, Q.end_before_start(p)),
+        ("DQ-02 cost_over_budget", p, Q.cost_over_budget(p)),
+        ("DQ-06 cost_not_below_billing", r, Q.cost_not_below_billing(r)),
+        ("DQ-11 capacity_range", r, Q.out_of_range(r, "capacity", Q.CAPACITY_MIN, Q.CAPACITY_MAX)),
+        ("DQ-05 assigned_unavailable", s.where(F.col("status") == "Assigned"), Q.assigned_unavailable(s, r)),
+    ])

@@ -121,7 +121,6 @@ per_sql("cor_01", [("norm_sql", "c")], lambda d: {"norm_sql": T.normalize_sql(F.
         {"norm_sql": X.normalize_sql("sql")})
 per_sql("cor_02", [("norm_sql_eval", "c")], lambda d: {"norm_sql_eval": T.normalize_sql_eval(F.col("sql"))},
         {"norm_sql_eval": X.normalize_sql_eval("sql")})
-_ST = T.sql_structure(F.col("sql"))
 _STX = X.sql_structure("sql")
 per_sql("cor_03", [("s_query_type", "c"), ("s_tables", "a"), ("s_has_where", "c"), ("s_has_join", "c"),
                    ("s_has_group_by", "c"), ("s_has_order_by", "c"), ("s_has_limit", "c")],
@@ -168,16 +167,15 @@ per_row("rwd_04", [("performance_reward", "d"), ("performance_reward_basic", "d"
 per_row("rwd_05", [("reasoning_reward", "d")])
 per_row("rwd_06", [("accuracy_reward", "d")])
 per_row("rwd_07", [(c, "d") for c in S.COMPONENTS] + [("total_reward", "d")])
-_FB = {k: F.col(k) for k in S.COMPONENTS}
 per_row("rwd_08", [("feedback", "a"), ("should_update", "c")],
-        lambda d: {"feedback": T.reward_feedback(_FB), "should_update": F.col("total_reward") > 0},
+        lambda d: {"feedback": T.reward_feedback({k: F.col(k) for k in S.COMPONENTS}),
+                   "should_update": F.col("total_reward") > 0},
         {"feedback": X.reward_feedback({k: k for k in S.COMPONENTS}), "should_update": "total_reward > 0"})
-_GC = {k: F.col(k) for k in [*S.COMPONENTS, "total_reward"]}
-_GV = {k: F.col(k) for k in ["syntax_errors", "schema_errors", "business_errors", "suggestions"]}
+_GC = [*S.COMPONENTS, "total_reward"]
+_GV = ["syntax_errors", "schema_errors", "business_errors", "suggestions"]
 per_row("rwd_09", [("graded_feedback", "a")],
-        lambda d: {"graded_feedback": T.graded_feedback(_GC, _GV)},
-        {"graded_feedback": X.graded_feedback({k: k for k in [*S.COMPONENTS, "total_reward"]},
-                                              {k: k for k in _GV})})
+        lambda d: {"graded_feedback": T.graded_feedback({k: F.col(k) for k in _GC}, {k: F.col(k) for k in _GV})},
+        {"graded_feedback": X.graded_feedback({k: k for k in _GC}, {k: k for k in _GV})})
 per_row("rwd_10", [("should_train", "c"), ("train_weight", "d")],
         lambda d: {"should_train": (F.col("total_reward") > 0) | (F.col("is_valid_strict") & (F.col("total_reward") > -1)),
                    "train_weight": F.greatest(F.lit(0.1), F.least(F.lit(2.0), F.abs("total_reward") / 10))},

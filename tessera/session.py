@@ -36,6 +36,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     conf = {**SEMANTIC_CONF, **PERFORMANCE_CONF}
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     conf["spark.driver.memory"] = os.environ.get("TESSERA_DRIVER_MEMORY", "16g")
     for k, v in conf.items():
         builder = builder.config(k, v)

@@ -58,5 +58,5 @@ def query(name: str, sql: str | None = None, raw: bool = False):
 def load_all() -> dict[str, Entry]:
     # Import for side effects: each module registers its queries.
     from . import erp_queries, quality_queries, text_queries, scoring_queries  # noqa: F401
-    from . import linking_queries, corpus_queries, eval_queries, monitor_queries  # noqa: F401
+    from . import linking_queries, corpus_queries, eval_queries, monitor_queries, prompt_queries  # noqa: F401
     return REGISTRY

@@ -129,3 +129,25 @@ def mon_12(v):
     h = M.cache_hits(v.requests)
     return h.agg(F.count(F.lit(1)).alias("requests"), F.sum(F.when(F.col("is_hit"), 1).otherwise(0)).alias("hits"),
                  (F.sum(F.when(F.col("is_hit"), 1).otherwise(0)) / F.count(F.lit(1))).alias("hit_rate"))
+
+
+# --------------------------------------------------------------- STR-01..04 (Structured Streaming)
+
+from ..streaming import streams as STR  # noqa: E402
+
+
+@query("str_01", f"""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day_start, run_id, {_LEVEL} AS level, count(*) AS n
+FROM run_logs GROUP BY 1, 2, 3""", raw=True)
+def str_01(spark, sf_dir):
+    return STR.error_counts_by_day(spark, sf_dir)
+
+
+@query("str_02", "SELECT DISTINCT 'q' || CAST(event_id % 300 AS VARCHAR) AS cache_key FROM events", raw=True)
+def str_02(spark, sf_dir):
+    return STR.first_per_key(spark, sf_dir)
+
+
+@query("str_03", """SELECT event_id, run_id, status, prev_status FROM (SELECT *, lag(status) OVER (PARTITION BY run_id
+ORDER BY ts, event_id) AS prev_status FROM run_logs) WHERE prev_status IS NULL OR status <> prev_status""", raw=True)
+def str_03(spark, sf_dir):
+    return STR.status_changes(spark, sf_dir)

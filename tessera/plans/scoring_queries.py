@@ -349,3 +349,14 @@ def grp_09(v):
                                                         F.col("total_reward").alias("r"),
                                                         F.col("is_valid_strict").alias("v"))).alias("first"))
     return S.reward_stats(first.select(F.col("first.r").alias("r"), F.col("first.v").alias("v")), "r", "v")
+
+
+@query("str_04", f"""WITH {SCORED}
+SELECT prompt_id, cand_id, sql, is_valid_strict, floor(total_reward * 1000000 + 0.5) / 1000000 AS total_reward FROM scored""",
+       raw=True)
+def str_04(spark, sf_dir):
+    """STR-04: streaming validation + scoring of arriving candidates (stateless)."""
+    from ..streaming import streams as STR
+    from .registry import views
+    out = STR.scored_candidates_stream(spark, sf_dir, views(spark, sf_dir).pairs)
+    return out.select("prompt_id", "cand_id", "sql", "is_valid_strict", S.r6("total_reward").alias("total_reward"))

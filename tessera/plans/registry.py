@@ -59,4 +59,5 @@ def load_all() -> dict[str, Entry]:
     # Import for side effects: each module registers its queries.
     from . import erp_queries, quality_queries, text_queries, scoring_queries  # noqa: F401
     from . import linking_queries, corpus_queries, eval_queries, monitor_queries, prompt_queries  # noqa: F401
+    from . import source_queries  # noqa: F401
     return REGISTRY

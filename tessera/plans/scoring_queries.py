@@ -13,6 +13,7 @@ from ..functions import patterns as P
 from ..functions import sqltext as T
 from ..operators import scoring as S
 from . import sqltext_sql as X
+from . import textfix_sql as XT
 from .registry import query
 
 # --------------------------------------------------------------- output specs
@@ -360,3 +361,44 @@ def str_04(spark, sf_dir):
     from .registry import views
     out = STR.scored_candidates_stream(spark, sf_dir, views(spark, sf_dir).pairs)
     return out.select("prompt_id", "cand_id", "sql", "is_valid_strict", S.r6("total_reward").alias("total_reward"))
+
+
+# --------------------------------------------------------------- JOIN-12, UDF-01..03
+
+per_sql("join_12", [("n_joins", "c"), ("tables", "a"), ("cartesian_risk", "c")],
+        lambda d: {"cartesian_risk": (F.size("tables") > 1) & (F.col("n_joins") < F.size("tables") - 1)},
+        {"cartesian_risk": "(len(tables) > 1 AND n_joins < len(tables) - 1)"})
+
+
+@query("udf_01", f"""WITH d AS (SELECT DISTINCT sql FROM candidates)
+SELECT sql, {X.normalize_sql('sql')} AS norm_sql, {XT.uses_domain_tables('sql')} AS uses_domain FROM d""", raw=True)
+def udf_01(spark, sf_dir):
+    """UDF-01: the same functions called from SQL after ``register_functions``."""
+    from ..functions.udfs import register_functions
+    from .registry import views
+    register_functions(spark)
+    views(spark, sf_dir).candidates.select("sql").distinct().createOrReplaceTempView("tessera_candidate_sql")
+    return spark.sql("SELECT sql, tessera_normalize_sql(sql) AS norm_sql, tessera_uses_domain_tables(sql) AS uses_domain "
+                     "FROM tessera_candidate_sql")
+
+
+@query("udf_02")
+def udf_02(v):
+    """UDF-02: parity accuracy (difflib ratio via an Arrow pandas UDF) on distinct pairs — rows only."""
+    from ..functions.udfs import accuracy_reward_parity
+    d = S.spread(v.candidates.select("sql", "expected_sql").distinct(), "sql")
+    return d.select("sql", "expected_sql", accuracy_reward_parity(F.col("sql"), F.col("expected_sql"))
+                    .alias("accuracy_reward_parity"))
+
+
+@query("udf_03", f"""WITH {SCORED}
+SELECT prompt_id, cand_id, sql, floor((total_reward + CASE WHEN contains(upper(sql), 'LIMIT') THEN 0.5 ELSE 0.0 END)
+ * 1000000 + 0.5) / 1000000 AS total_reward FROM scored""")
+def udf_03(v):
+    """UDF-03: a custom reward hook (+0.5 for bounded result sets) folded into the total."""
+    from ..functions.udfs import score_with
+
+    def limit_bonus(df):
+        return df.withColumn("custom_reward", F.when(F.upper("sql").contains("LIMIT"), 0.5).otherwise(0.0))
+    s = score_with(_scored(v), limit_bonus)
+    return spark_out(s, [("prompt_id", "c"), ("cand_id", "c"), ("sql", "c"), ("total_reward", "d")])

@@ -74,3 +74,16 @@ def test_reward_components_and_total(spark):
         assert -1.0 <= r["reasoning_reward"] <= 1.0 or r["reasoning_reward"] == -1.5
         assert -4.0 <= r["business_reward"] <= 4.0
     assert good["total_reward"] > bad["total_reward"]
+
+
+def test_sql_functions_and_parity_udf(spark):
+    from difflib import SequenceMatcher
+
+    from tessera.functions import udfs
+    udfs.register_functions(spark)
+    r = spark.sql("SELECT tessera_normalize_sql('select a  from t;') AS n, "
+                  "tessera_uses_domain_tables('SELECT * FROM PROJSTAFF') AS d").first()
+    assert r.n == "SELECT A FROM T" and r.d is True
+    df = spark.createDataFrame([("abcd", "abed")], "a string, b string")
+    got = df.select(udfs.ratcliff_ratio("a", "b").alias("r")).first().r
+    assert abs(got - SequenceMatcher(None, "abcd", "abed").ratio()) < 1e-12

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import sqltext as T
+from ..session import ensure_checkpoint_dir
 from .erp import rounded
 
 VAL_KEYS = ["syntax_errors", "schema_errors", "business_errors", "aggregation_errors", "performance_warnings",
@@ -126,17 +127,33 @@ def _per_sql(pairs: DataFrame, validated: bool) -> DataFrame:
             .select("*", *_reward_cols(validated)).drop(*T.ACCURACY_INPUT_KEYS))
 
 
-def score(df: DataFrame, validated: bool = True, dedupe: bool = True) -> DataFrame:
+BROADCAST_MAX_ROWS = 100_000  # per-SQL score rows; beyond this the join back shuffles
+
+
+def score(df: DataFrame, validated: bool = True, dedupe: bool = True, materialize: bool = True) -> DataFrame:
     """Score every candidate row (columns ``sql, reasoning, query, expected_sql``).
 
     Adds features, validation results, the six reward components and
     ``total_reward``. ``dedupe=False`` computes per-SQL work on every row
     instead (no shuffle; better when nearly every SQL text is unique).
+
+    With ``materialize`` the per-SQL scores are written once with a reliable
+    ``checkpoint()`` (to ``spark.checkpoint.dir``), so every consumer of the
+    scored frame (rows, group statistics, best/worst) reuses them, and the join
+    back is a broadcast only when the checked row count is under
+    ``tessera.scoring.broadcastMaxRows``; otherwise it stays a shuffle join.
     """
     if dedupe:
         pairs = df.select("sql", "expected_sql").dropDuplicates(["sql", "expected_sql"])
         per = _per_sql(spread(pairs, "sql"), validated)
         per = per.withColumnRenamed("sql", "__sql").withColumnRenamed("expected_sql", "__exp")
+        if materialize:
+            spark = df.sparkSession
+            ensure_checkpoint_dir(spark)
+            per = per.checkpoint(eager=True)
+            cap = int(spark.conf.get("tessera.scoring.broadcastMaxRows", str(BROADCAST_MAX_ROWS)))
+            if per.count() <= cap:  # cheap: reads the checkpoint files back
+                per = F.broadcast(per)
         cond = df["sql"].eqNullSafe(per["__sql"]) & df["expected_sql"].eqNullSafe(per["__exp"])
         rows = df.join(per, cond, "inner").drop("__sql", "__exp")
     else:

@@ -141,7 +141,7 @@ def scored_candidates_stream(spark: SparkSession, sf_dir: str, pairs: DataFrame)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         # each micro-batch is bounded: score its distinct SQL texts once, no cross-batch state
-        scored = S.score(batch, dedupe=True).select("prompt_id", "cand_id", "sql", "is_valid_strict", "total_reward")
+        scored = S.score(batch, dedupe=True, materialize=False).select("prompt_id", "cand_id", "sql", "is_valid_strict", "total_reward")
         scored.write.mode("append").parquet(out)
 
     q = (c.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", out + "-ckpt")

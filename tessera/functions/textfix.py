@@ -58,9 +58,12 @@ WS_EDGES = r"^\s+|\s+$"
 NEVER = r"\b\B"  # a pattern that matches nowhere
 
 
+WS_CHARS = " \t\n\r\f\x0b"  # ASCII whitespace removed by str.strip()
+
+
 def strip(c: Column) -> Column:
-    """Python ``str.strip()`` (all leading/trailing whitespace)."""
-    return F.regexp_replace(c, WS_EDGES, "")
+    """Python ``str.strip()`` for ASCII whitespace (``btrim``, no regex)."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def _kw_alt() -> str:
@@ -69,24 +72,39 @@ def _kw_alt() -> str:
 
 # ----------------------------------------------------------------- EXT
 
-def split_output(text: Column) -> dict[str, Column]:
-    """EXT-01: (sql, reasoning) from model text.
-
-    Reasoning is the text between the first ``<think>`` and the first
-    ``</think>``; the SQL is what follows ``</think>``, minus chat tokens and a
-    leading ``SQL:``.
-    """
+def think_parts(text: Column) -> dict[str, Column]:
+    """EXT-01 step 1: reasoning between the think tags and the raw text after them."""
     t = F.coalesce(text, F.lit(""))
     has = t.contains("<think>") & t.contains("</think>")
     i_open = F.instr(t, "<think>")
     i_close = F.instr(t, "</think>")
     reasoning = F.when(has, strip(F.substring(t, i_open + 7, F.greatest(i_close - i_open - 7, F.lit(0)))))
     after = F.when(has, F.substring(t, i_close + 8, 1_000_000_000)).otherwise(t)
+    return {"after": after, "reasoning": F.coalesce(reasoning, F.lit(""))}
+
+
+def clean_sql(after: Column) -> Column:
+    """EXT-01 step 2: strip, drop chat tokens, drop a leading ``SQL:``."""
     s = strip(after)
     for tok in CHAT_TOKENS:
         s = strip(F.replace(s, F.lit(tok), F.lit("")))
-    s = F.when(F.upper(s).startswith("SQL:"), strip(F.substring(s, 5, 1_000_000_000))).otherwise(s)
-    return {"sql": s, "reasoning": F.coalesce(reasoning, F.lit(""))}
+    return s
+
+
+def drop_sql_prefix(s: Column) -> Column:
+    return F.when(F.upper(s).startswith("SQL:"), strip(F.substring(s, 5, 1_000_000_000))).otherwise(s)
+
+
+def split_output(text: Column) -> dict[str, Column]:
+    """EXT-01: (sql, reasoning) from model text.
+
+    Reasoning is the text between the first ``<think>`` and the first
+    ``</think>``; the SQL is what follows ``</think>``, minus chat tokens and a
+    leading ``SQL:``. (``tessera.operators.textops`` projects the steps in
+    layers so each is evaluated once per row.)
+    """
+    p = think_parts(text)
+    return {"sql": drop_sql_prefix(clean_sql(p["after"])), "reasoning": p["reasoning"]}
 
 
 START_PATTERN = r"(?is)(?:^|\n)([^\n]*(?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER).*)$"
@@ -96,9 +114,30 @@ SEMI_LINE_AFTER_FIRST = r"(?s)^([^\n]*\n.*?;[ \t\r\f]*)(?:\n|$)"
 BLANK_LINE = r"(?s)^(.*?)\n[ \t\r\f]*(?:\n|$)"
 
 
+KEYWORD_PREFIX = r"(?is)^(.*?)(?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER)"
+
+
+def keyword_position(s: Column) -> Column:
+    """1-based position of the first statement keyword (any case), NULL when none.
+
+    Plain ``instr`` calls combined with array functions: no regex and no CASE,
+    so each ``instr`` is evaluated once.
+    """
+    u = F.upper(s)
+    return F.array_min(F.array_remove(F.array(*[F.instr(u, k) for k in STATEMENT_KEYWORDS]), 0))
+
+
+def line_start_from(s: Column, pos: Column) -> Column:
+    """Text from the start of the line that contains position ``pos`` ('' when NULL)."""
+    head = F.substring_index(F.substring(s, 1, pos - 1), "\n", -1)
+    return F.coalesce(F.substring(s, pos - F.length(head), 1_000_000_000), F.lit(""))
+
+
 def statement_start(s: Column, leading: bool = False) -> Column:
     """Text from the first line holding (EXT-02) / starting with (EXT-03) a statement keyword."""
-    return F.regexp_extract(s, START_PATTERN_LEADING if leading else START_PATTERN, 1)
+    if leading:
+        return F.regexp_extract(s, START_PATTERN_LEADING, 1)
+    return line_start_from(s, keyword_position(s))
 
 
 def statement_block(start: Column, semi_pattern: str = SEMI_LINE) -> Column:

@@ -15,7 +15,7 @@ from ..functions import patterns as P
 from ..functions import sqltext as T
 from ..functions import textfix as TF
 from . import scoring as S
-from .textops import extract_sql, split_outputs
+from .textops import split_outputs
 
 RECALL_KEYWORDS = ["SELECT", "FROM", "WHERE", "JOIN", "GROUP BY", "ORDER BY", "HAVING"]
 CHECKPOINT_DOMAIN_TABLES = ["PAC_MNT_PROJECTS", "SRM_COMPANIES", "PROJCNTRTS", "PROJSTAFF"]
@@ -50,9 +50,14 @@ def eval_records(generations: DataFrame, questions: DataFrame) -> DataFrame:
     """
     g = generations.join(questions, "prompt_id", "inner")
     g = split_outputs(g, "text")
-    g = extract_sql(g, "text", "__fallback")
-    g = g.withColumn("sql", F.when(F.col("out_sql") == "", F.col("__fallback")).otherwise(F.col("out_sql")))
-    g = g.withColumn("reasoning", F.col("out_reasoning")).drop("__fallback", "out_sql", "out_reasoning")
+    # EXT-02 fallback on the already split text (same layers, evaluated once)
+    g = g.select("*", F.when(F.col("out_sql") == "", F.coalesce(F.col("text"), F.lit(""))).otherwise(F.col("out_sql"))
+                 .alias("__s"))
+    g = g.select("*", TF.keyword_position(F.col("__s")).alias("__pos"))
+    g = g.select("*", TF.line_start_from(F.col("__s"), F.col("__pos")).alias("__start"))
+    g = g.select("*", F.when(F.col("out_sql") == "", TF.extract_from(F.col("__s"), F.col("__start")))
+                 .otherwise(F.col("out_sql")).alias("sql"))
+    g = g.withColumn("reasoning", F.col("out_reasoning")).drop("__s", "__pos", "__start", "out_sql", "out_reasoning")
     s = S.score(g)
     gen, exp = F.col("sql"), F.col("expected_sql")
     correct = ((gen != "") & F.coalesce(exp != "", F.lit(False))

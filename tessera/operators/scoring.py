@@ -221,8 +221,9 @@ def global_advantage(scored: DataFrame, reward: str = "total_reward", clip: floa
                     F.sum(_milli(reward) * _milli(reward)).alias("q"))
     mean_m = F.col("s") / F.col("n")
     var_m = F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean_m * mean_m)
-    m = st.select((mean_m / MILLI).alias("m")).scalar()
-    sd = st.select((F.sqrt(var_m) / MILLI).alias("sd")).scalar()
+    # one scalar subquery returning both moments (the scored input is read once more, not twice)
+    both = st.select(F.struct((mean_m / MILLI).alias("m"), (F.sqrt(var_m) / MILLI).alias("sd"))).scalar()
+    m, sd = both["m"], both["sd"]
     adv = (_milli(reward) / MILLI - m) / (sd + 1e-8)
     return scored.withColumn("global_advantage", F.greatest(F.lit(-clip), F.least(F.lit(clip), adv)))
 

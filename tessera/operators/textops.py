@@ -13,17 +13,29 @@ from pyspark.sql import functions as F
 from ..functions import textfix as TF
 
 
+def _split_layers(df: DataFrame, text: str) -> DataFrame:
+    """EXT-01 in three projections: think parts -> cleaned text -> final SQL."""
+    p = TF.think_parts(F.col(text))
+    d = df.select("*", p["after"].alias("__after"), p["reasoning"].alias("out_reasoning"))
+    d = d.select("*", TF.clean_sql(F.col("__after")).alias("__clean")).drop("__after")
+    return d.select("*", TF.drop_sql_prefix(F.col("__clean")).alias("out_sql")).drop("__clean")
+
+
 def split_outputs(df: DataFrame, text: str = "text") -> DataFrame:
     """EXT-01: adds ``out_sql`` and ``out_reasoning``."""
-    parts = TF.split_output(F.col(text))
-    return df.select("*", parts["sql"].alias("out_sql"), parts["reasoning"].alias("out_reasoning"))
+    return _split_layers(df, text)
 
 
 def extract_sql(df: DataFrame, text: str = "text", out: str = "extracted_sql") -> DataFrame:
     """EXT-02: adds ``out`` (fenced block / statement block / '')."""
-    d = df.select("*", TF.sql_candidate(F.col(text)).alias("__s"))
-    d = d.select("*", TF.statement_start(F.col("__s")).alias("__start"))
-    return d.select("*", TF.extract_from(F.col("__s"), F.col("__start")).alias(out)).drop("__s", "__start")
+    keep = set(df.columns)
+    d = _split_layers(df, text)
+    d = d.select("*", F.when(F.col("out_sql") == "", F.coalesce(F.col(text), F.lit(""))).otherwise(F.col("out_sql"))
+                 .alias("__s"))
+    d = d.select("*", TF.keyword_position(F.col("__s")).alias("__pos"))
+    d = d.select("*", TF.line_start_from(F.col("__s"), F.col("__pos")).alias("__start"))
+    d = d.select("*", TF.extract_from(F.col("__s"), F.col("__start")).alias(out))
+    return d.select(*[c for c in d.columns if c in keep or c == out])
 
 
 def extract_after_prompt(df: DataFrame, text: str = "text", prompt: str | None = None,

@@ -10,7 +10,7 @@ EMPTY = "[]::VARCHAR[]"
 
 
 def strip(c: str) -> str:
-    return f"regexp_replace({c}, {q(TF.WS_EDGES)}, '', 'g')"
+    return f"trim({c}, {q(TF.WS_CHARS)})"
 
 
 def compact(items: list[str]) -> str:
@@ -30,8 +30,21 @@ def split_output(text: str) -> dict[str, str]:
     return {"sql": s, "reasoning": reasoning}
 
 
+def keyword_position(s: str) -> str:
+    u = f"upper({s})"
+    return ("list_min(list_filter([" + ", ".join(f"instr({u}, {q(k)})" for k in TF.STATEMENT_KEYWORDS)
+            + "], lambda x: x > 0))")
+
+
+def line_start_from(s: str, pos: str) -> str:
+    head = f"regexp_extract(substring({s}, 1, {pos} - 1), '([^\n]*)$', 1)"
+    return f"coalesce(substring({s}, {pos} - length({head}), 1000000000), '')"
+
+
 def statement_start(s: str, leading: bool = False) -> str:
-    return f"regexp_extract({s}, {q(TF.START_PATTERN_LEADING if leading else TF.START_PATTERN)}, 1)"
+    if leading:
+        return f"regexp_extract({s}, {q(TF.START_PATTERN_LEADING)}, 1)"
+    return line_start_from(s, keyword_position(s))
 
 
 def statement_block(start: str, semi_pattern: str = TF.SEMI_LINE) -> str:

@@ -54,7 +54,6 @@ QUESTION_TABLE_HINTS = [
 
 STATEMENT_KEYWORDS = ["SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "ALTER"]
 CHAT_TOKENS = ["<|im_end|>", "<|im_start|>"]
-WS_EDGES = r"^\s+|\s+$"
 NEVER = r"\b\B"  # a pattern that matches nowhere
 
 
@@ -66,10 +65,6 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
-def _kw_alt() -> str:
-    return "|".join(STATEMENT_KEYWORDS)
-
-
 # ----------------------------------------------------------------- EXT
 
 def think_parts(text: Column) -> dict[str, Column]:
@@ -107,14 +102,12 @@ def split_output(text: Column) -> dict[str, Column]:
     return {"sql": drop_sql_prefix(clean_sql(p["after"])), "reasoning": p["reasoning"]}
 
 
-START_PATTERN = r"(?is)(?:^|\n)([^\n]*(?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER).*)$"
 START_PATTERN_LEADING = r"(?is)(?:^|\n)([ \t\r\f]*(?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER).*)$"
 SEMI_LINE = r"(?s)^(.*?;[^\n]*)"
 SEMI_LINE_AFTER_FIRST = r"(?s)^([^\n]*\n.*?;[ \t\r\f]*)(?:\n|$)"
 BLANK_LINE = r"(?s)^(.*?)\n[ \t\r\f]*(?:\n|$)"
 
 
-KEYWORD_PREFIX = r"(?is)^(.*?)(?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER)"
 
 
 def keyword_position(s: Column) -> Column:

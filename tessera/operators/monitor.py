@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import global_row_number, quantile_bucket
+from .ordered import global_row_number, lag_within, with_quantile_bucket
 
 # ---- fixed values: hourly prices per instance type (MON-05) ----
 INSTANCE_PRICES = [("ml.g5.xlarge", 0.30), ("ml.g4dn.xlarge", 0.35), ("ml.p3.2xlarge", 1.15), ("ml.g5.2xlarge", 0.60)]
@@ -57,11 +57,9 @@ def incremental_read(logs: DataFrame, cursor, per_poll: int = 50) -> DataFrame:
 
 
 def status_changes(logs: DataFrame) -> DataFrame:
-    """MON-04: rows whose status differs from the run's previous status."""
-    w = Window.partitionBy("run_id").orderBy("ts", "event_id")
-    prev = F.lag("status").over(w)
-    return logs.withColumn("prev_status", prev).where(F.col("prev_status").isNull()
-                                                      | (F.col("status") != F.col("prev_status")))
+    """MON-04: rows whose status differs from the run's previous status (skew-safe lag)."""
+    d = lag_within(logs, ["run_id"], ["ts", "event_id"], "status", "prev_status")
+    return d.where(F.col("prev_status").isNull() | (F.col("status") != F.col("prev_status")))
 
 
 def format_duration(seconds: Column) -> Column:
@@ -144,7 +142,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], id_col: str)
     then only the neighbouring order statistics are kept."""
     d = df.select(value, id_col).where(F.col(value).isNotNull())
     n = d.agg(F.count(F.lit(1))).scalar()
-    ranked = global_row_number(d, [value, id_col], quantile_bucket(d, value), out="__rn")
+    d = with_quantile_bucket(d, value, out="__qb")
+    ranked = global_row_number(d, [value, id_col], F.col("__qb"), out="__rn")
     cols = []
     for p in probs:
         pos = (n - 1) * p

@@ -5,7 +5,8 @@ These helpers use a two-pass scheme instead:
 
 1. assign every row a *bucket* that is a monotone, deterministic function of
    its ordering key (approximate-quantile bounds computed once as a scalar
-   subquery, or a hash prefix when the order is a hash). Equal keys always get
+   subquery and projected as a column, or a hash prefix when the order is a
+   hash). Equal keys always get
    the same bucket, so ties never straddle buckets;
 2. compute the result inside each bucket (a window partitioned by bucket) and
    a per-bucket summary (count / sum) — one row per bucket;
@@ -30,20 +31,26 @@ def _num_buckets(df: DataFrame, n: int | None) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
 
 
-def quantile_bucket(df: DataFrame, key: str, descending: bool = False, n: int | None = None) -> Column:
-    """Bucket id in ``[0, n]`` that is monotone in ``key`` (NULLs first asc / last desc)."""
+def with_quantile_bucket(df: DataFrame, key: str, descending: bool = False, n: int | None = None,
+                         out: str = _B) -> DataFrame:
+    """Add ``out``: a bucket id in ``[0, n]`` monotone in ``key`` (NULLs first asc / last desc).
+
+    The approximate-quantile bounds are one scalar subquery, projected once as an
+    array column; the bucket is the number of bounds strictly before the key,
+    written as a sum of comparisons (subqueries are not allowed inside lambdas,
+    and referencing the subquery per bound would run it once per bound).
+    """
     n = _num_buckets(df, n)
     probs = [i / n for i in range(1, n)]
     bounds = df.agg(F.percentile_approx(F.col(key), probs, 10000)).scalar()
-    k = F.col(key)
-    # bucket = number of bounds strictly before the key in sort order; written
-    # as a sum of comparisons (subqueries are not allowed inside lambdas)
-    terms = [F.when((bounds[i] > k) if descending else (bounds[i] < k), 1).otherwise(0)
-             for i in range(n - 1)]
-    b = terms[0]
+    d = df.withColumn("__bounds", bounds)
+    k, b = F.col(key), F.col("__bounds")
+    terms = [F.when((b[i] > k) if descending else (b[i] < k), 1).otherwise(0) for i in range(n - 1)]
+    total = terms[0]
     for t in terms[1:]:
-        b = b + t
-    return F.when(k.isNull(), F.lit(n if descending else -1)).otherwise(b)
+        total = total + t
+    bucket = F.when(k.isNull(), F.lit(n if descending else -1)).otherwise(total)
+    return d.withColumn(out, bucket).drop("__bounds")
 
 
 def hash_bucket(hex_hash: Column, digits: int = 3) -> Column:
@@ -61,7 +68,7 @@ def global_rank(df: DataFrame, key: str, descending: bool = False, out: str = "r
                 dense: bool = False, buckets: int | None = None) -> DataFrame:
     """``RANK()`` / ``DENSE_RANK()`` over ``ORDER BY key [DESC]`` for the whole table."""
     order = F.col(key).desc() if descending else F.col(key).asc()
-    d = df.withColumn(_B, quantile_bucket(df, key, descending, buckets))
+    d = with_quantile_bucket(df, key, descending, buckets)
     fn = F.dense_rank() if dense else F.rank()
     local = d.withColumn("__local", fn.over(Window.partitionBy(_B).orderBy(order)))
     if dense:
@@ -79,7 +86,7 @@ def global_rank(df: DataFrame, key: str, descending: bool = False, out: str = "r
 def global_running_sum(df: DataFrame, key: str, value: str, out: str = "running_total",
                        buckets: int | None = None) -> DataFrame:
     """``SUM(value) OVER (ORDER BY key)`` with the default RANGE frame (peers share)."""
-    d = df.withColumn(_B, quantile_bucket(df, key, False, buckets))
+    d = with_quantile_bucket(df, key, False, buckets)
     w = (Window.partitionBy(_B).orderBy(F.col(key).asc())
          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     local = d.withColumn("__local", F.sum(value).over(w))
@@ -134,3 +141,48 @@ def dense_rank_within(df: DataFrame, part: list[str], order: str, out: str = "de
     ranked = keys.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(order)))
     cond = [df[c].eqNullSafe(ranked[c]) for c in [*part, order]]
     return df.join(ranked, cond, "inner").select(df["*"], ranked[out].cast("int").alias(out))
+
+
+def _time_key(df: DataFrame, col: str) -> tuple[DataFrame, str]:
+    """A numeric ordering key for ``col`` (timestamps -> epoch microseconds)."""
+    dtype = dict(df.dtypes)[col]
+    if dtype.startswith("timestamp"):
+        return df.withColumn("__tk", F.unix_micros(F.col(col).cast("timestamp"))), "__tk"
+    return df, col
+
+
+def lag_within(df: DataFrame, part: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``LAG(value) OVER (PARTITION BY part ORDER BY order...)`` without sorting a
+    whole hot key in one task.
+
+    Rows are split into (key, time bucket) groups — buckets are monotone in the
+    leading order column — ``lag`` runs inside each group, and each group's first
+    row takes the last value of the key's previous non-empty bucket, found on a
+    one-row-per-(key, bucket) summary.
+    """
+    d, k = _time_key(df, order[0])
+    d = with_quantile_bucket(d, k)
+    w = Window.partitionBy(*part, _B).orderBy(*order)
+    d = d.withColumn("__lag", F.lag(value).over(w)).withColumn("__rn", F.row_number().over(w))
+    last = d.groupBy(*part, _B).agg(F.max(F.struct(*[F.col(c) for c in order], F.col(value).alias("__v")))
+                                    .alias("__last"))
+    wb = Window.partitionBy(*part).orderBy(_B)
+    last = last.select(*part, _B, F.lag(F.col("__last.__v")).over(wb).alias("__prev"))
+    j = d.join(last, [*part, _B], "inner")
+    res = F.when(F.col("__rn") == 1, F.col("__prev")).otherwise(F.col("__lag"))
+    return j.withColumn(out, res).drop("__lag", "__rn", "__prev", _B, "__tk")
+
+
+def running_max_before(df: DataFrame, part: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``MAX(value) OVER (PARTITION BY part ORDER BY order ROWS UNBOUNDED PRECEDING TO 1 PRECEDING)``
+    via (key, time bucket) groups plus a prefix maximum over the bucket summary."""
+    d, k = _time_key(df, order[0])
+    d = with_quantile_bucket(d, k)
+    w = Window.partitionBy(*part, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__inner", F.max(value).over(w))
+    summ = d.groupBy(*part, _B).agg(F.max(value).alias("__bmax"))
+    wb = Window.partitionBy(*part).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(*part, _B, F.max("__bmax").over(wb).alias("__before"))
+    j = d.join(summ, [*part, _B], "inner")
+    res = F.greatest(F.col("__inner"), F.col("__before"))  # greatest ignores NULLs
+    return j.withColumn(out, res).drop("__inner", "__before", _B, "__tk")

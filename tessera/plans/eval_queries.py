@@ -170,9 +170,9 @@ SELECT event_id, run_id, metric, greatest(metric, coalesce(prev_best, metric)) A
 prev_best IS NULL OR metric > prev_best AS is_new_best FROM b""")
 def evl_10(v):
     """EVL-10: best-so-far metric per run with strict-improvement flags (run_logs.seconds)."""
+    from ..operators.ordered import running_max_before
     r = v.run_logs.select("event_id", "run_id", "ts", F.col("seconds").alias("metric"))
-    w = Window.partitionBy("run_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    b = r.withColumn("prev_best", F.max("metric").over(w))
+    b = running_max_before(r, ["run_id"], ["ts", "event_id"], "metric", "prev_best")
     return b.select("event_id", "run_id", "metric",
                     F.greatest(F.col("metric"), F.coalesce(F.col("prev_best"), F.col("metric"))).alias("best_so_far"),
                     (F.col("prev_best").isNull() | (F.col("metric") > F.col("prev_best"))).alias("is_new_best"))

@@ -201,8 +201,10 @@ CASE (conf_rank - 1) % 4 WHEN 0 THEN 0.3 WHEN 1 THEN 0.5 WHEN 2 THEN 0.7 ELSE 0.
 def rwd_13(v):
     c = v.candidates.select("prompt_id", "cand_id", "sql", "reasoning",
                             T.generator_confidence(F.col("sql"), F.col("reasoning")).alias("generator_confidence"))
-    w = Window.partitionBy("prompt_id").orderBy(F.col("generator_confidence").desc(), "cand_id", "sql", "reasoning")
-    k = c.withColumn("conf_rank", F.row_number().over(w).cast("int"))
+    # skew-safe ROW_NUMBER per prompt: offsets come from counts per distinct confidence
+    from ..operators.ordered import nth_within
+    k = nth_within(c.withColumn("__negc", -F.col("generator_confidence")), ["prompt_id"], "__negc",
+                   ["cand_id", "sql", "reasoning"], out="conf_rank").drop("__negc")
     temp = F.element_at(F.array(*[F.lit(t) for t in (0.3, 0.5, 0.7, 0.9)]), ((F.col("conf_rank") - 1) % 4 + 1).cast("int"))
     return k.select("prompt_id", "cand_id", "sql", S.r6("generator_confidence").alias("generator_confidence"),
                     "conf_rank", (F.col("conf_rank") == 1).alias("is_best"), temp.alias("temperature"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..storage import scratch_path, written  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,32 +23,21 @@ def id_text(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder that ``spark.checkpoint.dir`` names."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` once to shared storage and read it back.
-
-    Later stages survive lost executors without recomputing it, and the planner
-    knows its size, so it broadcasts the table only when that is small.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_crc(col: Column) -> Column:
     """crc32 of an id written as decimal text."""
     return F.crc32(F.encode(col.cast("string"), "UTF-8"))
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id isn't among ``ids``; null matches null."""
-    gone = written(ids.select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def text_hash():
+    """Tells apart the texts of rows that share an id; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose (doc_id, text_hash) isn't in ``gone``; null matches null."""
+    gone = written(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "dropped")
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 def without_repeated_rows(docs: DataFrame) -> DataFrame:
@@ -54,6 +46,39 @@ def without_repeated_rows(docs: DataFrame) -> DataFrame:
                     .select(F.col("doc_id").alias("_again")), "repeated")
     if again.isEmpty():
         return docs
-    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    same = docs["doc_id"].eqNullSafe(again["_again"])
     several = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return docs.join(again, same, "left_anti").unionByName(several)
+
+
+def slices(texts: Iterator[str], chars: int) -> Iterator[list[str]]:
+    """Lists of consecutive texts of about ``chars`` characters each; a longer text stands alone."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > chars:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Texts cut at single spaces: the first word of each text, each word's number, and the distinct words."""
+    words = pc.split_pattern(pa.array(texts, pa.large_string()), pattern=" ")
+    coded = words.flatten().dictionary_encode()
+    return (words.offsets.to_numpy().astype(np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+            coded.dictionary.to_pylist())
+
+
+def joined_ids(ids: list[bytes], place: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit ids of all words in text order, and where each text's ids begin; ``ids`` are those of the distinct words."""
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join([x if len(x) != 1 else b"" for x in ids]), "<u4")  # one byte marks no ids
+    start = np.cumsum(size) - size
+    count = size[place]
+    end = np.cumsum(count)
+    total = int(end[-1]) if len(end) else 0
+    at = np.arange(total) + np.repeat(start[place] - (end - count), count)
+    return flat[at], np.concatenate([[0], end])[offsets]

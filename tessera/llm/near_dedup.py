@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import id_text, text_hash, written
 from .components import connected_components
 
 SIGNATURE = 128      # hash functions in a signature
@@ -125,8 +125,8 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, shape: tuple[int, int
             np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32),
             pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), lists],
-            names=["doc_id", "n_shingles", "mark", "keys"])
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), lists],
+            names=["doc_id", "text_hash", "n_shingles", "mark", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Returns one row per row of ``docs``: ``doc_id``, ``n_shingles`` (size of the
     set), ``component_id`` (smallest doc_id reachable over links, itself
-    included) and ``kept`` (``doc_id = component_id``).
+    included), ``kept`` (``doc_id = component_id``) and ``text_hash``.
 
     A null or empty text, or one of white space, has an empty set and links with
     nothing. A row without doc_id can't be named: its component_id is null and
@@ -213,9 +213,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     shape = band_shape(percent / 100)
     least = least_matches(percent / 100)
-    rows = id_text(docs)
+    rows = id_text(docs).withColumn("text_hash", text_hash())
     signed = written(rows.mapInArrow(
-        lambda it: _signed(it, words, shape), "doc_id long, n_shingles long, mark binary, keys array<long>"), "signed")
+        lambda it: _signed(it, words, shape), "doc_id long, text_hash long, n_shingles long, mark binary, keys array<long>"), "signed")
 
     reps = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("mark")
                    .agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"),
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                          F.greatest("blk", "o").alias("high"))
 
     # two rows may give one doc_id different texts: each set then stands for that id
-    texts = rows.join(clusters.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id", "text"])
+    texts = rows.select("doc_id", "text").join(clusters.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id", "text"])
     sets = texts.mapInArrow(lambda it: _sets(it, words), "rep long, shingles binary, sig binary")
     links = (pairs.join(sets, "rep").groupBy("grp", "band", "low", "high")
              .applyInArrow(lambda t: _links_in_block(t, percent, shape, least), "a long, b long"))
@@ -255,9 +255,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     marks = (reps.select("mark", "rep").join(named.select(F.col("id").alias("rep"), "component"), "rep", "left")
              .select("mark", F.coalesce("component", "rep").alias("component")))
-    own = signed.select("doc_id", "n_shingles", "mark")
+    own = signed.drop("keys")
     grouped = own.where("n_shingles > 0 and doc_id is not null").join(marks, "mark").select(
-        "doc_id", "n_shingles", F.col("component").alias("component_id"))
+        "doc_id", "n_shingles", F.col("component").alias("component_id"), "text_hash")
     alone = own.where("n_shingles = 0 or doc_id is null").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return grouped.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept, "text_hash")

@@ -5,8 +5,9 @@ email, ip, card, phone or none. Neighbouring tokens share a chain potential;
 tokens with the same normalised content, however far apart, share a skip
 potential (consecutive occurrences are linked, so links grow with the tokens).
 Loopy sum-product messages make the labels of a document's repeated entities
-agree. The weights are learned from the base patterns' own findings by
-pseudo-likelihood on a bounded sample of documents (``FIT_DOCUMENTS``).
+agree. The weights are learned from the base patterns' own findings, and from
+spoiled copies of the tokens as counterexamples, by pseudo-likelihood on a
+bounded sample of documents (``FIT_DOCUMENTS``).
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ FOUND = tuple(f"crf_{k}" for k in KINDS)  # kinds of the spans that the field ad
 FIT_DOCUMENTS = 2000    # documents in the sample that fits the weights
 FIT_TOKENS = 200        # a sampled document has at most so many tokens
 ROUNDS = 12             # of message passing
+EVIDENCE = 8.0          # log-odds that a token inside a base span has the span's kind
 CONFIDENT = 0.7         # least marginal of a label that is reported
 
 # Character sets and patterns of the contract.
@@ -142,6 +144,9 @@ def observe(token: Token) -> list[float]:
             *(bool(c.fullmatch(token.before)) for c in CUES)]
 
 
+WIDTH = len(observe(Token(0, 1, 0, "0", "")))
+
+
 @dataclass
 class Graph:
     """Tokens of several documents with their links; documents share none."""
@@ -166,7 +171,7 @@ class Graph:
                         skip.append((last[name], first + k))
                     last[name] = first + k
         pairs = [np.array(x, np.int64).reshape(-1, 2) for x in (chain, skip)]
-        return Graph(np.array(features, float).reshape(len(features), -1), *pairs)
+        return Graph(np.array(features, float).reshape(len(features), WIDTH), *pairs)
 
 
 @dataclass
@@ -177,9 +182,12 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def marginals(self, graph: Graph) -> np.ndarray:
-        """Label probabilities of all tokens by damped loopy sum-product."""
+    def marginals(self, graph: Graph, known: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities of all tokens by damped loopy sum-product; ``known`` labels (0: unknown) are evidence."""
         unary = graph.features @ self.emit
+        if known is not None:
+            at = np.flatnonzero(known)
+            unary[at, known[at]] += EVIDENCE
         ends = np.concatenate([graph.chain, graph.chain[:, ::-1], graph.skip, graph.skip[:, ::-1]])
         if not len(ends):
             return _softmax(unary)
@@ -212,8 +220,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(graph: Graph, labels: np.ndarray, steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Field:
-    """Pseudo-likelihood: each token's label given its features and its neighbours' labels."""
+    """Pseudo-likelihood: each token's label given its features and its neighbours' labels.
+
+    A label of -1 marks a counterexample: none, at a fifth of a token's weight.
+    """
     n, k = len(labels), len(LABELS)
+    share = np.where(labels < 0, 0.2, 1.0)[:, None]
+    share /= max(share.sum(), 1)
+    labels = np.maximum(labels, 0)
     seen = np.eye(k)[labels]
     left = _sum_at(graph.chain[:, 1], seen[graph.chain[:, 0]], n)
     right = _sum_at(graph.chain[:, 0], seen[graph.chain[:, 1]], n)
@@ -224,7 +238,7 @@ def fit(graph: Graph, labels: np.ndarray, steps: int = 300, rate: float = 0.5, d
     emit_step, chain_step, skip_step = (np.zeros_like(w) for w in (emit, chain, skip))
     for _ in range(steps):
         p = _softmax(graph.features @ emit + left @ chain + right @ chain.T + far @ skip)
-        error = (seen - p) / max(n, 1)
+        error = (seen - p) * share
         of_skip = far.T @ error
         for step, weight, slope in ((emit_step, emit, graph.features.T @ error - decay * emit),
                                     (chain_step, chain, left.T @ error + error.T @ right - decay * chain),
@@ -245,6 +259,12 @@ def weak_labels(doc: list[Token], spans: list[tuple[str, int, int]]) -> list[int
     return out
 
 
+def spoiled(token: Token) -> list[Token]:
+    """Look-alikes that hold no entity: other separators between the same characters."""
+    texts = {re.sub(r"[^0-9A-Za-z]+", mark, token.text) for mark in (":", "x")} - {token.text}
+    return [Token(0, len(t), 0, t, "") for t in sorted(texts) if _ACTIVE.search(t) and not base_spans(t)]
+
+
 def field_spans(doc: list[Token], marginals: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Runs of neighbouring tokens with one confident label that touch no base span."""
     label = np.where(marginals.max(axis=1) >= CONFIDENT, marginals.argmax(axis=1), 0).tolist()
@@ -284,7 +304,8 @@ def _find(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Record
             base = [base_spans(t) for t in texts]
             docs = [tokens(t) for t in texts]
             graph = Graph.of([d for d in docs if d])
-            marginals = field.marginals(graph) if len(graph.features) else None
+            known = [x for doc, spans in zip(docs, base) if doc for x in weak_labels(doc, spans)]
+            marginals = field.marginals(graph, np.array(known)) if known else None
             rows, used = [], 0
             for doc, spans in zip(docs, base):
                 if doc:
@@ -303,9 +324,11 @@ def _weak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = tokens(text)
             if not 0 < len(doc) <= FIT_TOKENS:
                 continue
-            graph = Graph.of([doc])
+            labels = weak_labels(doc, base_spans(text))
+            other = [t for token in doc for t in spoiled(token)]
+            graph = Graph.of([doc, *([t] for t in other)])
             yield pa.RecordBatch.from_pydict({
-                "doc_id": [doc_id], "labels": [weak_labels(doc, base_spans(text))],
+                "doc_id": [doc_id], "labels": [labels + [-1] * len(other)],
                 "features": [graph.features.ravel().tolist()], "chain": [graph.chain.ravel().tolist()],
                 "skip": [graph.skip.ravel().tolist()]}, schema=_WEAK)
 
@@ -326,17 +349,16 @@ def fit_field(docs: DataFrame, sample: int = FIT_DOCUMENTS) -> Field:
     weak = rows.join(chosen, "doc_id", "left_semi").mapInArrow(
         _weak, "doc_id long, labels array<long>, features array<double>, chain array<long>, skip array<long>")
     got: pd.DataFrame = weak.orderBy("doc_id").limit(sample).toPandas()
-    width = len(observe(Token(0, 1, 0, "0", "")))
     if not len(got):
-        none = Graph(np.eye(width), *(np.empty((0, 2), np.int64),) * 2)
-        return fit(none, np.zeros(width, np.int64))
+        none = Graph(np.eye(WIDTH), *(np.empty((0, 2), np.int64),) * 2)
+        return fit(none, np.zeros(WIDTH, np.int64))
     counts = got["labels"].map(len).to_numpy()
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
 
     def links(column: str) -> np.ndarray:
         return np.concatenate([np.asarray(x, np.int64).reshape(-1, 2) + o for x, o in zip(got[column], first)])
 
-    features = np.concatenate([np.asarray(x, float) for x in got["features"]]).reshape(-1, width)
+    features = np.concatenate([np.asarray(x, float) for x in got["features"]]).reshape(-1, WIDTH)
     labels = np.concatenate([np.asarray(x, np.int64) for x in got["labels"]])
     return fit(Graph(features, links("chain"), links("skip")), labels)
 

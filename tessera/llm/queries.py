@@ -23,7 +23,7 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+    return near_duplicates(documents(spark, sf_dir), words=3, percent=85).drop("text_hash")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

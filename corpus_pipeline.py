@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tessera.llm.common import documents, without_ids, without_repeated_rows, written  # noqa: E402
+from tessera.llm.common import documents, text_hash, without_repeated_rows, without_rows, written  # noqa: E402
 from tessera.llm.exact_dedup import exact_duplicates  # noqa: E402
 from tessera.llm.near_dedup import near_duplicates  # noqa: E402
 from tessera.llm.packing import packed_sequences  # noqa: E402
@@ -32,12 +32,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, keep the one with the largest doc_id; of repeated rows, one."""
-    return without_repeated_rows(without_ids(docs, exact_duplicates(docs).where(~F.col("kept"))))
+    found = exact_duplicates(docs, carry={"text_hash": text_hash()})
+    return without_repeated_rows(without_rows(docs, found.where(~F.col("kept"))))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more), keep the smallest doc_id."""
-    return without_ids(docs, near_duplicates(docs, words=5, percent=80).where(~F.col("kept")))
+    return without_rows(docs, near_duplicates(docs, words=5, percent=80).where(~F.col("kept")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_text
-from .token_ids import Encoder, default_vocabulary, encoded
+from .token_ids import default_vocabulary, encoded, encoder
 
 WINDOW = 1024
 #: Sequence numbers of a task start at its partition number times this.
@@ -137,7 +137,7 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, window: int, wit
                 yield text.as_py()
 
     def documents() -> Iterator[tuple[int | None, bytes]]:
-        for at, ids in enumerate(encoded(texts(), Encoder(vocabulary))):
+        for at, ids in enumerate(encoded(texts(), encoder(vocabulary))):
             yield names[at], ids
             names[at] = None
 

@@ -32,7 +32,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import id_text, scratch_path, written
-from .token_ids import Encoder, default_vocabulary, encoded
+from .token_ids import default_vocabulary, encoded, encoder
 
 MAGIC = b"TSBPLN01"
 BLOCK_IDS = 1 << 16
@@ -158,7 +158,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, plan
     store.create_dir(base, recursive=True)
     path = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.tok"
     with store.open_output_stream(path) as sink:
-        total, blocks, lengths = write_file(sink, encoded(texts(), Encoder(vocabulary)), plane_bits)
+        total, blocks, lengths = write_file(sink, encoded(texts(), encoder(vocabulary)), plane_bits)
     if not lengths:
         store.delete_file(path)
         return
@@ -213,7 +213,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """``doc_id``, ``start`` (ids before the document) and ``ids`` (little-endian unsigned 32-bit) from the files."""
-    tasks = manifest.repartition(F.col("part")).select("file", "doc_ids", "start")
+    tasks = manifest.repartitionByRange(max(1, manifest.count()), "part").select("file", "doc_ids", "start")
     return tasks.mapInArrow(lambda it: _read(it, folder), "doc_id long, start long, ids binary")
 
 

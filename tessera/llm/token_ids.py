@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
+from .common import joined_ids, slices, words_of
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 1_000_000
+CHARS_AT_ONCE = 4_000_000
+UNEVEN = b"-"  # no ids: one byte
 END = np.zeros(1, np.uint32).tobytes()
 
 
@@ -23,10 +28,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _width(token: str) -> int:
-    return len(token)  # the vocabulary writes every byte as one character
-
-
 class Encoder:
     """``encode(texts)`` gives each text's ids as bytes of little-endian 32-bit integers."""
 
@@ -35,7 +36,8 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._tokenizer.encode_special_tokens = True
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
-        self._widths = np.array([_width(self._tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        # the vocabulary writes every byte as one character
+        self._widths = np.array([len(self._tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self._cache: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
@@ -51,39 +53,44 @@ class Encoder:
             self._cache[chunk] = flat[start:end]
             start = end
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks; ``UNEVEN`` for one that white space begins or ends."""
         if len(self._cache) > CACHE_CHUNKS:
             self._cache = {}
-        split, new = [], set()
-        for text in texts:
-            chunks = text.split(" ")
-            # the first chunk has no space before it
-            split.append((chunks[0], chunks[1:]))
-            new.update(set(split[-1][1]).difference(self._cache))
-        uneven = [c for c in new if c != c.strip() or not c]
-        self._cache.update(dict.fromkeys(uneven))
-        if len(uneven) < len(new):
-            self._learn([c for c in new if c == c.strip() and c])
+        ids = list(map(self._cache.get, chunks))
+        new = [k for k, known in enumerate(ids) if known is None]
+        even = [chunks[k] for k in new if chunks[k] and chunks[k] == chunks[k].strip()]
+        if even:
+            self._learn(even)
+        for k in new:
+            ids[k] = self._cache.setdefault(chunks[k], UNEVEN)
+        return ids
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        offsets, place, distinct = words_of(texts)
+        ids = self._known(distinct)
+        uneven = np.fromiter(map(len, ids), np.int64, len(ids)) == len(UNEVEN)
+        whole = np.logical_or.reduceat(uneven[place], offsets[:-1]) if len(texts) else []
+        tokens, ends = joined_ids(ids, place, offsets)
         out = []
-        for text, (first, chunks) in zip(texts, split):
-            try:
-                if first != first.strip() or not first:
-                    raise TypeError
-                rest = b"".join(map(self._cache.__getitem__, chunks))
-            except TypeError:  # a chunk is None: white space stands beside a space
-                out.append(self._ids(text).tobytes())
-            else:
-                out.append(self._ids(first).tobytes() + rest)
+        for k, text in enumerate(texts):
+            if whole[k]:
+                out.append(self._ids(text).tobytes() if text else b"")
+                continue
+            # the first chunk has no space before it
+            first, end = place[offsets[k]], int(text.find(" "))
+            skip = len(ids[first]) // 4
+            out.append(self._ids(text[:end] if end >= 0 else text).tobytes() + tokens[ends[k] + skip:ends[k + 1]].tobytes())
         return out
 
 
-def encoded(texts: Iterator[str], encoder: Encoder, chars_at_once: int = 2_000_000) -> Iterator[bytes]:
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    """One encoder per Python worker: its cache serves all the tasks that the worker runs."""
+    return Encoder(vocabulary)
+
+
+def encoded(texts: Iterator[str], encoder: Encoder, chars_at_once: int = CHARS_AT_ONCE) -> Iterator[bytes]:
     """Ids of every text in turn, each with the end id 0, encoded in slices of bounded size."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= chars_at_once:
-            yield from (ids + END for ids in encoder.encode(held))
-            held, size = [], 0
-    yield from (ids + END for ids in encoder.encode(held))
+    for held in slices(texts, chars_at_once):
+        yield from (ids + END for ids in encoder.encode(held))

@@ -46,8 +46,22 @@ def to_planes(ids: np.ndarray, plane_bits: int) -> list[bytes]:
     octets = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
     if plane_bits == 8:
         return [octets[:, k].tobytes() for k in range(planes)]
-    bits = np.unpackbits(octets[:, :-(-planes // 8)], axis=1, bitorder="little")
-    return [np.packbits(bits[:, k]).tobytes() for k in range(planes)]
+    out = []
+    for byte in range(-(-planes // 8)):
+        # eight ids as a 64-bit number hold an 8 x 8 bit matrix; its transpose has one byte for each plane
+        part = np.zeros(-(-len(ids) // 8) * 8, np.uint8)
+        part[:len(ids)] = octets[:, byte]
+        turned = _transposed(part.view("<u8")).view(np.uint8).reshape(-1, 8)
+        out += [turned[:, k].tobytes() for k in range(min(8, planes - 8 * byte))]
+    return out
+
+
+def _transposed(x: np.ndarray) -> np.ndarray:
+    """8 x 8 bit matrices in 64-bit numbers, row r in byte r, transposed by swapping ever larger blocks."""
+    for shift, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        t = (x ^ (x >> np.uint64(shift))) & np.uint64(mask)
+        x = x ^ t ^ (t << np.uint64(shift))
+    return x
 
 
 def from_planes(planes: list[bytes], count: int, plane_bits: int) -> np.ndarray:
@@ -55,12 +69,12 @@ def from_planes(planes: list[bytes], count: int, plane_bits: int) -> np.ndarray:
     if plane_bits == 8:
         for k, plane in enumerate(planes):
             octets[:, k] = np.frombuffer(plane, np.uint8)
-    else:
-        for byte in range(-(-len(planes) // 8)):
-            bits = np.zeros((count, 8), np.uint8)
-            for k, plane in enumerate(planes[byte * 8:byte * 8 + 8]):
-                bits[:, k] = np.unpackbits(np.frombuffer(plane, np.uint8), count=count)
-            octets[:, byte] = np.packbits(bits, axis=1, bitorder="little")[:, 0]
+        return octets.view("<u4")[:, 0]
+    for byte in range(-(-len(planes) // 8)):
+        turned = np.zeros((-(-count // 8), 8), np.uint8)
+        for k, plane in enumerate(planes[byte * 8:byte * 8 + 8]):
+            turned[:, k] = np.frombuffer(plane, np.uint8)
+        octets[:, byte] = _transposed(turned.view("<u8")[:, 0]).view(np.uint8)[:count]
     return octets.view("<u4")[:, 0]
 
 

@@ -11,19 +11,23 @@ raises an error. Decoding turns ids back into pieces and is checked the same way
 
 from __future__ import annotations
 
-import heapq
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, joined_ids, slices, words_of
 
 SPACE = "▁"
-CACHE_CUTS = 500_000
+CACHE_WORDS, CACHE_CUTS = 700_000, 400_000
+CHARS_AT_ONCE = 1_000_000
 CHECKED_TEXTS = 8  # whole texts of each Arrow batch that the library encodes and decodes as well
 
 NORMAL, BYTE = 1, 6  # piece types of the model format
@@ -48,7 +52,7 @@ class Codec:
         if (spec.trainer_spec.model_type != 2 or norm.precompiled_charsmap or norm.remove_extra_whitespaces
                 or not norm.add_dummy_prefix or not norm.escape_whitespaces):
             raise ValueError("a merge-type model with identity normalisation is needed")
-        self.score: dict[str, float] = {}
+        self.rank: dict[str, float] = {}  # piece -> minus its score
         self.id: dict[str, int] = {}
         self.byte_id = [self.library.unk_id()] * 256
         self.piece_bytes: list[bytes] = []
@@ -58,45 +62,42 @@ class Codec:
                 surface = bytes([int(p.piece[3:5], 16)])
                 self.byte_id[surface[0]] = i
             elif p.type == NORMAL:
-                self.score[p.piece] = p.score
+                self.rank[p.piece] = -p.score
                 self.id[p.piece] = i
             self.piece_bytes.append(surface)
-        self.pairs = {p[k:k + 2] for p in self.score for k in range(len(p) - 1)}
+        self.pairs = {p[k:k + 2] for p in self.rank for k in range(len(p) - 1)}
         if any(pair[1] == SPACE and pair[0] != SPACE for pair in self.pairs):
             raise ValueError("pieces must not run across a space")
-        self.longest = max(map(len, self.score))
         self._words: dict[str, bytes] = {}
         self._cuts: dict[str, bytes] = {}
 
     def merge(self, symbols: str) -> list[int]:
         """Ids of one cut: pop the best adjacent pair, merge it and put its new neighbours on the agenda."""
-        n = len(symbols)
-        part: list[str] = list(symbols)
+        n, rank = len(symbols), self.rank
+        part = list(symbols)
+        after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        after = [*range(1, n), -1]
-        agenda: list[tuple[float, int, int, str]] = []
-        score, push = self.score, heapq.heappush
-
-        def propose(left: int, right: int) -> None:
-            merged = part[left] + part[right]
-            value = score.get(merged)
-            if value is not None:
-                push(agenda, (-value, left, right, merged))
-
-        for k in range(n - 1):
-            propose(k, k + 1)
+        # (rank of the merged piece, its left place, the piece): the best score first, then the leftmost
+        agenda = [(rank[m], k, m) for k in range(n - 1) if (m := symbols[k:k + 2]) in rank]
+        heapify(agenda)
         while agenda:
-            _, left, right, merged = heapq.heappop(agenda)
+            _, left, merged = heappop(agenda)
+            right = after[left]
             # an entry is stale once either side has changed
-            if not part[left] or not part[right] or after[left] != right or part[left] + part[right] != merged:
+            if right >= n or part[left] + part[right] != merged:
                 continue
             part[left], part[right] = merged, ""
-            after[left] = after[right]
-            if after[right] >= 0:
-                before[after[right]] = left
-                propose(left, after[right])
-            if before[left] >= 0:
-                propose(before[left], left)
+            follow = after[left] = after[right]
+            if follow < n:
+                before[follow] = left
+                m = merged + part[follow]
+                if m in rank:
+                    heappush(agenda, (rank[m], left, m))
+            lead = before[left]
+            if lead >= 0:
+                m = part[lead] + merged
+                if m in rank:
+                    heappush(agenda, (rank[m], lead, m))
         out: list[int] = []
         for piece in part:
             if piece:
@@ -107,47 +108,50 @@ class Codec:
     def _word(self, word: str) -> bytes:
         """Ids of a run of spaces with what follows up to the next space."""
         pairs, start, found = self.pairs, 0, []
-        for k in range(1, len(word) + 1):
-            if k == len(word) or word[k - 1:k + 1] not in pairs:
-                cut = word[start:k]
-                ids = self._cuts.get(cut)
-                if ids is None:
-                    ids = np.array(self.merge(cut), "<i4").tobytes()
-                    if len(cut) <= 32:
-                        self._cuts[cut] = ids
-                found.append(ids)
-                start = k
-        return b"".join(found)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
+        ends = [k + 1 for k in range(len(word) - 1) if word[k:k + 2] not in pairs]
+        for end in [*ends, len(word)]:
+            cut = word[start:end]
+            ids = self._cuts.get(cut)
+            if ids is None:
+                ids = array("i", self.merge(cut)).tobytes()
+                if len(cut) <= 32:
+                    self._cuts[cut] = ids
+            found.append(ids)
+            start = end
+        return b"".join(found) if len(found) > 1 else found[0]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The 32-bit ids of all texts and where each text's begin."""
         if len(self._cuts) > CACHE_CUTS:
             self._cuts = {}
-        if len(self._words) > CACHE_CUTS:
+        if len(self._words) > CACHE_WORDS:
             self._words = {}
-        split, new = [], set()
-        for text in texts:
-            # a text begins with a space of its own unless it is empty; "" between two spaces is one more space
-            words = text.replace(SPACE, " ").split(" ") if text else []
-            split.append(words)
-            new.update(set(words).difference(self._words))
-        new.discard("")
-        for word in new:
-            self._words[word] = self._word(SPACE + word)
-        self._check_words(new)
-        out = []
-        for words in split:
-            if "" not in words:
-                out.append(b"".join(map(self._words.__getitem__, words)))
-                continue
-            runs = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + SPACE.join(words))
-            out.append(b"".join(map(self._word, runs)))
-        return out
-
-    def _check_words(self, words: set[str]) -> None:
-        words = list(words)
+        offsets, place, distinct = words_of([t.replace(SPACE, " ") for t in texts])
+        ids = list(map(self._words.get, distinct))
+        new = [k for k, known in enumerate(ids) if known is None and distinct[k]]
+        for k in new:
+            ids[k] = self._words[distinct[k]] = self._word(SPACE + distinct[k])
+        self._check_words([distinct[k] for k in new])
+        empty = distinct.index("") if "" in distinct else -1
+        if empty >= 0:
+            ids[empty] = b""
+        tokens, ends = joined_ids(ids, place, offsets)
+        odd = np.logical_or.reduceat(place == empty, offsets[:-1]) if len(texts) and empty >= 0 else np.zeros(len(texts), bool)
+        if not odd.any():
+            return tokens, ends
+        # "" is a space more than one between words, or at an end: such texts are cut at runs of spaces
+        parts = []
+        for k, text in enumerate(texts):
+            if odd[k]:
+                runs = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE)) if text else []
+                parts.append(np.frombuffer(b"".join(map(self._word, runs)), "<i4"))
+            else:
+                parts.append(tokens[ends[k]:ends[k + 1]])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(list(map(len, parts)))])
+
+    def _check_words(self, words: list[str]) -> None:
         for word, ids in zip(words, self.library.encode(words, num_threads=1)):
-            if np.array(ids, "<i4").tobytes() != self._words[word]:
+            if array("i", ids).tobytes() != self._words[word]:
                 raise AssertionError(f"the library encodes {word!r} otherwise")
 
     def decode(self, ids: list[int]) -> str:
@@ -158,33 +162,59 @@ class Codec:
         return data.decode("utf-8", "replace")
 
 
-def _encode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
-    codec = Codec(model)
+@lru_cache(maxsize=1)
+def codec(model: str) -> Codec:
+    """One codec per Python worker: its caches serve all the tasks that the worker runs."""
+    return Codec(model)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], pieces: Codec) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Slices of the batches: doc ids, the ids of all texts and where each text's begin."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            texts = part.column("text").to_pylist()
-            data = codec.encode(texts)
-            if at == 0:
-                seen = codec.library.encode(texts[:CHECKED_TEXTS], num_threads=1)
-                if any(np.array(a, "<i4").tobytes() != b for a, b in zip(seen, data)):
+        at = 0
+        for texts in slices((t.as_py() for t in batch.column("text")), CHARS_AT_ONCE):
+            ids, ends = pieces.encode(texts)
+            if not at:
+                seen = pieces.library.encode(texts[:CHECKED_TEXTS], num_threads=1)
+                if any(ids[ends[k]:ends[k + 1]].tolist() != x for k, x in enumerate(seen)):
                     raise AssertionError("the library encodes a text otherwise")
-            ends = np.concatenate([[0], np.cumsum([len(d) // 4 for d in data])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
+            yield batch.column("doc_id").slice(at, len(texts)), ids, ends
+            at += len(texts)
+
+
+def _decoded(pieces: Codec, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    texts = [pieces.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    few = [ids[a:b].tolist() for a, b in zip(ends[:CHECKED_TEXTS].tolist(), ends[1:].tolist())]
+    if pieces.library.decode(few) != texts[:len(few)]:
+        raise AssertionError("the library decodes a text otherwise")
+    return pa.array(texts, pa.string())
+
+
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids.astype(np.int32)))
+
+
+def _encode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    for doc_id, ids, ends in _encoded(batches, codec(model)):
+        yield pa.RecordBatch.from_arrays([doc_id, _lists(ids, ends)], names=["doc_id", "ids"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
-    codec = Codec(model)
+    pieces = codec(model)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            ids = [x.as_py() or [] for x in part.column("ids")]
-            texts = [codec.decode(x) for x in ids]
-            if at == 0 and codec.library.decode(ids[:CHECKED_TEXTS]) != texts[:CHECKED_TEXTS]:
-                raise AssertionError("the library decodes a text otherwise")
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())],
-                                             names=["doc_id", "ids", "text"])
+            lists = part.column("ids").fill_null([])
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            texts = _decoded(pieces, lists.flatten().to_numpy(zero_copy_only=False), ends)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), texts], names=["doc_id", "ids", "text"])
+
+
+def _round_trip(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    pieces = codec(model)
+    for doc_id, ids, ends in _encoded(batches, pieces):
+        yield pa.RecordBatch.from_arrays([doc_id, _lists(ids, ends), _decoded(pieces, ids, ends)],
+                                         names=["doc_id", "ids", "text"])
 
 
 def piece_ids(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -205,8 +235,14 @@ def piece_texts(encoded: DataFrame, model: str | None = None) -> DataFrame:
                                                       "doc_id long, ids array<int>, text string")
 
 
+def piece_round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """``piece_texts(piece_ids(docs))`` in one pass through Python: ``doc_id``, ``ids`` and the text decoded from them."""
+    model = model or default_model()
+    return id_text(docs).mapInArrow(lambda it: _round_trip(it, model), "doc_id long, ids array<int>, text string")
+
+
 def piece_digests(docs: DataFrame) -> DataFrame:
-    decoded = piece_texts(piece_ids(docs))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                          F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-                          F.sha2("text", 256).alias("decoded_sha256"))
+    return piece_round_trip(docs).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))

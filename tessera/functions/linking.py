@@ -13,7 +13,7 @@ from collections import deque
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..sources.catalog import FOREIGN_KEYS
+from ..sources.catalog import ERP_SCHEMA, FOREIGN_KEYS
 
 # ---- fixed values: entity word -> tables (LNK-01/02), in listed order ----
 ENTITY_TABLES = [
@@ -82,6 +82,7 @@ JOIN_HINTS = (
 CONTEXT_TAGS = [("project", "project_management"), ("company", "company_data"),
                 ("resource", "resource_allocation"), ("contract", "contract_management")]
 
+# ---- fixed values: word groups -> operation (LNK-13), in order; time words -> tag (LNK-14) ----
 OPERATION_WORDS = [(["list", "show", "get", "find"], "SELECT"), (["count", "total", "sum"], "AGGREGATE"),
                    (["create", "add", "insert"], "INSERT"), (["update", "change", "modify"], "UPDATE")]
 TIME_WORDS = [("today", "current_day"), ("this month", "current_month"), ("this year", "current_year")]
@@ -161,8 +162,13 @@ def identify_entities(query: Column) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit("project"))).otherwise(found)
 
 
-def entities_to_tables(query: Column) -> Column:
-    """LNK-02: ordered distinct tables of the identified entities."""
+def entities_to_tables(query: Column, named: Column | None = None) -> Column:
+    """LNK-02: ordered distinct tables of the identified entities; a row whose caller
+    ``named`` tables gets those of them that the catalog has."""
+    if named is not None:
+        known = F.filter(named, lambda t: t.isin(*ERP_SCHEMA))
+        return F.when(F.size(F.coalesce(named, F.array().cast("array<string>"))) > 0, known) \
+            .otherwise(entities_to_tables(query))
     lq = F.lower(F.coalesce(query, F.lit("")))
     none = None
     for e, _ in ENTITY_TABLES:
@@ -191,6 +197,17 @@ def relevant_tables(query: Column) -> Column:
     return F.array_compact(F.array(*items))
 
 
+# ---- fixed values: keyword -> table of the short variant (LNK-04), in order ----
+SHORT_KEYWORD_TABLES = [("project", "PAC_MNT_PROJECTS"), ("company", "SRM_COMPANIES"), ("companies", "SRM_COMPANIES"),
+                        ("contact", "SRM_CONTACTS"), ("staff", "PROJSTAFF"), ("resource", "PROJSTAFF")]
+
+
+def relevant_tables_short(query: Column) -> Column:
+    """LNK-04, second variant: keyword tables in order; none stays none."""
+    lq = F.lower(F.coalesce(query, F.lit("")))
+    return F.array_distinct(F.array_compact(F.array(*[F.when(lq.contains(k), F.lit(t)) for k, t in SHORT_KEYWORD_TABLES])))
+
+
 def relevant_tables_basic(query: Column) -> Column:
     """LNK-04: keyword table sets (sorted, distinct); default SRM_PROJECTS."""
     lq = F.lower(F.coalesce(query, F.lit("")))
@@ -234,7 +251,7 @@ def join_paths(tables: Column) -> Column:
     """LNK-09: shortest path for each unordered pair of ``tables`` (in order)."""
     paths = _map(shortest_paths())
     pairs = F.flatten(F.transform(tables, lambda t, i: F.transform(
-        F.slice(tables, i + 2, 1_000_000), lambda u: F.concat(t, F.lit("|"), u))))
+        F.slice(tables, i + 2, F.size(tables)), lambda u: F.concat(t, F.lit("|"), u))))
     return F.array_compact(F.transform(pairs, lambda k: F.try_element_at(paths, k)))
 
 
@@ -259,7 +276,7 @@ def _filter_tag(tables: Column, tag_of, tag: str) -> Column:
 
 
 def query_hints(query: Column, n_tables: Column) -> Column:
-    """LNK-11: join / recency / status / aggregation hints."""
+    """LNK-11: join / recency / status / aggregation hints (their texts and words are fixed values)."""
     lq = F.lower(F.coalesce(query, F.lit("")))
     return F.array_compact(F.array(
         F.when(n_tables > 1, F.concat(F.lit("Consider joining "), n_tables.cast("string"), F.lit(" tables"))),

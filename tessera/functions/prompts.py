@@ -15,7 +15,7 @@ from . import linking as L
 
 IM_START, IM_END = "<|im_start|>", "<|im_end|>"
 
-# ---- fixed values: system prompt texts -------------------------------------------
+# ---- fixed values: system prompt texts; the labels inside the render functions are fixed too -------------------------------------------
 ZERO_SHOT_SYSTEM = (
     "You are an expert SQL analyst for a GL/ERP database system.\n"
     "CRITICAL: You MUST use the EXACT table names from the schema provided.\n\n"
@@ -61,8 +61,6 @@ INSTRUCTION_HEADER = ("### Instruction:\nGenerate an SQL query for the following
                       "### Query:\n")
 FEW_SHOT_COUNT = 3
 SCHEMA_AWARE_EXAMPLES = 2
-MAX_COLUMNS = 10
-MAX_STEPS = 5
 
 
 def _s(x) -> Column:
@@ -74,9 +72,11 @@ def chat(*parts) -> Column:
     return F.concat(*[F.coalesce(_s(p), F.lit("")) for p in parts])
 
 
-def zero_shot(query: Column, schema: Column) -> Column:
-    """PRM-01."""
-    return chat(f"{IM_START}system\n{ZERO_SHOT_SYSTEM}{IM_END}\n{IM_START}user\nSchema Details:\n", schema,
+def zero_shot(query: Column, schema: Column, context: Column | None = None) -> Column:
+    """PRM-01; a business context, where there is one, ends the system turn."""
+    block = "" if context is None else F.when(
+        F.coalesce(context, F.lit("")) != "", F.concat(F.lit("\nBusiness Context:\n"), context, F.lit("\n")))
+    return chat(f"{IM_START}system\n{ZERO_SHOT_SYSTEM}", block, f"{IM_END}\n{IM_START}user\nSchema Details:\n", schema,
                 "\n\nQuery: ", query, f"\n{IM_END}\n{IM_START}assistant\n")
 
 
@@ -131,14 +131,15 @@ def schema_aware_block(table: str) -> str:
     return text
 
 
-def format_schema_block(table: str, max_columns: int = MAX_COLUMNS) -> str:
-    """PRM-09: ``Table: x -- desc``, capped column list, PK and FK lines."""
-    desc = {n: d for n, d, _ in L.TABLE_DEFINITIONS}
+def format_schema_block(table: str, max_columns: int | None = None, descriptions: bool = True,
+                        relationships: bool = True) -> str:
+    """PRM-09: ``Table: x -- desc``, columns (all unless ``max_columns``), PK and FK lines."""
+    desc = {n: d for n, d, _ in L.TABLE_DEFINITIONS} if descriptions else {}
     text = f"Table: {table}" + (f" -- {desc[table]}" if table in desc else "") + "\n"
     for c, ty in ERP_SCHEMA[table][:max_columns]:
         text += f"  {c} {ty}" + (" NOT NULL" if PRIMARY_KEYS.get(table) == c else "") + "\n"
     text += f"  PRIMARY KEY: {PRIMARY_KEYS[table]}\n"
-    for c, ref in _fk_map().get(table, []):
+    for c, ref in _fk_map().get(table, []) if relationships else []:
         text += f"  FOREIGN KEY: {c} -> {ref}\n"
     return text + "\n"
 
@@ -201,21 +202,23 @@ def instruction_format(query: Column, sql: Column, reasoning: Column) -> dict[st
     return {"prompt": chat(INSTRUCTION_HEADER, query, "\n\n### SQL:"), "response": resp}
 
 
-def format_schema_context(tables: Column, max_columns: int = MAX_COLUMNS) -> Column:
+def format_schema_context(tables: Column, max_columns: int | None = None, descriptions: bool = True,
+                          relationships: bool = True) -> Column:
     """PRM-09: schema text for ``tables`` (stripped)."""
     from .textfix import strip
-    return strip(_blocks(tables, lambda t: format_schema_block(t, max_columns)))
+    return strip(_blocks(tables, lambda t: format_schema_block(t, max_columns, descriptions, relationships)))
 
 
-def parse_steps(reasoning: Column) -> Column:
-    """PRM-11: ``Step n:`` pieces, else sentences split on '.', at most five."""
+def parse_steps(reasoning: Column, max_steps: int | None = None) -> Column:
+    """PRM-11: ``Step n:`` pieces, else sentences split on '.'; all unless ``max_steps``."""
     r = F.coalesce(reasoning, F.lit(""))
     from .textfix import strip
     pieces = F.split(r, r"Step \d+: ")
-    structured = F.transform(F.filter(F.slice(pieces, 2, 1_000_000), lambda p: F.length(p) > 0), lambda p: strip(p))
+    structured = F.transform(F.filter(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.length(p) > 0), lambda p: strip(p))
     sentences = F.filter(F.transform(F.split(r, r"\."), lambda p: strip(p)), lambda p: p != "")
     steps = F.when(r.contains("Step") & (F.size(structured) > 0), structured).otherwise(sentences)
-    return F.when(r == "", F.array(F.lit("No reasoning provided"))).otherwise(F.slice(steps, 1, MAX_STEPS))
+    shown = steps if max_steps is None else F.slice(steps, 1, max_steps)
+    return F.when(r == "", F.array(F.lit("No reasoning provided"))).otherwise(shown)
 
 
 def format_steps(steps: Column) -> Column:

@@ -537,14 +537,16 @@ def generator_confidence(sql: Column, reasoning: Column, tables: list[str] | Non
     return F.least(F.lit(1.0), c)
 
 
-def graded_feedback(c: dict[str, Column], v: dict[str, Column]) -> Column:
-    """RWD-09: overall grade line, per-component good/bad lines, the first two
-    errors of each layer and the first suggestion, in that order."""
+def graded_feedback(c: dict[str, Column], v: dict[str, Column], most_errors: int | None = None,
+                    most_suggestions: int | None = None) -> Column:
+    """RWD-09: overall grade line, per-component good/bad lines, the errors of each
+    layer and the suggestions, in that order; at most so many of them where a number is given."""
     def comp(name, bad, good, good_at):
         return F.when(c[name] < 0, bad).when(c[name] > good_at, good)
 
-    def first_two(arr, label):
-        return F.when(F.size(arr) > 0, F.concat(F.lit(label), F.array_join(F.slice(arr, 1, 2), ", ")))
+    def listed(arr, label, most=most_errors):
+        shown = arr if most is None else F.slice(arr, 1, most)
+        return F.when(F.size(arr) > 0, F.concat(F.lit(label), F.array_join(shown, ", ")))
 
     t = c["total_reward"]
     grade = (F.when(t > 5, "Excellent SQL generation!").when(t > 2, "Good SQL generation with minor issues")
@@ -556,10 +558,10 @@ def graded_feedback(c: dict[str, Column], v: dict[str, Column]) -> Column:
         comp("business_reward", "Business logic violations found", "Business logic correctly applied", 2),
         comp("performance_reward", "Performance could be optimized", "Query is well-optimized", 0.5),
         comp("reasoning_reward", "Reasoning needs more detail", "Clear reasoning provided", 0.5),
-        first_two(v["syntax_errors"], "Syntax errors: "),
-        first_two(v["schema_errors"], "Schema errors: "),
-        first_two(v["business_errors"], "Business rule violations: "),
-        F.when(F.size(v["suggestions"]) > 0, F.concat(F.lit("Suggestion: "), F.element_at(v["suggestions"], 1))))
+        listed(v["syntax_errors"], "Syntax errors: "),
+        listed(v["schema_errors"], "Schema errors: "),
+        listed(v["business_errors"], "Business rule violations: "),
+        listed(v["suggestions"], "Suggestions: ", most_suggestions))
 
 
 def join_details(sql: Column) -> Column:
@@ -583,4 +585,4 @@ def join_details(sql: Column) -> Column:
         return F.concat_ws(" ", F.when(jtype == "", "INNER").otherwise(jtype), table,
                            F.when(alias != "", alias), F.when(cond != "", F.concat(F.lit("ON "), cond)))
 
-    return F.slice(F.transform(pieces, one), 2, 1_000_000)
+    return F.slice(F.transform(pieces, one), F.lit(2), F.size(pieces))

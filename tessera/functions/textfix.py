@@ -74,7 +74,7 @@ def think_parts(text: Column) -> dict[str, Column]:
     i_open = F.instr(t, "<think>")
     i_close = F.instr(t, "</think>")
     reasoning = F.when(has, strip(F.substring(t, i_open + 7, F.greatest(i_close - i_open - 7, F.lit(0)))))
-    after = F.when(has, F.substring(t, i_close + 8, 1_000_000_000)).otherwise(t)
+    after = F.when(has, F.substring(t, i_close + 8, F.length(t))).otherwise(t)
     return {"after": after, "reasoning": F.coalesce(reasoning, F.lit(""))}
 
 
@@ -87,7 +87,7 @@ def clean_sql(after: Column) -> Column:
 
 
 def drop_sql_prefix(s: Column) -> Column:
-    return F.when(F.upper(s).startswith("SQL:"), strip(F.substring(s, 5, 1_000_000_000))).otherwise(s)
+    return F.when(F.upper(s).startswith("SQL:"), strip(F.substring(s, F.lit(5), F.length(s)))).otherwise(s)
 
 
 def split_output(text: Column) -> dict[str, Column]:
@@ -102,9 +102,7 @@ def split_output(text: Column) -> dict[str, Column]:
     return {"sql": drop_sql_prefix(clean_sql(p["after"])), "reasoning": p["reasoning"]}
 
 
-START_PATTERN_LEADING = r"(?is)(?:^|\n)([ \t\r\f]*(?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER).*)$"
 SEMI_LINE = r"(?s)^(.*?;[^\n]*)"
-SEMI_LINE_AFTER_FIRST = r"(?s)^([^\n]*\n.*?;[ \t\r\f]*)(?:\n|$)"
 BLANK_LINE = r"(?s)^(.*?)\n[ \t\r\f]*(?:\n|$)"
 
 
@@ -123,19 +121,17 @@ def keyword_position(s: Column) -> Column:
 def line_start_from(s: Column, pos: Column) -> Column:
     """Text from the start of the line that contains position ``pos`` ('' when NULL)."""
     head = F.substring_index(F.substring(s, 1, pos - 1), "\n", -1)
-    return F.coalesce(F.substring(s, pos - F.length(head), 1_000_000_000), F.lit(""))
+    return F.coalesce(F.substring(s, pos - F.length(head), F.length(s)), F.lit(""))
 
 
-def statement_start(s: Column, leading: bool = False) -> Column:
-    """Text from the first line holding (EXT-02) / starting with (EXT-03) a statement keyword."""
-    if leading:
-        return F.regexp_extract(s, START_PATTERN_LEADING, 1)
+def statement_start(s: Column) -> Column:
+    """Text from the first line holding a statement keyword."""
     return line_start_from(s, keyword_position(s))
 
 
-def statement_block(start: Column, semi_pattern: str = SEMI_LINE) -> Column:
+def statement_block(start: Column) -> Column:
     """Cut ``start`` after the first ';' line or before the first blank line, stripped."""
-    m_semi = F.regexp_extract(start, semi_pattern, 1)
+    m_semi = F.regexp_extract(start, SEMI_LINE, 1)
     m_blank = F.regexp_extract(start, BLANK_LINE, 1)
     pick = (F.when((m_semi != "") & ((m_blank == "") | (F.length(m_semi) <= F.length(m_blank))), m_semi)
             .when(m_blank != "", m_blank).otherwise(start))
@@ -152,7 +148,7 @@ def sql_candidate(text: Column) -> Column:
 def extract_from(s: Column, start: Column) -> Column:
     """EXT-02 step 2: fenced block, else statement block, else ''."""
     fence = F.instr(F.lower(s), "```sql")
-    body = F.substring(s, fence + 6, 1_000_000_000)
+    body = F.substring(s, fence + 6, F.length(s))
     close = F.instr(body, "```")
     fenced = strip(F.when(close > 0, F.substring(body, 1, close - 1)).otherwise(body))
     has_kw = F.upper(s).rlike("|".join(STATEMENT_KEYWORDS))
@@ -167,45 +163,59 @@ def extract_sql(text: Column) -> Column:
 
 def response_after_prompt(text: Column, prompt: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
-    return strip(F.substring(t, F.length(F.coalesce(prompt, F.lit(""))) + 1, 1_000_000_000))
-
-
-def extract_from_response(resp: Column, start: Column) -> Column:
-    """EXT-03 step 2: statement block from a keyword-led line, else text before <|im_end|>."""
-    sql = statement_block(start, SEMI_LINE_AFTER_FIRST)
+    return strip(F.substring(t, F.length(F.coalesce(prompt, F.lit(""))) + 1, F.length(t)))
+
+
+def extract_from_response(resp: Column) -> Column:
+    """EXT-03 step 2: lines from the first one that a statement keyword leads, up to a
+    blank line or through a line that ends in ';' and has no keyword of its own; else
+    the text before <|im_end|>."""
+    lines = F.split(resp, "\n")
+    led = rf"(?is)^\s*({'|'.join(STATEMENT_KEYWORDS)})"
+    # one letter per line: k led by a keyword, b blank, e ends the statement, o any other
+    kinds = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(led), "k").when(strip(x) == "", "b")
+                                     .when(F.endswith(strip(x), F.lit(";")), "e").otherwise("o")), "")
+    before = F.length(F.regexp_extract(kinds, "^([^k]*)k", 1))
+    taken = F.length(F.regexp_extract(kinds, "^[^k]*(k[ko]*e?)", 1))
+    sql = strip(F.array_join(F.slice(lines, before + 1, taken), "\n"))
     fallback = strip(F.substring_index(resp, "<|im_end|>", 1))
     return F.when(sql == "", fallback).otherwise(sql)
 
 
 def extract_sql_after_prompt(text: Column, prompt: Column) -> Column:
-    """EXT-03: drop the prompt prefix; keep lines from the first one starting with
-    a statement keyword to a line ending in ';' or a blank line; fall back to the
-    text before ``<|im_end|>``."""
-    resp = response_after_prompt(text, prompt)
-    return extract_from_response(resp, statement_start(resp, leading=True))
+    """EXT-03: drop the prompt prefix, then :func:`extract_from_response`."""
+    return extract_from_response(response_after_prompt(text, prompt))
 
 
 # ----------------------------------------------------------------- FIX
 
-def _table_pattern(keyword: str, generic: str) -> str:
+NAMED_TABLE = r"(?i)\b(FROM|JOIN|INTO|UPDATE)\s+(?!(?:FROM|JOIN|INTO|UPDATE)\b)(\w+)"
+
+
+def table_pattern(keyword: str, generic: str) -> str:
     return rf"(?i)\b{keyword}\s+{generic}\b"
 
 
 def fix_table_names(sql: Column) -> dict[str, Column]:
     """FIX-01: generic table names after FROM/JOIN/INTO/UPDATE -> domain names.
 
-    Keyword-anchored patterns only; one correction per mapping that fired,
-    listed longest generic name first.
+    One pass takes the text apart at the named tables, looks each name up and
+    puts the text together again; one correction per mapping that fired, listed
+    longest generic name first.
     """
     s = F.coalesce(sql, F.lit(""))
+    domains = F.create_map(*[F.lit(x) for m in TABLE_MAPPINGS for x in m])
+    whole, keywords, names = (F.regexp_extract_all(s, F.lit(NAMED_TABLE), F.lit(k)) for k in (0, 1, 2))
+    found = F.transform(names, lambda n: F.lower(n))
+    spots = F.arrays_zip(whole.alias("whole"), keywords.alias("keyword"), found.alias("name"))
+    renamed = F.transform(spots, lambda x: F.coalesce(
+        F.concat(F.upper(x["keyword"]), F.lit(" "), F.try_element_at(domains, x["name"])), x["whole"]))
+    around = F.split(s, NAMED_TABLE, -1)
+    out = F.array_join(F.zip_with(around, F.concat(renamed, F.array(F.lit(""))), lambda a, r: F.concat(a, r)), "")
     ordered = sorted(TABLE_MAPPINGS, key=lambda m: len(m[0]), reverse=True)
-    out = s
-    for generic, domain in ordered:
-        for kw in ("FROM", "JOIN", "INTO", "UPDATE"):
-            out = F.regexp_replace(out, _table_pattern(kw, generic), f"{kw} {domain}")
-    fired = [F.when(s.rlike(rf"(?i)\b(FROM|JOIN|INTO|UPDATE)\s+{g}\b"), F.lit(f"Replaced '{g}' with '{d}'"))
-             for g, d in ordered]
-    return {"sql": out, "corrections": F.array_compact(F.array(*fired))}
+    fired = F.filter(F.array(*[F.lit(g) for g, _ in ordered]), lambda g: F.array_contains(found, g))
+    return {"sql": out, "corrections": F.transform(fired, lambda g: F.concat(
+        F.lit("Replaced '"), g, F.lit("' with '"), F.element_at(domains, g), F.lit("'")))}
 
 
 def fix_column_case(sql: Column) -> dict[str, Column]:
@@ -253,7 +263,7 @@ def fix_from_question(sql: Column, query: Column) -> dict[str, Column]:
     needle = F.concat(F.lit("FROM "), generic)
     pos = F.instr(s, needle)
     replaced = F.when(pos > 0, F.concat(F.substring(s, 1, pos - 1), F.lit("FROM "), table,
-                                        F.substring(s, pos + F.length(needle), 1_000_000_000))).otherwise(s)
+                                        F.substring(s, pos + F.length(needle), F.length(s)))).otherwise(s)
     applies = usable & table.isNotNull()
     return {"sql": F.when(applies, replaced).otherwise(s),
             "corrections": F.when(applies, F.array(F.concat(F.lit("Context-based: replaced '"), generic,
@@ -277,7 +287,7 @@ def suggest_improvements(sql: Column, query: Column) -> Column:
 
 
 def repair(sql: Column, query: Column) -> dict[str, Column]:
-    """FIX-05 in one call (see ``tessera.operators.corpus.repair_report`` for the
+    """FIX-05 in one call (see ``tessera.operators.textops.repair_report`` for the
     layered DataFrame form used on large inputs)."""
     t = fix_table_names(sql)
     c = fix_column_case(t["sql"])

@@ -1,21 +1,16 @@
-"""UDF surface (UDF-01..03).
+"""UDF surface (UDF-01, UDF-03).
 
 * UDF-01: SQL-callable functions. Each body is the SQL text of the same native
   Column expression the DataFrame API uses (so both stay in sync), registered as
   a SQL-bodied temporary function — Spark inlines it into the plan, no Python.
   Only lambda-free expressions are exposed (lambda variables do not round-trip
   through SQL text); complexity scoring stays a DataFrame function.
-* UDF-02: Ratcliff/Obershelp similarity (``difflib``) for parity with the
-  reference scorer — an Arrow-batched pandas UDF, used only when asked for.
 * UDF-03: a custom reward hook: any ``DataFrame -> DataFrame`` function that adds
   a column, folded into the total.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,18 +48,6 @@ def register_functions(spark: SparkSession) -> list[str]:
     return names
 
 
-@F.pandas_udf("double")
-def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """UDF-02: ``difflib.SequenceMatcher(None, a, b).ratio()`` per row (Arrow batches)."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-def accuracy_reward_parity(sql: Column, expected: Column) -> Column:
-    """RWD-06 with the parity similarity (slow path; use on deduplicated pairs)."""
-    i = T.accuracy_inputs(sql, expected)
-    return T.accuracy_from(i, ratcliff_ratio(i["acc_gen_norm"], i["acc_exp_norm"]))
-
-
 def score_with(scored: DataFrame, hook, weight: float = 1.0, column: str = "custom_reward") -> DataFrame:
     """UDF-03: apply ``hook`` (DataFrame -> DataFrame adding ``column``) and add it to the total."""
     out = hook(scored)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as T
-from .ordered import global_row_number, hash_bucket
+from .ordered import global_row_number, hash_bucket, hash_digits
 
 SEED = 42
 PATTERNS = [("SELECT", "SELECT"), ("JOIN", "JOIN"), ("GROUP BY", "GROUP BY"), ("HAVING", "HAVING"),
@@ -86,7 +86,7 @@ def split_exact(df: DataFrame, key: str = "pair_id", val: float = 0.1, test: flo
     n_val = F.floor(n * val)
     n_test = F.floor(n * test)
     n_train = n - n_val - n_test
-    ranked = global_row_number(d, ["__h", key], hash_bucket(F.col("__h")), out="__rn")
+    ranked = global_row_number(d, ["__h", key], hash_bucket(F.col("__h"), hash_digits(d)), out="__rn")
     split = (F.when(F.col("__rn") <= n_train, "train").when(F.col("__rn") <= n_train + n_val, "val")
              .otherwise("test"))
     return ranked.withColumn("split", split).drop("__h", "__rn")
@@ -101,27 +101,40 @@ def split_hashed(df: DataFrame, key: str = "pair_id", val: float = 0.1, test: fl
     return df.withColumn("split", split)
 
 
+def _augmented(df: DataFrame, kind: str) -> DataFrame:
+    """``metadata`` (kept where there is one) with the marks of an augmented row."""
+    marks = F.create_map(F.lit("augmented"), F.lit("true"), F.lit("type"), F.lit(kind))
+    if "metadata" not in df.columns:
+        return df.withColumn("metadata", marks)
+    kept = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")),
+                        lambda k, _: ~k.isin("augmented", "type"))
+    return df.withColumn("metadata", F.map_concat(kept, marks))
+
+
 def augment_paraphrase(df: DataFrame) -> DataFrame:
     """COR-14: questions mentioning 'project': Show->List, Find->Get."""
     hit = F.lower(F.col("query")).contains("project")
     para = F.replace(F.replace(F.col("query"), F.lit("Show"), F.lit("List")), F.lit("Find"), F.lit("Get"))
-    return df.where(hit).withColumn("query", para).withColumn("augmentation", F.lit("paraphrase"))
+    return _augmented(df.where(hit).withColumn("query", para), "paraphrase")
 
 
 def augment_limit(df: DataFrame) -> DataFrame:
     """COR-15: SQL without LIMIT gets `` LIMIT 100;``; question and reasoning say so."""
-    return (df.where(~F.col("sql").contains("LIMIT"))
-            .withColumn("sql", F.concat(F.regexp_replace("sql", ";+$", ""), F.lit(" LIMIT 100;")))
-            .withColumn("query", F.concat("query", F.lit(" (limit to 100 results)")))
-            .withColumn("reasoning", F.concat(F.coalesce("reasoning", F.lit("")), F.lit("\nAdded LIMIT for performance.")))
-            .withColumn("augmentation", F.lit("limit_added")))
-
-
-def augment_train(split_df: DataFrame, first_n: int = 10, key: str = "pair_id", seed: int = SEED) -> DataFrame:
-    """COR-16: augment the first ``first_n`` train rows (in shuffle order) and append."""
-    train = split_df.where(F.col("split") == "train")
-    first = train.orderBy(seeded_hash(F.col(key), seed), key).limit(first_n)  # TakeOrdered, bounded
-    base = split_df.withColumn("augmentation", F.lit(None).cast("string"))
+    return _augmented(
+        df.where(~F.col("sql").contains("LIMIT"))
+        .withColumn("sql", F.concat(F.regexp_replace("sql", ";+$", ""), F.lit(" LIMIT 100;")))
+        .withColumn("query", F.concat("query", F.lit(" (limit to 100 results)")))
+        .withColumn("reasoning", F.concat(F.coalesce("reasoning", F.lit("")), F.lit("\nAdded LIMIT for performance."))),
+        "limit_added")
+
+
+def augment_train(split_df: DataFrame, first_n: int | None = None, key: str = "pair_id", seed: int = SEED) -> DataFrame:
+    """COR-16: augment the train rows and append; ``first_n`` takes only so many, in shuffle order."""
+    first = split_df.where(F.col("split") == "train")
+    if first_n is not None:
+        first = first.orderBy(seeded_hash(F.col(key), seed), key).limit(first_n)  # TakeOrdered, bounded
+    base = split_df if "metadata" in split_df.columns else split_df.withColumn(
+        "metadata", F.lit(None).cast("map<string,string>"))
     return base.unionByName(augment_paraphrase(first)).unionByName(augment_limit(first))
 
 
@@ -169,7 +182,8 @@ def epoch_batches(df: DataFrame, epochs: int, size: int, key: str = "pair_id", s
     """
     d = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     d = d.withColumn("__h", seeded_hash(F.concat_ws("#", F.col(key).cast("string"), F.col("epoch").cast("string")), seed))
-    bucket = F.col("epoch") * 4096 + hash_bucket(F.col("__h"))
+    digits = hash_digits(d)
+    bucket = F.col("epoch") * 16**digits + hash_bucket(F.col("__h"), digits)
     r = global_row_number(d, ["epoch", "__h", key], bucket, out="__rn")
     # row numbers run across epochs; rebase them per epoch with the epoch sizes
     n = df.agg(F.count(F.lit(1))).scalar()

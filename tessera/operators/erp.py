@@ -143,24 +143,32 @@ def financial_summary(projects: DataFrame, contracts: DataFrame, staff: DataFram
 
 def hierarchy(projects: DataFrame, max_depth: int = 5, id_col: str = "project_id",
               parent_col: str = "parent_id") -> DataFrame:
-    """Top-down walk of a parent/child table, bounded at ``max_depth`` levels.
-
-    Level 1 is every row without a parent; level d+1 joins children on
-    ``parent = id`` of level d. Unrolled, bounded self-joins: each level is one
-    shuffle join on the key and there is no recursion state on the driver.
-    Emits ``(id, root_id, depth)``; rows deeper than the limit (or whose chain
-    never reaches a root) are not emitted.
+    """Walk every row's chain of parents, ``max_depth`` levels at most; all rows are returned.
+
+    ``(id, root_id, depth, outcome)``: ``reached`` (a row without parent was met
+    within ``max_depth`` levels; ``root_id`` and ``depth`` say which and where),
+    ``missing parent`` (the chain names a row that isn't there), ``cycle`` (the
+    chain comes back to the row itself) or ``too deep``; root_id and depth are
+    null for the last three. Each level is one shuffle join that carries the
+    chain's current end on; finished rows have a null end, which joins nothing.
     """
-    nodes = projects.select(id_col, parent_col)
-    level = nodes.where(F.col(parent_col).isNull()).select(
-        F.col(id_col), F.col(id_col).alias("root_id"), F.lit(1).alias("depth"))
-    out = level
-    for d in range(2, max_depth + 1):
-        child = nodes.where(F.col(parent_col).isNotNull()).alias("c")
-        level = (child.join(level.alias("h"), F.col(f"c.{parent_col}") == F.col(f"h.{id_col}"))
-                 .select(F.col(f"c.{id_col}").alias(id_col), F.col("h.root_id"), F.lit(d).alias("depth")))
-        out = out.unionByName(level)
-    return out
+    nodes = projects.select(F.col(id_col), F.col(parent_col).alias("__end"))
+    root = F.col("__end").isNull()
+    state = nodes.select(id_col, F.when(root, F.col(id_col)).alias("root_id"), F.when(root, 1).alias("depth"),
+                         F.when(root, "reached").when(F.col("__end") == F.col(id_col), "cycle").alias("outcome"), "__end")
+    for level in range(2, max_depth + 1):
+        open_end = F.when(F.col("outcome").isNull(), F.col("__end"))
+        parent = nodes.select(F.col(id_col).alias("__pid"), F.col("__end").alias("__up"), F.lit(True).alias("__there"))
+        j = state.withColumn("__end", open_end).join(parent, F.col("__end") == F.col("__pid"), "left")
+        here = F.col("outcome").isNull()
+        top = here & F.col("__there").isNotNull() & F.col("__up").isNull()
+        state = j.select(
+            id_col, F.when(top, F.col("__end")).otherwise(F.col("root_id")).alias("root_id"),
+            F.when(top, level).otherwise(F.col("depth")).alias("depth"),
+            F.when(~here, F.col("outcome")).when(F.col("__there").isNull(), "missing parent").when(top, "reached")
+            .when(F.col("__up") == F.col(id_col), "cycle").alias("outcome"),
+            F.col("__up").alias("__end"))
+    return state.select(id_col, "root_id", "depth", F.coalesce("outcome", F.lit("too deep")).alias("outcome"))
 
 
 def with_department_average(projects: DataFrame) -> DataFrame:

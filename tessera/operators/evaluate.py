@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import sqltext as T
 from ..functions import textfix as TF
+from ..storage import written
 from . import scoring as S
+from .scoring import spread
 from .textops import split_outputs
 
 RECALL_KEYWORDS = ["SELECT", "FROM", "WHERE", "JOIN", "GROUP BY", "ORDER BY", "HAVING"]
@@ -42,22 +44,27 @@ def contains_any_case_sensitive(sql: Column, tables: list[str]) -> Column:
     return out
 
 
+def extracted_texts(generations: DataFrame) -> DataFrame:
+    """``text``, ``sql`` and ``reasoning``: each distinct text is taken apart once, and written once."""
+    t = spread(generations.select("text").where(F.col("text").isNotNull()).distinct(), "text")
+    t = split_outputs(t, "text")
+    # EXT-02 fallback on the already split text (same layers, evaluated once)
+    t = t.select("*", F.when(F.col("out_sql") == "", F.col("text")).otherwise(F.col("out_sql")).alias("__s"))
+    t = t.select("*", TF.keyword_position(F.col("__s")).alias("__pos"))
+    t = t.select("*", TF.line_start_from(F.col("__s"), F.col("__pos")).alias("__start"))
+    return written(t.select("text", F.when(F.col("out_sql") == "", TF.extract_from(F.col("__s"), F.col("__start")))
+                            .otherwise(F.col("out_sql")).alias("sql"), F.col("out_reasoning").alias("reasoning")), "texts")
+
+
 def eval_records(generations: DataFrame, questions: DataFrame) -> DataFrame:
     """EVL-01: one evaluation record per generation.
 
     ``questions`` maps ``prompt_id`` to ``query``. SQL comes from the think-split
-    (EXT-01) and, when empty, from the fence / statement extractor (EXT-02).
+    (EXT-01) and, when empty, from the fence / statement extractor (EXT-02). A null
+    text counts as a failed generation: empty SQL, error set.
     """
-    g = generations.join(questions, "prompt_id", "inner")
-    g = split_outputs(g, "text")
-    # EXT-02 fallback on the already split text (same layers, evaluated once)
-    g = g.select("*", F.when(F.col("out_sql") == "", F.coalesce(F.col("text"), F.lit(""))).otherwise(F.col("out_sql"))
-                 .alias("__s"))
-    g = g.select("*", TF.keyword_position(F.col("__s")).alias("__pos"))
-    g = g.select("*", TF.line_start_from(F.col("__s"), F.col("__pos")).alias("__start"))
-    g = g.select("*", F.when(F.col("out_sql") == "", TF.extract_from(F.col("__s"), F.col("__start")))
-                 .otherwise(F.col("out_sql")).alias("sql"))
-    g = g.withColumn("reasoning", F.col("out_reasoning")).drop("__s", "__pos", "__start", "out_sql", "out_reasoning")
+    generations = generations.withColumn("text", F.coalesce("text", F.lit("")))
+    g = generations.join(extracted_texts(generations), "text").join(questions, "prompt_id", "inner")
     s = S.score(g)
     gen, exp = F.col("sql"), F.col("expected_sql")
     correct = ((gen != "") & F.coalesce(exp != "", F.lit(False))
@@ -69,7 +76,7 @@ def eval_records(generations: DataFrame, questions: DataFrame) -> DataFrame:
         contains_any_case_sensitive(gen, P.DOMAIN_TABLES).alias("uses_domain_tables"),
         (F.col("reasoning") != "").alias("has_reasoning"),
         F.when(gen != "", F.col("total_reward")).otherwise(0.0).alias("reward_score"),
-        "is_valid_strict")
+        "is_valid_strict", F.col("seconds").alias("generation_time"), "error")
 
 
 def metrics(records: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -79,7 +86,9 @@ def metrics(records: DataFrame, by: list[str] | None = None) -> DataFrame:
             F.sum(F.col("is_valid_syntax").cast("long")).alias("valid_syntax"),
             F.sum(F.col("uses_domain_tables").cast("long")).alias("domain_tables"),
             F.sum(F.col("has_reasoning").cast("long")).alias("with_reasoning"),
-            F.coalesce(exact_mean("reward_score"), F.lit(0.0)).alias("avg_reward")]
+            F.coalesce(exact_mean("reward_score"), F.lit(0.0)).alias("avg_reward"),
+            F.coalesce(exact_mean("generation_time"), F.lit(0.0)).alias("avg_generation_time"),
+            F.count("error").alias("errors")]
     g = records.groupBy(*by).agg(*aggs) if by else records.agg(*aggs)
     tot = F.col("total")
     return g.select(*(by or []), "total", "correct", "valid_syntax", "domain_tables", "with_reasoning",
@@ -87,7 +96,7 @@ def metrics(records: DataFrame, by: list[str] | None = None) -> DataFrame:
                     F.when(tot > 0, F.col("valid_syntax") / tot).otherwise(0.0).alias("syntax_rate"),
                     F.when(tot > 0, F.col("domain_tables") / tot).otherwise(0.0).alias("domain_rate"),
                     F.when(tot > 0, F.col("with_reasoning") / tot).otherwise(0.0).alias("reasoning_rate"),
-                    "avg_reward")
+                    "avg_reward", "avg_generation_time", "errors")
 
 
 def keyword_recall_x(gen: Column, ref: Column) -> Column:
@@ -111,18 +120,44 @@ def batch_text_metrics(df: DataFrame, pred: str, ref: str) -> DataFrame:
                   (F.sum(F.abs(F.length(p) - F.length(r))) / n).alias("avg_length_diff"))
 
 
-def checkpoint_comparison(records: DataFrame) -> DataFrame:
-    """EVL-07: per model SQL-generated and domain-table rates, the best model per
-    metric (ties by name) and each model's difference to ``Base``."""
+def checkpoint_comparison(records: DataFrame, base: str = "Base") -> DataFrame:
+    """EVL-07: per model SQL-generated and domain-table rates and mean time, the best model per
+    metric (ties by name) and each model's difference to ``base``."""
     per = records.groupBy("model").agg(
         rate(F.col("generated_sql") != "").alias("sql_rate"),
-        rate(contains_any_case_sensitive(F.col("generated_sql"), CHECKPOINT_DOMAIN_TABLES)).alias("domain_rate"))
-    w = Window.orderBy(F.lit(1))  # one row per model: a tiny, bounded frame
-    best_sql = F.first(F.col("model")).over(Window.orderBy(F.col("sql_rate").desc(), "model")
-                                            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    best_dom = F.first(F.col("model")).over(Window.orderBy(F.col("domain_rate").desc(), "model")
-                                            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    base_sql = F.max(F.when(F.col("model") == "Base", F.col("sql_rate"))).over(w.rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing))
-    return per.select("model", "sql_rate", "domain_rate", best_sql.alias("best_by_sql_rate"),
-                      best_dom.alias("best_by_domain_rate"), (F.col("sql_rate") - base_sql).alias("sql_rate_vs_base"))
+        rate(contains_any_case_sensitive(F.col("generated_sql"), CHECKPOINT_DOMAIN_TABLES)).alias("domain_rate"),
+        exact_mean("generation_time").alias("mean_time"))
+
+    # one row per model: a tiny, bounded frame
+    def over_all(c: Column, *order) -> Column:
+        return c.over(Window.orderBy(*(order or (F.lit(1),))).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+    def to_base(name: str) -> Column:
+        return F.col(name) - over_all(F.max(F.when(F.col("model") == base, F.col(name))))
+
+    return per.select("model", "sql_rate", "domain_rate", "mean_time",
+                      over_all(F.first("model"), F.col("sql_rate").desc(), "model").alias("best_by_sql_rate"),
+                      over_all(F.first("model"), F.col("domain_rate").desc(), "model").alias("best_by_domain_rate"),
+                      over_all(F.first("model"), F.col("mean_time").asc(), "model").alias("fastest"),
+                      to_base("sql_rate").alias("sql_rate_vs_base"), to_base("domain_rate").alias("domain_rate_vs_base"),
+                      to_base("mean_time").alias("mean_time_vs_base"))
+
+
+def training_history(trajectories: DataFrame, run: Column, iteration: Column) -> DataFrame:
+    """EVL-11: per run and iteration the mean reward and advantage, the policy loss (mean of minus
+    advantage times log-probability) and the KL estimate exp(d) - d - 1 with d = reference minus policy.
+
+    ``trajectories`` has total_reward, advantage, logp and ref_logp.
+    """
+    gap = F.col("ref_logp") - F.col("logp")
+    return trajectories.groupBy(run.alias("run"), iteration.alias("iteration")).agg(
+        F.count(F.lit(1)).alias("n"), exact_mean("total_reward").alias("mean_reward"),
+        exact_mean("advantage", 1_000_000).alias("mean_advantage"),
+        exact_mean(-F.col("advantage") * F.col("logp"), 1_000_000).alias("policy_loss"),
+        exact_mean(F.exp(gap) - gap - 1, 1_000_000).alias("kl"))
+
+
+def corrected_pairs(records: DataFrame) -> DataFrame:
+    """EVL-15: the pairs that feedback adds to the corpus: wrong answers' questions with their corrected SQL."""
+    wrong = records.where(~F.col("is_correct") & (F.coalesce("expected_sql", F.lit("")) != ""))
+    return wrong.select("query", F.col("expected_sql").alias("sql"), F.lit("feedback").alias("domain")).distinct()

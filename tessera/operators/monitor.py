@@ -3,8 +3,8 @@
 Per-key "latest n" uses ``row_number() <= n`` (Spark inserts a partial
 WindowGroupLimit before the shuffle); "first occurrence" flags use a grouped
 minimum joined back (partial aggregation), so a hot key never needs one task to
-sort all of its rows. Percentiles are exact and distributed: a two-pass global
-row number over quantile buckets picks the neighbouring order statistics.
+sort all of its rows. Percentiles are exact and distributed: running counts of the
+distinct values locate the neighbouring order statistics.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import global_row_number, lag_within, with_quantile_bucket
+from .evaluate import exact_mean
+from .ordered import lag_within, sums_before, time_span
 
 # ---- fixed values: hourly prices per instance type (MON-05) ----
 INSTANCE_PRICES = [("ml.g5.xlarge", 0.30), ("ml.g4dn.xlarge", 0.35), ("ml.p3.2xlarge", 1.15), ("ml.g5.2xlarge", 0.60)]
@@ -49,16 +50,15 @@ def log_summary(logs: DataFrame, per_day: bool = True) -> DataFrame:
     return logs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def incremental_read(logs: DataFrame, cursor, per_poll: int = 50) -> DataFrame:
-    """MON-03 batch form: events after the cursor, the first ``per_poll`` per run."""
-    w = Window.partitionBy("run_id").orderBy("ts", "event_id")
-    return (logs.where(F.col("ts") > F.lit(cursor)).withColumn("__rn", F.row_number().over(w))
-            .where(F.col("__rn") <= per_poll).drop("__rn"))
+def incremental_read(logs: DataFrame, cursor) -> DataFrame:
+    """MON-03 batch form: all events after the cursor, with the cursor of each run's next read."""
+    new = logs.where(F.col("ts") > F.lit(cursor))
+    return new.join(new.groupBy("run_id").agg(F.max("ts").alias("next_cursor")), "run_id")
 
 
 def status_changes(logs: DataFrame) -> DataFrame:
     """MON-04: rows whose status differs from the run's previous status (skew-safe lag)."""
-    d = lag_within(logs, ["run_id"], ["ts", "event_id"], "status", "prev_status")
+    d = lag_within(logs, ["run_id"], ["ts", "event_id"], "status", "prev_status", time_span("ts"))
     return d.where(F.col("prev_status").isNull() | (F.col("status") != F.col("prev_status")))
 
 
@@ -71,15 +71,13 @@ def format_duration(seconds: Column) -> Column:
 
 
 def run_cost(logs: DataFrame) -> DataFrame:
-    """MON-05: duration and cost per run; the instance type comes from the run number."""
+    """MON-05: duration and cost per run from its first to its last log line; ``instance`` is a column of the logs."""
     prices = F.create_map(*[x for t, p in INSTANCE_PRICES for x in (F.lit(t), F.lit(p))])
-    types = F.array(*[F.lit(t) for t, _ in INSTANCE_PRICES])
-    per = logs.groupBy("run_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))
+    per = logs.groupBy("run_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"),
+                                     F.max("instance").alias("instance"))
     secs = F.unix_timestamp(F.col("ended").cast("timestamp")) - F.unix_timestamp(F.col("started").cast("timestamp"))
-    idx = (F.regexp_extract("run_id", r"(\d+)$", 1).cast("int") % len(INSTANCE_PRICES)) + 1
-    inst = F.element_at(types, idx)
-    return per.select("run_id", secs.alias("seconds"), format_duration(secs).alias("duration"), inst.alias("instance"),
-                      (F.floor(secs / 3600.0 * F.element_at(prices, inst) * 100 + 0.5) / 100).alias("cost"))
+    return per.select("run_id", secs.alias("seconds"), format_duration(secs).alias("duration"), "instance",
+                      (F.floor(secs / 3600.0 * F.element_at(prices, F.col("instance")) * 100 + 0.5) / 100).alias("cost"))
 
 
 def terminal_runs(logs: DataFrame) -> DataFrame:
@@ -99,14 +97,13 @@ def latest_per_key(df: DataFrame, key: str, n: int, order: list[str]) -> DataFra
 
 
 def stage_outcomes(requests: DataFrame) -> DataFrame:
-    """MON-08: furthest pipeline stage per session and the first stage that failed."""
-    stage_no = (F.col("request_id") % len(STAGES)).cast("int")
+    """MON-08: furthest pipeline stage per session and the first stage that failed; ``stage`` is a column of the requests."""
     names = F.array(*[F.lit(s) for s in STAGES])
-    d = requests.select("session_id", stage_no.alias("stage_no"), "failed")
-    g = d.groupBy("session_id").agg(F.max("stage_no").alias("furthest"),
-                                    F.min(F.when(F.col("failed"), F.col("stage_no"))).alias("err"))
-    return g.select("session_id", F.element_at(names, F.col("furthest") + 1).alias("furthest_stage"),
-                    F.when(F.col("err").isNotNull(), F.element_at(names, F.col("err") + 1)).alias("error_stage"))
+    number = F.array_position(names, F.col("stage")).cast("int")
+    g = requests.groupBy("session_id").agg(F.max(number).alias("furthest"),
+                                           F.min(F.when(F.col("failed"), number)).alias("err"))
+    return g.select("session_id", F.element_at(names, F.col("furthest")).alias("furthest_stage"),
+                    F.when(F.col("err").isNotNull(), F.element_at(names, F.col("err"))).alias("error_stage"))
 
 
 def cache_hits(requests: DataFrame) -> DataFrame:
@@ -121,8 +118,11 @@ def alerts(requests_with_hits: DataFrame, window: str = "1 hour") -> DataFrame:
     """MON-09: windowed request metrics checked against the alert rules."""
     r = requests_with_hits
     g = r.groupBy(F.window(F.col("ts").cast("timestamp"), window).alias("w")).agg(
-        F.avg("latency_s").alias("response_time"), F.avg(F.col("failed").cast("double")).alias("error_rate"),
-        F.avg(F.col("is_hit").cast("double")).alias("cache_hit_rate"), F.avg("confidence").alias("confidence"))
+        # exact integer sums: a mean on a rule's limit doesn't depend on the order of the rows
+        exact_mean("latency_s", 1_000_000).alias("response_time"),
+        exact_mean(F.col("failed").cast("double"), 1_000_000).alias("error_rate"),
+        exact_mean(F.col("is_hit").cast("double"), 1_000_000).alias("cache_hit_rate"),
+        exact_mean("confidence", 1_000_000).alias("confidence"))
     checks = F.array(
         F.when(F.col("response_time") > 5.0, F.struct(F.lit("response_time_gt_5s").alias("rule"),
                                                        F.col("response_time").alias("value"))),
@@ -136,20 +136,27 @@ def alerts(requests_with_hits: DataFrame, window: str = "1 hour") -> DataFrame:
             .select("window_start", "a.rule", "a.value"))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], id_col: str) -> DataFrame:
-    """MON-10: exact linear-interpolation quantiles (``quantile_cont``) without a
-    single-partition sort: two-pass global row numbers over quantile buckets,
-    then only the neighbouring order statistics are kept."""
-    d = df.select(value, id_col).where(F.col(value).isNotNull())
-    n = d.agg(F.count(F.lit(1))).scalar()
-    d = with_quantile_bucket(d, value, out="__qb")
-    ranked = global_row_number(d, [value, id_col], F.col("__qb"), out="__rn")
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], *more: Column) -> DataFrame:
+    """MON-10: exact linear-interpolation quantiles (``quantile_cont``), one row.
+
+    Counts per distinct value are summed up in value order, so each order
+    statistic is the value whose range of positions holds it; rows are never
+    sorted. ``more`` are aggregates over all rows of ``df``.
+    """
+    whole = df.agg(F.count(value).alias("__n"), *more)
+    per = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
+    at = sums_before(per, F.col(value).asc(), "__c", "__before")
+    n = at.agg(F.sum("__c")).scalar()
+
+    def order_statistic(position: Column) -> Column:
+        inside = (F.col("__before") <= position) & (position < F.col("__before") + F.col("__c"))
+        return F.max(F.when(inside, F.col(value)))
+
     cols = []
     for p in probs:
-        pos = (n - 1) * p
-        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-        v_lo = F.max(F.when(F.col("__rn") == lo, F.col(value)))
-        v_hi = F.max(F.when(F.col("__rn") == hi, F.col(value)))
-        frac = pos - F.floor(pos)
-        cols.append((v_lo + (v_hi - v_lo) * frac).alias(f"p{int(round(p * 100))}"))
-    return ranked.agg(*cols)
+        place = (n - 1) * p
+        low, high = order_statistic(F.floor(place)), order_statistic(F.ceil(place))
+        cols.append((low + (high - low) * (place - F.floor(place))).alias(f"p{int(round(p * 100))}"))
+    # two one-row frames side by side
+    one = at.agg(*cols).withColumn("__one", F.lit(1))
+    return one.join(whole.withColumn("__one", F.lit(1)), "__one").drop("__one", "__n")

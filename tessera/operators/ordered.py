@@ -1,100 +1,99 @@
 """Order-dependent operators that avoid a single-partition window.
 
-``Window.orderBy(...)`` without ``partitionBy`` moves every row into one task.
-These helpers use a two-pass scheme instead:
-
-1. assign every row a *bucket* that is a monotone, deterministic function of
-   its ordering key (approximate-quantile bounds computed once as a scalar
-   subquery and projected as a column, or a hash prefix when the order is a
-   hash). Equal keys always get
-   the same bucket, so ties never straddle buckets;
-2. compute the result inside each bucket (a window partitioned by bucket) and
-   a per-bucket summary (count / sum) — one row per bucket;
-3. turn the summary into per-bucket offsets (bounded by the bucket count, so
-   it is broadcast) and add them.
-
-Because the bucket is a pure function of the key, both passes agree even when
-Spark re-evaluates the input (retries, executor loss, no exchange reuse).
+``Window.orderBy(...)`` without ``partitionBy`` moves every row into one task, and
+``partitionBy(key)`` sorts a hot key in one task. Global orders here are made by a
+range shuffle instead:
+
+1. aggregate to one row per distinct key where the result allows it (map-side
+   combine: rows that share a key never meet in one task);
+2. range-partition by the key, sort inside the partitions and number the rows
+   (partition number and place in it); write that frame once, so that the numbers
+   stay the same for everything that follows;
+3. add up the partitions' totals (one row per partition) and add each partition's
+   start to its own running value.
+
+The plan's size doesn't depend on the number of partitions. Per-key orders over
+time (``lag``, running maximum) work in (key, time span) groups and patch each
+group with a one-row-per-group summary.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 _B = "__bucket"
+_PART, _PLACE = "__part", "__place"
 
 
-def _num_buckets(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
+def _in_range_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the number of its range partition and its place in it, written once."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # monotonically_increasing_id: the partition number in the upper 31 bits, the row's place in the lower 33
+    placed = placed.withColumn(_PLACE, F.monotonically_increasing_id())
+    placed = placed.withColumn(_PART, F.shiftright(_PLACE, 33).cast("int"))
+    return written(placed.withColumn(_PLACE, F.col(_PLACE).bitwiseAND(F.lit((1 << 33) - 1))), name)
 
 
-def with_quantile_bucket(df: DataFrame, key: str, descending: bool = False, n: int | None = None,
-                         out: str = _B) -> DataFrame:
-    """Add ``out``: a bucket id in ``[0, n]`` monotone in ``key`` (NULLs first asc / last desc).
+def _starts(placed: DataFrame, total: Column, out: str) -> DataFrame:
+    """What all earlier partitions hold: one row per partition, so it may be broadcast."""
+    w = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    per = placed.groupBy(_PART).agg(total.alias("__total"))
+    return F.broadcast(per.select(_PART, F.coalesce(F.sum("__total").over(w), F.lit(0)).alias(out)))
 
-    The approximate-quantile bounds are one scalar subquery, projected once as an
-    array column; the bucket is the number of bounds strictly before the key,
-    written as a sum of comparisons (subqueries are not allowed inside lambdas,
-    and referencing the subquery per bound would run it once per bound).
-    """
-    n = _num_buckets(df, n)
-    probs = [i / n for i in range(1, n)]
-    bounds = df.agg(F.percentile_approx(F.col(key), probs, 10000)).scalar()
-    d = df.withColumn("__bounds", bounds)
-    k, b = F.col(key), F.col("__bounds")
-    terms = [F.when((b[i] > k) if descending else (b[i] < k), 1).otherwise(0) for i in range(n - 1)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    bucket = F.when(k.isNull(), F.lit(n if descending else -1)).otherwise(total)
-    return d.withColumn(out, bucket).drop("__bounds")
-
-
-def hash_bucket(hex_hash: Column, digits: int = 3) -> Column:
-    """Bucket for an order by a hex hash string: its first ``digits`` hex chars."""
-    return F.conv(F.substring(hex_hash, 1, digits), 16, 10).cast("int")
-
-
-def _offsets(summary: DataFrame, value: str, out: str) -> DataFrame:
-    # one row per bucket: bounded by the bucket count, safe to broadcast
-    w = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    return F.broadcast(summary.select(_B, F.coalesce(F.sum(value).over(w), F.lit(0)).alias(out)))
+
+def row_positions(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``df`` with ``out``: its 1-based place in the total order."""
+    placed = _in_range_order(df, order, "positions")
+    return (placed.join(_starts(placed, F.count(F.lit(1)), "__start"), _PART)
+            .withColumn(out, F.col("__start") + F.col(_PLACE) + 1).drop(_PART, _PLACE, "__start"))
+
+
+def sums_before(per_key: DataFrame, order: Column, value: str, out: str) -> DataFrame:
+    """One row per key: ``out`` is the sum of ``value`` over all smaller keys."""
+    placed = _in_range_order(per_key, [order], "sums")
+    w = Window.partitionBy(_PART).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    inner = placed.withColumn("__inner", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    return (inner.join(_starts(placed, F.sum(value), "__start"), _PART)
+            .withColumn(out, F.col("__start") + F.col("__inner")).drop(_PART, _PLACE, "__start", "__inner"))
+
+
+def _join_key(df: DataFrame, keys: DataFrame, names: list[str], *out: Column) -> DataFrame:
+    """Join values of distinct keys back; a plain join, so AQE can split a hot key."""
+    cond = [df[c].eqNullSafe(keys[c]) for c in names]
+    return df.join(keys, cond, "inner").select(df["*"], *out)
 
 
-def global_rank(df: DataFrame, key: str, descending: bool = False, out: str = "rank",
-                dense: bool = False, buckets: int | None = None) -> DataFrame:
+def _order(key: str, descending: bool) -> Column:
+    return F.col(key).desc() if descending else F.col(key).asc()
+
+
+def global_rank(df: DataFrame, key: str, descending: bool = False, out: str = "rank", dense: bool = False) -> DataFrame:
     """``RANK()`` / ``DENSE_RANK()`` over ``ORDER BY key [DESC]`` for the whole table."""
-    order = F.col(key).desc() if descending else F.col(key).asc()
-    d = with_quantile_bucket(df, key, descending, buckets)
-    fn = F.dense_rank() if dense else F.rank()
-    local = d.withColumn("__local", fn.over(Window.partitionBy(_B).orderBy(order)))
-    if dense:
-        summary = d.groupBy(_B).agg(F.countDistinct(F.col(key)).alias("__n"),
-                                    F.max(F.col(key).isNull().cast("int")).alias("__z"))
-        summary = summary.select(_B, (F.col("__n") + F.col("__z")).alias("__n"))
-    else:
-        summary = d.groupBy(_B).agg(F.count(F.lit(1)).alias("__n"))
-    off = _offsets(summary, "__n", "__off")
-    return (local.join(off, _B, "left")
-            .withColumn(out, (F.col("__local") + F.col("__off")).cast("int"))
-            .drop("__local", "__off", _B))
+    per = df.groupBy(key).agg((F.max(F.lit(1)) if dense else F.count(F.lit(1))).cast("long").alias("__n"))
+    ranks = sums_before(per, _order(key, descending), "__n", "__before")
+    return _join_key(df, ranks, [key], (ranks["__before"] + 1).cast("int").alias(out))
 
 
-def global_running_sum(df: DataFrame, key: str, value: str, out: str = "running_total",
-                       buckets: int | None = None) -> DataFrame:
+def global_running_sum(df: DataFrame, key: str, value: str, out: str = "running_total") -> DataFrame:
     """``SUM(value) OVER (ORDER BY key)`` with the default RANGE frame (peers share)."""
-    d = with_quantile_bucket(df, key, False, buckets)
-    w = (Window.partitionBy(_B).orderBy(F.col(key).asc())
-         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    local = d.withColumn("__local", F.sum(value).over(w))
-    summary = d.groupBy(_B).agg(F.sum(value).alias("__s"))
-    off = _offsets(summary, "__s", "__off")
-    return (local.join(off, _B, "left")
-            .withColumn(out, F.col("__local") + F.col("__off"))
-            .drop("__local", "__off", _B))
+    per = df.groupBy(key).agg(F.sum(value).alias("__own"))
+    sums = sums_before(per, _order(key, False), "__own", "__before")
+    return _join_key(df, sums, [key], (sums["__before"] + sums["__own"]).alias(out))
+
+
+def hash_digits(df: DataFrame) -> int:
+    """Hex digits of a hash that give at least four buckets per shuffle partition."""
+    return math.ceil(math.log(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16))
+
+
+def hash_bucket(hex_hash: Column, digits: int) -> Column:
+    """Bucket for an order by a hex hash string: its first ``digits`` digits."""
+    return F.conv(F.substring(hex_hash, 1, digits), 16, 10).cast("long")
 
 
 def global_row_number(df: DataFrame, order: list[str], bucket: Column, out: str = "row_number") -> DataFrame:
@@ -105,9 +104,10 @@ def global_row_number(df: DataFrame, order: list[str], bucket: Column, out: str
     """
     d = df.withColumn(_B, bucket)
     local = d.withColumn("__local", F.row_number().over(Window.partitionBy(_B).orderBy(*order)))
-    summary = d.groupBy(_B).agg(F.count(F.lit(1)).alias("__n"))
-    off = _offsets(summary, "__n", "__off")
-    return (local.join(off, _B, "left")
+    w = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(_B).agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.select(_B, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    return (local.join(starts, _B, "left")
             .withColumn(out, (F.col("__local") + F.col("__off")).cast("long"))
             .drop("__local", "__off", _B))
 
@@ -116,19 +116,16 @@ def nth_within(df: DataFrame, part: list[str], primary: str, tiebreak: list[str]
                out: str = "nth") -> DataFrame:
     """``ROW_NUMBER() OVER (PARTITION BY part ORDER BY primary, tiebreak...)``.
 
-    Skew-safe form: a key holding a large share of rows is never sorted as one
-    group. Counts per ``(part, primary)`` are pre-aggregated (map-side combine),
-    the cumulative offset is computed on that much smaller frame, and only the
-    rows sharing one ``(part, primary)`` value are numbered together.
+    Rows are numbered in one global order by part, primary and tiebreak; a row's
+    number is its distance to the first row of its part. Neither a hot part nor a
+    hot (part, primary) value is sorted in one task.
     """
-    counts = df.groupBy(*part, primary).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*part).orderBy(primary).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, primary, F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off"))
-    inner = Window.partitionBy(*part, primary).orderBy(*tiebreak)
-    cond = [df[c].eqNullSafe(offsets[c]) for c in [*part, primary]]
-    joined = df.join(offsets, cond, "inner").select(df["*"], offsets["__off"])
-    return (joined.withColumn(out, (F.row_number().over(inner) + F.col("__off")).cast("int"))
-            .drop("__off"))
+    order = list(dict.fromkeys([*part, primary, *tiebreak]))
+    placed = row_positions(df, [F.col(c) for c in order], "__pos")
+    first = placed.groupBy(*part).agg(F.min("__pos").alias("__first"))
+    cond = [placed[c].eqNullSafe(first[c]) for c in part]
+    return (placed.join(first, cond, "inner").select(placed["*"], first["__first"])
+            .withColumn(out, (F.col("__pos") - F.col("__first") + 1).cast("int")).drop("__pos", "__first"))
 
 
 def dense_rank_within(df: DataFrame, part: list[str], order: str, out: str = "dense_rank") -> DataFrame:
@@ -139,29 +136,23 @@ def dense_rank_within(df: DataFrame, part: list[str], order: str, out: str = "de
     """
     keys = df.select(*part, order).distinct()
     ranked = keys.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(order)))
-    cond = [df[c].eqNullSafe(ranked[c]) for c in [*part, order]]
-    return df.join(ranked, cond, "inner").select(df["*"], ranked[out].cast("int").alias(out))
+    return _join_key(df, ranked, [*part, order], ranked[out].cast("int").alias(out))
 
 
-def _time_key(df: DataFrame, col: str) -> tuple[DataFrame, str]:
-    """A numeric ordering key for ``col`` (timestamps -> epoch microseconds)."""
-    dtype = dict(df.dtypes)[col]
-    if dtype.startswith("timestamp"):
-        return df.withColumn("__tk", F.unix_micros(F.col(col).cast("timestamp"))), "__tk"
-    return df, col
+def time_span(ts: str, unit: str = "hour") -> Column:
+    """A monotone group of a time column: rows of one key are handled per span, not per key."""
+    return F.date_trunc(unit, F.col(ts).cast("timestamp"))
 
 
-def lag_within(df: DataFrame, part: list[str], order: list[str], value: str, out: str) -> DataFrame:
+def lag_within(df: DataFrame, part: list[str], order: list[str], value: str, out: str, span: Column) -> DataFrame:
     """``LAG(value) OVER (PARTITION BY part ORDER BY order...)`` without sorting a
     whole hot key in one task.
 
-    Rows are split into (key, time bucket) groups — buckets are monotone in the
-    leading order column — ``lag`` runs inside each group, and each group's first
-    row takes the last value of the key's previous non-empty bucket, found on a
-    one-row-per-(key, bucket) summary.
+    ``span`` is monotone in the leading order column. ``lag`` runs inside each
+    (key, span) group, and a group's first row takes the last value of the key's
+    previous group, found on a one-row-per-group summary.
     """
-    d, k = _time_key(df, order[0])
-    d = with_quantile_bucket(d, k)
+    d = df.withColumn(_B, span)
     w = Window.partitionBy(*part, _B).orderBy(*order)
     d = d.withColumn("__lag", F.lag(value).over(w)).withColumn("__rn", F.row_number().over(w))
     last = d.groupBy(*part, _B).agg(F.max(F.struct(*[F.col(c) for c in order], F.col(value).alias("__v")))
@@ -170,19 +161,19 @@ def lag_within(df: DataFrame, part: list[str], order: list[str], value: str, out
     last = last.select(*part, _B, F.lag(F.col("__last.__v")).over(wb).alias("__prev"))
     j = d.join(last, [*part, _B], "inner")
     res = F.when(F.col("__rn") == 1, F.col("__prev")).otherwise(F.col("__lag"))
-    return j.withColumn(out, res).drop("__lag", "__rn", "__prev", _B, "__tk")
+    return j.withColumn(out, res).drop("__lag", "__rn", "__prev", _B)
 
 
-def running_max_before(df: DataFrame, part: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """``MAX(value) OVER (PARTITION BY part ORDER BY order ROWS UNBOUNDED PRECEDING TO 1 PRECEDING)``
-    via (key, time bucket) groups plus a prefix maximum over the bucket summary."""
-    d, k = _time_key(df, order[0])
-    d = with_quantile_bucket(d, k)
+def running_extreme_before(df: DataFrame, part: list[str], order: list[str], value: str, out: str, span: Column,
+                           smallest: bool = False) -> DataFrame:
+    """``MAX(value)`` (or ``MIN``) ``OVER (PARTITION BY part ORDER BY order ROWS UNBOUNDED PRECEDING TO 1
+    PRECEDING)`` via (key, span) groups plus a prefix extreme over the groups' summary."""
+    best, pick = (F.min, F.least) if smallest else (F.max, F.greatest)
+    d = df.withColumn(_B, span)
     w = Window.partitionBy(*part, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("__inner", F.max(value).over(w))
-    summ = d.groupBy(*part, _B).agg(F.max(value).alias("__bmax"))
+    d = d.withColumn("__inner", best(value).over(w))
+    summ = d.groupBy(*part, _B).agg(best(value).alias("__best"))
     wb = Window.partitionBy(*part).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.select(*part, _B, F.max("__bmax").over(wb).alias("__before"))
+    summ = summ.select(*part, _B, best("__best").over(wb).alias("__before"))
     j = d.join(summ, [*part, _B], "inner")
-    res = F.greatest(F.col("__inner"), F.col("__before"))  # greatest ignores NULLs
-    return j.withColumn(out, res).drop("__inner", "__before", _B, "__tk")
+    return j.withColumn(out, pick(F.col("__inner"), F.col("__before"))).drop("__inner", "__before", _B)  # NULLs ignored

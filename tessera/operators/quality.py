@@ -99,10 +99,10 @@ def out_of_range(df: DataFrame, column: str, lo: float, hi: float) -> DataFrame:
 
 
 def too_deep(srm_projects: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """DQ-12: projects not reachable from a root within ``max_depth`` levels
-    (deeper chains, cycles and chains ending in a missing parent)."""
-    reached = hierarchy(srm_projects, max_depth).select("project_id")
-    return srm_projects.join(reached, "project_id", "left_anti")
+    """DQ-12: projects not reachable from a root within ``max_depth`` levels, with the
+    reason (deeper chains, cycles and chains ending in a missing parent)."""
+    bad = hierarchy(srm_projects, max_depth).where(F.col("outcome") != "reached").select("project_id", "outcome")
+    return srm_projects.join(bad, "project_id")
 
 
 def null_counts(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
@@ -114,6 +114,11 @@ def null_counts(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
                       F.expr(f"stack({len(columns)}, {stack}) AS (column_name, null_count)"))
 
 
+def fill_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """DQ-13: NULLs of the named columns take their defaults; all rows are returned."""
+    return df.select(*[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in df.columns])
+
+
 def rollup(checks: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     """DQ-00: ``(rule, checked, violations, rate)`` for (rule, input, violations) triples."""
     parts = []

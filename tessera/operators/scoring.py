@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import sqltext as T
-from ..session import ensure_checkpoint_dir
+from ..storage import written
 from .erp import rounded
 
 VAL_KEYS = ["syntax_errors", "schema_errors", "business_errors", "aggregation_errors", "performance_warnings",
@@ -127,33 +127,20 @@ def _per_sql(pairs: DataFrame, validated: bool) -> DataFrame:
             .select("*", *_reward_cols(validated)).drop(*T.ACCURACY_INPUT_KEYS))
 
 
-BROADCAST_MAX_ROWS = 100_000  # per-SQL score rows; beyond this the join back shuffles
-
-
-def score(df: DataFrame, validated: bool = True, dedupe: bool = True, materialize: bool = True) -> DataFrame:
+def score(df: DataFrame, validated: bool = True, dedupe: bool = True) -> DataFrame:
     """Score every candidate row (columns ``sql, reasoning, query, expected_sql``).
 
     Adds features, validation results, the six reward components and
-    ``total_reward``. ``dedupe=False`` computes per-SQL work on every row
-    instead (no shuffle; better when nearly every SQL text is unique).
-
-    With ``materialize`` the per-SQL scores are written once with a reliable
-    ``checkpoint()`` (to ``spark.checkpoint.dir``), so every consumer of the
-    scored frame (rows, group statistics, best/worst) reuses them, and the join
-    back is a broadcast only when the checked row count is under
-    ``tessera.scoring.broadcastMaxRows``; otherwise it stays a shuffle join.
+    ``total_reward``; columns that the caller doesn't select are pruned together
+    with the work behind them. Per-SQL work is done once per distinct pair and
+    joined back by a plain join, whose sides AQE sizes in bytes; ``dedupe=False``
+    computes it on every row instead (no shuffle; better when nearly every SQL
+    text is unique). Nothing runs before the caller's own action.
     """
     if dedupe:
         pairs = df.select("sql", "expected_sql").dropDuplicates(["sql", "expected_sql"])
         per = _per_sql(spread(pairs, "sql"), validated)
         per = per.withColumnRenamed("sql", "__sql").withColumnRenamed("expected_sql", "__exp")
-        if materialize:
-            spark = df.sparkSession
-            ensure_checkpoint_dir(spark)
-            per = per.checkpoint(eager=True)
-            cap = int(spark.conf.get("tessera.scoring.broadcastMaxRows", str(BROADCAST_MAX_ROWS)))
-            if per.count() <= cap:  # cheap: reads the checkpoint files back
-                per = F.broadcast(per)
         cond = df["sql"].eqNullSafe(per["__sql"]) & df["expected_sql"].eqNullSafe(per["__exp"])
         rows = df.join(per, cond, "inner").drop("__sql", "__exp")
     else:
@@ -162,6 +149,15 @@ def score(df: DataFrame, validated: bool = True, dedupe: bool = True, materializ
     return rows.withColumn("total_reward", T.total_reward(*[F.col(c) for c in COMPONENTS]))
 
 
+def rewards(df: DataFrame, *columns: str) -> DataFrame:
+    """The scored rows with ``columns`` and ``total_reward`` only, written once.
+
+    For results that read the rewards twice (rows and their group's moments): the
+    second reading costs a narrow scan instead of a second scoring.
+    """
+    return written(score(df).select(*columns, "total_reward"), "rewards")
+
+
 MILLI = 1000  # rewards are quantised to 1/1000 for exact group moments
 
 
@@ -169,8 +165,8 @@ def _milli(reward: str) -> Column:
     return F.floor(F.col(reward) * MILLI + 0.5).cast("long")
 
 
-def group_stats(scored: DataFrame, group: str = "prompt_id", reward: str = "total_reward") -> DataFrame:
-    """Per-group mean, population std / variance, max, min.
+def group_stats(scored: DataFrame, group: str = "prompt_id", reward: str = "total_reward", *more: Column) -> DataFrame:
+    """Per-group mean, population std / variance, max, min and the aggregates ``more``.
 
     Moments come from exact integer sums of the reward in 1/1000 units (sum,
     sum of squares, count): the aggregate is partial (map-side) and the result
@@ -180,12 +176,13 @@ def group_stats(scored: DataFrame, group: str = "prompt_id", reward: str = "tota
     g = scored.groupBy(group).agg(
         F.count(F.lit(1)).alias("group_size"), F.sum(_milli(reward)).alias("__s"),
         F.sum(_milli(reward) * _milli(reward)).alias("__q"),
-        F.max(reward).alias("group_max"), F.min(reward).alias("group_min"))
+        F.max(reward).alias("group_max"), F.min(reward).alias("group_min"), *more)
+    extra = [c for c in g.columns if c not in (group, "group_size", "__s", "__q", "group_max", "group_min")]
     mean_m = F.col("__s") / F.col("group_size")
     var_m = F.greatest(F.lit(0.0), F.col("__q") / F.col("group_size") - mean_m * mean_m)
     return g.select(group, "group_size", "group_max", "group_min", mean_m.alias("__mean_m"),
                     F.sqrt(var_m).alias("__std_m"), (mean_m / MILLI).alias("group_mean"),
-                    (var_m / (MILLI * MILLI)).alias("group_var"), (F.sqrt(var_m) / MILLI).alias("group_std"))
+                    (var_m / (MILLI * MILLI)).alias("group_var"), (F.sqrt(var_m) / MILLI).alias("group_std"), *extra)
 
 
 def group_advantage(scored: DataFrame, group: str = "prompt_id", reward: str = "total_reward",
@@ -241,16 +238,16 @@ def reward_stats(df: DataFrame, reward: str, valid: str) -> DataFrame:
 
 
 def best_worst(scored: DataFrame, group: str = "prompt_id", reward: str = "total_reward") -> DataFrame:
-    """GRP-05/06: first arg-max and first arg-min per group as structs.
+    """GRP-05/06: first arg-max and first arg-min per group as structs, with the group's moments.
 
     Ties break on ``cand_id`` then ``sql`` then ``reasoning`` (explicit order
-    instead of list position). ``min(struct)`` is a partial aggregate, so a hot
-    group is reduced map-side.
+    instead of list position). One aggregate, reduced map-side, so a hot group is
+    never gathered.
     """
     row = ["cand_id", "sql", "reasoning"]
     best = F.min(F.struct((-F.col(reward)).alias("k"), *[F.col(c) for c in row], F.col(reward).alias("r")))
     worst = F.min(F.struct(F.col(reward).alias("k"), *[F.col(c) for c in row], F.col(reward).alias("r")))
-    return scored.groupBy(group).agg(best.alias("best"), worst.alias("worst"))
+    return group_stats(scored, group, reward, best.alias("best"), worst.alias("worst"))
 
 
 def issue_summary(validated: DataFrame) -> DataFrame:
@@ -267,11 +264,11 @@ def issue_summary(validated: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def training_signal(scored: DataFrame) -> DataFrame:
+def training_signal() -> dict[str, Column]:
     """RWD-10: train if total > 0 or (valid and total > -1); weight in [0.1, 2]."""
     t = F.col("total_reward")
-    return scored.select("*", (t > 0) | (F.col("is_valid_strict") & (t > -1)).alias("should_train"),
-                         F.greatest(F.lit(0.1), F.least(F.lit(2.0), F.abs(t) / 10)).alias("train_weight"))
+    return {"should_train": (t > 0) | (F.col("is_valid_strict") & (t > -1)),
+            "train_weight": F.greatest(F.lit(0.1), F.least(F.lit(2.0), F.abs(t) / 10))}
 
 
 def preference_pairs(pairs: DataFrame, rejected_sql: str = P.REJECTED_SQL) -> DataFrame:

@@ -43,9 +43,7 @@ def extract_after_prompt(df: DataFrame, text: str = "text", prompt: str | None =
     """EXT-03: adds ``out``; ``prompt`` names a column holding the prompt prefix."""
     p = F.col(prompt) if prompt else F.lit("")
     d = df.select("*", TF.response_after_prompt(F.col(text), p).alias("__resp"))
-    d = d.select("*", TF.statement_start(F.col("__resp"), leading=True).alias("__start"))
-    return (d.select("*", TF.extract_from_response(F.col("__resp"), F.col("__start")).alias(out))
-            .drop("__resp", "__start"))
+    return d.select("*", TF.extract_from_response(F.col("__resp")).alias(out)).drop("__resp")
 
 
 def repair_report(df: DataFrame, sql: str = "sql", query: str = "query") -> DataFrame:

@@ -74,31 +74,35 @@ def cor_13(v):
     return C.split_hashed(v.pairs).select("pair_id", "split")
 
 
-@query("cor_14", """SELECT pair_id, replace(replace(query, 'Show', 'List'), 'Find', 'Get') AS query, 'paraphrase' AS augmentation
+@query("cor_14", """SELECT pair_id, replace(replace(query, 'Show', 'List'), 'Find', 'Get') AS query, '{"augmented":"true","type":"paraphrase"}' AS metadata
 FROM pairs WHERE contains(lower(query), 'project')""")
 def cor_14(v):
-    return C.augment_paraphrase(v.pairs).select("pair_id", "query", "augmentation")
+    return C.augment_paraphrase(v.pairs).select("pair_id", "query", F.to_json("metadata").alias("metadata"))
 
 
 _LIMIT_SQL = ("regexp_replace(sql, ';+$', '', 'g') || ' LIMIT 100;'")
 
 
+_MARKS = {k: '{"augmented":"true","type":"%s"}' % k for k in ("paraphrase", "limit_added")}
+
+
 @query("cor_15", f"""SELECT pair_id, {_LIMIT_SQL} AS sql, query || ' (limit to 100 results)' AS query,
-coalesce(reasoning, '') || chr(10) || 'Added LIMIT for performance.' AS reasoning, 'limit_added' AS augmentation
+coalesce(reasoning, '') || chr(10) || 'Added LIMIT for performance.' AS reasoning, '{_MARKS["limit_added"]}' AS metadata
 FROM pairs WHERE NOT contains(sql, 'LIMIT')""")
 def cor_15(v):
-    return C.augment_limit(v.pairs).select("pair_id", "sql", "query", "reasoning", "augmentation")
+    return C.augment_limit(v.pairs).select("pair_id", "sql", "query", "reasoning", F.to_json("metadata").alias("metadata"))
 
 
 @query("cor_16", f"""WITH {_SPLIT},
-first AS (SELECT * FROM split WHERE split = 'train' ORDER BY {H}, pair_id LIMIT 10)
-SELECT pair_id, split, NULL AS augmentation, query, sql FROM split
-UNION ALL SELECT pair_id, split, 'paraphrase', replace(replace(query, 'Show', 'List'), 'Find', 'Get'), sql FROM first
+first AS (SELECT * FROM split WHERE split = 'train')
+SELECT pair_id, split, NULL AS metadata, query, sql FROM split
+UNION ALL SELECT pair_id, split, '{_MARKS["paraphrase"]}', replace(replace(query, 'Show', 'List'), 'Find', 'Get'), sql FROM first
   WHERE contains(lower(query), 'project')
-UNION ALL SELECT pair_id, split, 'limit_added', query || ' (limit to 100 results)', {_LIMIT_SQL} FROM first
+UNION ALL SELECT pair_id, split, '{_MARKS["limit_added"]}', query || ' (limit to 100 results)', {_LIMIT_SQL} FROM first
   WHERE NOT contains(sql, 'LIMIT')""")
 def cor_16(v):
-    return C.augment_train(C.split_exact(v.pairs), 10).select("pair_id", "split", "augmentation", "query", "sql")
+    d = C.augment_train(C.split_exact(v.pairs))
+    return d.select("pair_id", "split", F.to_json("metadata").alias("metadata"), "query", "sql")
 
 
 @query("cor_17", f"SELECT pair_id FROM pairs ORDER BY {H}, pair_id LIMIT 32")

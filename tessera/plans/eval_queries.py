@@ -16,11 +16,11 @@ from .registry import query
 from .scoring_queries import SCORED
 
 _SPLIT = XT.split_output("text")
-_GEN = f"""g0 AS (SELECT g.prompt_id, g.cand_id, g.model, g.expected_sql, g.text, p.query FROM generations g
+_GEN = f"""g0 AS (SELECT g.prompt_id, g.cand_id, g.model, g.expected_sql, coalesce(g.text, '') AS text, g.seconds, g.error, p.query FROM generations g
   JOIN pairs p ON g.prompt_id = p.pair_id),
 g1 AS (SELECT *, {_SPLIT['sql']} AS s_out, {_SPLIT['reasoning']} AS r_out, {XT.sql_candidate('text')} AS s_c FROM g0),
 g2 AS (SELECT *, {XT.statement_start('s_c')} AS st FROM g1),
-c AS (SELECT prompt_id, cand_id, model, query, expected_sql,
+c AS (SELECT prompt_id, cand_id, model, query, expected_sql, seconds, error,
   CASE WHEN s_out = '' THEN {XT.extract_from('s_c', 'st')} ELSE s_out END AS sql, r_out AS reasoning FROM g2)"""
 _SC = SCORED.replace("c AS (SELECT * FROM candidates)", _GEN)
 _DOM = "(" + " OR ".join(f"contains(coalesce(sql, ''), '{t}')" for t in P.DOMAIN_TABLES) + ")"
@@ -28,7 +28,7 @@ _REC = f"""{_SC},
 rec AS (SELECT prompt_id, cand_id, model, query, expected_sql, sql AS generated_sql, reasoning,
   coalesce(sql <> '' AND expected_sql <> '' AND {X.normalize_sql_eval('sql')} = {X.normalize_sql_eval('expected_sql')}, FALSE) AS is_correct,
   (sql <> '' AND syntax_valid) AS is_valid_syntax, {_DOM} AS uses_domain_tables, reasoning <> '' AS has_reasoning,
-  CASE WHEN sql <> '' THEN total_reward ELSE 0.0 END AS reward_score, is_valid_strict FROM scored)"""
+  CASE WHEN sql <> '' THEN total_reward ELSE 0.0 END AS reward_score, is_valid_strict, seconds AS generation_time, error FROM scored)"""
 
 
 def _records(v):
@@ -45,7 +45,9 @@ def _metrics_sql(by: str | None = None) -> str:
     return f"""SELECT {g}count(*) AS total, sum(CAST(is_correct AS BIGINT)) AS correct,
 sum(CAST(is_valid_syntax AS BIGINT)) AS valid_syntax, sum(CAST(uses_domain_tables AS BIGINT)) AS domain_tables,
 sum(CAST(has_reasoning AS BIGINT)) AS with_reasoning,
-coalesce(sum(CAST(floor(reward_score * 1000 + 0.5) AS BIGINT)) / count(reward_score) / 1000, 0.0) AS avg_reward
+coalesce(sum(CAST(floor(reward_score * 1000 + 0.5) AS BIGINT)) / count(reward_score) / 1000, 0.0) AS avg_reward,
+coalesce(sum(CAST(floor(generation_time * 1000 + 0.5) AS BIGINT)) / count(generation_time) / 1000, 0.0) AS avg_generation_time,
+count(error) AS errors
 FROM rec{grp}"""
 
 
@@ -56,19 +58,21 @@ CASE WHEN total > 0 THEN correct / total ELSE 0.0 END AS accuracy,
 CASE WHEN total > 0 THEN valid_syntax / total ELSE 0.0 END AS syntax_rate,
 CASE WHEN total > 0 THEN domain_tables / total ELSE 0.0 END AS domain_rate,
 CASE WHEN total > 0 THEN with_reasoning / total ELSE 0.0 END AS reasoning_rate,
-floor(avg_reward * 1000000 + 0.5) / 1000000 AS avg_reward FROM m"""
+floor(avg_reward * 1000000 + 0.5) / 1000000 AS avg_reward,
+floor(avg_generation_time * 1000000 + 0.5) / 1000000 AS avg_generation_time, errors FROM m"""
 
 
 def _metrics_spark(d):
-    return d.withColumn("avg_reward", _r6("avg_reward"))
+    return d.withColumn("avg_reward", _r6("avg_reward")).withColumn("avg_generation_time", _r6("avg_generation_time"))
 
 
 @query("evl_01", f"""WITH {_REC} SELECT prompt_id, cand_id, model, generated_sql, is_correct, is_valid_syntax,
-uses_domain_tables, has_reasoning, floor(reward_score * 1000000 + 0.5) / 1000000 AS reward_score FROM rec""")
+uses_domain_tables, has_reasoning, floor(reward_score * 1000000 + 0.5) / 1000000 AS reward_score, generation_time, error FROM rec""")
 def evl_01(v):
     r = _records(v)
     return r.select("prompt_id", "cand_id", "model", "generated_sql", "is_correct", "is_valid_syntax",
-                    "uses_domain_tables", "has_reasoning", _r6("reward_score").alias("reward_score"))
+                    "uses_domain_tables", "has_reasoning", _r6("reward_score").alias("reward_score"), "generation_time",
+                    "error")
 
 
 @query("evl_02", f"WITH {_REC}, m AS ({_metrics_sql()}) {_metrics_out()}")
@@ -132,12 +136,19 @@ def evl_06(v):
 _CK = "(" + " OR ".join(f"contains(coalesce(generated_sql, ''), '{t}')" for t in E.CHECKPOINT_DOMAIN_TABLES) + ")"
 
 
+_ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+
+
 @query("evl_07", f"""WITH {_REC}, per AS (SELECT model, avg(CASE WHEN generated_sql <> '' THEN 1.0 ELSE 0.0 END) AS sql_rate,
-  avg(CASE WHEN {_CK} THEN 1.0 ELSE 0.0 END) AS domain_rate FROM rec GROUP BY model)
-SELECT model, sql_rate, domain_rate,
-first_value(model) OVER (ORDER BY sql_rate DESC, model ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best_by_sql_rate,
-first_value(model) OVER (ORDER BY domain_rate DESC, model ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best_by_domain_rate,
-sql_rate - max(CASE WHEN model = 'Base' THEN sql_rate END) OVER () AS sql_rate_vs_base FROM per""")
+  avg(CASE WHEN {_CK} THEN 1.0 ELSE 0.0 END) AS domain_rate,
+  sum(CAST(floor(generation_time * 1000 + 0.5) AS BIGINT)) / count(generation_time) / 1000 AS mean_time FROM rec GROUP BY model)
+SELECT model, sql_rate, domain_rate, mean_time,
+first_value(model) OVER (ORDER BY sql_rate DESC, model {_ALL}) AS best_by_sql_rate,
+first_value(model) OVER (ORDER BY domain_rate DESC, model {_ALL}) AS best_by_domain_rate,
+first_value(model) OVER (ORDER BY mean_time, model {_ALL}) AS fastest,
+sql_rate - max(CASE WHEN model = 'Base' THEN sql_rate END) OVER () AS sql_rate_vs_base,
+domain_rate - max(CASE WHEN model = 'Base' THEN domain_rate END) OVER () AS domain_rate_vs_base,
+mean_time - max(CASE WHEN model = 'Base' THEN mean_time END) OVER () AS mean_time_vs_base FROM per""")
 def evl_07(v):
     return E.checkpoint_comparison(_records(v))
 
@@ -163,19 +174,24 @@ def evl_09(v):
     return m.select("model", "domain_rate", (F.col("domain_rate") > E.DOMAIN_GATE).alias("is_good"))
 
 
-@query("evl_10", """WITH r AS (SELECT event_id, 'run-' || CAST(user_id % 20 AS VARCHAR) AS run_id, ts, value AS metric FROM events),
-b AS (SELECT *, max(metric) OVER (PARTITION BY run_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-  AS prev_best FROM r)
+@query("evl_10", """WITH r AS (SELECT event_id, run_id, ts, seconds AS metric FROM run_logs),
+b AS (SELECT *, max(metric) OVER w AS prev_best, min(metric) OVER w AS prev_least FROM r
+  WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT event_id, run_id, metric, greatest(metric, coalesce(prev_best, metric)) AS best_so_far,
-prev_best IS NULL OR metric > prev_best AS is_new_best FROM b""")
+prev_best IS NULL OR metric > prev_best AS is_new_best, least(metric, coalesce(prev_least, metric)) AS least_so_far,
+prev_least IS NULL OR metric < prev_least AS is_new_least FROM b""")
 def evl_10(v):
-    """EVL-10: best-so-far metric per run with strict-improvement flags (run_logs.seconds)."""
-    from ..operators.ordered import running_max_before
+    """EVL-10: best-so-far metric per run with strict-improvement flags, for a reward (largest)
+    and a loss (smallest); the metric is run_logs.seconds."""
+    from ..operators.ordered import running_extreme_before, time_span
     r = v.run_logs.select("event_id", "run_id", "ts", F.col("seconds").alias("metric"))
-    b = running_max_before(r, ["run_id"], ["ts", "event_id"], "metric", "prev_best")
+    order = ["ts", "event_id"]
+    b = running_extreme_before(r, ["run_id"], order, "metric", "prev_best", time_span("ts"))
+    b = running_extreme_before(b, ["run_id"], order, "metric", "prev_least", time_span("ts"), smallest=True)
+    m, best, least = F.col("metric"), F.col("prev_best"), F.col("prev_least")
     return b.select("event_id", "run_id", "metric",
-                    F.greatest(F.col("metric"), F.coalesce(F.col("prev_best"), F.col("metric"))).alias("best_so_far"),
-                    (F.col("prev_best").isNull() | (F.col("metric") > F.col("prev_best"))).alias("is_new_best"))
+                    F.greatest(m, F.coalesce(best, m)).alias("best_so_far"), (best.isNull() | (m > best)).alias("is_new_best"),
+                    F.least(m, F.coalesce(least, m)).alias("least_so_far"), (least.isNull() | (m < least)).alias("is_new_least"))
 
 
 _ADV = """g AS (SELECT prompt_id, count(*) AS n, sum(CAST(floor(total_reward * 1000 + 0.5) AS BIGINT)) AS s_m,
@@ -183,7 +199,8 @@ _ADV = """g AS (SELECT prompt_id, count(*) AS n, sum(CAST(floor(total_reward * 1
   FROM scored GROUP BY prompt_id),
 gv AS (SELECT *, CAST(s_m AS DOUBLE) / n AS mean_m,
   sqrt(greatest(0.0, CAST(q_m AS DOUBLE) / n - (CAST(s_m AS DOUBLE) / n) * (CAST(s_m AS DOUBLE) / n))) AS std_m FROM g),
-a AS (SELECT s.prompt_id, s.total_reward, CASE WHEN gv.std_m > 0 THEN (CAST(floor(s.total_reward * 1000 + 0.5) AS BIGINT)
+a AS (SELECT s.prompt_id, s.total_reward, -CAST(length(s.sql) % 50 AS DOUBLE) / 10 AS logp,
+  -CAST(length(s.expected_sql) % 50 AS DOUBLE) / 10 AS ref_logp, CASE WHEN gv.std_m > 0 THEN (CAST(floor(s.total_reward * 1000 + 0.5) AS BIGINT)
   - gv.mean_m) / gv.std_m ELSE (CAST(floor(s.total_reward * 1000 + 0.5) AS BIGINT) - gv.mean_m) / 1000 END AS advantage
   FROM scored s JOIN gv ON s.prompt_id = gv.prompt_id)"""
 
@@ -191,17 +208,21 @@ a AS (SELECT s.prompt_id, s.total_reward, CASE WHEN gv.std_m > 0 THEN (CAST(floo
 @query("evl_11", f"""WITH {SCORED},\n{_ADV}
 SELECT CASE prompt_id % 3 WHEN 0 THEN 'Base' WHEN 1 THEN 'SFT' ELSE 'GRPO' END AS run, CAST(floor(prompt_id / 1000) AS BIGINT) AS iteration,
 count(*) AS n, sum(CAST(floor(total_reward * 1000 + 0.5) AS BIGINT)) / count(*) / 1000 AS mean_reward,
-sum(CAST(floor(advantage * 1000000 + 0.5) AS BIGINT)) / count(*) / 1000000 AS mean_advantage FROM a GROUP BY 1, 2""")
+sum(CAST(floor(advantage * 1000000 + 0.5) AS BIGINT)) / count(*) / 1000000 AS mean_advantage,
+sum(CAST(floor(-advantage * logp * 1000000 + 0.5) AS BIGINT)) / count(*) / 1000000 AS policy_loss,
+sum(CAST(floor((exp(ref_logp - logp) - (ref_logp - logp) - 1) * 1000000 + 0.5) AS BIGINT)) / count(*) / 1000000 AS kl
+FROM a GROUP BY 1, 2""")
 def evl_11(v):
-    """EVL-11: training-history roll-up per (run, iteration) of scored candidates."""
-    a = S.group_advantage(S.score(v.candidates))
+    """EVL-11: training-history roll-up per (run, iteration) of scored candidates; the texts' lengths
+    stand for the log-probabilities that a training log would hold."""
+    a = S.group_advantage(S.rewards(v.candidates, "prompt_id", "sql", "expected_sql"))
+    a = a.withColumn("logp", -(F.length("sql") % 50).cast("double") / 10) \
+        .withColumn("ref_logp", -(F.length("expected_sql") % 50).cast("double") / 10)
     run = F.when(F.col("prompt_id") % 3 == 0, "Base").when(F.col("prompt_id") % 3 == 1, "SFT").otherwise("GRPO")
-    return a.groupBy(run.alias("run"), F.floor(F.col("prompt_id") / 1000).cast("long").alias("iteration")).agg(
-        F.count(F.lit(1)).alias("n"), E.exact_mean("total_reward").alias("mean_reward"),
-        E.exact_mean("advantage", 1_000_000).alias("mean_advantage"))
+    return E.training_history(a, run, F.floor(F.col("prompt_id") / 1000).cast("long"))
 
 
-@query("evl_12", """WITH l AS (SELECT 'run-' || CAST(user_id % 20 AS VARCHAR) AS run_id,
+@query("evl_12", """WITH l AS (SELECT 'run-' || CAST(user_id // 7 AS VARCHAR) AS run_id,
   CAST(regexp_extract(CASE event_type WHEN 'signup' THEN 'epoch 1 loss ' || CAST(event_id % 7 AS VARCHAR) ELSE '' END,
   'loss (\\d+)', 1) AS DOUBLE) AS loss FROM events WHERE event_type = 'signup')
 SELECT run_id, count(*) AS n, avg(loss) AS mean_loss, floor(exp(avg(loss)) * 1000000 + 0.5) / 1000000 AS perplexity
@@ -252,3 +273,10 @@ def evl_15(v):
                                   (F.sum("rating") / F.count(F.lit(1))).alias("avg_rating"),
                                   (F.sum(F.col("is_correct").cast("long")) / F.count(F.lit(1))).alias("correct_rate"),
                                   F.sum(F.when(~F.col("is_correct"), 1).otherwise(0)).alias("new_pairs"))
+
+
+@query("evl_15_pairs", f"""WITH {_REC} SELECT DISTINCT query, expected_sql AS sql, 'feedback' AS domain FROM rec
+WHERE NOT is_correct AND coalesce(expected_sql, '') <> ''""")
+def evl_15_pairs(v):
+    """EVL-15: the corrected pairs themselves."""
+    return E.corrected_pairs(_records(v))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linking as L
 from ..operators.erp import rounded
+from ..sources.catalog import ERP_SCHEMA, FOREIGN_KEYS
 from .registry import query
 from .sqltext_sql import q
 
@@ -140,6 +141,15 @@ def lnk_02(v):
     return _questions(v).select("query", F.array_join(L.entities_to_tables(F.col("query")), " | ").alias("tables"))
 
 
+@query("lnk_02_named", f"""{_QS}, n AS (SELECT query, CASE WHEN length(query) % 2 = 0 THEN ['PROJSTAFF', 'NO_SUCH_TABLE', 'SRM_CONTACTS'] END
+AS named FROM d) SELECT query, array_to_string(CASE WHEN named IS NULL THEN {x_entity_tables('query')}
+ELSE list_filter(named, lambda t: t IN ({", ".join(q(t) for t in ERP_SCHEMA)})) END, ' | ') AS tables FROM n""")
+def lnk_02_named(v):
+    """LNK-02 with tables that the caller names for some questions."""
+    named = F.when(F.length("query") % 2 == 0, F.array(*[F.lit(t) for t in ("PROJSTAFF", "NO_SUCH_TABLE", "SRM_CONTACTS")]))
+    return _questions(v).select("query", F.array_join(L.entities_to_tables(F.col("query"), named), " | ").alias("tables"))
+
+
 @query("lnk_03", f"{_QS} SELECT query, array_to_string({x_relevant('query')}, ' | ') AS tables FROM d")
 def lnk_03(v):
     return _questions(v).select("query", F.array_join(L.relevant_tables(F.col("query")), " | ").alias("tables"))
@@ -150,6 +160,16 @@ def lnk_04(v):
     return _questions(v).select("query", F.array_join(L.relevant_tables_basic(F.col("query")), " | ").alias("tables"))
 
 
+@query("lnk_04_short", f"""{_QS} SELECT query, array_to_string(list_filter([
+CASE WHEN contains(lower(query), 'project') THEN 'PAC_MNT_PROJECTS' END,
+CASE WHEN contains(lower(query), 'company') OR contains(lower(query), 'companies') THEN 'SRM_COMPANIES' END,
+CASE WHEN contains(lower(query), 'contact') THEN 'SRM_CONTACTS' END,
+CASE WHEN contains(lower(query), 'staff') OR contains(lower(query), 'resource') THEN 'PROJSTAFF' END],
+lambda x: x IS NOT NULL), ' | ') AS tables FROM d""")
+def lnk_04_short(v):
+    return _questions(v).select("query", F.array_join(L.relevant_tables_short(F.col("query")), " | ").alias("tables"))
+
+
 @query("lnk_05", f"{_QS} SELECT query, {x_schema_context('query')} AS schema_context FROM d")
 def lnk_05(v):
     return _questions(v).select("query", L.schema_context(F.col("query")).alias("schema_context"))
@@ -173,12 +193,34 @@ def lnk_07(v):
     return e.join(edges, "src").select("query", "src", "dst")
 
 
-@query("lnk_08", f"{_T} SELECT query, array_to_string({x_related('tables')}, ' | ') AS related FROM t")
+# the graph in SQL, from the foreign keys themselves
+_GRAPH = f"""fk(a, b) AS (VALUES {", ".join(f"({q(t)}, {q(rt)})" for t, _, rt, _ in FOREIGN_KEYS)}),
+edges AS (SELECT a AS src, b AS dst FROM fk UNION SELECT b, a FROM fk),
+d AS (SELECT DISTINCT query FROM pairs), t AS (SELECT query, {x_entity_tables('query')} AS tables FROM d),
+tt AS (SELECT query, unnest(tables) AS tab, generate_subscripts(tables, 1) AS i FROM t)"""
+
+
+@query("lnk_08", f"""WITH RECURSIVE {_GRAPH},
+walk AS (SELECT src, dst, 1 AS hops FROM edges UNION SELECT w.src, e.dst, hops + 1 FROM walk w JOIN edges e ON w.dst = e.src
+  WHERE hops < 2),
+reach AS (SELECT DISTINCT src, dst FROM walk),
+one AS (SELECT x.query, x.i, x.tab || ': ' || string_agg(y.tab, ', ' ORDER BY y.i) AS line
+  FROM tt x JOIN tt y ON x.query = y.query JOIN reach r ON r.src = x.tab AND r.dst = y.tab GROUP BY x.query, x.i, x.tab)
+SELECT t.query, coalesce((SELECT string_agg(line, ' | ' ORDER BY i) FROM one WHERE one.query = t.query), '') AS related FROM t""")
 def lnk_08(v):
     return _with_tables(v).select("query", F.array_join(L.related_tables(F.col("tables")), " | ").alias("related"))
 
 
-@query("lnk_09", f"{_T} SELECT query, array_to_string({x_join_paths('tables')}, ' | ') AS join_paths FROM t")
+@query("lnk_09", f"""WITH RECURSIVE {_GRAPH},
+walk AS (SELECT src, dst, [src, dst] AS path FROM edges WHERE src <> dst UNION ALL
+  SELECT w.src, e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON w.dst = e.src
+  WHERE len(w.path) < 4 AND NOT list_contains(w.path, e.dst)),
+best AS (SELECT src, dst, path FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY len(path), path) AS rn FROM walk)
+  WHERE rn = 1),
+one AS (SELECT x.query, x.i, y.i AS j, array_to_string(b.path, ' > ') AS line
+  FROM tt x JOIN tt y ON x.query = y.query AND x.i < y.i JOIN best b ON b.src = x.tab AND b.dst = y.tab)
+SELECT t.query, coalesce((SELECT string_agg(line, ' | ' ORDER BY i, j) FROM one WHERE one.query = t.query), '') AS join_paths
+FROM t""")
 def lnk_09(v):
     return _with_tables(v).select("query", F.array_join(L.join_paths(F.col("tables")), " | ").alias("join_paths"))
 

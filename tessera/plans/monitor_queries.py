@@ -33,10 +33,10 @@ def mon_02(v):
     return M.log_summary(v.run_logs)
 
 
-@query("mon_03", """SELECT event_id, run_id, ts, message FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id)
-AS rn FROM run_logs WHERE ts > TIMESTAMP '2024-01-15 00:00:00') WHERE rn <= 50""")
+@query("mon_03", """SELECT event_id, run_id, ts, message, max(ts) OVER (PARTITION BY run_id) AS next_cursor
+FROM run_logs WHERE ts > TIMESTAMP '2024-01-15 00:00:00'""")
 def mon_03(v):
-    return M.incremental_read(v.run_logs, CURSOR).select("event_id", "run_id", "ts", "message")
+    return M.incremental_read(v.run_logs, CURSOR).select("event_id", "run_id", "ts", "message", "next_cursor")
 
 
 @query("mon_04", """SELECT event_id, run_id, status, prev_status FROM (SELECT *, lag(status) OVER (PARTITION BY run_id
@@ -46,12 +46,11 @@ def mon_04(v):
 
 
 _PRICE = "CASE inst " + " ".join(f"WHEN '{t}' THEN {p}" for t, p in M.INSTANCE_PRICES) + " END"
-_TYPES = "[" + ", ".join(f"'{t}'" for t, _ in M.INSTANCE_PRICES) + "]"
 
 
-@query("mon_05", f"""WITH p AS (SELECT run_id, min(ts) AS started, max(ts) AS ended FROM run_logs GROUP BY run_id),
+@query("mon_05", f"""WITH p AS (SELECT run_id, min(ts) AS started, max(ts) AS ended, max(instance) AS inst FROM run_logs GROUP BY run_id),
 s AS (SELECT run_id, CAST(epoch(date_trunc('second', ended)) - epoch(date_trunc('second', started)) AS BIGINT) AS seconds,
-  {_TYPES}[CAST(regexp_extract(run_id, '(\\d+)$', 1) AS INTEGER) % {len(M.INSTANCE_PRICES)} + 1] AS inst FROM p)
+  inst FROM p)
 SELECT run_id, seconds, CASE WHEN seconds // 3600 > 0 THEN printf('%dh %dm %ds', seconds // 3600, (seconds % 3600) // 60, seconds % 60)
 WHEN (seconds % 3600) // 60 > 0 THEN printf('%dm %ds', (seconds % 3600) // 60, seconds % 60) ELSE printf('%ds', seconds % 60) END AS duration,
 inst AS instance, floor(seconds / 3600.0 * {_PRICE} * 100 + 0.5) / 100 AS cost FROM s""")
@@ -77,9 +76,9 @@ def mon_07(v):
 _ST = "[" + ", ".join(f"'{s}'" for s in M.STAGES) + "]"
 
 
-@query("mon_08", f"""WITH d AS (SELECT session_id, CAST(request_id % {len(M.STAGES)} AS INTEGER) AS stage_no, failed FROM requests),
+@query("mon_08", f"""WITH d AS (SELECT session_id, list_position({_ST}, stage) AS stage_no, failed FROM requests),
 g AS (SELECT session_id, max(stage_no) AS furthest, min(CASE WHEN failed THEN stage_no END) AS err FROM d GROUP BY session_id)
-SELECT session_id, {_ST}[furthest + 1] AS furthest_stage, CASE WHEN err IS NOT NULL THEN {_ST}[err + 1] END AS error_stage FROM g""")
+SELECT session_id, {_ST}[furthest] AS furthest_stage, CASE WHEN err IS NOT NULL THEN {_ST}[err] END AS error_stage FROM g""")
 def mon_08(v):
     return M.stage_outcomes(v.requests)
 
@@ -88,9 +87,14 @@ _HITS = """f AS (SELECT cache_key, min(struct_pack(ts := ts, request_id := reque
 h AS (SELECT r.*, NOT (r.ts = f.first.ts AND r.request_id = f.first.request_id) AS is_hit FROM requests r JOIN f ON r.cache_key = f.cache_key)"""
 
 
+def _mean(x: str) -> str:
+    return f"sum(CAST(floor({x} * 1000000 + 0.5) AS BIGINT)) / count({x}) / 1000000"
+
+
 @query("mon_09", f"""WITH {_HITS},
-g AS (SELECT time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP)) AS window_start, avg(latency_s) AS response_time,
-  avg(CAST(failed AS DOUBLE)) AS error_rate, avg(CAST(is_hit AS DOUBLE)) AS cache_hit_rate, avg(confidence) AS confidence FROM h GROUP BY 1),
+g AS (SELECT time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP)) AS window_start, {_mean('latency_s')} AS response_time,
+  {_mean('CAST(failed AS DOUBLE)')} AS error_rate, {_mean('CAST(is_hit AS DOUBLE)')} AS cache_hit_rate,
+  {_mean('confidence')} AS confidence FROM h GROUP BY 1),
 a AS (SELECT window_start, 'response_time_gt_5s' AS rule, response_time AS value FROM g WHERE response_time > 5.0
   UNION ALL SELECT window_start, 'error_rate_gt_1pct', error_rate FROM g WHERE error_rate > 0.01
   UNION ALL SELECT window_start, 'cache_hit_lt_70pct', cache_hit_rate FROM g WHERE cache_hit_rate < 0.70
@@ -107,12 +111,12 @@ floor(quantile_cont(latency_s, 0.99) * 1000000 + 0.5) / 1000000 AS p99,
 (SELECT avg(CASE WHEN failed THEN 1.0 ELSE 0.0 END) FROM requests) AS error_rate,
 (SELECT avg(CASE WHEN failed THEN 0.0 ELSE 1.0 END) FROM requests) AS success_rate FROM requests""")
 def mon_10(v):
-    r = v.requests
-    q = M.exact_quantiles(r, "latency_s", [0.5, 0.95, 0.99], "request_id")
-    err = r.agg(F.avg(F.when(F.col("failed"), 1.0).otherwise(0.0))).scalar()
-    ok = r.agg(F.avg(F.when(F.col("failed"), 0.0).otherwise(1.0))).scalar()
-    return q.select(rounded("p50", 6).alias("p50"), rounded("p95", 6).alias("p95"), rounded("p99", 6).alias("p99"),
-                    err.alias("error_rate"), ok.alias("success_rate"))
+    return M.exact_quantiles(
+        v.requests, "latency_s", [0.5, 0.95, 0.99],
+        F.avg(F.when(F.col("failed"), 1.0).otherwise(0.0)).alias("error_rate"),
+        F.avg(F.when(F.col("failed"), 0.0).otherwise(1.0)).alias("success_rate"),
+    ).select(rounded("p50", 6).alias("p50"), rounded("p95", 6).alias("p95"), rounded("p99", 6).alias("p99"),
+             "error_rate", "success_rate")
 
 
 @query("mon_11", """SELECT session_id, count(*) AS requests, sum(CASE WHEN failed THEN 1 ELSE 0 END) AS failed_requests,
@@ -142,7 +146,9 @@ def str_01(spark, sf_dir):
     return STR.error_counts_by_day(spark, sf_dir)
 
 
-@query("str_02", "SELECT DISTINCT 'q' || CAST(event_id % 300 AS VARCHAR) AS cache_key FROM events", raw=True)
+@query("str_02", """SELECT cache_key, r.request_id AS request_id, r.ts AS ts, r.confidence AS confidence FROM (
+SELECT cache_key, min(struct_pack(ts := CAST(ts AS TIMESTAMP), request_id := request_id, confidence := confidence)) AS r
+FROM requests GROUP BY cache_key)""", raw=True)
 def str_02(spark, sf_dir):
     return STR.first_per_key(spark, sf_dir)
 

@@ -16,10 +16,10 @@ SELECT c_custkey AS company_id, 'C' || CAST(c_custkey AS STRING) AS company_code
 """
 
 VIEW_SQL["contacts"] = """
-SELECT c_custkey * 10 AS contact_id, c_custkey AS company_id, 'Contact ' || CAST(c_custkey AS STRING) AS contact_name,
+SELECT c_custkey * 10 AS contact_id, CASE WHEN c_custkey % 4 = 0 THEN -c_custkey ELSE c_custkey END AS company_id, 'Contact ' || CAST(c_custkey AS STRING) AS contact_name,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'u' || CAST(c_custkey AS STRING) || '@example.com' END AS email,
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE '555-' || CAST(c_custkey AS STRING) END AS phone
-FROM customer WHERE c_custkey % 4 <> 0
+FROM customer
 """
 
 VIEW_SQL["projects"] = """
@@ -49,13 +49,14 @@ SELECT 'R' || CAST(s_suppkey AS STRING) AS resource_code, s_name AS resource_nam
 """
 
 VIEW_SQL["staff"] = """
-SELECT l_orderkey * 100 + l_linenumber AS staff_id, CAST(l_orderkey AS STRING) AS project_code, 'R' || CAST(l_suppkey AS STRING) AS resource_code,
+SELECT l_orderkey * 100 + l_linenumber AS staff_id, CAST(l_orderkey AS STRING) AS project_code,
+  CASE WHEN l_suppkey % 11 = 0 THEN 'X' ELSE 'R' END || CAST(l_suppkey AS STRING) AS resource_code,
   CASE l_returnflag WHEN 'A' THEN 'Developer' WHEN 'N' THEN 'Project Manager' ELSE 'Analyst' END AS role,
   l_quantity AS allocation_percent, CAST(floor(l_extendedprice / l_quantity) AS DOUBLE) AS bill_rate,
   CAST(floor(l_extendedprice * (1 - l_discount) / l_quantity) AS DOUBLE) AS cost_rate,
   CASE l_linestatus WHEN 'O' THEN 'Assigned' ELSE 'Released' END AS status, CAST(l_shipdate AS DATE) AS start_date,
   CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) + CAST(l_partkey % 300 AS INT) END AS end_date
-FROM lineitem WHERE l_suppkey % 11 <> 0
+FROM lineitem
 """
 
 VIEW_SQL["contracts"] = """
@@ -70,7 +71,8 @@ SELECT o_orderkey AS contract_id, 'CT-' || CAST(o_orderkey AS STRING) AS contrac
 VIEW_SQL["tickets"] = """
 SELECT event_id AS support_id, 'C' || CAST(user_id AS STRING) AS company_code, event_type AS support_type,
   CASE WHEN value > 100 THEN 'High' WHEN value > 30 THEN 'Medium' ELSE 'Low' END AS priority,
-  CASE event_id % 4 WHEN 0 THEN 'Open' WHEN 1 THEN 'In Progress' WHEN 2 THEN 'Resolved' ELSE 'Closed' END AS status,
+  CASE WHEN event_id % 101 = 0 THEN 'Escalated' WHEN event_id % 4 = 0 THEN 'Open' WHEN event_id % 4 = 1 THEN 'In Progress'
+    WHEN event_id % 4 = 2 THEN 'Resolved' ELSE 'Closed' END AS status,
   CAST(ts AS DATE) AS reported_date FROM events
 """
 
@@ -87,16 +89,16 @@ SELECT c_custkey AS opportunity_id, c_custkey AS company_id, c_acctbal AS estima
 
 VIEW_SQL["pairs"] = """
 SELECT o_orderkey AS pair_id,
-  CASE o_orderkey % 6 WHEN 0 THEN 'Show staff of project ' WHEN 1 THEN 'Find the budget of project ' WHEN 2 THEN 'Count contracts for company '
-    WHEN 3 THEN 'List resources on project ' WHEN 4 THEN 'Total spend per department above ' ELSE 'Which companies have no contact in group ' END
-    || CAST(o_orderkey % 500 AS STRING) AS query,
+  CASE o_orderkey % 6 WHEN 0 THEN 'Show staff of project ' WHEN 1 THEN 'Find the budget of project ' WHEN 2 THEN 'Count contracts signed this month for company '
+    WHEN 3 THEN 'List resources on project today ' WHEN 4 THEN 'Total spend this year per department above ' ELSE 'Which companies have no contact in group ' END
+    || CAST(o_orderkey // 250 AS STRING) AS query,
   CASE o_orderkey % 6
-    WHEN 0 THEN 'SELECT s.Role FROM PROJSTAFF s WHERE s.Project_Code = ''' || CAST(o_orderkey % 500 AS STRING) || ''''
-    WHEN 1 THEN 'SELECT Budget FROM PAC_MNT_PROJECTS WHERE Project_Code = ''' || CAST(o_orderkey % 500 AS STRING) || ''' LIMIT 1;'
-    WHEN 2 THEN 'SELECT COUNT(*) AS n FROM PROJCNTRTS WHERE Company_Code = ''C' || CAST(o_orderkey % 500 AS STRING) || ''''
-    WHEN 3 THEN 'SELECT r.Resource_Name FROM PAC_MNT_PROJECTS p JOIN PROJSTAFF s ON p.Project_Code = s.Project_Code JOIN PAC_MNT_RESOURCES r ON s.Resource_Code = r.Resource_Code WHERE p.Project_Code = ''' || CAST(o_orderkey % 500 AS STRING) || ''''
-    WHEN 4 THEN 'SELECT Department, SUM(Actual_Cost) AS spend FROM PAC_MNT_PROJECTS GROUP BY Department HAVING SUM(Actual_Cost) > ' || CAST(o_orderkey % 500 AS STRING) || ' ORDER BY spend DESC'
-    ELSE 'SELECT c.Company_Name FROM SRM_COMPANIES c LEFT JOIN SRM_CONTACTS k ON c.Company_ID = k.Company_ID WHERE k.Contact_ID IS NULL AND c.Company_ID > ' || CAST(o_orderkey % 500 AS STRING) END AS sql,
+    WHEN 0 THEN 'SELECT s.Role FROM PROJSTAFF s WHERE s.Project_Code = ''' || CAST(o_orderkey // 250 AS STRING) || ''''
+    WHEN 1 THEN 'SELECT Budget FROM PAC_MNT_PROJECTS WHERE Project_Code = ''' || CAST(o_orderkey // 250 AS STRING) || ''' LIMIT 1;'
+    WHEN 2 THEN 'SELECT COUNT(*) AS n FROM PROJCNTRTS WHERE Company_Code = ''C' || CAST(o_orderkey // 250 AS STRING) || ''''
+    WHEN 3 THEN 'SELECT r.Resource_Name FROM PAC_MNT_PROJECTS p JOIN PROJSTAFF s ON p.Project_Code = s.Project_Code JOIN PAC_MNT_RESOURCES r ON s.Resource_Code = r.Resource_Code WHERE p.Project_Code = ''' || CAST(o_orderkey // 250 AS STRING) || ''''
+    WHEN 4 THEN 'SELECT Department, SUM(Actual_Cost) AS spend FROM PAC_MNT_PROJECTS GROUP BY Department HAVING SUM(Actual_Cost) > ' || CAST(o_orderkey // 250 AS STRING) || ' ORDER BY spend DESC'
+    ELSE 'SELECT c.Company_Name FROM SRM_COMPANIES c LEFT JOIN SRM_CONTACTS k ON c.Company_ID = k.Company_ID WHERE k.Contact_ID IS NULL AND c.Company_ID > ' || CAST(o_orderkey // 250 AS STRING) END AS sql,
   CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Filter one table'
     WHEN 2 THEN 'Step 1: pick the table. Step 2: filter rows because one project is asked for.'
     ELSE 'First find the table, then join on the key column since two tables are needed; finally group.' END AS reasoning,
@@ -105,31 +107,41 @@ SELECT o_orderkey AS pair_id,
 
 VIEW_SQL["candidates"] = """
 SELECT l.l_orderkey AS prompt_id, l.l_linenumber * 1000000 + l.l_partkey AS cand_id, p.query AS query, p.sql AS expected_sql,
-  CASE l.l_partkey % 8 WHEN 0 THEN p.sql WHEN 1 THEN lower(p.sql) || ';'
+  CASE l.l_partkey % 10 WHEN 0 THEN p.sql WHEN 1 THEN lower(p.sql) || ';'
     WHEN 2 THEN 'SELECT * FROM projects WHERE status = ''Active''' WHEN 3 THEN 'SELECT (Budget FROM PAC_MNT_PROJECTS'
     WHEN 4 THEN 'SELECT * FROM PAC_MNT_PROJECTS WHERE Budget < -5' WHEN 5 THEN 'SELECT Department FROM PAC_MNT_PROJECTS GROUP BY Department'
-    WHEN 6 THEN 'SELECT * FROM PROJSTAFF; DROP TABLE PROJSTAFF' ELSE 'DELETE FROM SRM_CONTACTS' END AS sql,
+    WHEN 6 THEN 'SELECT * FROM PROJSTAFF; DROP TABLE PROJSTAFF' WHEN 7 THEN 'SELECT s.Role, c.Company_Name FROM PROJSTAFF s, SRM_COMPANIES c'
+    WHEN 8 THEN 'SELECT a.Role FROM PROJSTAFF a'
+      || ' JOIN PAC_MNT_PROJECTS p0 ON a.Project_Code = p0.Project_Code JOIN PAC_MNT_PROJECTS p1 ON a.Project_Code = p1.Project_Code'
+      || ' JOIN PAC_MNT_PROJECTS p2 ON a.Project_Code = p2.Project_Code JOIN PAC_MNT_PROJECTS p3 ON a.Project_Code = p3.Project_Code'
+      || ' JOIN PAC_MNT_PROJECTS p4 ON a.Project_Code = p4.Project_Code JOIN PAC_MNT_PROJECTS p5 ON a.Project_Code = p5.Project_Code'
+      || ' JOIN PAC_MNT_PROJECTS p6 ON a.Project_Code = p6.Project_Code JOIN PAC_MNT_PROJECTS p7 ON a.Project_Code = p7.Project_Code'
+    ELSE 'DELETE FROM SRM_CONTACTS' END AS sql,
   CASE l.l_suppkey % 3 WHEN 0 THEN '' ELSE p.reasoning END AS reasoning
 FROM lineitem l JOIN pairs p ON l.l_orderkey = p.pair_id
 """
 
 VIEW_SQL["generations"] = """
 SELECT prompt_id, cand_id, expected_sql, CASE prompt_id % 3 WHEN 0 THEN 'Base' WHEN 1 THEN 'SFT' ELSE 'GRPO' END AS model,
-  CASE cand_id % 4 WHEN 0 THEN '<think>' || chr(10) || reasoning || chr(10) || '</think>' || chr(10) || chr(10) || sql || '<|im_end|>'
-    WHEN 1 THEN 'Here it is:' || chr(10) || '```sql' || chr(10) || sql || chr(10) || '```' WHEN 2 THEN sql ELSE 'I cannot answer that' END AS text
+  CASE cand_id % 97 WHEN 0 THEN NULL ELSE CASE cand_id % 4 WHEN 0 THEN '<think>' || chr(10) || reasoning || chr(10) || '</think>' || chr(10) || chr(10) || sql || '<|im_end|>'
+    WHEN 1 THEN 'Here it is:' || chr(10) || '```sql' || chr(10) || sql || chr(10) || '```' WHEN 2 THEN sql ELSE 'I cannot answer that' END END AS text,
+  CAST(cand_id % 40 AS DOUBLE) / 8 AS seconds, CASE WHEN cand_id % 97 = 0 THEN 'timeout' END AS error
 FROM candidates
 """
 
 VIEW_SQL["run_logs"] = """
-SELECT event_id, ts, 'run-' || CAST(user_id % 20 AS STRING) AS run_id,
+SELECT event_id, ts, 'run-' || CAST(user_id // 7 AS STRING) AS run_id,
   CASE event_type WHEN 'error' THEN 'ERROR: step failed' WHEN 'click' THEN 'WARNING: slow batch' WHEN 'purchase' THEN 'SUCCESS checkpoint saved'
     WHEN 'signup' THEN 'epoch 1 loss ' || CAST(event_id % 7 AS STRING) ELSE 'step ' || CAST(event_id AS STRING) END AS message,
-  CASE WHEN event_id % 50 = 49 THEN 'Completed' WHEN event_type = 'error' THEN 'Failed' ELSE 'InProgress' END AS status, value AS seconds FROM events
+  CASE WHEN event_id % 50 = 49 THEN 'Completed' WHEN event_type = 'error' THEN 'Failed' ELSE 'InProgress' END AS status, value AS seconds,
+  CASE (user_id // 7) % 4 WHEN 0 THEN 'ml.g5.xlarge' WHEN 1 THEN 'ml.g4dn.xlarge' WHEN 2 THEN 'ml.p3.2xlarge' ELSE 'ml.g5.2xlarge' END AS instance FROM events
 """
 
 VIEW_SQL["requests"] = """
-SELECT event_id AS request_id, ts, 's' || CAST(user_id AS STRING) AS session_id, 'q' || CAST(event_id % 300 AS STRING) AS cache_key,
-  value / 10 AS latency_s, event_type = 'error' AS failed, CAST(event_id % 11 AS DOUBLE) / 10 AS confidence FROM events
+SELECT event_id AS request_id, ts, 's' || CAST(user_id AS STRING) AS session_id, 'q' || CAST(event_id // 3 AS STRING) AS cache_key,
+  value / 10 AS latency_s, event_type = 'error' AS failed, CAST(event_id % 11 AS DOUBLE) / 10 AS confidence,
+  CASE event_id % 5 WHEN 0 THEN 'schema_analysis' WHEN 1 THEN 'query_generation' WHEN 2 THEN 'validation'
+    WHEN 3 THEN 'reward_evaluation' ELSE 'finalize' END AS stage FROM events
 """
 
 

@@ -47,7 +47,7 @@ def x_parse_steps(r: str) -> str:
     structured = f"list_transform(list_filter({pieces}[2:], lambda p: length(p) > 0), lambda p: {XT.strip('p')})"
     sentences = f"list_filter(list_transform(string_split({rr}, '.'), lambda p: {XT.strip('p')}), lambda p: p <> '')"
     steps = f"(CASE WHEN contains({rr}, 'Step') AND len({structured}) > 0 THEN {structured} ELSE {sentences} END)"
-    return f"(CASE WHEN {rr} = '' THEN ['No reasoning provided'] ELSE {steps}[1:{PR.MAX_STEPS}] END)"
+    return f"(CASE WHEN {rr} = '' THEN ['No reasoning provided'] ELSE {steps} END)"
 
 
 def x_format_steps(steps: str) -> str:
@@ -58,9 +58,14 @@ def x_format_steps(steps: str) -> str:
 _SCH = x_schema_context("query")
 
 
-@query("prm_01", f"SELECT pair_id, {chat(lit(f'{IM_S}system' + chr(10) + PR.ZERO_SHOT_SYSTEM + IM_E + chr(10) + IM_S + 'user' + chr(10) + 'Schema Details:' + chr(10)), _SCH, lit(chr(10) * 2 + 'Query: '), 'query', lit(chr(10) + IM_E + chr(10) + IM_S + 'assistant' + chr(10)))} AS prompt FROM pairs")
+_CTX = "CASE WHEN domain <> 'resources' THEN 'Business Context:' || chr(10) || domain || chr(10) END"
+
+
+@query("prm_01", f"SELECT pair_id, {chat(lit(f'{IM_S}system' + chr(10) + PR.ZERO_SHOT_SYSTEM), 'chr(10) || ' + _CTX, lit(IM_E + chr(10) + IM_S + 'user' + chr(10) + 'Schema Details:' + chr(10)), _SCH, lit(chr(10) * 2 + 'Query: '), 'query', lit(chr(10) + IM_E + chr(10) + IM_S + 'assistant' + chr(10)))} AS prompt FROM pairs")
 def prm_01(v):
-    return v.pairs.select("pair_id", PR.zero_shot(F.col("query"), L.schema_context(F.col("query"))).alias("prompt"))
+    """PRM-01; the pair's domain is the business context, and one domain has none."""
+    context = F.when(F.col("domain") != "resources", F.col("domain"))
+    return v.pairs.select("pair_id", PR.zero_shot(F.col("query"), L.schema_context(F.col("query")), context).alias("prompt"))
 
 
 @query("prm_02", f"SELECT pair_id, {chat(lit(f'{IM_S}system' + chr(10) + PR.FEW_SHOT_SYSTEM + IM_E + chr(10)), x_examples(PR.FEW_SHOT_COUNT), lit(IM_S + 'user' + chr(10) + 'Now generate SQL for this query:' + chr(10) + 'Schema:' + chr(10)), _SCH, lit(chr(10) * 2 + 'Query: '), 'query', lit(chr(10) + IM_E + chr(10) + IM_S + 'assistant' + chr(10)))} AS prompt FROM pairs")
@@ -163,6 +168,14 @@ def prm_09(v):
     return t.select("query", PR.format_schema_context(F.col("tables")).alias("schema_text"))
 
 
+@query("prm_09_brief", f"""WITH d AS (SELECT DISTINCT query FROM pairs), t AS (SELECT query, {x_entity_tables('query')} AS tables FROM d)
+SELECT query, {XT.strip(x_blocks('tables', lambda t: PR.format_schema_block(t, 3, False, False)))} AS schema_text FROM t""")
+def prm_09_brief(v):
+    """PRM-09 without descriptions and relationships, three columns a table."""
+    t = v.pairs.select("query").distinct().select("query", L.entities_to_tables(F.col("query")).alias("tables"))
+    return t.select("query", PR.format_schema_context(F.col("tables"), 3, False, False).alias("schema_text"))
+
+
 @query("prm_10", f"""WITH d AS (SELECT DISTINCT reasoning FROM pairs)
 SELECT reasoning, {x_format_steps(x_parse_steps('reasoning'))} AS think_block FROM d""")
 def prm_10(v):

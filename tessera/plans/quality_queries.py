@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from .erp_queries import HIERARCHY_SQL
 from .registry import query
 
 
@@ -117,15 +118,10 @@ def dq_11(v):
     return a.unionByName(b)
 
 
-_DQ12_SQL = """WITH RECURSIVE h(project_id, depth) AS (
-  SELECT project_id, 1 FROM srm_projects WHERE parent_id IS NULL
-  UNION ALL SELECT c.project_id, h.depth + 1 FROM srm_projects c JOIN h ON c.parent_id = h.project_id WHERE h.depth < 5)
-SELECT s.project_id, s.parent_id FROM srm_projects s WHERE s.project_id NOT IN (SELECT project_id FROM h)"""
-
-
-@query("dq_12", _DQ12_SQL)
+@query("dq_12", f"WITH RECURSIVE {HIERARCHY_SQL} SELECT s.project_id, s.parent_id, w.outcome FROM srm_projects s "
+                "JOIN outcomes w ON s.project_id = w.project_id WHERE w.outcome <> 'reached'")
 def dq_12(v):
-    return Q.too_deep(v.srm_projects).select("project_id", "parent_id")
+    return Q.too_deep(v.srm_projects).select("project_id", "parent_id", "outcome")
 
 
 _NULL_COLS = {"projects": ["project_name", "status", "end_date"], "contacts": ["email", "phone"],
@@ -140,30 +136,55 @@ def dq_13(v):
     return reduce(DataFrame.unionByName, [Q.null_counts(getattr(v, t), t, cols) for t, cols in _NULL_COLS.items()])
 
 
-_ROLLUP = [
-    ("DQ-01 end_before_start", "projects", "SELECT * FROM projects WHERE end_date < start_date"),
-    ("DQ-02 cost_over_budget", "projects", "SELECT * FROM projects WHERE actual_cost > budget"),
-    ("DQ-06 cost_not_below_billing", "resources", "SELECT * FROM resources WHERE cost_rate >= billing_rate"),
-    ("DQ-11 capacity_range", "resources",
-     f"SELECT * FROM resources WHERE NOT (capacity BETWEEN {Q.CAPACITY_MIN} AND {Q.CAPACITY_MAX})"),
-]
-
-
-@query("dq_00", " UNION ALL ".join(
-    f"SELECT '{rule}' AS rule, (SELECT count(*) FROM {t}) AS checked, (SELECT count(*) FROM ({bad})) AS violations, "
-    f"CASE WHEN (SELECT count(*) FROM {t}) > 0 THEN (SELECT count(*) FROM ({bad})) / (SELECT count(*) FROM {t}) "
-    f"ELSE 0.0 END AS rate" for rule, t, bad in _ROLLUP)
-    + """ UNION ALL SELECT 'DQ-05 assigned_unavailable', (SELECT count(*) FROM staff WHERE status = 'Assigned'),
-(SELECT count(*) FROM staff s JOIN resources r ON s.resource_code = r.resource_code
- WHERE s.status = 'Assigned' AND r.availability <> 'Available'),
-(SELECT count(*) FROM staff s JOIN resources r ON s.resource_code = r.resource_code
- WHERE s.status = 'Assigned' AND r.availability <> 'Available') / (SELECT count(*) FROM staff WHERE status = 'Assigned')""")
+_DEFAULTS = {"contacts": {"email": "unknown", "phone": "unknown"}, "resources": {"email": "unknown"}}
+
+
+@query("dq_13_fill", """SELECT 'contacts' AS table_name, CAST(contact_id AS VARCHAR) AS key_value, coalesce(email, 'unknown') AS email,
+coalesce(phone, 'unknown') AS phone FROM contacts
+UNION ALL SELECT 'resources', resource_code, coalesce(email, 'unknown'), NULL FROM resources""")
+def dq_13_fill(v):
+    """DQ-13: defaults filled in."""
+    c = Q.fill_defaults(v.contacts, _DEFAULTS["contacts"])
+    r = Q.fill_defaults(v.resources, _DEFAULTS["resources"])
+    return c.select(F.lit("contacts").alias("table_name"), F.col("contact_id").cast("string").alias("key_value"), "email", "phone") \
+        .unionByName(r.select(F.lit("resources").alias("table_name"), F.col("resource_code").alias("key_value"), "email",
+                              F.lit(None).cast("string").alias("phone")))
+
+
+# rule -> (rows checked, violating rows), as SQL
+_ROLLUP = {
+    "DQ-01 end_before_start": ("projects", "SELECT 1 FROM projects WHERE end_date < start_date"),
+    "DQ-02 cost_over_budget": ("projects", "SELECT 1 FROM projects WHERE actual_cost > budget"),
+    "DQ-03 duplicate_keys": ("staff", "SELECT 1 FROM staff GROUP BY staff_id HAVING count(*) > 1"),
+    "DQ-04 over_capacity": ("resources", """SELECT 1 FROM resources r JOIN (SELECT resource_code, SUM(allocation_percent) AS allocated
+  FROM staff WHERE status = 'Assigned' GROUP BY resource_code) a ON r.resource_code = a.resource_code WHERE a.allocated > r.capacity"""),
+    "DQ-05 assigned_unavailable": ("(SELECT * FROM staff WHERE status = 'Assigned')", """SELECT 1 FROM staff s JOIN resources r
+  ON s.resource_code = r.resource_code WHERE s.status = 'Assigned' AND r.availability <> 'Available'"""),
+    "DQ-06 cost_not_below_billing": ("resources", "SELECT 1 FROM resources WHERE cost_rate >= billing_rate"),
+    "DQ-07 orphan_staff_resource": ("staff", "SELECT 1 FROM staff s WHERE resource_code IS NOT NULL AND NOT EXISTS "
+                                             "(SELECT 1 FROM resources r WHERE r.resource_code = s.resource_code)"),
+    "DQ-08 contract_value_mismatch": ("contracts", """SELECT 1 FROM contracts ct JOIN projects p ON ct.project_code = p.project_code
+  WHERE abs(ct.contract_value - p.budget) > 0.005"""),
+    "DQ-09 contract_outside_project": ("contracts", """SELECT 1 FROM contracts ct JOIN projects p ON ct.project_code = p.project_code
+  WHERE ct.start_date < p.start_date OR (p.end_date IS NOT NULL AND ct.end_date > p.end_date)"""),
+    "DQ-10 status_outside_domain": ("tickets", f"SELECT 1 FROM tickets WHERE NOT coalesce(status IN ({_dom('tickets')}), FALSE)"),
+    "DQ-11 capacity_range": ("resources", f"SELECT 1 FROM resources WHERE NOT (capacity BETWEEN {Q.CAPACITY_MIN} AND {Q.CAPACITY_MAX})"),
+    "DQ-12 hierarchy": ("srm_projects", "SELECT 1 FROM outcomes WHERE outcome <> 'reached'"),
+    "DQ-13 missing_email": ("contacts", "SELECT 1 FROM contacts WHERE email IS NULL"),
+}
+
+
+@query("dq_00", f"WITH RECURSIVE {HIERARCHY_SQL}, counted AS (" + " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, (SELECT count(*) FROM {t}) AS checked, (SELECT count(*) FROM ({bad})) AS violations"
+    for rule, (t, bad) in _ROLLUP.items()) + """)
+SELECT rule, checked, violations, CASE WHEN checked > 0 THEN violations / checked ELSE 0.0 END AS rate FROM counted""")
 def dq_00(v):
-    p, r, s = v.projects, v.resources, v.staff
-    return Q.rollup([
-        ("DQ-01 end_before_start", p, Q.end_before_start(p)),
-        ("DQ-02 cost_over_budget", p, Q.cost_over_budget(p)),
-        ("DQ-06 cost_not_below_billing", r, Q.cost_not_below_billing(r)),
-        ("DQ-11 capacity_range", r, Q.out_of_range(r, "capacity", Q.CAPACITY_MIN, Q.CAPACITY_MAX)),
-        ("DQ-05 assigned_unavailable", s.where(F.col("status") == "Assigned"), Q.assigned_unavailable(s, r)),
-    ])
+    """DQ-00: all thirteen rules (DQ-03, DQ-07, DQ-10 and DQ-13 on the table where they matter most)."""
+    p, r, s, c, t = v.projects, v.resources, v.staff, v.contracts, v.tickets
+    bad = [(p, Q.end_before_start(p)), (p, Q.cost_over_budget(p)), (s, Q.duplicate_keys(s, "staff_id", "staff")),
+           (r, Q.over_capacity(r, s)), (s.where(F.col("status") == "Assigned"), Q.assigned_unavailable(s, r)),
+           (r, Q.cost_not_below_billing(r)), (s, Q.orphans(s, "resource_code", r, "resource_code", "staff.resource_code")),
+           (c, Q.contract_value_mismatch(c, p)), (c, Q.contract_outside_project(c, p)), (t, Q.status_outside_domain(t, "tickets")),
+           (r, Q.out_of_range(r, "capacity", Q.CAPACITY_MIN, Q.CAPACITY_MAX)),
+           (v.srm_projects, Q.too_deep(v.srm_projects)), (v.contacts, v.contacts.where(F.col("email").isNull()))]
+    return Q.rollup([(rule, checked, rows) for rule, (checked, rows) in zip(_ROLLUP, bad, strict=True)])

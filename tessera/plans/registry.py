@@ -26,14 +26,8 @@ class Entry:
 
 REGISTRY: dict[str, Entry] = {}
 
-_VIEWS: dict[tuple[int, str], Views] = {}
-
-
 def views(spark: SparkSession, sf_dir: str) -> Views:
-    key = (id(spark), sf_dir)
-    if key not in _VIEWS:
-        _VIEWS[key] = Views(spark, sf_dir)
-    return _VIEWS[key]
+    return Views(spark, sf_dir)
 
 
 def query(name: str, sql: str | None = None, raw: bool = False):

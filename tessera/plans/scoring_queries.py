@@ -76,7 +76,7 @@ scored AS (SELECT *, {X.total_reward(*S.COMPONENTS)} AS total_reward FROM sc)"""
 
 
 def _sqls(v) -> DataFrame:
-    return S.validate(v.candidates.select("sql").distinct())
+    return S.validate(S.spread(v.candidates.select("sql").distinct(), "sql"))
 
 
 def _scored(v) -> DataFrame:
@@ -178,8 +178,7 @@ per_row("rwd_09", [("graded_feedback", "a")],
         lambda d: {"graded_feedback": T.graded_feedback({k: F.col(k) for k in _GC}, {k: F.col(k) for k in _GV})},
         {"graded_feedback": X.graded_feedback({k: k for k in _GC}, {k: k for k in _GV})})
 per_row("rwd_10", [("should_train", "c"), ("train_weight", "d")],
-        lambda d: {"should_train": (F.col("total_reward") > 0) | (F.col("is_valid_strict") & (F.col("total_reward") > -1)),
-                   "train_weight": F.greatest(F.lit(0.1), F.least(F.lit(2.0), F.abs("total_reward") / 10))},
+        lambda d: S.training_signal(),
         {"should_train": "total_reward > 0 OR (is_valid_strict AND total_reward > -1)",
          "train_weight": "greatest(0.1, least(2.0, abs(total_reward) / 10))"})
 per_row("rwd_11", [("notebook_reward", "d")],
@@ -192,21 +191,21 @@ per_row("rwd_12", [("generator_confidence", "d")],
 _RANK_ORDER = "generator_confidence DESC, cand_id, sql, reasoning"
 
 
-@query("rwd_13", f"""WITH r AS (SELECT prompt_id, cand_id, sql, reasoning, {X.generator_confidence('sql', 'reasoning')} AS generator_confidence
+@query("rwd_13", f"""WITH r AS (SELECT prompt_id, cand_id, sql, reasoning, floor({X.generator_confidence('sql', 'reasoning')} * 1000000 + 0.5) / 1000000 AS generator_confidence
   FROM candidates),
 k AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY {_RANK_ORDER}) AS conf_rank FROM r)
-SELECT prompt_id, cand_id, sql, floor(generator_confidence * 1000000 + 0.5) / 1000000 AS generator_confidence,
+SELECT prompt_id, cand_id, sql, generator_confidence,
 CAST(conf_rank AS INTEGER) AS conf_rank, conf_rank = 1 AS is_best,
 CASE (conf_rank - 1) % 4 WHEN 0 THEN 0.3 WHEN 1 THEN 0.5 WHEN 2 THEN 0.7 ELSE 0.9 END AS temperature FROM k""")
 def rwd_13(v):
     c = v.candidates.select("prompt_id", "cand_id", "sql", "reasoning",
-                            T.generator_confidence(F.col("sql"), F.col("reasoning")).alias("generator_confidence"))
-    # skew-safe ROW_NUMBER per prompt: offsets come from counts per distinct confidence
+                            S.r6(T.generator_confidence(F.col("sql"), F.col("reasoning"))).alias("generator_confidence"))
+    # equal confidences are ties, whatever the order they were added up in
     from ..operators.ordered import nth_within
     k = nth_within(c.withColumn("__negc", -F.col("generator_confidence")), ["prompt_id"], "__negc",
                    ["cand_id", "sql", "reasoning"], out="conf_rank").drop("__negc")
     temp = F.element_at(F.array(*[F.lit(t) for t in (0.3, 0.5, 0.7, 0.9)]), ((F.col("conf_rank") - 1) % 4 + 1).cast("int"))
-    return k.select("prompt_id", "cand_id", "sql", S.r6("generator_confidence").alias("generator_confidence"),
+    return k.select("prompt_id", "cand_id", "sql", "generator_confidence",
                     "conf_rank", (F.col("conf_rank") == 1).alias("is_best"), temp.alias("temperature"))
 
 
@@ -228,7 +227,7 @@ floor(CASE WHEN g.std_m > 0 THEN ({_RM} - g.mean_m) / g.std_m ELSE ({_RM} - g.me
  * 1000000 + 0.5) / 1000000 AS advantage
 FROM scored s JOIN g ON s.prompt_id = g.prompt_id""")
 def grp_01(v):
-    a = S.group_advantage(_scored(v))
+    a = S.group_advantage(S.rewards(v.candidates, "prompt_id", "cand_id", "sql"))
     return spark_out(a, [("prompt_id", "c"), ("cand_id", "c"), ("sql", "c"), ("total_reward", "d"), ("advantage", "d")])
 
 
@@ -241,7 +240,7 @@ SELECT prompt_id, cand_id, sql, floor(greatest(-5.0, least(5.0,
   (CAST(floor(total_reward * 1000 + 0.5) AS BIGINT) / 1000 - st.m) / (st.s + 1e-8))) * 1000000 + 0.5)
  / 1000000 AS global_advantage FROM scored, st""")
 def grp_02(v):
-    a = S.global_advantage(_scored(v))
+    a = S.global_advantage(S.rewards(v.candidates, "prompt_id", "cand_id", "sql"))
     return spark_out(a, [("prompt_id", "c"), ("cand_id", "c"), ("sql", "c"), ("global_advantage", "d")])
 
 
@@ -251,7 +250,7 @@ floor(CASE WHEN g.group_std > 1e-8 THEN (({_RM} - g.mean_m) / 1000) / (g.group_s
  ELSE ({_RM} - g.mean_m) / 1000 END * 1000000 + 0.5) / 1000000 AS advantage
 FROM scored s JOIN g ON s.prompt_id = g.prompt_id""")
 def grp_03(v):
-    a = S.group_advantage(_scored(v), variant="eps")
+    a = S.group_advantage(S.rewards(v.candidates, "prompt_id", "cand_id", "sql"), variant="eps")
     return spark_out(a, [("prompt_id", "c"), ("cand_id", "c"), ("sql", "c"), ("advantage", "d")])
 
 
@@ -276,8 +275,7 @@ floor(g.group_mean * 1000000 + 0.5) / 1000000 AS baseline, floor(g.group_var * 1
 floor(g.group_max * 1000000 + 0.5) / 1000000 AS max_reward, floor(g.group_min * 1000000 + 0.5) / 1000000 AS min_reward
 FROM g JOIN bw ON g.prompt_id = bw.prompt_id""")
 def grp_05(v):
-    s = _scored(v)
-    j = S.group_stats(s).join(S.best_worst(s), "prompt_id")
+    j = S.best_worst(_scored(v))
     return j.select("prompt_id", F.col("best.cand_id").alias("best_cand_id"), S.r6("best.r").alias("best_reward"),
                     S.r6("group_mean").alias("baseline"), S.r6("group_var").alias("variance"),
                     S.r6("group_max").alias("max_reward"), S.r6("group_min").alias("min_reward"))
@@ -292,16 +290,17 @@ SELECT prompt_id, kind, cand_id, sql, floor(reward * 1000000 + 0.5) / 1000000 AS
 floor(CASE WHEN group_std > 0 THEN (reward - group_mean) / group_std ELSE reward - group_mean END * 1000000 + 0.5) / 1000000 AS advantage
 FROM t""")
 def grp_06(v):
-    s = _scored(v)
-    j = S.best_worst(s).join(S.group_stats(s), "prompt_id")
+    b = S.best_worst(_scored(v))
 
     def side(kind, col):
         r = F.col(f"{col}.r")
         c = r - F.col("group_mean")
         adv = F.when(F.col("group_std") > 0, c / F.col("group_std")).otherwise(c)
-        return j.select("prompt_id", F.lit(kind).alias("kind"), F.col(f"{col}.cand_id").alias("cand_id"),
+        return F.struct(F.lit(kind).alias("kind"), F.col(f"{col}.cand_id").alias("cand_id"),
                         F.col(f"{col}.sql").alias("sql"), S.r6(r).alias("reward"), S.r6(adv).alias("advantage"))
-    return side("positive", "best").unionByName(side("negative", "worst"))
+    # both rows of a group from one pass
+    return b.select("prompt_id", F.explode(F.array(side("positive", "best"), side("negative", "worst"))).alias("x")) \
+        .select("prompt_id", "x.*")
 
 
 _PAIR_SCORED = SCORED.replace("c AS (SELECT * FROM candidates)", f"""c AS (
@@ -384,15 +383,6 @@ def udf_01(spark, sf_dir):
                      "FROM tessera_candidate_sql")
 
 
-@query("udf_02")
-def udf_02(v):
-    """UDF-02: parity accuracy (difflib ratio via an Arrow pandas UDF) on distinct pairs — rows only."""
-    from ..functions.udfs import accuracy_reward_parity
-    d = S.spread(v.candidates.select("sql", "expected_sql").distinct(), "sql")
-    return d.select("sql", "expected_sql", accuracy_reward_parity(F.col("sql"), F.col("expected_sql"))
-                    .alias("accuracy_reward_parity"))
-
-
 @query("udf_03", f"""WITH {SCORED}
 SELECT prompt_id, cand_id, sql, floor((total_reward + CASE WHEN contains(upper(sql), 'LIMIT') THEN 0.5 ELSE 0.0 END)
  * 1000000 + 0.5) / 1000000 AS total_reward FROM scored""")

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import evaluate as E
+from ..operators import scoring as S
 from ..sources import io as IO
-from ..streaming.streams import scratch
+from ..storage import scratch_path
+from . import eval_queries as EV
 from .registry import query
 
 STAMP = dt.datetime(2024, 1, 31)  # fixed: report timestamp
@@ -29,7 +31,7 @@ def _pairs_jsonl(v, corrupt_every: int | None = None):
     line = F.when(F.col("pair_id") % 5 == 0, partial).otherwise(full)
     if corrupt_every:
         line = F.when(F.col("pair_id") % corrupt_every == 0, F.substring(line, 1, 40)).otherwise(line)
-    out = scratch(v.spark, "pairs-jsonl")
+    out = scratch_path(v.spark, "pairs-jsonl")
     p.select(line.alias("value")).write.text(out)
     return out
 
@@ -66,7 +68,7 @@ def src_03(v):
 
 @query("src_04", "SELECT pair_id, query, sql FROM pairs")
 def src_04(v):
-    out = scratch(v.spark, "jsonl")
+    out = scratch_path(v.spark, "jsonl")
     IO.write_jsonl(v.pairs.select("pair_id", "query", "sql"), out)
     return v.spark.read.schema("pair_id long, query string, sql string").json(out)
 
@@ -83,7 +85,7 @@ def src_05(v):
 s1 AS (SELECT *, row_number() OVER (ORDER BY h, pair_id) AS rn, count(*) OVER () AS n FROM s0)
 SELECT pair_id, query FROM s1 WHERE rn > n - floor(n * 0.1) - floor(n * 0.1) AND rn <= n - floor(n * 0.1)""")
 def src_06(v):
-    out = scratch(v.spark, "processed")
+    out = scratch_path(v.spark, "processed")
     split = C.split_exact(v.pairs)
     stats = C.dataset_stats(v.pairs.withColumn("difficulty", C.difficulty_label(F.col("sql"))))
     IO.save_processed(split.select("pair_id", "query", "sql", "split"), stats, out, STAMP)
@@ -92,7 +94,7 @@ def src_06(v):
 
 @query("src_09", """SELECT run_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS timestamp, message FROM run_logs""")
 def src_09(v):
-    out = scratch(v.spark, "logs-json")
+    out = scratch_path(v.spark, "logs-json")
     v.run_logs.select("run_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("timestamp"),
                       "message").write.json(out)
     return IO.read_run_logs(v.spark, out).select("run_id", "timestamp", "message")
@@ -100,17 +102,22 @@ def src_09(v):
 
 @query("src_10", "SELECT '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || message AS value FROM run_logs")
 def src_10(v):
-    out = scratch(v.spark, "logs-text")
+    out = scratch_path(v.spark, "logs-text")
     IO.write_log_text(v.run_logs, out)
     return v.spark.read.text(out)
 
 
-@query("src_11", None)
+@query("src_11", f"""WITH {EV._REC}, m AS ({EV._metrics_sql()})
+SELECT prompt_id, cand_id, model, is_correct, floor(reward_score * 1000000 + 0.5) / 1000000 AS reward_score,
+(SELECT total FROM m) AS total, (SELECT correct FROM m) AS correct, (SELECT errors FROM m) AS errors,
+TIMESTAMP '2024-01-31 00:00:00' AS generated_at FROM rec""")
 def src_11(v):
-    """SRC-11: metrics + per-model detail records written as one report, metrics read back."""
-    out = scratch(v.spark, "eval-report")
-    from .eval_queries import _records
-    r = _records(v)
+    """SRC-11: metrics and per-model detail records written as one report; both sides read back."""
+    out = scratch_path(v.spark, "eval-report")
+    r = EV._records(v)
     IO.write_eval_report(E.metrics(r), r.select("prompt_id", "cand_id", "model", "is_correct", "reward_score"),
                          out, STAMP)
-    return v.spark.read.json(f"{out}/metrics")
+    metrics, results = IO.read_eval_report(v.spark, out)
+    one = metrics.select(F.struct("total", "correct", "errors", "generated_at")).scalar()  # a one-row file
+    return results.select("prompt_id", "cand_id", "model", "is_correct", S.r6("reward_score").alias("reward_score"),
+                          one.alias("m")).select("*", "m.*").drop("m")

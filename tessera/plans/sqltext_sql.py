@@ -402,8 +402,8 @@ def graded_feedback(c: dict[str, str], v: dict[str, str]) -> str:
     def comp(name, bad, good, good_at):
         return f"(CASE WHEN {c[name]} < 0 THEN {q(bad)} WHEN {c[name]} > {good_at} THEN {q(good)} END)"
 
-    def first_two(a, label):
-        return when(f"len({a}) > 0", f"{q(label)} || array_to_string({a}[1:2], ', ')")
+    def listed(a, label):
+        return when(f"len({a}) > 0", f"{q(label)} || array_to_string({a}, ', ')")
 
     t = c["total_reward"]
     grade = (f"(CASE WHEN {t} > 5 THEN 'Excellent SQL generation!' WHEN {t} > 2 THEN "
@@ -416,10 +416,10 @@ def graded_feedback(c: dict[str, str], v: dict[str, str]) -> str:
         comp("business_reward", "Business logic violations found", "Business logic correctly applied", 2),
         comp("performance_reward", "Performance could be optimized", "Query is well-optimized", 0.5),
         comp("reasoning_reward", "Reasoning needs more detail", "Clear reasoning provided", 0.5),
-        first_two(v["syntax_errors"], "Syntax errors: "),
-        first_two(v["schema_errors"], "Schema errors: "),
-        first_two(v["business_errors"], "Business rule violations: "),
-        when(f"len({v['suggestions']}) > 0", f"'Suggestion: ' || {v['suggestions']}[1]"))
+        listed(v["syntax_errors"], "Syntax errors: "),
+        listed(v["schema_errors"], "Schema errors: "),
+        listed(v["business_errors"], "Business rule violations: "),
+        listed(v["suggestions"], "Suggestions: "))
 
 
 def join_details(sql: str) -> str:

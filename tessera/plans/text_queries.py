@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import textfix as TF
 from ..operators import textops as O
+from ..operators.scoring import spread
 from . import textfix_sql as X
 from .registry import query
 
@@ -27,11 +28,15 @@ def ext_02(v):
     return O.extract_sql(v.generations).select("prompt_id", "cand_id", "model", "extracted_sql")
 
 
-@query("ext_03", f"""WITH a AS (SELECT prompt_id, cand_id, {X.response_after_prompt('text', "''")} AS resp FROM generations),
-b AS (SELECT *, {X.statement_start('resp', leading=True)} AS st FROM a)
-SELECT prompt_id, cand_id, {X.extract_from_response('resp', 'st')} AS extracted_sql FROM b""")
+@query("ext_03", f"""WITH p AS (SELECT prompt_id, cand_id, 'Question ' || CAST(prompt_id AS VARCHAR) || ': ' AS prompt, text FROM generations),
+a AS (SELECT prompt_id, cand_id, {X.response_after_prompt('prompt || text', 'prompt')} AS resp FROM p),
+b AS (SELECT *, {X.line_kinds('resp')} AS kinds FROM a)
+SELECT prompt_id, cand_id, {X.extract_from_response('resp', 'kinds')} AS extracted_sql FROM b""")
 def ext_03(v):
-    return O.extract_after_prompt(v.generations).select("prompt_id", "cand_id", "extracted_sql")
+    """EXT-03 on outputs that repeat their prompt."""
+    prompt = F.concat(F.lit("Question "), F.col("prompt_id").cast("string"), F.lit(": "))
+    g = v.generations.withColumn("prompt", prompt).withColumn("text", F.concat("prompt", "text"))
+    return O.extract_after_prompt(g, "text", "prompt").select("prompt_id", "cand_id", "extracted_sql")
 
 
 _T = X.fix_table_names("sql")
@@ -40,7 +45,7 @@ _T = X.fix_table_names("sql")
 @query("fix_01", f"""WITH d AS (SELECT DISTINCT sql FROM candidates)
 SELECT sql, {_T['sql']} AS fixed_sql, array_to_string({_T['corrections']}, ' | ') AS corrections FROM d""")
 def fix_01(v):
-    d = v.candidates.select("sql").distinct()
+    d = spread(v.candidates.select("sql").distinct(), "sql")
     t = TF.fix_table_names(F.col("sql"))
     return d.select("sql", t["sql"].alias("fixed_sql"), F.array_join(t["corrections"], " | ").alias("corrections"))
 
@@ -51,7 +56,7 @@ _C = X.fix_column_case("sql")
 @query("fix_02", f"""WITH d AS (SELECT DISTINCT sql FROM candidates)
 SELECT sql, {_C['sql']} AS fixed_sql, array_to_string({_C['corrections']}, ' | ') AS corrections FROM d""")
 def fix_02(v):
-    d = v.candidates.select("sql").distinct()
+    d = spread(v.candidates.select("sql").distinct(), "sql")
     c = TF.fix_column_case(F.col("sql"))
     return d.select("sql", c["sql"].alias("fixed_sql"), F.array_join(c["corrections"], " | ").alias("corrections"))
 
@@ -60,7 +65,7 @@ def fix_02(v):
 SELECT sql, {X.uses_domain_tables('sql')} AS uses_domain_tables,
 array_to_string({X.tables_used('sql')}, ' | ') AS tables_used FROM d""")
 def fix_03(v):
-    d = v.candidates.select("sql").distinct()
+    d = spread(v.candidates.select("sql").distinct(), "sql")
     return d.select("sql", TF.uses_domain_tables(F.col("sql")).alias("uses_domain_tables"),
                     F.array_join(TF.tables_used(F.col("sql")), " | ").alias("tables_used"))
 
@@ -71,7 +76,7 @@ _Q = X.fix_from_question("sql", "query")
 @query("fix_04", f"""WITH d AS (SELECT DISTINCT sql, query FROM candidates)
 SELECT sql, query, {_Q['sql']} AS fixed_sql, array_to_string({_Q['corrections']}, ' | ') AS corrections FROM d""")
 def fix_04(v):
-    d = v.candidates.select("sql", "query").distinct()
+    d = spread(v.candidates.select("sql", "query").distinct(), "sql")
     r = TF.fix_from_question(F.col("sql"), F.col("query"))
     return d.select("sql", "query", r["sql"].alias("fixed_sql"),
                     F.array_join(r["corrections"], " | ").alias("corrections"))
@@ -94,7 +99,7 @@ SELECT sql, query, {_R['processed_sql']} AS processed_sql, {_R['was_corrected']}
 array_to_string({_R['corrections']}, ' | ') AS corrections, {_R['uses_domain_tables']} AS uses_domain_tables,
 floor({_R['confidence']} * 1000000 + 0.5) / 1000000 AS confidence FROM l4""")
 def fix_05(v):
-    d = O.repair_report(v.candidates.select("sql", "query").distinct())
+    d = O.repair_report(spread(v.candidates.select("sql", "query").distinct(), "sql"))
     return d.select("sql", "query", "processed_sql", "was_corrected",
                     F.array_join("corrections", " | ").alias("corrections"), "uses_domain_tables",
                     (F.floor(F.col("confidence") * 1000000 + 0.5) / 1000000).alias("confidence"))
@@ -103,6 +108,6 @@ def fix_05(v):
 @query("fix_06", f"""WITH d AS (SELECT DISTINCT sql, query FROM candidates)
 SELECT sql, query, array_to_string({X.suggest_improvements('sql', 'query')}, ' | ') AS suggestions FROM d""")
 def fix_06(v):
-    d = v.candidates.select("sql", "query").distinct()
+    d = spread(v.candidates.select("sql", "query").distinct(), "sql")
     return d.select("sql", "query",
                     F.array_join(TF.suggest_improvements(F.col("sql"), F.col("query")), " | ").alias("suggestions"))

@@ -41,14 +41,12 @@ def line_start_from(s: str, pos: str) -> str:
     return f"coalesce(substring({s}, {pos} - length({head}), 1000000000), '')"
 
 
-def statement_start(s: str, leading: bool = False) -> str:
-    if leading:
-        return f"regexp_extract({s}, {q(TF.START_PATTERN_LEADING)}, 1)"
+def statement_start(s: str) -> str:
     return line_start_from(s, keyword_position(s))
 
 
-def statement_block(start: str, semi_pattern: str = TF.SEMI_LINE) -> str:
-    m_semi = f"regexp_extract({start}, {q(semi_pattern)}, 1)"
+def statement_block(start: str) -> str:
+    m_semi = f"regexp_extract({start}, {q(TF.SEMI_LINE)}, 1)"
     m_blank = f"regexp_extract({start}, {q(TF.BLANK_LINE)}, 1)"
     return strip(f"(CASE WHEN {m_semi} <> '' AND ({m_blank} = '' OR length({m_semi}) <= length({m_blank})) "
                  f"THEN {m_semi} WHEN {m_blank} <> '' THEN {m_blank} ELSE {start} END)")
@@ -75,8 +73,16 @@ def response_after_prompt(text: str, prompt: str) -> str:
     return strip(f"substring({t}, length(coalesce({prompt}, '')) + 1, 1000000000)")
 
 
-def extract_from_response(resp: str, start: str) -> str:
-    sql = statement_block(start, TF.SEMI_LINE_AFTER_FIRST)
+def line_kinds(resp: str) -> str:
+    led = rf"(?is)^\s*({'|'.join(TF.STATEMENT_KEYWORDS)})"
+    return (f"array_to_string(list_transform(string_split({resp}, chr(10)), lambda x: CASE WHEN regexp_matches(x, {q(led)}) "
+            f"THEN 'k' WHEN {strip('x')} = '' THEN 'b' WHEN ends_with({strip('x')}, ';') THEN 'e' ELSE 'o' END), '')")
+
+
+def extract_from_response(resp: str, kinds: str) -> str:
+    before = f"length(regexp_extract({kinds}, '^([^k]*)k', 1))"
+    taken = f"length(regexp_extract({kinds}, '^[^k]*(k[ko]*e?)', 1))"
+    sql = strip(f"array_to_string(string_split({resp}, chr(10))[{before} + 1:{before} + {taken}], chr(10))")
     fallback = strip(f"split_part({resp}, '<|im_end|>', 1)")
     return f"(CASE WHEN {sql} = '' THEN {fallback} ELSE {sql} END)"
 
@@ -87,7 +93,7 @@ def fix_table_names(sql: str) -> dict[str, str]:
     out = s
     for generic, domain in ordered:
         for kw in ("FROM", "JOIN", "INTO", "UPDATE"):
-            out = f"regexp_replace({out}, {q(TF._table_pattern(kw, generic))}, {q(kw + ' ' + domain)}, 'g')"
+            out = f"regexp_replace({out}, {q(TF.table_pattern(kw, generic))}, {q(kw + ' ' + domain)}, 'g')"
     fired = [f"(CASE WHEN regexp_matches({s}, {q(rf'(?i)\b(FROM|JOIN|INTO|UPDATE)\s+{g}\b')}) "
              f"THEN {q(f'Replaced {chr(39)}{g}{chr(39)} with {chr(39)}{d}{chr(39)}')} END)" for g, d in ordered]
     return {"sql": out, "corrections": compact(fired)}

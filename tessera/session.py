@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings the library relies on; a cluster deployment may override sizes
@@ -32,7 +33,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     """Local/test session builder. On a cluster use the session you are given."""
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = SparkSession.builder.appName(app_name)
-    builder = builder.master(master or f"local[{cpus}]")
+    if master or not SparkConf().contains("spark.master"):
+        builder = builder.master(master or f"local[{cpus}]")
     conf = {**SEMANTIC_CONF, **PERFORMANCE_CONF}
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
     conf["spark.ui.enabled"] = "false"
@@ -56,17 +58,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is left alone. Only
-    when it is unset (local tests) do we create a private scratch folder.
+    Where it is unset, a private folder stands in, but only in local mode (tests),
+    where driver and executors are one process; on a cluster that is an error.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="tessera-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(current)
+    return current

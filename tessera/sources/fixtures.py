@@ -36,6 +36,59 @@ def _case(key: Column, mapping: list[tuple[object, object]], default: object) ->
     return out.otherwise(default)
 
 
+def candidate_columns(j: DataFrame) -> DataFrame:
+    """Candidates from lineitem rows joined to their pair (batch and stream alike)."""
+    sql = _case(F.col("l_partkey") % 10, [
+        (0, F.col("p_sql")),
+        (1, F.concat(F.lower("p_sql"), F.lit(";"))),
+        (2, F.lit("SELECT * FROM projects WHERE status = 'Active'")),
+        (3, F.lit("SELECT (Budget FROM PAC_MNT_PROJECTS")),
+        (4, F.lit("SELECT * FROM PAC_MNT_PROJECTS WHERE Budget < -5")),
+        (5, F.lit("SELECT Department FROM PAC_MNT_PROJECTS GROUP BY Department")),
+        (6, F.lit("SELECT * FROM PROJSTAFF; DROP TABLE PROJSTAFF")),
+        (7, F.lit("SELECT s.Role, c.Company_Name FROM PROJSTAFF s, SRM_COMPANIES c")),
+        (8, F.lit("SELECT a.Role FROM PROJSTAFF a" + "".join(
+            f" JOIN PAC_MNT_PROJECTS p{n} ON a.Project_Code = p{n}.Project_Code" for n in range(8)))),
+    ], F.lit("DELETE FROM SRM_CONTACTS"))
+    return j.select(
+        F.col("l_orderkey").alias("prompt_id"),
+        (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("cand_id"),
+        F.col("query"),
+        F.col("p_sql").alias("expected_sql"),
+        sql.alias("sql"),
+        F.when(F.col("l_suppkey") % 3 == 0, F.lit("")).otherwise(F.col("p_reasoning")).alias("reasoning"),
+    )
+
+
+def run_log_columns(events: DataFrame) -> DataFrame:
+    """Run logs from events (batch and stream alike)."""
+    et, eid = F.col("event_type"), F.col("event_id")
+    message = _case(et, [
+        ("error", F.lit("ERROR: step failed")), ("click", F.lit("WARNING: slow batch")),
+        ("purchase", F.lit("SUCCESS checkpoint saved")),
+        ("signup", F.concat(F.lit("epoch 1 loss "), _s(eid % 7))),
+    ], F.concat(F.lit("step "), _s(eid)))
+    return events.select(
+        eid, F.col("ts"),
+        F.concat(F.lit("run-"), _s(run_number())).alias("run_id"),
+        message.alias("message"),
+        F.when(eid % 50 == 49, "Completed").when(et == "error", "Failed").otherwise("InProgress").alias("status"),
+        F.col("value").alias("seconds"),
+        _case(run_number() % 4, [(0, "ml.g5.xlarge"), (1, "ml.g4dn.xlarge"), (2, "ml.p3.2xlarge")],
+              "ml.g5.2xlarge").alias("instance"),
+    )
+
+
+def run_number() -> Column:
+    """Seven users share a run, so runs grow with the users."""
+    return F.floor(F.col("user_id") / 7).cast("bigint")
+
+
+def cache_key() -> Column:
+    """Three requests in a row share a key, so keys grow with the requests."""
+    return F.concat(F.lit("q"), _s(F.floor(F.col("event_id") / 3).cast("bigint"))).alias("cache_key")
+
+
 class Views:
     """All fixture views for one scale factor (lazy DataFrames)."""
 
@@ -59,9 +112,9 @@ class Views:
     def contacts(self) -> DataFrame:
         c = self.t.customer
         k = F.col("c_custkey")
-        return c.where(k % 4 != 0).select(
+        return c.select(
             (k * 10).alias("contact_id"),
-            k.alias("company_id"),
+            F.when(k % 4 == 0, -k).otherwise(k).alias("company_id"),  # a quarter has no company
             F.concat(F.lit("Contact "), _s(k)).alias("contact_name"),
             F.when(k % 5 == 0, F.lit(None).cast("string"))
             .otherwise(F.concat(F.lit("u"), _s(k), F.lit("@example.com"))).alias("email"),
@@ -121,10 +174,11 @@ class Views:
         li = self.t.lineitem
         ship = F.col("l_shipdate").cast("date")
         q = F.col("l_quantity")
-        return li.where(F.col("l_suppkey") % 11 != 0).select(
+        resource = F.when(F.col("l_suppkey") % 11 == 0, "X").otherwise("R")  # X...: no such resource
+        return li.select(
             (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("staff_id"),
             _s("l_orderkey").alias("project_code"),
-            F.concat(F.lit("R"), _s("l_suppkey")).alias("resource_code"),
+            F.concat(resource, _s("l_suppkey")).alias("resource_code"),
             _case(F.col("l_returnflag"), [("A", "Developer"), ("N", "Project Manager")], "Analyst").alias("role"),
             q.alias("allocation_percent"),
             F.floor(F.col("l_extendedprice") / q).cast("double").alias("bill_rate"),
@@ -162,7 +216,9 @@ class Views:
             F.concat(F.lit("C"), _s("user_id")).alias("company_code"),
             F.col("event_type").alias("support_type"),
             F.when(v > 100, "High").when(v > 30, "Medium").otherwise("Low").alias("priority"),
-            _case(F.col("event_id") % 4, [(0, "Open"), (1, "In Progress"), (2, "Resolved")], "Closed").alias("status"),
+            F.when(F.col("event_id") % 101 == 0, "Escalated")  # outside the allowed statuses
+            .otherwise(_case(F.col("event_id") % 4, [(0, "Open"), (1, "In Progress"), (2, "Resolved")], "Closed"))
+            .alias("status"),
             F.col("ts").cast("date").alias("reported_date"),
         )
 
@@ -194,13 +250,13 @@ class Views:
     def pairs(self) -> DataFrame:
         o = self.t.orders
         k = F.col("o_orderkey")
-        n = _s(k % 500)
+        n = _s(F.floor(k / 250).cast("bigint"))  # distinct texts grow with the table
         q = F.lit("'")
         kind = k % 6
         query = F.concat(_case(kind, [
             (0, "Show staff of project "), (1, "Find the budget of project "),
-            (2, "Count contracts for company "), (3, "List resources on project "),
-            (4, "Total spend per department above ")],
+            (2, "Count contracts signed this month for company "), (3, "List resources on project today "),
+            (4, "Total spend this year per department above ")],
             "Which companies have no contact in group "), n)
         sql = _case(kind, [
             (0, F.concat(F.lit("SELECT s.Role FROM PROJSTAFF s WHERE s.Project_Code = '"), n, q)),
@@ -225,24 +281,7 @@ class Views:
         li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
         p = self.pairs.select("pair_id", "query", F.col("sql").alias("p_sql"), F.col("reasoning").alias("p_reasoning"))
         j = li.join(p, li.l_orderkey == p.pair_id, "inner")
-        kind = F.col("l_partkey") % 8
-        sql = _case(kind, [
-            (0, F.col("p_sql")),
-            (1, F.concat(F.lower("p_sql"), F.lit(";"))),
-            (2, F.lit("SELECT * FROM projects WHERE status = 'Active'")),
-            (3, F.lit("SELECT (Budget FROM PAC_MNT_PROJECTS")),
-            (4, F.lit("SELECT * FROM PAC_MNT_PROJECTS WHERE Budget < -5")),
-            (5, F.lit("SELECT Department FROM PAC_MNT_PROJECTS GROUP BY Department")),
-            (6, F.lit("SELECT * FROM PROJSTAFF; DROP TABLE PROJSTAFF")),
-        ], F.lit("DELETE FROM SRM_CONTACTS"))
-        return j.select(
-            F.col("l_orderkey").alias("prompt_id"),
-            (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("cand_id"),
-            F.col("query"),
-            F.col("p_sql").alias("expected_sql"),
-            sql.alias("sql"),
-            F.when(F.col("l_suppkey") % 3 == 0, F.lit("")).otherwise(F.col("p_reasoning")).alias("reasoning"),
-        )
+        return candidate_columns(j)
 
     @cached_property
     def generations(self) -> DataFrame:
@@ -257,26 +296,15 @@ class Views:
         return c.select(
             "prompt_id", "cand_id", "expected_sql",
             _case(F.col("prompt_id") % 3, [(0, "Base"), (1, "SFT")], "GRPO").alias("model"),
-            text.alias("text"),
+            F.when(F.col("cand_id") % 97 != 0, text).alias("text"),
+            ((F.col("cand_id") % 40).cast("double") / 8).alias("seconds"),
+            F.when(F.col("cand_id") % 97 == 0, "timeout").alias("error"),
         )
 
     # ---------------------------------------------------------------- logs
     @cached_property
     def run_logs(self) -> DataFrame:
-        e = self.t.events
-        et, eid = F.col("event_type"), F.col("event_id")
-        message = _case(et, [
-            ("error", F.lit("ERROR: step failed")), ("click", F.lit("WARNING: slow batch")),
-            ("purchase", F.lit("SUCCESS checkpoint saved")),
-            ("signup", F.concat(F.lit("epoch 1 loss "), _s(eid % 7))),
-        ], F.concat(F.lit("step "), _s(eid)))
-        return e.select(
-            eid, F.col("ts"),
-            F.concat(F.lit("run-"), _s(F.col("user_id") % 20)).alias("run_id"),
-            message.alias("message"),
-            F.when(eid % 50 == 49, "Completed").when(et == "error", "Failed").otherwise("InProgress").alias("status"),
-            F.col("value").alias("seconds"),
-        )
+        return run_log_columns(self.t.events)
 
     @cached_property
     def requests(self) -> DataFrame:
@@ -284,8 +312,10 @@ class Views:
         return e.select(
             F.col("event_id").alias("request_id"), F.col("ts"),
             F.concat(F.lit("s"), _s("user_id")).alias("session_id"),
-            F.concat(F.lit("q"), _s(F.col("event_id") % 300)).alias("cache_key"),
+            cache_key(),
             (F.col("value") / 10).alias("latency_s"),
             (F.col("event_type") == "error").alias("failed"),
             ((F.col("event_id") % 11).cast("double") / 10).alias("confidence"),
+            _case(F.col("event_id") % 5, [(0, "schema_analysis"), (1, "query_generation"), (2, "validation"),
+                                          (3, "reward_evaluation")], "finalize").alias("stage"),
         )

@@ -134,3 +134,15 @@ def write_eval_report(metrics: DataFrame, results: DataFrame, path: str, when: d
     if partition_by:
         w = w.partitionBy(partition_by)
     w.json(f"{path}/results")
+
+
+METRICS_SCHEMA = ("total long, correct long, valid_syntax long, domain_tables long, with_reasoning long, accuracy double, "
+                  "syntax_rate double, domain_rate double, reasoning_rate double, avg_reward double, "
+                  "avg_generation_time double, errors long, generated_at timestamp")
+RESULTS_SCHEMA = "prompt_id long, cand_id long, model string, is_correct boolean, reward_score double"
+
+
+def read_eval_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """SRC-11: (metrics, detail records) of a written report."""
+    return (spark.read.schema(METRICS_SCHEMA).json(f"{path}/metrics"),
+            spark.read.schema(RESULTS_SCHEMA).json(f"{path}/results"))

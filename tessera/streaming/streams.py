@@ -1,24 +1,27 @@
 """Structured Streaming forms of the monitoring and scoring jobs (STR-01..04).
 
-Sources are file streams over the driver's parquet folder (``pathGlobFilter``
-picks the table); every query has its own checkpoint location and writes its
-results with executors (``foreachBatch`` -> parquet, or a file sink) under the
-shared folder named by ``spark.checkpoint.dir`` — nothing is gathered on the
-driver, and a restarted query resumes from its checkpoint.
+Sources are file streams over a table folder (``pathGlobFilter`` picks the
+table). Every job takes ``out``: its sink, state and checkpoint live there, so a
+call with the same folder goes on where the last one stopped; without it, a new
+folder under ``spark.checkpoint.dir`` is used. A micro-batch writes its rows to a
+folder of its own and overwrites it, so a batch that is replayed after a failure
+adds nothing. State that a job carries between batches is a table per batch
+(:class:`Carried`); what is older than the job's horizon leaves it.
 """
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import monitor as M
 from ..operators import scoring as S
-from ..session import ensure_checkpoint_dir
+from ..operators.ordered import lag_within, time_span
+from ..sources.fixtures import cache_key, candidate_columns, run_log_columns
+from ..storage import scratch_path
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 LINEITEM_SCHEMA = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
@@ -26,125 +29,166 @@ LINEITEM_SCHEMA = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumbe
                    "l_linestatus string, l_shipdate timestamp_ntz")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def table_stream(spark: SparkSession, sf_dir: str, table: str, schema: str) -> DataFrame:
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+def table_stream(spark: SparkSession, sf_dir: str, table: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(sf_dir)
 
 
 def run_logs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streaming twin of the ``run_logs`` view (event time cast to TIMESTAMP for watermarks)."""
-    e = table_stream(spark, sf_dir, "events", EVENTS_SCHEMA)
-    et, eid = F.col("event_type"), F.col("event_id")
-    message = (F.when(et == "error", "ERROR: step failed").when(et == "click", "WARNING: slow batch")
-               .when(et == "purchase", "SUCCESS checkpoint saved")
-               .when(et == "signup", F.concat(F.lit("epoch 1 loss "), (eid % 7).cast("string")))
-               .otherwise(F.concat(F.lit("step "), eid.cast("string"))))
-    return e.select(eid, F.col("ts").cast("timestamp").alias("ts"),
-                    F.concat(F.lit("run-"), (F.col("user_id") % 20).cast("string")).alias("run_id"),
-                    message.alias("message"),
-                    F.when(eid % 50 == 49, "Completed").when(et == "error", "Failed").otherwise("InProgress")
-                    .alias("status"))
+    """The ``run_logs`` view over a stream (event time cast to TIMESTAMP for watermarks)."""
+    logs = run_log_columns(table_stream(spark, sf_dir, "events", EVENTS_SCHEMA))
+    return logs.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, mode: str = "update") -> str:
-    out = scratch(spark, name)
+def batch_sink(out: str) -> Callable[[DataFrame, int], None]:
+    """Write each micro-batch to its own folder, whole and at most once."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+    return write
 
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(epoch_id)).write.mode("append").parquet(out)
 
+def run_to_end(stream: DataFrame, out: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     q = (stream.writeStream.outputMode(mode).foreachBatch(write)
-         .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
+         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return out
 
 
-def error_counts_by_day(spark: SparkSession, sf_dir: str, watermark: str = "1 day") -> DataFrame:
+def rows_of(spark: SparkSession, out: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{out}/rows/batch=*")
+
+
+class Carried:
+    """A small table that one micro-batch leaves to the next: version n is what batch n left."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder, schema
+
+    def before(self, batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{batch_id - 1}")
+
+    def leave(self, df: DataFrame, batch_id: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{batch_id}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{batch_id}")
+
+
+def error_counts_by_day(spark: SparkSession, sf_dir: str, watermark: str = "1 day", out: str | None = None) -> DataFrame:
     """STR-01: per-day counts per run and level with a watermark (update mode).
 
     State for windows older than the watermark is dropped; each micro-batch
     writes the rows it updated, so the final value per key is the largest count.
     """
+    out = out or scratch_path(spark, "str01")
     logs = run_logs_stream(spark, sf_dir).withWatermark("ts", watermark)
     agg = logs.groupBy(F.window("ts", "1 day").alias("w"), "run_id",
                        M.log_level(F.col("message")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    out = _run_to_parquet(agg.select(F.col("w.start").alias("day_start"), "run_id", "level", "n"), spark, "str01")
-    res = spark.read.parquet(out)
+    run_to_end(agg.select(F.col("w.start").alias("day_start"), "run_id", "level", "n"), out, batch_sink(out), "update")
+    res = rows_of(spark, out, "day_start timestamp, run_id string, level string, n long")
     return res.groupBy("day_start", "run_id", "level").agg(F.max("n").alias("n"))
 
 
-def first_per_key(spark: SparkSession, sf_dir: str, watermark: str = "1 hour") -> DataFrame:
-    """STR-02: evaluation cache — the first request per cache key within the watermark."""
+FIRST_ROW = "cache_key string, request_id long, ts timestamp, confidence double"
+
+
+def first_per_key_writer(spark: SparkSession, out: str, keep: dt.timedelta) -> Callable[[DataFrame, int], None]:
+    """Rows whose key the last ``keep`` of event time hasn't seen; of a batch's rows of one key, the first."""
+    seen = Carried(spark, f"{out}/seen", FIRST_ROW)
+    sink = batch_sink(out)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        first = batch.groupBy("cache_key").agg(F.min(F.struct("ts", "request_id", "confidence")).alias("r"))
+        first = first.select("cache_key", "r.request_id", "r.ts", "r.confidence")
+        known = seen.before(batch_id)
+        new = first.join(known.select("cache_key"), "cache_key", "left_anti")
+        kept = known.unionByName(new)
+        horizon = kept.agg(F.max("ts")).scalar() - F.lit(keep)
+        sink(new, batch_id)
+        seen.leave(kept.where(F.col("ts") >= horizon), batch_id)
+
+    return write
+
+
+def first_per_key(spark: SparkSession, sf_dir: str, keep: dt.timedelta = dt.timedelta(days=1),
+                  out: str | None = None) -> DataFrame:
+    """STR-02: evaluation cache — the first result per cache key, remembered for ``keep`` of event time."""
+    out = out or scratch_path(spark, "str02")
     e = table_stream(spark, sf_dir, "events", EVENTS_SCHEMA)
-    r = e.select(F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"),
-                 F.concat(F.lit("q"), (F.col("event_id") % 300).cast("string")).alias("cache_key"))
-    d = r.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["cache_key"])
-    out = _run_to_parquet(d, spark, "str02", mode="append")
-    return spark.read.parquet(out).select("cache_key").distinct()
-
-
-STATUS_OUT = "event_id long, run_id string, status string, prev_status string"
-STATUS_STATE = "last_status string"
-
-
-def _status_fn(key, pdfs, state):
-    prev = state.get[0] if state.exists else None
-    rows = []
-    for pdf in pdfs:
-        rows.append(pdf)
-    if not rows:
-        return
-    df = pd.concat(rows).sort_values(["ts", "event_id"])  # order inside a micro-batch is not guaranteed
-    out = []
-    for eid, status in zip(df["event_id"], df["status"]):
-        if prev is None or status != prev:
-            out.append((int(eid), key[0], status, prev))
-        prev = status
-    state.update((prev,))
-    if out:
-        yield pd.DataFrame(out, columns=["event_id", "run_id", "status", "prev_status"])
-
-
-def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-03: status changes per run with ``applyInPandasWithState`` (one state row per run)."""
-    logs = run_logs_stream(spark, sf_dir).select("event_id", "ts", "run_id", "status")
-    changes = logs.groupBy("run_id").applyInPandasWithState(
-        _status_fn, STATUS_OUT, STATUS_STATE, "append", GroupStateTimeout.NoTimeout)
-    out = _run_to_parquet(changes, spark, "str03", mode="append")
-    return spark.read.parquet(out).drop("_batch")
-
-
-def scored_candidates_stream(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    r = e.select(cache_key(), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"),
+                 ((F.col("event_id") % 11).cast("double") / 10).alias("confidence"))
+    run_to_end(r, out, first_per_key_writer(spark, out, keep))
+    return rows_of(spark, out, FIRST_ROW)
+
+
+LOG_ROW = "event_id long, ts timestamp, run_id string, status string"
+CHANGE_ROW = "event_id long, run_id string, status string, prev_status string"
+
+
+def status_change_writer(spark: SparkSession, out: str, delay: dt.timedelta,
+                         idle: dt.timedelta) -> Callable[[DataFrame, int, bool], None]:
+    """Changes of status per run in event time.
+
+    Rows younger than the newest event time less ``delay`` wait for the next
+    batch, so rows that arrive out of order within ``delay`` are put in order;
+    rows older than what their run has already given out are late and dropped.
+    A run's last row is remembered until ``idle`` of event time has passed.
+    """
+    last = Carried(spark, f"{out}/last", LOG_ROW)
+    waiting = Carried(spark, f"{out}/waiting", LOG_ROW)
+    sink = batch_sink(out)
+
+    def write(batch: DataFrame, batch_id: int, flush: bool = False) -> None:
+        known = last.before(batch_id)
+        rows = batch.select("event_id", "ts", "run_id", "status").unionByName(waiting.before(batch_id))
+        newest = rows.unionByName(known).agg(F.max("ts")).scalar()
+        waiting.leave(rows.where(F.col("ts") > newest - F.lit(delay)).where(F.lit(not flush)), batch_id)
+        ready = rows.where(F.col("ts") <= newest - F.lit(delay)) if not flush else rows
+        before = known.select("run_id", F.col("ts").alias("last_ts"), F.col("event_id").alias("last_id"))
+        on_time = (F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))
+                   | ((F.col("ts") == F.col("last_ts")) & (F.col("event_id") > F.col("last_id"))))
+        ready = ready.join(before, "run_id", "left").where(on_time).select(*known.columns, F.lit(True).alias("new"))
+        both = ready.unionByName(known.withColumn("new", F.lit(False)))
+        lagged = lag_within(both, ["run_id"], ["ts", "event_id"], "status", "prev_status", time_span("ts"))
+        changed = F.col("prev_status").isNull() | (F.col("status") != F.col("prev_status"))
+        sink(lagged.where(F.col("new") & changed).select("event_id", "run_id", "status", "prev_status"), batch_id)
+        latest = both.groupBy("run_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("l"))
+        latest = latest.select("l.event_id", "l.ts", "run_id", "l.status")
+        last.leave(latest.where(F.col("ts") >= newest - F.lit(idle)), batch_id)
+
+    return write
+
+
+def status_changes(spark: SparkSession, sf_dir: str, delay: dt.timedelta = dt.timedelta(minutes=10),
+                   idle: dt.timedelta = dt.timedelta(days=30), out: str | None = None) -> DataFrame:
+    """STR-03: status changes per run; the rows that still wait at the end of the input are given out last."""
+    out = out or scratch_path(spark, "str03")
+    write = status_change_writer(spark, out, delay, idle)
+    ids: list[int] = []
+
+    def counted(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        ids.append(batch_id)
+
+    run_to_end(run_logs_stream(spark, sf_dir).select("event_id", "ts", "run_id", "status"), out, counted)
+    if ids:
+        write(spark.createDataFrame([], LOG_ROW), ids[-1] + 1, flush=True)
+    return rows_of(spark, out, CHANGE_ROW)
+
+
+def scored_candidates_stream(spark: SparkSession, sf_dir: str, pairs: DataFrame, out: str | None = None) -> DataFrame:
     """STR-04: candidates arriving as a lineitem stream, joined to the static pair
-    table and scored with the stateless (no-dedupe) projection."""
+    table; each micro-batch scores its distinct SQL texts once, no state crosses batches."""
+    out = out or scratch_path(spark, "str04")
     li = table_stream(spark, sf_dir, "lineitem", LINEITEM_SCHEMA).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     p = pairs.select("pair_id", "query", F.col("sql").alias("p_sql"), F.col("reasoning").alias("p_reasoning"))
     j = li.join(p, li.l_orderkey == p.pair_id, "inner")
-    kind = F.col("l_partkey") % 8
-    sql = (F.when(kind == 0, F.col("p_sql")).when(kind == 1, F.concat(F.lower("p_sql"), F.lit(";")))
-           .when(kind == 2, F.lit("SELECT * FROM projects WHERE status = 'Active'"))
-           .when(kind == 3, F.lit("SELECT (Budget FROM PAC_MNT_PROJECTS"))
-           .when(kind == 4, F.lit("SELECT * FROM PAC_MNT_PROJECTS WHERE Budget < -5"))
-           .when(kind == 5, F.lit("SELECT Department FROM PAC_MNT_PROJECTS GROUP BY Department"))
-           .when(kind == 6, F.lit("SELECT * FROM PROJSTAFF; DROP TABLE PROJSTAFF"))
-           .otherwise(F.lit("DELETE FROM SRM_CONTACTS")))
-    c = j.select(F.col("l_orderkey").alias("prompt_id"),
-                 (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("cand_id"), "query",
-                 F.col("p_sql").alias("expected_sql"), sql.alias("sql"),
-                 F.when(F.col("l_suppkey") % 3 == 0, F.lit("")).otherwise(F.col("p_reasoning")).alias("reasoning"))
-    out = scratch(spark, "str04")
-
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        # each micro-batch is bounded: score its distinct SQL texts once, no cross-batch state
-        scored = S.score(batch, dedupe=True, materialize=False).select("prompt_id", "cand_id", "sql", "is_valid_strict", "total_reward")
-        scored.write.mode("append").parquet(out)
-
-    q = (c.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", out + "-ckpt")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    sink = batch_sink(out)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sink(S.score(batch).select("prompt_id", "cand_id", "sql", "is_valid_strict", "total_reward"), batch_id)
+
+    run_to_end(candidate_columns(j), out, write)
+    return rows_of(spark, out, "prompt_id long, cand_id long, sql string, is_valid_strict boolean, total_reward double")

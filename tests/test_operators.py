@@ -3,6 +3,7 @@
 import math
 import re
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -41,15 +42,51 @@ def test_running_sum_range_frame(spark):
     assert got == {1: 15.0, 2: 15.0, 3: 16.0}  # peers share the running value
 
 
-def test_no_single_partition_window_in_ordered_helpers(spark):
+@pytest.mark.parametrize("partitions", [8, 200, 2000])
+def test_ordered_helpers_at_any_partition_count(spark, partitions):
+    """Equal results at every setting, and a third of all rows on one key."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.range(0, 900).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("v"),
+                                        (F.col("id") % 11).cast("double").alias("x"))
+        ref = df.select("*", F.rank().over(Window.orderBy("v")).alias("r"), F.dense_rank().over(Window.orderBy("v")).alias("d"),
+                        F.sum("x").over(Window.orderBy("v")).alias("s"),
+                        F.row_number().over(Window.partitionBy("v").orderBy("x", "id")).alias("n"))
+        got = ordered.global_running_sum(ordered.global_rank(ordered.global_rank(df, "v", out="r"), "v", out="d", dense=True),
+                                         "v", "x", out="s")
+        got = ordered.nth_within(got, ["v"], "x", ["id"], out="n")
+        assert sorted(map(tuple, got.select(ref.columns).collect())) == sorted(map(tuple, ref.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_windows_over_rows_are_partitioned(spark):
     df = spark.range(0, 100).select("id", (F.col("id") % 7).alias("v"))
     plan = ordered.global_rank(df, "v", out="r")._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert windows
     for w in windows:
-        # data rows: window partitioned by the bucket; the only unpartitioned window
-        # runs over the one-row-per-bucket summary (sum of per-bucket counts)
-        assert re.search(r"windowspecdefinition\(__bucket#\d+,", w) or "sum(__n" in w, w
+        # the only unpartitioned window runs over one row per range partition
+        assert re.search(r"windowspecdefinition\(__part#\d+, __place", w) or "__total" in w, w
+
+
+def test_hierarchy_gives_every_row_an_outcome(spark):
+    rows = [(1, None), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5), (7, 99), (8, 9), (9, 8), (10, 10), (11, 7)]
+    got = {r.project_id: (r.root_id, r.depth, r.outcome)
+           for r in erp.hierarchy(spark.createDataFrame(rows, "project_id long, parent_id long"), 5).collect()}
+    assert got == {1: (1, 1, "reached"), 2: (1, 2, "reached"), 3: (1, 3, "reached"), 4: (1, 4, "reached"),
+                   5: (1, 5, "reached"), 6: (None, None, "too deep"), 7: (None, None, "missing parent"),
+                   8: (None, None, "cycle"), 9: (None, None, "cycle"), 10: (None, None, "cycle"),
+                   11: (None, None, "missing parent")}
+
+
+def test_scoring_more_than_100_000_distinct_pairs(spark):
+    df = spark.range(0, 110_000).select(
+        F.concat(F.lit("SELECT Budget FROM PAC_MNT_PROJECTS WHERE Project_ID = "), F.col("id").cast("string")).alias("sql"),
+        F.lit("").alias("reasoning"), F.lit("budget of a project").alias("query"), F.lit(None).cast("string").alias("expected_sql"))
+    got = S.score(df).agg(F.count(F.lit(1)), F.countDistinct("sql"), F.min("syntax_reward")).first()
+    assert tuple(got)[:2] == (110_000, 110_000)
 
 
 def test_group_advantage_zero_variance_and_sum(spark):

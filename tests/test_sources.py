@@ -1,13 +1,12 @@
 """Readers: defaults, quarantine of malformed lines, request payloads."""
 
 import os
-import tempfile
 
 from tessera.sources import io as IO
 
 
-def test_read_pairs_defaults_and_corrupt(spark):
-    d = tempfile.mkdtemp(prefix="tessera-test-")
+def test_read_pairs_defaults_and_corrupt(spark, tmp_path):
+    d = str(tmp_path)
     with open(os.path.join(d, "a.jsonl"), "w") as fh:
         fh.write('{"pair_id": 1, "query": "q1", "sql": "SELECT 1"}\n')
         fh.write("\n")
@@ -26,3 +25,24 @@ def test_read_requests_object_or_list(spark):
                                "id int, payload string")
     rows = sorted((r.id, r.query, r.context) for r in IO.read_requests(df).collect())
     assert rows == [(1, "a", ""), (2, "b", "c"), (2, "d", "")]
+
+
+def test_scratch_folder_is_shared_and_removable(spark):
+    import os
+
+    import pytest
+
+    from tessera import session, storage
+    df = storage.written(spark.range(3), "three")
+    assert df.count() == 3 and os.path.isdir(storage.scratch_root(spark))
+
+    class Cluster:  # a session on a cluster that names no shared folder
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "yarn"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Cluster)

@@ -76,14 +76,19 @@ def test_reward_components_and_total(spark):
     assert good["total_reward"] > bad["total_reward"]
 
 
-def test_sql_functions_and_parity_udf(spark):
-    from difflib import SequenceMatcher
-
+def test_sql_functions(spark):
     from tessera.functions import udfs
     udfs.register_functions(spark)
     r = spark.sql("SELECT tessera_normalize_sql('select a  from t;') AS n, "
                   "tessera_uses_domain_tables('SELECT * FROM PROJSTAFF') AS d").first()
     assert r.n == "SELECT A FROM T" and r.d is True
-    df = spark.createDataFrame([("abcd", "abed")], "a string, b string")
-    got = df.select(udfs.ratcliff_ratio("a", "b").alias("r")).first().r
-    assert abs(got - SequenceMatcher(None, "abcd", "abed").ratio()) < 1e-12
+
+
+def test_graded_feedback_keeps_everything_unless_told(spark):
+    keys = ["total_reward", "syntax_reward", "schema_reward", "business_reward", "performance_reward", "reasoning_reward"]
+    c = {k: F.lit(0.0) for k in keys}
+    v = {k: F.array(*[F.lit(f"{k}{n}") for n in range(4)])
+         for k in ("syntax_errors", "schema_errors", "business_errors", "suggestions")}
+    row = spark.range(1).select(T.graded_feedback(c, v).alias("all"), T.graded_feedback(c, v, 2, 1).alias("some")).first()
+    assert row["all"][-1] == "Suggestions: suggestions0, suggestions1, suggestions2, suggestions3"
+    assert row["some"][1] == "Syntax errors: syntax_errors0, syntax_errors1" and row["some"][-1] == "Suggestions: suggestions0"

@@ -1,24 +1,70 @@
-"""Batch = stream equivalence for the streaming jobs."""
+"""Batch = stream equivalence for the streaming jobs, and replayed batches."""
+
+import datetime as dt
 
 import __spark_entry__ as entry
+from tessera.storage import scratch_path
+from tessera.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
 
 def _rows(df, cols):
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+
+
+CHANGE = ["event_id", "run_id", "status", "prev_status"]
 
 
 def test_status_changes_stream_equals_batch(spark):
     q = entry.queries()
-    cols = ["event_id", "run_id", "status", "prev_status"]
-    assert _rows(q["str_03"](spark, SF), cols) == _rows(q["mon_04"](spark, SF), cols)
+    assert _rows(q["str_03"](spark, SF), CHANGE) == _rows(q["mon_04"](spark, SF), CHANGE)
 
 
-def test_cache_keys_stream_equals_batch(spark):
-    q = entry.queries()
-    keys = {r.cache_key for r in q["str_02"](spark, SF).collect()}
-    events = spark.read.parquet(f"{SF}/events.parquet")
-    batch = {r.cache_key for r in events.selectExpr("concat('q', cast(event_id % 300 as string)) AS cache_key")
-             .distinct().collect()}
-    assert keys == batch
+def test_first_result_per_key(spark):
+    first = {}
+    for r in sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda r: (r.ts, r.event_id)):
+        first.setdefault(f"q{r.event_id // 3}", r.event_id)
+    got = {r.cache_key: r.request_id for r in entry.queries()["str_02"](spark, SF).collect()}
+    assert got == first
+
+
+def _log(spark, rows):
+    return spark.createDataFrame([(i, dt.datetime(2024, 1, 1, 0, m), run, s) for i, m, run, s in rows], streams.LOG_ROW)
+
+
+def test_out_of_order_batches_and_replays(spark):
+    out = scratch_path(spark, "status-test")
+    write = streams.status_change_writer(spark, out, dt.timedelta(minutes=10), dt.timedelta(days=1))
+    batches = [_log(spark, [(1, 0, "a", "x"), (3, 20, "a", "y"), (4, 21, "a", "x")]),
+               _log(spark, [(2, 15, "a", "x"), (5, 30, "a", "x"), (6, 1, "b", "z")]),
+               _log(spark, [(7, 5, "a", "late"), (8, 50, "b", "w")])]
+    for n, b in enumerate(batches):
+        write(b, n)
+        write(b, n)  # replayed
+    write(spark.createDataFrame([], streams.LOG_ROW), len(batches), True)
+    got = _rows(streams.rows_of(spark, out, streams.CHANGE_ROW), CHANGE)
+    assert got == sorted([(1, "a", "x", None), (3, "a", "y", "x"), (4, "a", "x", "y"), (6, "b", "z", None),
+                          (8, "b", "w", "z")], key=repr)
+
+
+def test_first_per_key_replay_and_expiry(spark):
+    out = scratch_path(spark, "first-test")
+    write = streams.first_per_key_writer(spark, out, dt.timedelta(minutes=30))
+
+    def batch(rows):
+        return spark.createDataFrame([(k, i, dt.datetime(2024, 1, 1, m // 60, m % 60), 0.5) for k, i, m in rows],
+                                     streams.FIRST_ROW)
+
+    batches = [batch([("k", 2, 1), ("k", 1, 0)]), batch([("k", 3, 10), ("j", 4, 20)]), batch([("k", 5, 100)])]
+    for n, b in enumerate(batches):
+        write(b, n)
+        write(b, n)
+    got = sorted((r.cache_key, r.request_id) for r in streams.rows_of(spark, out, streams.FIRST_ROW).collect())
+    assert got == [("j", 4), ("k", 1), ("k", 5)]
+
+
+def test_a_job_goes_on_where_it_stopped(spark):
+    out = scratch_path(spark, "resume-test")
+    a = streams.first_per_key(spark, SF, out=out).count()
+    assert streams.first_per_key(spark, SF, out=out).count() == a

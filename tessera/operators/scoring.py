@@ -1,14 +1,14 @@
 """Candidate scoring: features -> validation -> reward -> group statistics.
 
-Plan shape (one job, two shuffles):
+Plan shape (one job):
 
-* per-SQL work (regex features, five validation layers, edit distance to the
-  expected SQL) runs once per distinct ``(sql, expected_sql)`` pair. The
-  distinct is a map-side-combined aggregate, so a hot SQL template shared by a
+* per-SQL work (regex features, five validation layers) runs once per distinct
+  SQL text, the edit distance once per distinct ``(sql, expected_sql)`` pair. The
+  distincts are map-side-combined aggregates, so a hot SQL template shared by a
   third of all rows collapses before the shuffle;
-* the scored pairs are joined back on the (null-safe) text pair itself — no
-  hash key, so no collision risk; AQE broadcasts them when small, otherwise a
-  sort-merge join whose skewed partitions AQE splits;
+* the scores are joined back on the (null-safe) texts themselves — no hash key,
+  so no collision risk; AQE broadcasts them when small, otherwise a sort-merge
+  join whose skewed partitions AQE splits;
 * per-row work that depends on the row (reasoning reward, totals) is a plain
   projection;
 * group statistics use ``groupBy(prompt_id)`` partial aggregation plus a join,
@@ -71,7 +71,6 @@ def _reward_cols(validated: bool) -> tuple[Column, ...]:
     else:
         comp = {k.replace("_basic", ""): c for k, c in basic.items()}
     comp.update(basic)
-    comp["accuracy_reward"] = T.accuracy_from({k: F.col(k) for k in T.ACCURACY_INPUT_KEYS})
     return tuple(c.alias(k) for k, c in comp.items())
 
 
@@ -81,6 +80,11 @@ def _accuracy_input_cols() -> tuple[Column, ...]:
     return tuple(i[k].alias(k) for k in T.ACCURACY_INPUT_KEYS)
 
 
+@lru_cache(maxsize=None)
+def _accuracy_col() -> Column:
+    return T.accuracy_from({k: F.col(k) for k in T.ACCURACY_INPUT_KEYS}).alias("accuracy_reward")
+
+
 @lru_cache(maxsize=None)
 def _reasoning_input_cols() -> tuple[Column, ...]:
     i = T.reasoning_inputs(F.col("reasoning"), F.col("query"))
@@ -117,14 +121,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(n, key)
 
 
-def _per_sql(pairs: DataFrame, validated: bool) -> DataFrame:
-    """Per distinct SQL text: validation plus both reward modes.
+def _per_sql(sqls: DataFrame, validated: bool) -> DataFrame:
+    """What depends on the SQL text alone: validation plus both reward modes.
 
     ``*_reward`` feed the total (validated or basic mode per ``validated``);
     ``*_reward_basic`` always carry the validation-free scores.
     """
-    return (validate(pairs, "sql").select("*", *_accuracy_input_cols())
-            .select("*", *_reward_cols(validated)).drop(*T.ACCURACY_INPUT_KEYS))
+    return validate(sqls, "sql").select("*", *_reward_cols(validated))
+
+
+def _with_accuracy(pairs: DataFrame) -> DataFrame:
+    """What depends on the SQL text and the expected one."""
+    return pairs.select("*", *_accuracy_input_cols()).select("*", _accuracy_col()).drop(*T.ACCURACY_INPUT_KEYS)
 
 
 def score(df: DataFrame, validated: bool = True, dedupe: bool = True) -> DataFrame:
@@ -132,19 +140,21 @@ def score(df: DataFrame, validated: bool = True, dedupe: bool = True) -> DataFra
 
     Adds features, validation results, the six reward components and
     ``total_reward``; columns that the caller doesn't select are pruned together
-    with the work behind them. Per-SQL work is done once per distinct pair and
-    joined back by a plain join, whose sides AQE sizes in bytes; ``dedupe=False``
+    with the work behind them. Validation is done once per distinct SQL text, the
+    comparison once per distinct pair, and both are joined back by plain joins,
+    whose sides AQE sizes in bytes; ``dedupe=False``
     computes it on every row instead (no shuffle; better when nearly every SQL
     text is unique). Nothing runs before the caller's own action.
     """
     if dedupe:
-        pairs = df.select("sql", "expected_sql").dropDuplicates(["sql", "expected_sql"])
-        per = _per_sql(spread(pairs, "sql"), validated)
-        per = per.withColumnRenamed("sql", "__sql").withColumnRenamed("expected_sql", "__exp")
-        cond = df["sql"].eqNullSafe(per["__sql"]) & df["expected_sql"].eqNullSafe(per["__exp"])
-        rows = df.join(per, cond, "inner").drop("__sql", "__exp")
+        sqls = _per_sql(spread(df.select("sql").distinct(), "sql"), validated).withColumnRenamed("sql", "__sql")
+        pairs = df.select("sql", "expected_sql").distinct()
+        pairs = _with_accuracy(spread(pairs, "expected_sql")).withColumnsRenamed({"sql": "__psql", "expected_sql": "__exp"})
+        same = df["sql"].eqNullSafe(pairs["__psql"]) & df["expected_sql"].eqNullSafe(pairs["__exp"])
+        rows = (df.join(pairs, same, "inner").drop("__psql", "__exp")
+                .join(sqls, df["sql"].eqNullSafe(sqls["__sql"]), "inner").drop("__sql"))
     else:
-        rows = _per_sql(df, validated)
+        rows = _with_accuracy(_per_sql(df, validated))
     rows = rows.select("*", *_reasoning_input_cols()).select("*", _reasoning_col()).drop(*T.REASONING_INPUT_KEYS)
     return rows.withColumn("total_reward", T.total_reward(*[F.col(c) for c in COMPONENTS]))
 

@@ -17,8 +17,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows in an Arrow batch: a row is a whole text, so the usual ten thousand would hold too much at once.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return docs
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """The two columns every operator reads; a null text counts as empty."""
+    docs = in_small_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
 

@@ -17,13 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text
+from .common import id_text, written
 from .secret_scan import count_of, joined
 
 KINDS = ("email", "ip", "card", "phone")
@@ -346,9 +345,10 @@ def fit_field(docs: DataFrame, sample: int = FIT_DOCUMENTS) -> Field:
     rows = id_text(docs)
     chosen = (rows.where(F.col("text").rlike("[0-9@]")).select("doc_id").where("doc_id is not null").distinct()
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    weak = rows.join(chosen, "doc_id", "left_semi").mapInArrow(
+    # at most ``sample`` ids are broadcast, so no text moves
+    weak = rows.join(F.broadcast(written(chosen, "fit-sample")), "doc_id", "left_semi").mapInArrow(
         _weak, "doc_id long, labels array<long>, features array<double>, chain array<long>, skip array<long>")
-    got: pd.DataFrame = weak.orderBy("doc_id").limit(sample).toPandas()
+    got = weak.orderBy("doc_id").limit(sample).toPandas()
     if not len(got):
         none = Graph(np.eye(WIDTH), *(np.empty((0, 2), np.int64),) * 2)
         return fit(none, np.zeros(WIDTH, np.int64))

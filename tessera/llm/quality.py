@@ -18,12 +18,11 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, id_text
+from .common import id_crc, id_text, in_small_batches, written
 
 FIT_ROWS = 20_000    # labelled rows in the fit, the ones with the smallest id hash
 OPPONENTS = 8        # pairs that each of the rarer label's rows takes part in
@@ -158,10 +157,11 @@ def learned(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ranking
     sample = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
               .where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    # doc_id is the sample's key: an id that stands in several rows of docs gives several rows
-    described = (id_text(docs).join(sample.select("doc_id"), "doc_id", "left_semi")
+    sample = written(sample, "fit-sample")
+    # at most ``rows`` ids are broadcast, so no text moves; an id in several rows of docs gives several rows
+    described = (id_text(docs).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
                  .mapInArrow(_features, "doc_id long, x array<double>"))
-    got: pd.DataFrame = described.join(sample, "doc_id").orderBy("doc_id", "x").limit(2 * rows).toPandas()
+    got = described.join(sample, "doc_id").orderBy("doc_id", "x").limit(2 * rows).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, WIDTH)
     return fit_ranking(x, got["quality"].to_numpy())
 
@@ -179,7 +179,7 @@ def scored(docs: DataFrame, ranking: Ranking) -> DataFrame:
 
 def accepted(docs: DataFrame, ranking: Ranking) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least 0.5; they are filtered where they are read."""
-    return docs.mapInArrow(lambda it: _accept(it, ranking), docs.schema)
+    return in_small_batches(docs).mapInArrow(lambda it: _accept(it, ranking), docs.schema)
 
 
 def held_out(doc_id):

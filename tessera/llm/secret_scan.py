@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text
+from .common import id_text, in_small_batches
 
 # The base patterns of the contract and their least lengths.
 ASSIGN = re.compile(r"""(?a:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -184,7 +184,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced and ``n_chars``, where there is one, counted anew."""
-    return docs.mapInArrow(_clean, docs.schema)
+    return in_small_batches(docs).mapInArrow(_clean, docs.schema)
 
 
 def joined(spans, kinds=None):

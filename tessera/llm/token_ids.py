@@ -17,8 +17,8 @@ from .common import joined_ids, slices, words_of
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-CACHE_CHUNKS = 1_000_000
-CHARS_AT_ONCE = 4_000_000
+CACHE_CHUNKS = 700_000
+CHARS_AT_ONCE = 3_000_000
 UNEVEN = b"-"  # no ids: one byte
 END = np.zeros(1, np.uint32).tobytes()
 
@@ -38,7 +38,9 @@ class Encoder:
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         # the vocabulary writes every byte as one character
         self._widths = np.array([len(self._tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        # two generations: a chunk met again moves from the old one to the new one
         self._cache: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -55,10 +57,15 @@ class Encoder:
 
     def _known(self, chunks: list[str]) -> list[bytes]:
         """Ids of distinct chunks; ``UNEVEN`` for one that white space begins or ends."""
-        if len(self._cache) > CACHE_CHUNKS:
-            self._cache = {}
+        if len(self._cache) > CACHE_CHUNKS // 2:
+            self._old, self._cache = self._cache, {}
         ids = list(map(self._cache.get, chunks))
         new = [k for k, known in enumerate(ids) if known is None]
+        for k in new:
+            known = self._old.get(chunks[k])
+            if known is not None:
+                ids[k] = self._cache[chunks[k]] = known
+        new = [k for k in new if ids[k] is None]
         even = [chunks[k] for k in new if chunks[k] and chunks[k] == chunks[k].strip()]
         if even:
             self._learn(even)

@@ -114,6 +114,9 @@ def sql_structure(sql: Column) -> dict[str, Column]:
     }
 
 
+LIST_ITEM = rf"(?=\s*[^\s,])(?:{P.ITEM})"  # a non-blank top-level item, counted without a lambda
+
+
 def sql_features(sql: Column) -> dict[str, Column]:
     """COR-04/06/07: clause features, complexity score, cost class and advice."""
     u = F.upper(sql)
@@ -137,7 +140,7 @@ def sql_features(sql: Column) -> dict[str, Column]:
     complexity = F.least(F.lit(10.0),
                          F.when(qtype == "SELECT", 1.0).otherwise(0.0) + n_joins * 1.5
                          + F.when(has_where, 0.5).otherwise(0.0) + n_aggs * 0.8
-                         + F.size(group_items) * 0.6 + F.when(where_sub, 2.0).otherwise(0.0))
+                         + _count(F.regexp_extract(u, P.GROUP_LIST, 1), LIST_ITEM) * 0.6 + F.when(where_sub, 2.0).otherwise(0.0))
     cost = F.when(complexity < 3, "low").when(complexity < 6, "medium").otherwise("high")
     advice = _issues(
         F.when(n_joins > 3, "Consider breaking complex joins into smaller queries or using CTEs"),

@@ -74,7 +74,7 @@ def think_parts(text: Column) -> dict[str, Column]:
     i_open = F.instr(t, "<think>")
     i_close = F.instr(t, "</think>")
     reasoning = F.when(has, strip(F.substring(t, i_open + 7, F.greatest(i_close - i_open - 7, F.lit(0)))))
-    after = F.when(has, F.substring(t, i_close + 8, F.length(t))).otherwise(t)
+    after = F.when(has, F.substr(t, i_close + 8)).otherwise(t)
     return {"after": after, "reasoning": F.coalesce(reasoning, F.lit(""))}
 
 
@@ -87,7 +87,7 @@ def clean_sql(after: Column) -> Column:
 
 
 def drop_sql_prefix(s: Column) -> Column:
-    return F.when(F.upper(s).startswith("SQL:"), strip(F.substring(s, F.lit(5), F.length(s)))).otherwise(s)
+    return F.when(F.upper(s).startswith("SQL:"), strip(F.substr(s, F.lit(5)))).otherwise(s)
 
 
 def split_output(text: Column) -> dict[str, Column]:
@@ -121,7 +121,7 @@ def keyword_position(s: Column) -> Column:
 def line_start_from(s: Column, pos: Column) -> Column:
     """Text from the start of the line that contains position ``pos`` ('' when NULL)."""
     head = F.substring_index(F.substring(s, 1, pos - 1), "\n", -1)
-    return F.coalesce(F.substring(s, pos - F.length(head), F.length(s)), F.lit(""))
+    return F.coalesce(F.substr(s, pos - F.length(head)), F.lit(""))
 
 
 def statement_start(s: Column) -> Column:
@@ -148,7 +148,7 @@ def sql_candidate(text: Column) -> Column:
 def extract_from(s: Column, start: Column) -> Column:
     """EXT-02 step 2: fenced block, else statement block, else ''."""
     fence = F.instr(F.lower(s), "```sql")
-    body = F.substring(s, fence + 6, F.length(s))
+    body = F.substr(s, fence + 6)
     close = F.instr(body, "```")
     fenced = strip(F.when(close > 0, F.substring(body, 1, close - 1)).otherwise(body))
     has_kw = F.upper(s).rlike("|".join(STATEMENT_KEYWORDS))
@@ -163,7 +163,7 @@ def extract_sql(text: Column) -> Column:
 
 def response_after_prompt(text: Column, prompt: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
-    return strip(F.substring(t, F.length(F.coalesce(prompt, F.lit(""))) + 1, F.length(t)))
+    return strip(F.substr(t, F.length(F.coalesce(prompt, F.lit(""))) + 1))
 
 
 def extract_from_response(resp: Column) -> Column:
@@ -263,7 +263,7 @@ def fix_from_question(sql: Column, query: Column) -> dict[str, Column]:
     needle = F.concat(F.lit("FROM "), generic)
     pos = F.instr(s, needle)
     replaced = F.when(pos > 0, F.concat(F.substring(s, 1, pos - 1), F.lit("FROM "), table,
-                                        F.substring(s, pos + F.length(needle), F.length(s)))).otherwise(s)
+                                        F.substr(s, pos + F.length(needle)))).otherwise(s)
     applies = usable & table.isNotNull()
     return {"sql": F.when(applies, replaced).otherwise(s),
             "corrections": F.when(applies, F.array(F.concat(F.lit("Context-based: replaced '"), generic,

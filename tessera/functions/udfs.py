@@ -4,7 +4,8 @@
   Column expression the DataFrame API uses (so both stay in sync), registered as
   a SQL-bodied temporary function — Spark inlines it into the plan, no Python.
   Only lambda-free expressions are exposed (lambda variables do not round-trip
-  through SQL text); complexity scoring stays a DataFrame function.
+  through SQL text). The SQL text comes from the classic session's plan, so these
+  functions are registered on a classic session, not over Spark Connect.
 * UDF-03: a custom reward hook: any ``DataFrame -> DataFrame`` function that adds
   a column, folded into the total.
 """
@@ -18,32 +19,57 @@ from . import sqltext as T
 from . import textfix as TF
 
 PREFIX = "tessera_"
+STRUCTURE = ("STRUCT<query_type: STRING, tables: ARRAY<STRING>, has_where: BOOLEAN, has_join: BOOLEAN, has_group_by: BOOLEAN, "
+             "has_order_by: BOOLEAN, has_limit: BOOLEAN>")
 
 
-def _body(spark: SparkSession, col: Column) -> str:
-    """SQL text of a Column expression over a STRING parameter ``s`` (from the analyzed plan)."""
-    df = spark.createDataFrame([], "s string").select(col.alias("o"))
+def _body(spark: SparkSession, col: Column, *params: str) -> str:
+    """SQL text of a Column expression over STRING parameters (``s`` unless named), from the analyzed plan."""
+    df = spark.createDataFrame([], ", ".join(f"{p} string" for p in params or ("s",))).select(col.alias("o"))
     return df._jdf.queryExecution().analyzed().projectList().head().child().sql()
 
 
-def sql_function_bodies(spark: SparkSession) -> dict[str, tuple[str, str]]:
-    """name -> (return type, SQL body over parameter ``s``)."""
-    s = F.col("s")
+def sql_function_bodies(spark: SparkSession) -> dict[str, tuple[str, str, str]]:
+    """name -> (parameters, return type, SQL body).
+
+    Extraction is a chain of small functions: a parameter is evaluated once, where
+    one nested expression would repeat its inner steps at every use.
+    """
+    s, start, text = F.col("s"), F.col("start"), F.col("text")
+
+    def one(rtype: str, col: Column) -> tuple[str, str, str]:
+        return "s STRING", rtype, _body(spark, col)
+
+    def call(name: str, *args: str) -> str:
+        return f"{PREFIX}{name}({', '.join(args)})"
+
     return {
-        "normalize_sql": ("STRING", _body(spark, T.normalize_sql(s))),
-        "normalize_sql_eval": ("STRING", _body(spark, T.normalize_sql_eval(s))),
-        "uses_domain_tables": ("BOOLEAN", _body(spark, TF.uses_domain_tables(s))),
-        "query_type": ("STRING", _body(spark, T.query_type(F.upper(s)))),
-        "extract_sql": ("STRING", _body(spark, TF.extract_sql(s))),
+        "normalize_sql": one("STRING", T.normalize_sql(s)),
+        "normalize_sql_eval": one("STRING", T.normalize_sql_eval(s)),
+        "uses_domain_tables": one("BOOLEAN", TF.uses_domain_tables(s)),
+        "query_type": one("STRING", T.query_type(F.upper(s))),
+        "complexity_score": one("DOUBLE", T.sql_features(s)["complexity"]),
+        "sql_structure": one(STRUCTURE, F.struct(*[c.alias(k) for k, c in T.sql_structure(s).items()])),
+        "after_think": one("STRING", TF.think_parts(s)["after"]),
+        "clean_output": one("STRING", TF.clean_sql(s)),
+        "drop_prefix": one("STRING", TF.drop_sql_prefix(s)),
+        "line_from": ("s STRING, pos INT", "STRING", _body(spark, TF.line_start_from(s, F.col("pos").cast("int")), "s", "pos")),
+        "statement_start": ("s STRING", "STRING", call("line_from", "s", _body(spark, TF.keyword_position(s)))),
+        "cut_statement": ("s STRING, start STRING", "STRING", _body(spark, TF.extract_from(s, start), "s", "start")),
+        "statement_of": ("s STRING", "STRING", call("cut_statement", "s", call("statement_start", "s"))),
+        "or_text": ("s STRING, text STRING", "STRING",
+                    _body(spark, F.when(s == "", F.coalesce(text, F.lit(""))).otherwise(s), "s", "text")),
+        "extract_sql": ("s STRING", "STRING", call("statement_of", call(
+            "or_text", call("drop_prefix", call("clean_output", call("after_think", "s"))), "s"))),
     }
 
 
 def register_functions(spark: SparkSession) -> list[str]:
-    """UDF-01: create ``tessera_<name>(s STRING)`` temporary SQL functions."""
+    """UDF-01: create the ``tessera_<name>`` temporary SQL functions."""
     names = []
-    for name, (rtype, body) in sql_function_bodies(spark).items():
+    for name, (params, rtype, body) in sql_function_bodies(spark).items():
         fname = PREFIX + name
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {fname}(s STRING) RETURNS {rtype} RETURN {body}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {fname}({params}) RETURNS {rtype} RETURN {body}")
         names.append(fname)
     return names
 

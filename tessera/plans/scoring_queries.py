@@ -371,16 +371,23 @@ per_sql("join_12", [("n_joins", "c"), ("tables", "a"), ("cartesian_risk", "c")],
         {"cartesian_risk": "(len(tables) > 1 AND n_joins < len(tables) - 1)"})
 
 
+_ST = X.sql_structure("sql")
+
+
 @query("udf_01", f"""WITH d AS (SELECT DISTINCT sql FROM candidates)
-SELECT sql, {X.normalize_sql('sql')} AS norm_sql, {XT.uses_domain_tables('sql')} AS uses_domain FROM d""", raw=True)
+SELECT sql, {X.normalize_sql('sql')} AS norm_sql, {XT.uses_domain_tables('sql')} AS uses_domain,
+floor({X.sql_features('sql')['complexity']} * 1000000 + 0.5) / 1000000 AS complexity, {_ST['query_type']} AS query_type,
+array_to_string({_ST['tables']}, ' | ') AS tables, {_ST['has_join']} AS has_join, {_ST['has_limit']} AS has_limit FROM d""", raw=True)
 def udf_01(spark, sf_dir):
     """UDF-01: the same functions called from SQL after ``register_functions``."""
     from ..functions.udfs import register_functions
     from .registry import views
     register_functions(spark)
     views(spark, sf_dir).candidates.select("sql").distinct().createOrReplaceTempView("tessera_candidate_sql")
-    return spark.sql("SELECT sql, tessera_normalize_sql(sql) AS norm_sql, tessera_uses_domain_tables(sql) AS uses_domain "
-                     "FROM tessera_candidate_sql")
+    return spark.sql("""SELECT sql, tessera_normalize_sql(sql) AS norm_sql, tessera_uses_domain_tables(sql) AS uses_domain,
+        floor(tessera_complexity_score(sql) * 1000000 + 0.5) / 1000000 AS complexity, st.query_type,
+        array_join(st.tables, ' | ') AS tables, st.has_join, st.has_limit
+        FROM (SELECT sql, tessera_sql_structure(sql) AS st FROM tessera_candidate_sql)""")
 
 
 @query("udf_03", f"""WITH {SCORED}

@@ -82,6 +82,15 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT tessera_normalize_sql('select a  from t;') AS n, "
                   "tessera_uses_domain_tables('SELECT * FROM PROJSTAFF') AS d").first()
     assert r.n == "SELECT A FROM T" and r.d is True
+    from tessera.operators import textops
+    texts = spark.createDataFrame([(t,) for t in (
+        "<think>x</think>\nSELECT 1;<|im_end|>", "Here:\n```sql\nSELECT a\nFROM t\n```", "no query", "", None,
+        "so\nSELECT a FROM t;\nmore", "SQL: SELECT b\n\nend")], "text string")
+    got = textops.extract_sql(texts).selectExpr("text", "extracted_sql", "tessera_extract_sql(text) AS called").collect()
+    assert all(r.extracted_sql == r.called for r in got)
+    r = spark.sql("SELECT tessera_sql_structure('select a from t join u') AS st, "
+                  "tessera_complexity_score('select a from t group by f(a, b), c') AS c").first()
+    assert r.st.tables == ["T", "U"] and r.st.has_join and abs(r.c - 2.2) < 1e-9
 
 
 def test_graded_feedback_keeps_everything_unless_told(spark):

@@ -16,12 +16,6 @@ from .common import id_text, written
 PREFIX = 256  # characters hashed in the second step
 
 
-def _with_company(rows: DataFrame, *by: str) -> DataFrame:
-    """The rows whose group holds more than one row."""
-    groups = rows.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").select(*by)
-    return rows.join(groups, list(by), "left_semi")
-
-
 def exact_duplicates(docs: DataFrame, prefix: int = PREFIX, carry: dict[str, Column] | None = None) -> DataFrame:
     """Groups of rows with identical texts.
 
@@ -41,13 +35,18 @@ def exact_duplicates(docs: DataFrame, prefix: int = PREFIX, carry: dict[str, Col
     more = [c.alias(n) for n, c in (carry or {}).items()]
     narrow = written(rows.select("doc_id", F.octet_length("text").alias("size"),
                                  F.xxhash64(F.substring("text", 1, prefix)).alias("prefix_hash"), *more), "lengths")
-    left = written(_with_company(_with_company(narrow, "size"), "size", "prefix_hash").select("doc_id").distinct(),
-                   "survivors")
+    # one row per length and prefix hash, counted before it moves; a length that stands alone ends there
+    starts = narrow.groupBy("size", "prefix_hash").agg(F.count("*").alias("n"))
+    lengths = starts.groupBy("size").agg(F.sum("n").alias("same_length")).where("same_length > 1").select("size")
+    shared = starts.join(lengths, "size", "left_semi").where("n > 1").select("size", "prefix_hash")
+    # nothing after this join needs the rows of a group together, so AQE can split a hot one
+    left = written(narrow.join(shared, ["size", "prefix_hash"], "left_semi").select("doc_id").distinct(), "survivors")
     here = F.col("doc_id").eqNullSafe(F.col("survivor"))
     ids = left.select(F.col("doc_id").alias("survivor"))
     full = written(rows.join(ids, here, "left_semi").select("doc_id", F.sha2("text", 256).alias("full_hash"),
                                                                 *more), "hashes")
-    groups = full.groupBy("full_hash").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = written(full.groupBy("full_hash").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")),
+                     "groups")
     several = full.join(groups, "full_hash").select("doc_id", "keep_id", "group_size", *names)
     single = narrow.join(ids, here, "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"),
                                                         F.lit(1).cast("long").alias("group_size"), *names)

@@ -91,5 +91,6 @@ DATE_PREDICATE = r"\w*DATE\w*\s*(BETWEEN|>=?|<=?)"
 NEGATIVE_AMOUNT = r"(BUDGET|COST|VALUE)\s*<?=?\s*-\d+"
 QUALIFIED_REF = r"\b([A-Z_][A-Z0-9_]*)\.([A-Z_][A-Z0-9_]*)\b"
 OR_WORD = r"\bOR\b"
-FUNCTION_IN_WHERE = r"\w+\([^)]*\)\s*(=|<|>|LIKE)"
+# a call on the left of a comparison
+FUNCTION_IN_WHERE = r"\b[A-Z_]\w*\s*\([^()]*\)\s*(?:[<>=!]|LIKE\b|BETWEEN\b)"
 JOIN_CONDITION = r"(?s)\bON\s+(.*?)(?:\s+(?:INNER|LEFT|RIGHT|FULL|CROSS)(?:\s+OUTER)?\s*$|\s+WHERE\b|\s+GROUP\b|\s+ORDER\b|\s+LIMIT\b|;|$)"

@@ -6,7 +6,8 @@ executor — no Python per row. Functions take ``Column`` arguments and return a
 ``Column`` (or a dict of named columns), ready for ``select``.
 
 Issue lists are built in a fixed order and exposed both as arrays and as
-``' | '``-joined strings (the latter compare equal across engines).
+``' | '``-joined strings (the latter compare equal across engines). The texts of
+issues, suggestions and feedback lines are fixed values: users match on them.
 """
 
 from __future__ import annotations

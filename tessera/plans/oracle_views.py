@@ -110,7 +110,7 @@ SELECT l.l_orderkey AS prompt_id, l.l_linenumber * 1000000 + l.l_partkey AS cand
   CASE l.l_partkey % 10 WHEN 0 THEN p.sql WHEN 1 THEN lower(p.sql) || ';'
     WHEN 2 THEN 'SELECT * FROM projects WHERE status = ''Active''' WHEN 3 THEN 'SELECT (Budget FROM PAC_MNT_PROJECTS'
     WHEN 4 THEN 'SELECT * FROM PAC_MNT_PROJECTS WHERE Budget < -5' WHEN 5 THEN 'SELECT Department FROM PAC_MNT_PROJECTS GROUP BY Department'
-    WHEN 6 THEN 'SELECT * FROM PROJSTAFF; DROP TABLE PROJSTAFF' WHEN 7 THEN 'SELECT s.Role, c.Company_Name FROM PROJSTAFF s, SRM_COMPANIES c'
+    WHEN 6 THEN 'SELECT * FROM PROJSTAFF; DROP TABLE PROJSTAFF' WHEN 7 THEN 'SELECT s.Role FROM PROJSTAFF s WHERE s.Project_Code IN (SELECT Project_Code FROM PAC_MNT_PROJECTS WHERE Company_ID IN (SELECT Company_ID FROM SRM_COMPANIES))'
     WHEN 8 THEN 'SELECT a.Role FROM PROJSTAFF a'
       || ' JOIN PAC_MNT_PROJECTS p0 ON a.Project_Code = p0.Project_Code JOIN PAC_MNT_PROJECTS p1 ON a.Project_Code = p1.Project_Code'
       || ' JOIN PAC_MNT_PROJECTS p2 ON a.Project_Code = p2.Project_Code JOIN PAC_MNT_PROJECTS p3 ON a.Project_Code = p3.Project_Code'

@@ -46,7 +46,8 @@ def candidate_columns(j: DataFrame) -> DataFrame:
         (4, F.lit("SELECT * FROM PAC_MNT_PROJECTS WHERE Budget < -5")),
         (5, F.lit("SELECT Department FROM PAC_MNT_PROJECTS GROUP BY Department")),
         (6, F.lit("SELECT * FROM PROJSTAFF; DROP TABLE PROJSTAFF")),
-        (7, F.lit("SELECT s.Role, c.Company_Name FROM PROJSTAFF s, SRM_COMPANIES c")),
+        (7, F.lit("SELECT s.Role FROM PROJSTAFF s WHERE s.Project_Code IN (SELECT Project_Code FROM PAC_MNT_PROJECTS "
+                  "WHERE Company_ID IN (SELECT Company_ID FROM SRM_COMPANIES))")),
         (8, F.lit("SELECT a.Role FROM PROJSTAFF a" + "".join(
             f" JOIN PAC_MNT_PROJECTS p{n} ON a.Project_Code = p{n}.Project_Code" for n in range(8)))),
     ], F.lit("DELETE FROM SRM_CONTACTS"))

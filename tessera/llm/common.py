@@ -62,12 +62,17 @@ def without_repeated_rows(docs: DataFrame) -> DataFrame:
 
 
 def slices(texts: Iterator[str], chars: int) -> Iterator[list[str]]:
-    """Lists of consecutive texts of about ``chars`` characters each; a longer text stands alone."""
+    """Lists of consecutive texts of about ``chars`` characters each; a longer text stands alone.
+
+    Between two slices, Arrow's pool returns what the last one used: a worker lives
+    on through many tasks and stages.
+    """
     held, size = [], 0
     for text in texts:
         if held and size + len(text) > chars:
             yield held
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
         held.append(text)
         size += len(text)
     if held:
@@ -78,17 +83,17 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Texts cut at single spaces: the first word of each text, each word's number, and the distinct words."""
     words = pc.split_pattern(pa.array(texts, pa.large_string()), pattern=" ")
     coded = words.flatten().dictionary_encode()
-    return (words.offsets.to_numpy().astype(np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+    return (words.offsets.to_numpy().astype(np.int64), coded.indices.to_numpy(zero_copy_only=False),
             coded.dictionary.to_pylist())
 
 
 def joined_ids(ids: list[bytes], place: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """32-bit ids of all words in text order, and where each text's ids begin; ``ids`` are those of the distinct words."""
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
     flat = np.frombuffer(b"".join([x if len(x) != 1 else b"" for x in ids]), "<u4")  # one byte marks no ids
-    start = np.cumsum(size) - size
+    start = np.cumsum(size, dtype=np.int32) - size
     count = size[place]
-    end = np.cumsum(count)
-    total = int(end[-1]) if len(end) else 0
-    at = np.arange(total) + np.repeat(start[place] - (end - count), count)
+    end = np.cumsum(count, dtype=np.int32)  # a slice of texts has far fewer ids than 32 bits count
+    at = np.repeat(start[place] - (end - count), count)
+    at += np.arange(len(at), dtype=np.int32)
     return flat[at], np.concatenate([[0], end])[offsets]

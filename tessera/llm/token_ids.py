@@ -18,7 +18,7 @@ from .common import joined_ids, slices, words_of
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 CACHE_CHUNKS = 700_000
-CHARS_AT_ONCE = 3_000_000
+CHARS_AT_ONCE = 2_000_000
 UNEVEN = b"-"  # no ids: one byte
 END = np.zeros(1, np.uint32).tobytes()
 

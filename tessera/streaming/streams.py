@@ -102,7 +102,9 @@ def first_per_key_writer(spark: SparkSession, out: str, keep: dt.timedelta) -> C
         first = batch.groupBy("cache_key").agg(F.min(F.struct("ts", "request_id", "confidence")).alias("r"))
         first = first.select("cache_key", "r.request_id", "r.ts", "r.confidence")
         known = seen.before(batch_id)
-        new = first.join(known.select("cache_key"), "cache_key", "left_anti")
+        recent = known.select("cache_key", F.col("ts").alias("known_ts"))
+        seen_before = (first["cache_key"] == recent["cache_key"]) & (recent["known_ts"] >= first["ts"] - F.lit(keep))
+        new = first.join(recent, seen_before, "left_anti")
         kept = known.unionByName(new)
         horizon = kept.agg(F.max("ts")).scalar() - F.lit(keep)
         sink(new, batch_id)

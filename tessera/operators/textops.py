@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textfix as TF
+from .scoring import spread
 
 
 def _split_layers(df: DataFrame, text: str) -> DataFrame:
@@ -47,11 +48,16 @@ def extract_after_prompt(df: DataFrame, text: str = "text", prompt: str | None =
 
 
 def repair_report(df: DataFrame, sql: str = "sql", query: str = "query") -> DataFrame:
-    """FIX-01..05: table fix -> column fix -> question-based fix -> report columns."""
-    t = TF.fix_table_names(F.col(sql))
-    d = df.select("*", t["sql"].alias("__s1"), t["corrections"].alias("__c1"))
+    """FIX-01..05: table fix -> column fix -> question-based fix -> report columns.
+
+    Table and column fixes depend on the SQL alone and are made once per distinct text.
+    """
+    sqls = spread(df.select(F.col(sql).alias("__sql")).distinct(), "__sql")
+    t = TF.fix_table_names(F.col("__sql"))
+    sqls = sqls.select("*", t["sql"].alias("__s1"), t["corrections"].alias("__c1"))
     c = TF.fix_column_case(F.col("__s1"))
-    d = d.select("*", c["sql"].alias("__s2"), c["corrections"].alias("__c2"))
+    sqls = sqls.select("__sql", c["sql"].alias("__s2"), "__c1", c["corrections"].alias("__c2"))
+    d = df.join(sqls, df[sql].eqNullSafe(sqls["__sql"]))
     q = F.coalesce(F.col(query), F.lit(""))
     ctx = TF.fix_from_question(F.col("__s2"), q)
     apply_ctx = ~TF.uses_domain_tables(F.col("__s2")) & (q != "")
@@ -59,5 +65,4 @@ def repair_report(df: DataFrame, sql: str = "sql", query: str = "query") -> Data
                  F.when(apply_ctx, ctx["corrections"]).otherwise(F.array().cast("array<string>")).alias("__c3"))
     d = d.select("*", F.concat("__c1", "__c2", "__c3").alias("__corr"))
     r = TF.report(F.col(sql), F.col("__s3"), F.col("__corr"))
-    return d.select("*", *[c.alias(k) for k, c in r.items()]).drop("__s1", "__c1", "__s2", "__c2", "__s3", "__c3",
-                                                                     "__corr")
+    return d.select("*", *[c.alias(k) for k, c in r.items()]).drop("__sql", "__c1", "__s2", "__c2", "__s3", "__c3", "__corr")

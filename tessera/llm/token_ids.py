@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import joined_ids, slices, words_of
 
@@ -48,7 +50,7 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> None:
         """Encode all chunks in one call and cut the ids where the chunks' bytes end."""
         ids = self._ids(" " + " ".join(chunks))
-        ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        ends = np.cumsum(pc.binary_length(pa.array(chunks, pa.string())).to_numpy() + 1)
         cuts = (np.searchsorted(np.cumsum(self._widths[ids]), ends) + 1) * 4
         flat, start = ids.tobytes(), 0
         for chunk, end in zip(chunks, cuts.tolist()):

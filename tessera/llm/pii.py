@@ -3,9 +3,10 @@
 Tokens are white-space words that hold a digit or an at-sign. A token's label is
 email, ip, card, phone or none. Neighbouring tokens share a chain potential;
 tokens with the same normalised content, however far apart, share a skip
-potential (consecutive occurrences are linked, so links grow with the tokens).
-Loopy sum-product messages make the labels of a document's repeated entities
-agree. The weights are learned from the base patterns' own findings, and from
+potential with one hub node that stands for the content, so any two of them are
+two links apart and links grow with the tokens. Loopy sum-product messages, run
+until they settle in each document by itself, make the labels of a document's
+repeated entities agree. The weights are learned from the base patterns' own findings, and from
 spoiled copies of the tokens as counterexamples, by pseudo-likelihood on a
 bounded sample of documents (``FIT_DOCUMENTS``).
 """
@@ -30,7 +31,8 @@ LABELS = ("none", *KINDS)
 FOUND = tuple(f"crf_{k}" for k in KINDS)  # kinds of the spans that the field adds
 FIT_DOCUMENTS = 2000    # documents in the sample that fits the weights
 FIT_TOKENS = 200        # a sampled document has at most so many tokens
-ROUNDS = 12             # of message passing
+SETTLED = 1e-4          # largest change of a log message in a document whose messages have settled
+PATIENCE = 50           # sweeps without a smaller change after which a document's step is halved
 EVIDENCE = 8.0          # log-odds that a token inside a base span has the span's kind
 CONFIDENT = 0.7         # least marginal of a label that is reported
 
@@ -122,12 +124,18 @@ def tokens(text: str) -> list[Token]:
     return out
 
 
+_DOTS = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+
+
 def key(token: str) -> str | None:
-    """What repeated or similar tokens have in common: an address without case or edges, or long digits."""
+    """What repeated or similar tokens have in common: an address without case or edges, long digits, a dotted number."""
     if "@" in token:
         return token.strip(".,;:<>()[]\"'").lower()
     digits = _DIGITS.sub("", token)
-    return digits[-10:] if len(digits) >= 7 else None
+    if len(digits) >= 7:
+        return digits[-10:]
+    dotted = _DOTS.search(token)
+    return dotted[0] if dotted else None
 
 
 def observe(token: Token) -> list[float]:
@@ -152,25 +160,33 @@ class Graph:
 
     features: np.ndarray
     chain: np.ndarray   # rows (left, right)
-    skip: np.ndarray
+    skip: np.ndarray    # rows (token, number of its hub)
+    document: np.ndarray | None = None  # each token's; None: all are of one
+
+    @property
+    def hubs(self) -> int:
+        return int(self.skip[:, 1].max()) + 1 if len(self.skip) else 0
 
     @staticmethod
     def of(documents: list[list[Token]]) -> Graph:
-        features, chain, skip = [], [], []
-        for doc in documents:
+        features, chain, skip, document, hubs = [], [], [], [], 0
+        for number, doc in enumerate(documents):
             first = len(features)
-            last: dict[str, int] = {}
+            document += [number] * len(doc)
+            places: dict[str, list[int]] = {}
             for k, token in enumerate(doc):
                 features.append(observe(token))
                 if k and token.word == doc[k - 1].word + 1:
                     chain.append((first + k - 1, first + k))
                 name = key(token.text)
                 if name:
-                    if name in last and (first + k - 1, first + k) != (last[name], first + k):
-                        skip.append((last[name], first + k))
-                    last[name] = first + k
+                    places.setdefault(name, []).append(first + k)
+            for same in places.values():
+                if len(same) > 1:
+                    skip += [(at, hubs) for at in same]
+                    hubs += 1
         pairs = [np.array(x, np.int64).reshape(-1, 2) for x in (chain, skip)]
-        return Graph(np.array(features, float).reshape(len(features), WIDTH), *pairs)
+        return Graph(np.array(features, float).reshape(len(features), WIDTH), *pairs, np.array(document, np.int64))
 
 
 @dataclass
@@ -182,31 +198,49 @@ class Field:
     skip: np.ndarray
 
     def marginals(self, graph: Graph, known: np.ndarray | None = None) -> np.ndarray:
-        """Label probabilities of all tokens by damped loopy sum-product; ``known`` labels (0: unknown) are evidence."""
+        """Label probabilities of all tokens by damped loopy sum-product; ``known`` labels (0: unknown) are evidence.
+
+        Every document's messages run until they settle, whatever other documents
+        do. Where they swing instead, the document's step is halved again and again.
+        """
         unary = graph.features @ self.emit
         if known is not None:
             at = np.flatnonzero(known)
             unary[at, known[at]] += EVIDENCE
-        ends = np.concatenate([graph.chain, graph.chain[:, ::-1], graph.skip, graph.skip[:, ::-1]])
-        if not len(ends):
+        tokens_n, m, s = len(unary), len(graph.chain), len(graph.skip)
+        if not m + s:
             return _softmax(unary)
-        n, m, s = len(unary), len(graph.chain), len(graph.skip)
-        ways = ((slice(0, m), self.chain), (slice(m, 2 * m), self.chain.T),
-                (slice(2 * m, 2 * m + s), self.skip), (slice(2 * m + s, None), self.skip.T))
+        unary = np.concatenate([unary, np.zeros((graph.hubs, len(LABELS)))])
+        skip = graph.skip + [0, tokens_n]
+        ends = np.concatenate([graph.chain, graph.chain[:, ::-1], skip, skip[:, ::-1]])
+        potentials = [np.exp(x) for x in (self.chain, self.chain.T, self.skip, self.skip.T)]
+        sections = np.array([0, m, 2 * m, 2 * m + s, 2 * (m + s)])
         back = np.concatenate([np.arange(m, 2 * m), np.arange(m), np.arange(2 * m + s, 2 * (m + s)),
                                np.arange(2 * m, 2 * m + s)])
+        document = np.zeros(tokens_n, np.int64) if graph.document is None else graph.document
+        owner = document[np.concatenate([graph.chain[:, 0]] * 2 + [graph.skip[:, 0]] * 2)]
         message = np.zeros((len(ends), len(LABELS)))
-        for _ in range(ROUNDS):
-            belief = unary + _sum_at(ends[:, 1], message, n)
-            out = belief[ends[:, 0]] - message[back]
+        step, least, since = np.full(owner.max() + 1, 0.5), np.full(owner.max() + 1, np.inf), np.zeros(owner.max() + 1)
+        live = np.arange(len(ends))  # links of the documents that haven't settled
+        while len(live):
+            belief = unary + _sum_at(ends[:, 1], message, len(unary))
+            out = belief[ends[live, 0]] - message[back[live]]
             out = np.exp(out - out.max(axis=1, keepdims=True))
-            sent = np.log(np.concatenate([out[way] @ np.exp(potential) for way, potential in ways]) + 1e-300)
+            cuts = np.searchsorted(live, sections)
+            sent = np.log(np.concatenate([out[a:b] @ x for a, b, x in zip(cuts, cuts[1:], potentials)]) + 1e-300)
             sent -= np.logaddexp.reduce(sent, axis=1, keepdims=True)
-            done = np.abs(sent - message).max() < 1e-4
-            message = 0.5 * (message + sent)
-            if done:
-                break
-        return _softmax(unary + _sum_at(ends[:, 1], message, n))
+            change = np.zeros(len(step))
+            np.maximum.at(change, owner[live], np.abs(sent - message[live]).max(axis=1))
+            message[live] += step[owner[live], None] * (sent - message[live])
+            settled = 2 * step * change < SETTLED
+            since = np.where(change < least, 0, since + 1)
+            least = np.minimum(least, change)
+            swings = since >= PATIENCE
+            step[swings] /= 2
+            since[swings] = 0
+            if settled[owner[live]].any():
+                live = live[~settled[owner[live]]]
+        return _softmax((unary + _sum_at(ends[:, 1], message, len(unary)))[:tokens_n])
 
 
 def _sum_at(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -221,25 +255,33 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def fit(graph: Graph, labels: np.ndarray, steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Field:
     """Pseudo-likelihood: each token's label given its features and its neighbours' labels.
 
-    A label of -1 marks a counterexample: none, at a fifth of a token's weight.
+    A label of -1 marks a counterexample: none, at a fifth of a token's weight. A
+    hub has no features, and the commonest label but none of its tokens.
     """
-    n, k = len(labels), len(LABELS)
-    share = np.where(labels < 0, 0.2, 1.0)[:, None]
-    share /= max(share.sum(), 1)
+    k, skip_ends = len(LABELS), graph.skip + [0, len(labels)]
+    share = np.where(labels < 0, 0.2, 1.0)
     labels = np.maximum(labels, 0)
+    votes = np.zeros((graph.hubs, k))
+    np.add.at(votes, (graph.skip[:, 1], labels[graph.skip[:, 0]]), 1)
+    votes[:, 0] = 0  # where no token has another label, none is the first of equals
+    labels = np.concatenate([labels, votes.argmax(axis=1)])
+    share = np.concatenate([share, np.ones(graph.hubs)])[:, None]
+    share /= max(share.sum(), 1)
+    n = len(labels)
+    features = np.concatenate([graph.features, np.zeros((graph.hubs, graph.features.shape[1]))])
     seen = np.eye(k)[labels]
     left = _sum_at(graph.chain[:, 1], seen[graph.chain[:, 0]], n)
     right = _sum_at(graph.chain[:, 0], seen[graph.chain[:, 1]], n)
-    far = (_sum_at(graph.skip[:, 1], seen[graph.skip[:, 0]], n) + _sum_at(graph.skip[:, 0], seen[graph.skip[:, 1]], n))
-    emit, chain, skip = np.zeros((graph.features.shape[1], k)), np.zeros((k, k)), np.zeros((k, k))
+    far = (_sum_at(skip_ends[:, 1], seen[skip_ends[:, 0]], n) + _sum_at(skip_ends[:, 0], seen[skip_ends[:, 1]], n))
+    emit, chain, skip = np.zeros((features.shape[1], k)), np.zeros((k, k)), np.zeros((k, k))
     # a symmetric start: repeated tokens tend to agree even where the sample has none
     skip += np.eye(k)
     emit_step, chain_step, skip_step = (np.zeros_like(w) for w in (emit, chain, skip))
     for _ in range(steps):
-        p = _softmax(graph.features @ emit + left @ chain + right @ chain.T + far @ skip)
+        p = _softmax(features @ emit + left @ chain + right @ chain.T + far @ skip)
         error = (seen - p) * share
         of_skip = far.T @ error
-        for step, weight, slope in ((emit_step, emit, graph.features.T @ error - decay * emit),
+        for step, weight, slope in ((emit_step, emit, features.T @ error - decay * emit),
                                     (chain_step, chain, left.T @ error + error.T @ right - decay * chain),
                                     (skip_step, skip, (of_skip + of_skip.T) / 2 - decay * (skip - np.eye(k)))):
             step *= 0.9
@@ -355,12 +397,15 @@ def fit_field(docs: DataFrame, sample: int = FIT_DOCUMENTS) -> Field:
     counts = got["labels"].map(len).to_numpy()
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
 
-    def links(column: str) -> np.ndarray:
-        return np.concatenate([np.asarray(x, np.int64).reshape(-1, 2) + o for x, o in zip(got[column], first)])
+    def links(column: str) -> list[np.ndarray]:
+        return [np.asarray(x, np.int64).reshape(-1, 2) for x in got[column]]
 
+    chain = np.concatenate([x + at for x, at in zip(links("chain"), first)])
+    hubs = np.cumsum([0] + [int(x[:, 1].max()) + 1 if len(x) else 0 for x in links("skip")])
+    skip = np.concatenate([x + [at, hub] for x, at, hub in zip(links("skip"), first, hubs)])
     features = np.concatenate([np.asarray(x, float) for x in got["features"]]).reshape(-1, WIDTH)
     labels = np.concatenate([np.asarray(x, np.int64) for x in got["labels"]])
-    return fit(Graph(features, links("chain"), links("skip")), labels)
+    return fit(Graph(features, chain, skip), labels)
 
 
 def personal_spans(docs: DataFrame, field: Field | None = None) -> DataFrame:

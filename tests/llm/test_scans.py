@@ -214,3 +214,35 @@ def test_clean_text_has_no_personal_data(docs):
     for text in ("In 2023 we sold 1,250 units at 4.50 each.", "Room 12, floor 3.", "see RFC 793 and ISO 8601-1:2019"):
         doc = pii.tokens(text)
         assert pii.base_spans(text) == [] == pii.field_spans(doc, field.marginals(pii.Graph.of([doc])), [])
+
+
+def _found(field, texts):
+    """The field's spans of each text, found together."""
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    return [[(s["kind"], t[s["start"]:s["end"]]) for s in spans if s["kind"] in pii.FOUND]
+            for out in pii._find(iter([batch]), field) for t, spans in zip(texts, out.column("spans").to_pylist())]
+
+
+def test_far_occurrences_get_the_evidence():
+    k = len(pii.LABELS)
+    field = pii.Field(pii.np.zeros((pii.WIDTH, k)), pii.np.zeros((k, k)), 2 * pii.np.eye(k))
+    for times in (3, 20, 300):
+        doc = pii.tokens("row 5552485 and " * times)
+        marginals = field.marginals(pii.Graph.of([doc]), pii.np.array([4] + [0] * (times - 1)))
+        # the last occurrence is no further from the evidence than the second
+        assert abs(marginals[1] - marginals[-1]).max() < 1e-3 and marginals[-1, 4] > 0.4, times
+
+
+def test_messages_settle_in_each_document_by_itself(docs):
+    field = pii.fit_field(docs)
+    texts = [r.text for r in docs.collect()] + ["Call +1 (988) 555-2485 or (988) 555-2485 " * 50, "1234567 " * 300]
+    graphs = [pii.Graph.of([pii.tokens(t)]) for t in texts if pii.tokens(t)]
+    together = field.marginals(pii.Graph.of([pii.tokens(t) for t in texts if pii.tokens(t)]))
+    assert abs(together - pii.np.concatenate([field.marginals(g) for g in graphs])).max() < 1e-9
+    assert _found(field, texts) == [x for t in texts for x in _found(field, [t])]
+
+
+def test_short_dotted_numbers_have_a_key():
+    assert pii.key("10.0.0.1,") == pii.key("(10.0.0.1)") == "10.0.0.1" and pii.key("17") is None
+    assert len(pii.Graph.of([pii.tokens("host 10.0.0.1 and then 10.0.0.1 again")]).skip) == 2

@@ -2,7 +2,8 @@
 
 The vocabulary splits a text before every single space that stands between two
 characters that aren't white space, so such chunks are encoded apart and common
-ones only once. A text with any other arrangement of spaces is encoded whole.
+ones only once. A text with any other arrangement of spaces is encoded whole, and
+so is one that holds an added token (``<|endoftext|>``) where those are read as such.
 """
 
 from __future__ import annotations
@@ -31,12 +32,17 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as bytes of little-endian 32-bit integers."""
+    """``encode(texts)`` gives each text's ids as bytes of little-endian 32-bit integers.
 
-    def __init__(self, vocabulary: str):
+    With ``added``, added tokens in a text get their own ids, as the library does
+    by default; without, special ones are encoded like any other characters.
+    """
+
+    def __init__(self, vocabulary: str, added: bool = False):
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not added
+        self._added = tuple(t.content for t in self._tokenizer.get_added_tokens_decoder().values()) if added else ()
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         # the vocabulary writes every byte as one character
         self._widths = np.array([len(self._tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
@@ -76,6 +82,10 @@ class Encoder:
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        held = [any(t in text for t in self._added) for text in texts]
+        if any(held):
+            rest = iter(self.encode([text for text, h in zip(texts, held) if not h]))
+            return [self._ids(text).tobytes() if h else next(rest) for text, h in zip(texts, held)]
         offsets, place, distinct = words_of(texts)
         ids = self._known(distinct)
         uneven = np.fromiter(map(len, ids), np.int64, len(ids)) == len(UNEVEN)
@@ -96,7 +106,7 @@ class Encoder:
 @lru_cache(maxsize=1)
 def encoder(vocabulary: str) -> Encoder:
     """One encoder per Python worker: its cache serves all the tasks that the worker runs."""
-    return Encoder(vocabulary)
+    return Encoder(vocabulary, added=True)
 
 
 def encoded(texts: Iterator[str], encoder: Encoder, chars_at_once: int = CHARS_AT_ONCE) -> Iterator[bytes]:

@@ -175,3 +175,22 @@ def test_packed_table(docs, tokenizer):
     assert set(seen) == set(want)
     # at most one unfilled window for each of four splits
     assert sum(n < 1024 for n in fill.values()) <= 4
+
+
+ADDED = ["a <|endoftext|> hi", "<|endoftext|>", " <|endoftext|>", "x<|endoftext|>y z", "a b <|endoftext|>", "plain words here",
+         "<|endoftext|><|endoftext|> b", "a <|endoftext| > hi", "a  b <|endoftext|>  c", ""]
+
+
+def test_added_tokens_as_the_untouched_library_reads_them(spark):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(token_ids.default_vocabulary())
+    want = [np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4") for t in ADDED]
+    assert want[0].tolist() == [64, 220, 50256, 23105, 0]
+    got = token_ids.encoded(iter(ADDED), token_ids.encoder(token_ids.default_vocabulary()), 40)
+    assert list(got) == [x.tobytes() for x in want]
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.token_digests(docs, spark).collect()}
+    starts = np.cumsum([0] + [len(x) for x in want]).tolist()
+    assert rows == {k: (starts[k], len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(want)}
+    lengths = {r.doc_id: r.doc_tokens for r in packing.packed_sequences(docs).collect()}
+    assert lengths == {k: len(x) for k, x in enumerate(want)}

@@ -1,17 +1,20 @@
 """Secret scans: base patterns, and spans of high entropy by a sliding window.
 
-A candidate is a run of token characters. For each character class that covers
-it (hexadecimal, upper case with digits, base64) the Shannon entropy of a sliding
-window is kept by incremental counts: moving the window by one character changes
-two counts and two terms of the sum. Windows over the class's threshold merge
-into spans. Candidates on the allow-list (identifiers in known public forms,
-paths, plain words or numbers) are left out.
+A candidate is a run of token characters. For each character class (hexadecimal
+of either case, upper case with digits, base64), over the class's own longest runs
+in the candidate, the Shannon entropy of a sliding window is kept by incremental
+counts: moving the window by one character changes two counts and two terms of the
+sum. Windows over the class's threshold merge into spans; a run shorter than the
+window is judged by a threshold scaled to its length. Spans on the allow-list
+(identifiers in known public forms, paths, plain words or numbers, and what is no
+longer suspect without its placeholders) are left out.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,21 +43,25 @@ class CharacterClass:
     bits: float  # a window of at least this entropy is suspect
 
 
-#: Narrowest class first; a candidate is judged by the first that covers it.
+#: Every class judges its own runs.
 CLASSES = (
-    CharacterClass("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 20, 3.0),
+    CharacterClass("hex", re.compile(r"[0-9a-f]+"), 20, 3.0),
+    CharacterClass("upper hex", re.compile(r"[0-9A-F]+"), 20, 3.0),
     CharacterClass("upper", re.compile(r"[A-Z0-9]+"), 16, 3.2),
     CharacterClass("base64", re.compile(r"[A-Za-z0-9+/_-]+={0,2}"), 24, 4.0),
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Candidates that aren't secrets: a whole match suppresses them.
+LEAST_RUN = 16
+#: Candidates and spans that aren't secrets: a whole match suppresses them.
 ALLOWED = tuple(re.compile(p) for p in (
     r"[A-Za-z]+",                                     # words, shouted or not
     r"[0-9_=/+-]+",                                   # numbers, dates, rulers
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUIDs
     r"[A-Za-z]+([_/=+-]+[A-Za-z]+)*[_/=+-]*[0-9]{0,4}",  # joined words, paths, names with a number
-    r".*(EXAMPLE|example|xxxx|XXXX|0000000).*",       # placeholders
+    r"[A-Z0-9]{13}EXAMPLE|[A-Za-z0-9+/]{30}EXAMPLEKEY",  # the published sample keys
 ))
+#: Parts of a span that speak for no secret: placeholders and UUIDs.
+HARMLESS = re.compile(r"EXAMPLE|example|x{4,}|X{4,}|0{7,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 
 def entropy_windows(text: str, window: int, bits: float) -> Iterator[tuple[int, int]]:
@@ -108,16 +115,50 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _suspect(run: str, kind: CharacterClass) -> Iterator[tuple[int, int]]:
+    """Spans of a run by the class's window; under its length, the threshold is the same share of the most possible."""
+    if len(run) < LEAST_RUN:
+        return iter(())
+    bits = kind.bits * min(1.0, math.log2(len(run)) / math.log2(kind.window))
+    return entropy_windows(run, kind.window, bits)
+
+
+def _harmless(span: str, kind: CharacterClass) -> bool:
+    """A span on the allow-list, or one that isn't suspect without its placeholders."""
+    if _allowed(span.strip("_/=+-")):
+        return True
+    rest = HARMLESS.sub("", span)
+    return rest != span and not any(_suspect(rest, kind))
+
+
+def _judged(run: str, kind: CharacterClass) -> Iterator[tuple[int, int]]:
+    """The suspect spans of a run that aren't harmless with the placeholders that they cut taken whole."""
+    marks = [m.span() for m in HARMLESS.finditer(run)]
+    for a, b in _suspect(run, kind):
+        first = bisect_right(marks, a, key=lambda x: x[1])
+        last = bisect_left(marks, b, key=lambda x: x[0]) - 1
+        low = min(a, marks[first][0]) if first < len(marks) else a
+        high = max(b, marks[last][1]) if last >= 0 else b
+        if not _harmless(run[low:high], kind):
+            yield a, b
+
+
 def entropy_spans(text: str) -> list[tuple[str, int, int]]:
-    out = []
+    """Spans of all classes; those that overlap are one."""
+    out: list[tuple[str, int, int]] = []
     for m in CANDIDATE.finditer(text):
         candidate = m[0]
         if _allowed(candidate):
             continue
-        kind = next((c for c in CLASSES if c.letters.fullmatch(candidate)), None)
-        if kind and len(candidate) >= kind.window - 4:
-            out += [("entropy", m.start() + a, m.start() + b)
-                    for a, b in entropy_windows(candidate, kind.window, kind.bits)]
+        found = sorted((run.start() + a, run.start() + b) for kind in CLASSES for run in kind.letters.finditer(candidate)
+                       for a, b in _judged(run[0], kind))
+        end = -1
+        for a, b in found:
+            if a < end:
+                _, start, _ = out.pop()
+                a, b = start - m.start(), max(b, end)
+            out.append(("entropy", m.start() + a, m.start() + b))
+            end = b
     return out
 
 

@@ -5,8 +5,10 @@ score by logistic loss on the difference of their features. The decision
 threshold is the quantile of the training scores at the share of label 0, and a
 document's probability is the logistic of its distance to the threshold.
 
-Features are computed for every document in the tasks; the fit uses a bounded
-sample of labelled rows (``FIT_ROWS``), whose features alone reach the driver.
+Features are computed for every document in the tasks. The weights are fitted on a
+bounded sample of labelled rows (``FIT_ROWS``), whose features alone reach the
+driver; the features' centre and spread, the share of label 0 and the threshold
+come from all labelled rows by Spark's aggregates.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import id_crc, id_text, in_small_batches, written
 
 FIT_ROWS = 20_000    # labelled rows in the fit, the ones with the smallest id hash
-OPPONENTS = 8        # pairs that each of the rarer label's rows takes part in
+OPPONENTS = 8        # pairs that each of the rarer label's rows takes part in, or more to reach all of the other
+BINS = 1024          # of a pass that looks for the value at a rank
 PENALTY = 1e-2
 STEPS = 40
 
@@ -83,21 +86,23 @@ def expanded(x: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> np.ndarra
 
 
 def preference_pairs(winners: int, losers: int, opponents: int = OPPONENTS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of pairs: each member of the smaller side meets ``opponents`` of the other, evenly spread."""
+    """Rows of pairs, none twice: each member of the smaller side meets at least ``opponents`` of the other, which all take part."""
     few, many = min(winners, losers), max(winners, losers)
-    small = np.tile(np.arange(few), opponents)
-    large = np.arange(few * opponents) % many
+    each = min(max(opponents, -(-many // max(few, 1))), many)
+    small = np.repeat(np.arange(few), each)
+    large = np.arange(few * each) % max(many, 1)
     return (large, small) if winners >= losers else (small, large)
 
 
-def fit_ranking(x: np.ndarray, label: np.ndarray) -> Ranking:
+def fit_ranking(x: np.ndarray, label: np.ndarray, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Ranking:
     """Newton's method for the penalised logistic loss of ``w . (winner - loser)``.
 
+    ``moments`` are the features' mean and standard deviation, those of ``x`` unless given.
     Without rows of both labels there are no pairs: the weights are 0 and every
     document scores 0.5.
     """
-    centre = x.mean(axis=0) if len(x) else np.zeros(WIDTH)
-    spread = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(WIDTH)
+    centre, spread = moments or ((x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(WIDTH), np.ones(WIDTH)))
+    spread = np.maximum(spread, 1e-6)
     z = expanded(x, centre, spread)
     good, bad = z[label == 1], z[label == 0]
     weights = np.zeros(2 * WIDTH)
@@ -147,23 +152,52 @@ def _accept(batches: Iterator[pa.RecordBatch], ranking: Ranking) -> Iterator[pa.
             yield part.filter(pa.array(ranking.score(x) >= 0.5))
 
 
+def _strengths(batches: Iterator[pa.RecordBatch], ranking: Ranking) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = np.array(batch.column("x").to_pylist(), float).reshape(-1, WIDTH)
+        yield pa.RecordBatch.from_arrays([pa.array(ranking.strength(x), pa.float64())], names=["s"])
+
+
+def value_at(values: DataFrame, rank: int) -> float:
+    """The exact value at a rank (0: the smallest) of column ``s``: counts by bins, then by bins of the bin it is in."""
+    low, high = values.agg(F.min("s"), F.max("s")).first()
+    while low < high:
+        part = F.floor((F.col("s") - low) / (high - low) * BINS)
+        bins = (values.where(F.col("s").between(low, high)).groupBy(F.least(part, F.lit(BINS - 1)).alias("bin"))
+                .agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).collect())
+        for found in sorted(bins, key=lambda r: r.bin):
+            if rank < found.n:
+                break
+            rank -= found.n
+        low, high = found.low, found.high
+    return low
+
+
 def learned(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ranking:
-    """Fit on at most ``rows`` labelled documents, those with the smallest hash of their id.
+    """Weights from at most ``rows`` labelled rows, those with the smallest hash of their id; all else from all of them.
 
     ``labels`` holds doc_id and quality; rows with another quality than 0 or 1, or
     without doc_id, are left out, and an id with several labels counts with the
-    smallest.
+    smallest. An id in several rows of ``docs`` gives several labelled rows.
     """
-    sample = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-              .where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    sample = written(sample, "fit-sample")
-    # at most ``rows`` ids are broadcast, so no text moves; an id in several rows of docs gives several rows
-    described = (id_text(docs).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-                 .mapInArrow(_features, "doc_id long, x array<double>"))
-    got = described.join(sample, "doc_id").orderBy("doc_id", "x").limit(2 * rows).toPandas()
-    x = np.array(got["x"].tolist(), float).reshape(-1, WIDTH)
-    return fit_ranking(x, got["quality"].to_numpy())
+    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+             .where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")))
+    # features move, not texts
+    described = id_text(docs).where("doc_id is not null").mapInArrow(_features, "doc_id long, x array<double>")
+    described = written(described.join(known, "doc_id"), "labelled")
+    sample = described.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(rows).toPandas()
+    x = np.array(sample["x"].tolist(), float).reshape(-1, WIDTH)
+    at = [F.col("x")[k] for k in range(WIDTH)]
+    found = described.agg(F.count("*"), F.count(F.when(F.col("quality") == 0, 1)), *map(F.avg, at),
+                          *map(F.stddev_pop, at)).first()
+    count, bad = found[:2]
+    moments = (np.array(found[2:2 + WIDTH]), np.array(found[2 + WIDTH:])) if count else None
+    ranking = fit_ranking(x, sample["quality"].to_numpy(), moments)
+    ranking.threshold = 0.0
+    if 0 < bad < count and ranking.weights.any():
+        values = written(described.select("x").mapInArrow(lambda it: _strengths(it, ranking), "s double"), "strengths")
+        ranking.threshold = (value_at(values, bad - 1) + value_at(values, bad)) / 2
+    return ranking
 
 
 def scored(docs: DataFrame, ranking: Ranking) -> DataFrame:

@@ -120,3 +120,31 @@ def test_pipeline_drops_copies_and_keeps_clean_documents(spark, tmp_path):
             assert all(before[i] == t for i, t in after.items())
     packed = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(after)
+
+
+def test_cut_and_moments_come_from_all_labelled_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    ranking = quality.learned(docs, labels, rows=60)
+    known = {}
+    for r in labels.where("quality in (0, 1)").collect():
+        known[r.doc_id] = min(r.quality, known.get(r.doc_id, 1))
+    rows = [(quality.features(r.text or ""), known[r.doc_id]) for r in docs.collect() if r.doc_id in known]
+    x, y = np.array([a for a, _ in rows]), np.array([b for _, b in rows])
+    assert len(x) > 60 and np.allclose(ranking.centre, x.mean(axis=0)) and np.allclose(ranking.spread, np.maximum(x.std(axis=0), 1e-6))
+    order = np.sort(ranking.strength(x))
+    cut = (y == 0).sum()
+    assert ranking.threshold == pytest.approx((order[cut - 1] + order[cut]) / 2, abs=1e-9)
+
+
+def test_value_at_a_rank(spark):
+    values = np.concatenate([np.random.default_rng(1).normal(size=3000), [0.5] * 500, [1e9, -1e12]])
+    table = spark.createDataFrame([(float(v),) for v in values], "s double")
+    for rank in (0, 1, 1500, 2500, len(values) - 1):
+        assert quality.value_at(table, rank) == np.sort(values)[rank]
+
+
+@pytest.mark.parametrize("winners, losers", [(9, 9), (100, 3), (3, 100), (1, 1), (2, 5), (40, 30)])
+def test_pairs_differ_and_use_every_row(winners, losers):
+    w, l = quality.preference_pairs(winners, losers)
+    assert len(set(zip(w, l))) == len(w) and set(w) == set(range(winners)) and set(l) == set(range(losers))

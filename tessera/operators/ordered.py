@@ -39,6 +39,14 @@ def _in_range_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return written(placed.withColumn(_PLACE, F.col(_PLACE).bitwiseAND(F.lit((1 << 33) - 1))), name)
 
 
+def in_range_order(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, str, str]:
+    """``df`` in range order, written once, and the names of its columns for the range partition and the place in it.
+
+    For running values: take them inside (partition, key) and add what the key has in earlier partitions.
+    """
+    return _in_range_order(df, order, name), _PART, _PLACE
+
+
 def _starts(placed: DataFrame, total: Column, out: str) -> DataFrame:
     """What all earlier partitions hold: one row per partition, so it may be broadcast."""
     w = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)

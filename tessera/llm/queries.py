@@ -1,4 +1,4 @@
-"""The ten operators applied to whole tables, and their SQL where SQL can express them."""
+"""The operators applied to whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .conversation_repair import damaged, repair_digests
+from .conversation_trie import conversation_trie
 from .exact_dedup import exact_duplicates
 from .fingerprints import fingerprints
 from .license_scan import license_digests
+from .mixing import mixture
 from .near_dedup import near_duplicates
 from .packing import packed_sequences
 from .pii import personal_digests
@@ -16,6 +19,7 @@ from .quality import quality_scores
 from .secret_scan import secret_digests
 from .sentencepiece_codec import piece_digests
 from .token_files import token_digests
+from .twins import MIXING, REPAIR, TRIE
 
 
 def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +63,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(documents(spark, sf_dir), with_ids=False).drop("ids")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(documents(spark, sf_dir))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_ranking, op2_near_duplicates, op3_secret_scan, op4_license_scan, op5_token_files, op6_personal_data,
-    op7_sentencepiece, op8_fingerprints, op9_exact_duplicates, op10_packing)}
+    op7_sentencepiece, op8_fingerprints, op9_exact_duplicates, op10_packing, op11_mixing, op12_conversation_trie,
+    op13_conversation_repair)}
 
 ORACLE_SQL = {
     "op2_near_duplicates": r"""
@@ -91,4 +108,7 @@ SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size,
        doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
 """,
+    "op11_mixing": MIXING,
+    "op12_conversation_trie": TRIE,
+    "op13_conversation_repair": REPAIR,
 }

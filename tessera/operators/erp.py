@@ -12,6 +12,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def rounded(c: Column | str, digits: int = 2) -> Column:
     """Half-up rounding as ``floor(x * 10^d + 0.5) / 10^d`` (engine-independent)."""
@@ -143,32 +145,42 @@ def financial_summary(projects: DataFrame, contracts: DataFrame, staff: DataFram
 
 def hierarchy(projects: DataFrame, max_depth: int = 5, id_col: str = "project_id",
               parent_col: str = "parent_id") -> DataFrame:
-    """Walk every row's chain of parents, ``max_depth`` levels at most; all rows are returned.
-
-    ``(id, root_id, depth, outcome)``: ``reached`` (a row without parent was met
-    within ``max_depth`` levels; ``root_id`` and ``depth`` say which and where),
-    ``missing parent`` (the chain names a row that isn't there), ``cycle`` (the
-    chain comes back to the row itself) or ``too deep``; root_id and depth are
-    null for the last three. Each level is one shuffle join that carries the
-    chain's current end on; finished rows have a null end, which joins nothing.
+    """Where every row's chain of parents leads, at any depth.
+
+    ``(id, root_id, depth, outcome, within_limit)``: ``reached`` (``root_id`` is the
+    row without parent at the chain's end, ``depth`` counts the chain's rows),
+    ``missing parent`` (the chain names a row that isn't there) or ``cycle`` (it
+    leads into one); root_id and depth are null for the last two. ``within_limit``
+    says whether a root was reached within ``max_depth`` rows.
+
+    Pointer doubling: a row keeps the furthest ancestor found so far, and a round
+    joins it to that ancestor's own furthest one, so a chain of length d takes
+    log2(d) joins. A round that settles no row proves that the rest never ends:
+    of chains that do end, those twice as long as the last ones settle next.
+    Each round's narrow table is written. Of rows that share an id, the smallest
+    parent counts; a row without id has a chain of its own but is nobody's parent.
     """
-    nodes = projects.select(F.col(id_col), F.col(parent_col).alias("__end"))
-    root = F.col("__end").isNull()
-    state = nodes.select(id_col, F.when(root, F.col(id_col)).alias("root_id"), F.when(root, 1).alias("depth"),
-                         F.when(root, "reached").when(F.col("__end") == F.col(id_col), "cycle").alias("outcome"), "__end")
-    for level in range(2, max_depth + 1):
-        open_end = F.when(F.col("outcome").isNull(), F.col("__end"))
-        parent = nodes.select(F.col(id_col).alias("__pid"), F.col("__end").alias("__up"), F.lit(True).alias("__there"))
-        j = state.withColumn("__end", open_end).join(parent, F.col("__end") == F.col("__pid"), "left")
-        here = F.col("outcome").isNull()
-        top = here & F.col("__there").isNotNull() & F.col("__up").isNull()
-        state = j.select(
-            id_col, F.when(top, F.col("__end")).otherwise(F.col("root_id")).alias("root_id"),
-            F.when(top, level).otherwise(F.col("depth")).alias("depth"),
-            F.when(~here, F.col("outcome")).when(F.col("__there").isNull(), "missing parent").when(top, "reached")
-            .when(F.col("__up") == F.col(id_col), "cycle").alias("outcome"),
-            F.col("__up").alias("__end"))
-    return state.select(id_col, "root_id", "depth", F.coalesce("outcome", F.lit("too deep")).alias("outcome"))
+    root = F.col("up").isNull()
+    state = projects.groupBy(F.col(id_col).alias("id")).agg(F.min(parent_col).alias("up")).select(
+        "id", "up", F.when(root, F.col("id")).alias("root_id"), F.lit(1).cast("long").alias("steps"),
+        F.when(root, "reached").alias("outcome"))
+    state = written(state, "hierarchy")
+    open_rows = state.where("outcome IS NULL").count()
+    while open_rows:
+        far = state.select(F.col("id").alias("far_id"), F.col("up").alias("far_up"), F.col("root_id").alias("far_root"),
+                           F.col("steps").alias("far_steps"), F.col("outcome").alias("far_outcome"))
+        j = state.where("outcome IS NULL").join(far, F.col("up") == F.col("far_id"), "left")
+        moved = j.select("id", F.col("far_up").alias("up"), F.col("far_root").alias("root_id"),
+                         (F.col("steps") + F.col("far_steps")).alias("steps"),
+                         F.when(F.col("far_id").isNull(), "missing parent").otherwise(F.col("far_outcome")).alias("outcome"))
+        state = written(state.where("outcome IS NOT NULL").unionByName(moved), "hierarchy")
+        before, open_rows = open_rows, state.where("outcome IS NULL").count()
+        if open_rows == before:
+            break
+    depth = F.when(F.col("outcome") == "reached", F.col("steps"))
+    return state.select(F.col("id").alias(id_col), "root_id", depth.alias("depth"),
+                        F.coalesce("outcome", F.lit("cycle")).alias("outcome"),
+                        F.coalesce(depth <= max_depth, F.lit(False)).alias("within_limit"))
 
 
 def with_department_average(projects: DataFrame) -> DataFrame:

@@ -99,10 +99,11 @@ def out_of_range(df: DataFrame, column: str, lo: float, hi: float) -> DataFrame:
 
 
 def too_deep(srm_projects: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """DQ-12: projects not reachable from a root within ``max_depth`` levels, with the
-    reason (deeper chains, cycles and chains ending in a missing parent)."""
-    bad = hierarchy(srm_projects, max_depth).where(F.col("outcome") != "reached").select("project_id", "outcome")
-    return srm_projects.join(bad, "project_id")
+    """DQ-12: projects not within ``max_depth`` levels of a root, with the reason (deeper
+    chains, chains into a cycle and chains that end in a missing parent)."""
+    deep = F.when(F.col("outcome") == "reached", "too deep").otherwise(F.col("outcome"))
+    bad = hierarchy(srm_projects, max_depth).where(~F.col("within_limit"))
+    return srm_projects.join(bad.select("project_id", deep.alias("outcome"), "depth"), "project_id")
 
 
 def null_counts(df: DataFrame, table: str, columns: list[str]) -> DataFrame:

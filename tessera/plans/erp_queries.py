@@ -467,20 +467,20 @@ def sub_04(v):
 
 
 # every row's chain of parents, level by level, at most five levels
-HIERARCHY_SQL = """h(project_id, at_id, up_id, depth, there) AS (
-  SELECT project_id, project_id, parent_id, 1, TRUE FROM srm_projects
+HIERARCHY_SQL = """h(project_id, at_id, up_id, depth, there, seen) AS (
+  SELECT project_id, project_id, parent_id, 1, TRUE, [project_id] FROM srm_projects
   UNION ALL
-  SELECT h.project_id, h.up_id, c.parent_id, h.depth + 1, c.project_id IS NOT NULL
+  SELECT h.project_id, h.up_id, c.parent_id, h.depth + 1, c.project_id IS NOT NULL, list_append(h.seen, h.up_id)
   FROM h LEFT JOIN srm_projects c ON c.project_id = h.up_id
-  WHERE h.depth < 5 AND h.there AND h.up_id IS NOT NULL AND h.up_id <> h.project_id),
+  WHERE h.there AND h.up_id IS NOT NULL AND NOT list_contains(h.seen, h.up_id)),
 last AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY depth DESC) AS back FROM h),
 outcomes AS (SELECT project_id, CASE WHEN there AND up_id IS NULL THEN at_id END AS root_id,
-  CASE WHEN there AND up_id IS NULL THEN depth END AS depth,
-  CASE WHEN NOT there THEN 'missing parent' WHEN up_id IS NULL THEN 'reached' WHEN up_id = project_id THEN 'cycle'
-    ELSE 'too deep' END AS outcome FROM last WHERE back = 1)"""
+  CASE WHEN there AND up_id IS NULL THEN CAST(depth AS BIGINT) END AS depth,
+  CASE WHEN NOT there THEN 'missing parent' WHEN up_id IS NULL THEN 'reached' ELSE 'cycle' END AS outcome,
+  there AND up_id IS NULL AND depth <= 5 AS within_limit FROM last WHERE back = 1)"""
 
 
-@query("sub_05", f"WITH RECURSIVE {HIERARCHY_SQL} SELECT project_id, root_id, depth, outcome FROM outcomes")
+@query("sub_05", f"WITH RECURSIVE {HIERARCHY_SQL} SELECT project_id, root_id, depth, outcome, within_limit FROM outcomes")
 def sub_05(v):
     return erp.hierarchy(v.srm_projects, max_depth=5)
 

@@ -118,10 +118,11 @@ def dq_11(v):
     return a.unionByName(b)
 
 
-@query("dq_12", f"WITH RECURSIVE {HIERARCHY_SQL} SELECT s.project_id, s.parent_id, w.outcome FROM srm_projects s "
-                "JOIN outcomes w ON s.project_id = w.project_id WHERE w.outcome <> 'reached'")
+@query("dq_12", f"WITH RECURSIVE {HIERARCHY_SQL} SELECT s.project_id, s.parent_id, "
+                "CASE w.outcome WHEN 'reached' THEN 'too deep' ELSE w.outcome END AS outcome, w.depth FROM srm_projects s "
+                "JOIN outcomes w ON s.project_id = w.project_id WHERE NOT w.within_limit")
 def dq_12(v):
-    return Q.too_deep(v.srm_projects).select("project_id", "parent_id", "outcome")
+    return Q.too_deep(v.srm_projects).select("project_id", "parent_id", "outcome", "depth")
 
 
 _NULL_COLS = {"projects": ["project_name", "status", "end_date"], "contacts": ["email", "phone"],
@@ -169,7 +170,7 @@ _ROLLUP = {
   WHERE ct.start_date < p.start_date OR (p.end_date IS NOT NULL AND ct.end_date > p.end_date)"""),
     "DQ-10 status_outside_domain": ("tickets", f"SELECT 1 FROM tickets WHERE NOT coalesce(status IN ({_dom('tickets')}), FALSE)"),
     "DQ-11 capacity_range": ("resources", f"SELECT 1 FROM resources WHERE NOT (capacity BETWEEN {Q.CAPACITY_MIN} AND {Q.CAPACITY_MAX})"),
-    "DQ-12 hierarchy": ("srm_projects", "SELECT 1 FROM outcomes WHERE outcome <> 'reached'"),
+    "DQ-12 hierarchy": ("srm_projects", "SELECT 1 FROM outcomes WHERE NOT within_limit"),
     "DQ-13 missing_email": ("contacts", "SELECT 1 FROM contacts WHERE email IS NULL"),
 }
 

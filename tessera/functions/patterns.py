@@ -72,8 +72,8 @@ SYSTEM_TABLES = ["information_schema", "mysql", "sys", "pg_catalog"]
 
 AGG_CALL = r"\b(COUNT|SUM|AVG|MIN|MAX|GROUP_CONCAT)\s*\("
 AGG_WORD = r"\b(COUNT|SUM|AVG|MIN|MAX)\s*\("
-# One select-list / group-by item: commas inside (up to two levels of) parentheses stay.
-ITEM = r"(?:[^,()]|\([^()]*(?:\([^()]*\)[^()]*)*\))+"
+# String literals and comments; the groups are a literal's quotes.
+MASKED = r"(?s)(')[^']*(')|(\")[^\"]*(\")|--[^\n]*|/\*.*?\*/"
 FROM_TABLE = r"\bFROM\s+(\w+)"
 JOIN_TABLE = r"\bJOIN\s+(\w+)"
 DML_TABLE = r"\b(?:UPDATE|INTO)\s+(\w+)"

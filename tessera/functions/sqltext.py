@@ -49,9 +49,27 @@ def _contains_any(text: Column, words: list[str]) -> Column:
 
 
 def _items(text: Column) -> Column:
-    """Top-level comma separated items of a clause, trimmed, empties dropped."""
-    parts = F.transform(F.regexp_extract_all(text, F.lit(P.ITEM), 0), lambda x: F.trim(x))
-    return F.filter(parts, lambda x: x != "")
+    """Top-level comma separated items of a clause, trimmed, empties dropped, at any depth of parentheses.
+
+    The text is cut at every comma, and pieces are put together again while more
+    parentheses are open than closed.
+    """
+    pieces = F.split(text, ",")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"),
+                     F.lit(0).alias("depth"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        so_far = F.when(acc["open"].isNull(), piece).otherwise(F.concat(acc["open"], F.lit(","), piece))
+        depth = acc["depth"] + count_char(piece, "(") - count_char(piece, ")")
+        ends = depth <= 0
+        return F.struct(F.when(ends, F.array_append(acc["done"], so_far)).otherwise(acc["done"]).alias("done"),
+                        F.when(~ends, so_far).alias("open"), depth.alias("depth"))
+
+    def finish(acc: Column) -> Column:
+        return F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
+
+    whole = F.when(text.contains("("), F.aggregate(pieces, start, step, finish)).otherwise(pieces)
+    return F.filter(F.transform(whole, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _clamp(x: Column, lo: float, hi: float) -> Column:
@@ -92,6 +110,15 @@ def normalize_sql_eval(sql: Column) -> Column:
 
 # ----------------------------------------------------------------- COR-03/04
 
+def masked_upper(sql: Column) -> Column:
+    """Upper-cased SQL without what its literals and comments say: a literal is ``' '``, a comment a space.
+
+    One pass from the left decides which of them a quote or ``--`` belongs to. An
+    unterminated literal or comment stays as it is.
+    """
+    return F.btrim(F.regexp_replace(F.upper(sql), P.MASKED, "$1$3 $2$4"), F.lit(" \t\r\n"))
+
+
 def query_type(upper_sql: Column) -> Column:
     return (F.when(upper_sql.startswith("SELECT"), "SELECT").when(upper_sql.startswith("INSERT"), "INSERT")
             .when(upper_sql.startswith("UPDATE"), "UPDATE").when(upper_sql.startswith("DELETE"), "DELETE")
@@ -99,8 +126,8 @@ def query_type(upper_sql: Column) -> Column:
 
 
 def sql_structure(sql: Column) -> dict[str, Column]:
-    """COR-03: query type, tables (first FROM + every JOIN), clause flags."""
-    u = F.upper(sql)
+    """COR-03: query type, tables (first FROM + every JOIN), clause flags; literals and comments don't count."""
+    u = masked_upper(sql)
     first_from = F.regexp_extract(u, P.FROM_TABLE, 1)
     tables = F.concat(F.when(first_from != "", F.array(first_from)).otherwise(F.array().cast("array<string>")),
                       F.regexp_extract_all(u, F.lit(P.JOIN_TABLE), 1))
@@ -115,12 +142,24 @@ def sql_structure(sql: Column) -> dict[str, Column]:
     }
 
 
-LIST_ITEM = rf"(?=\s*[^\s,])(?:{P.ITEM})"  # a non-blank top-level item, counted without a lambda
+def group_list(upper_sql: Column) -> Column:
+    return F.regexp_extract(upper_sql, P.GROUP_LIST, 1)
 
 
-def sql_features(sql: Column) -> dict[str, Column]:
-    """COR-04/06/07: clause features, complexity score, cost class and advice."""
-    u = F.upper(sql)
+def complexity_score(upper_sql: Column, n_group_items: Column) -> Column:
+    """COR-06: a score up to 10 of joins, conditions, aggregates, grouping and subqueries."""
+    return F.least(F.lit(10.0),
+                   F.when(query_type(upper_sql) == "SELECT", 1.0).otherwise(0.0) + _count(upper_sql, P.JOIN_WORD) * 1.5
+                   + F.when(_has(upper_sql, P.WHERE_WORD), 0.5).otherwise(0.0) + _count(upper_sql, P.AGG_CALL) * 0.8
+                   + n_group_items * 0.6 + F.when(_has(upper_sql, P.WHERE_SUBQUERY), 2.0).otherwise(0.0))
+
+
+def sql_features(sql: Column, upper_sql: Column | None = None) -> dict[str, Column]:
+    """COR-04/06/07: clause features, complexity score, cost class and advice.
+
+    ``upper_sql`` is :func:`masked_upper` of ``sql``; projected beforehand, it is computed once.
+    """
+    u = masked_upper(sql) if upper_sql is None else upper_sql
     tables = F.array_sort(F.array_distinct(F.concat(
         F.regexp_extract_all(u, F.lit(P.FROM_TABLE), 1),
         F.regexp_extract_all(u, F.lit(P.JOIN_TABLE), 1),
@@ -130,7 +169,7 @@ def sql_features(sql: Column) -> dict[str, Column]:
     has_where = _has(u, P.WHERE_WORD)
     where_sub = _has(u, P.WHERE_SUBQUERY)
     n_aggs = _count(u, P.AGG_CALL)
-    group_items = _items(F.regexp_extract(u, P.GROUP_LIST, 1))
+    group_items = _items(group_list(u))
     order_items = _items(F.regexp_extract(u, P.ORDER_LIST, 1))
     lim = F.regexp_extract(u, P.LIMIT_VALUE, 1)
     limit = F.when(lim != "", lim.cast("int"))
@@ -138,10 +177,7 @@ def sql_features(sql: Column) -> dict[str, Column]:
     plain = F.transform(F.filter(sel_items, lambda x: ~x.rlike(P.AGG_CALL) & (x != "*")),
                         lambda x: F.regexp_replace(x, P.ALIAS_SUFFIX, ""))
     qtype = query_type(u)
-    complexity = F.least(F.lit(10.0),
-                         F.when(qtype == "SELECT", 1.0).otherwise(0.0) + n_joins * 1.5
-                         + F.when(has_where, 0.5).otherwise(0.0) + n_aggs * 0.8
-                         + _count(F.regexp_extract(u, P.GROUP_LIST, 1), LIST_ITEM) * 0.6 + F.when(where_sub, 2.0).otherwise(0.0))
+    complexity = complexity_score(u, F.size(group_items))
     cost = F.when(complexity < 3, "low").when(complexity < 6, "medium").otherwise("high")
     advice = _issues(
         F.when(n_joins > 3, "Consider breaking complex joins into smaller queries or using CTEs"),

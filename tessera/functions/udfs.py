@@ -22,6 +22,17 @@ PREFIX = "tessera_"
 STRUCTURE = ("STRUCT<query_type: STRING, tables: ARRAY<STRING>, has_where: BOOLEAN, has_join: BOOLEAN, has_group_by: BOOLEAN, "
              "has_order_by: BOOLEAN, has_limit: BOOLEAN>")
 
+#: Items of a list as in :mod:`sqltext`; a plan's text has no lambdas, so these are written out.
+LIST_ITEMS = """filter(transform(aggregate(split(s, ','),
+  named_struct('done', CAST(array() AS ARRAY<STRING>), 'open', CAST(NULL AS STRING), 'depth', 0),
+  (a, p) -> named_struct(
+    'done', if(a.depth + length(replace(p, ')', '')) - length(replace(p, '(', '')) <= 0,
+               array_append(a.done, coalesce(concat(a.open, ',', p), p)), a.done),
+    'open', if(a.depth + length(replace(p, ')', '')) - length(replace(p, '(', '')) <= 0,
+               CAST(NULL AS STRING), coalesce(concat(a.open, ',', p), p)),
+    'depth', a.depth + length(replace(p, ')', '')) - length(replace(p, '(', ''))),
+  a -> if(a.open IS NULL, a.done, array_append(a.done, a.open))), x -> trim(x)), x -> x <> '')"""
+
 
 def _body(spark: SparkSession, col: Column, *params: str) -> str:
     """SQL text of a Column expression over STRING parameters (``s`` unless named), from the analyzed plan."""
@@ -48,7 +59,12 @@ def sql_function_bodies(spark: SparkSession) -> dict[str, tuple[str, str, str]]:
         "normalize_sql_eval": one("STRING", T.normalize_sql_eval(s)),
         "uses_domain_tables": one("BOOLEAN", TF.uses_domain_tables(s)),
         "query_type": one("STRING", T.query_type(F.upper(s))),
-        "complexity_score": one("DOUBLE", T.sql_features(s)["complexity"]),
+        "masked_upper": one("STRING", T.masked_upper(s)),
+        "group_list": one("STRING", T.group_list(s)),
+        "list_items": ("s STRING", "ARRAY<STRING>", LIST_ITEMS),
+        "complexity_of": ("s STRING, n INT", "DOUBLE", _body(spark, T.complexity_score(s, F.col("n").cast("int")), "s", "n")),
+        "complexity_score": ("s STRING", "DOUBLE", call("complexity_of", call("masked_upper", "s"), "size("
+                             + call("list_items", call("group_list", call("masked_upper", "s"))) + ")")),
         "sql_structure": one(STRUCTURE, F.struct(*[c.alias(k) for k, c in T.sql_structure(s).items()])),
         "after_think": one("STRING", TF.think_parts(s)["after"]),
         "clean_output": one("STRING", TF.clean_sql(s)),

@@ -43,8 +43,8 @@ def r6(c: Column | str) -> Column:
 def _feature_cols(sql: str) -> tuple[Column, ...]:
     # Column trees are session-independent; building them once saves thousands
     # of Py4J calls per query.
-    f = T.sql_features(F.col(sql))
-    return tuple(f[k].alias(k) for k in T.FEATURE_KEYS)
+    f = T.sql_features(F.col(sql), F.col("upper_sql"))
+    return tuple(f[k].alias(k) for k in T.FEATURE_KEYS if k != "upper_sql")
 
 
 @lru_cache(maxsize=None)
@@ -97,7 +97,7 @@ def _reasoning_col() -> Column:
 
 
 def with_features(df: DataFrame, sql: str = "sql") -> DataFrame:
-    return df.select("*", *_feature_cols(sql))
+    return df.withColumn("upper_sql", T.masked_upper(F.col(sql))).select("*", *_feature_cols(sql))
 
 
 def validate(df: DataFrame, sql: str = "sql") -> DataFrame:

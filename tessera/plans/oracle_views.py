@@ -36,7 +36,10 @@ FROM orders
 
 VIEW_SQL["srm_projects"] = """
 SELECT o_orderkey AS project_id, 'PRJ-' || CAST(o_orderkey AS STRING) AS project_name, o_custkey AS company_id,
-  CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(floor(o_orderkey / 10) AS BIGINT) END AS parent_id FROM orders
+  CASE WHEN floor(o_orderkey / 100) % 8 = 3 AND o_orderkey % 100 < 63
+    THEN CASE o_orderkey % 100 WHEN 0 THEN NULL WHEN 40 THEN o_orderkey + 6 WHEN 56 THEN o_orderkey + 1
+           WHEN 61 THEN o_orderkey ELSE o_orderkey - 1 END
+    WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(floor(o_orderkey / 10) AS BIGINT) END AS parent_id FROM orders
 """
 
 VIEW_SQL["resources"] = """
@@ -107,7 +110,7 @@ SELECT o_orderkey AS pair_id,
 
 VIEW_SQL["candidates"] = """
 SELECT l.l_orderkey AS prompt_id, l.l_linenumber * 1000000 + l.l_partkey AS cand_id, p.query AS query, p.sql AS expected_sql,
-  CASE l.l_partkey % 10 WHEN 0 THEN p.sql WHEN 1 THEN lower(p.sql) || ';'
+  CASE l.l_partkey % 13 WHEN 0 THEN p.sql WHEN 1 THEN lower(p.sql) || ';'
     WHEN 2 THEN 'SELECT * FROM projects WHERE status = ''Active''' WHEN 3 THEN 'SELECT (Budget FROM PAC_MNT_PROJECTS'
     WHEN 4 THEN 'SELECT * FROM PAC_MNT_PROJECTS WHERE Budget < -5' WHEN 5 THEN 'SELECT Department FROM PAC_MNT_PROJECTS GROUP BY Department'
     WHEN 6 THEN 'SELECT * FROM PROJSTAFF; DROP TABLE PROJSTAFF' WHEN 7 THEN 'SELECT s.Role FROM PROJSTAFF s WHERE s.Project_Code IN (SELECT Project_Code FROM PAC_MNT_PROJECTS WHERE Company_ID IN (SELECT Company_ID FROM SRM_COMPANIES))'
@@ -116,6 +119,9 @@ SELECT l.l_orderkey AS prompt_id, l.l_linenumber * 1000000 + l.l_partkey AS cand
       || ' JOIN PAC_MNT_PROJECTS p2 ON a.Project_Code = p2.Project_Code JOIN PAC_MNT_PROJECTS p3 ON a.Project_Code = p3.Project_Code'
       || ' JOIN PAC_MNT_PROJECTS p4 ON a.Project_Code = p4.Project_Code JOIN PAC_MNT_PROJECTS p5 ON a.Project_Code = p5.Project_Code'
       || ' JOIN PAC_MNT_PROJECTS p6 ON a.Project_Code = p6.Project_Code JOIN PAC_MNT_PROJECTS p7 ON a.Project_Code = p7.Project_Code'
+    WHEN 9 THEN 'SELECT ''copied FROM backup, twice'' AS n FROM PAC_MNT_PROJECTS /* JOIN hidden h ON 1 = 1 */ WHERE Status = ''a -- b GROUP BY c'' AND Note = ''it''''s (one, LIMIT 5'''
+    WHEN 10 THEN 'SELECT F(G(H(Role, 1), 2), 3), A(B(C(D(E(F(G(H(I(J(Role, 1), 2), 3), 4), 5), 6), 7), 8), 9), 10) AS r, COUNT(*) AS n FROM PROJSTAFF WHERE Status = ''Open'' GROUP BY F(G(H(Role, 1), 2), 3), Role'
+    WHEN 11 THEN '-- don''t JOIN anything' || chr(10) || 'SELECT Company_Name FROM SRM_COMPANIES -- FROM old_companies' || chr(10) || 'ORDER BY Company_Name, "FROM x, y"'
     ELSE 'DELETE FROM SRM_CONTACTS' END AS sql,
   CASE l.l_suppkey % 3 WHEN 0 THEN '' ELSE p.reasoning END AS reasoning
 FROM lineitem l JOIN pairs p ON l.l_orderkey = p.pair_id

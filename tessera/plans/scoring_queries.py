@@ -47,7 +47,7 @@ def sql_out(cols: list[tuple[str, str]], prefix: str = "") -> str:
 
 # --------------------------------------------------------------- SQL pipeline
 
-_FEATS = X.sql_features("sql")
+_FEATS = X.sql_features("sql", "upper_sql")
 _VAL = X.validate_sql("sql", {k: k for k in T.FEATURE_KEYS})
 _COMP = X.validated_components({k: k for k in S.VAL_KEYS})
 _COMP["syntax_reward"] = X.short_sql_guard("sql", _COMP["syntax_reward"])
@@ -60,14 +60,17 @@ def _cols(d: dict[str, str]) -> str:
     return ",\n  ".join(f"{expr} AS {k}" for k, expr in d.items())
 
 
-SQL_FEATURES = f"""sf AS (SELECT sql, {_cols({k: _FEATS[k] for k in T.FEATURE_KEYS})} FROM sq),
+_UPPER = f"{X.masked_upper('sql')} AS upper_sql"
+SQL_FEATURES = f"""su AS (SELECT sql, {_UPPER} FROM sq),
+sf AS (SELECT sql, upper_sql, {_cols({k: _FEATS[k] for k in T.FEATURE_KEYS if k != "upper_sql"})} FROM su),
 sv AS (SELECT *, {_cols({k: _VAL[k] for k in S.VAL_KEYS})} FROM sf)"""
 
 DISTINCT_SQL = f"sq AS (SELECT DISTINCT sql FROM candidates),\n{SQL_FEATURES}"
 
 SCORED = f"""c AS (SELECT * FROM candidates),
 sq AS (SELECT DISTINCT sql, expected_sql FROM c),
-sf AS (SELECT sql, expected_sql, {_cols({k: _FEATS[k] for k in T.FEATURE_KEYS})} FROM sq),
+su AS (SELECT sql, expected_sql, {_UPPER} FROM sq),
+sf AS (SELECT sql, expected_sql, upper_sql, {_cols({k: _FEATS[k] for k in T.FEATURE_KEYS if k != "upper_sql"})} FROM su),
 sv AS (SELECT *, {_cols({k: _VAL[k] for k in S.VAL_KEYS})} FROM sf),
 sr AS (SELECT *, {_cols(_COMP)}, {_cols(_BASIC)}, {X.accuracy_reward('sql', 'expected_sql')} AS accuracy_reward FROM sv),
 sc AS (SELECT c.*, sr.* EXCLUDE (sql, expected_sql), {X.reasoning_reward('c.reasoning', 'c.query')} AS reasoning_reward

@@ -57,8 +57,15 @@ def contains_any(text: str, words: list[str]) -> str:
 
 
 def items(text: str) -> str:
-    return (f"list_filter(list_transform(regexp_extract_all({text}, {q(P.ITEM)}, 0), lambda x: trim(x)), "
-            f"lambda x: x <> '')")
+    """Pieces between commas, joined up to each comma before which as many parentheses have closed as opened."""
+    depth = "len(replace({0}, ')', '')) - len(replace({0}, '(', ''))"
+    ends = (f"list_filter(range(1, len(ps) + 1), lambda k: k = len(ps) OR "
+            f"{depth.format("array_to_string(ps[1:k], ',')")} <= 0)")
+    cut = ("list_transform(range(1, len(es) + 1), lambda j: trim(array_to_string("
+           "ps[(CASE WHEN j = 1 THEN 0 ELSE es[j - 1] END) + 1:es[j]], ',')))")
+    with_ends = f"list_transform([{ends}], lambda es: {cut})[1]"
+    whole = f"list_transform([string_split({text}, ',')], lambda ps: {with_ends})[1]"
+    return f"list_filter({whole}, lambda x: x <> '')"
 
 
 def clamp(x: str, lo: float, hi: float) -> str:
@@ -92,8 +99,13 @@ def query_type(u: str) -> str:
             f"WHEN starts_with({u}, 'UPDATE') THEN 'UPDATE' WHEN starts_with({u}, 'DELETE') THEN 'DELETE' ELSE '' END)")
 
 
+def masked_upper(sql: str) -> str:
+    return (f"trim(regexp_replace(upper({sql}), {q(P.MASKED)}, '\\1\\3 \\2\\4', 'g'), "
+            "chr(32) || chr(9) || chr(13) || chr(10))")
+
+
 def sql_structure(sql: str) -> dict[str, str]:
-    u = f"upper({sql})"
+    u = masked_upper(sql)
     first = f"regexp_extract({u}, {q(P.FROM_TABLE)}, 1)"
     nonempty = first + " <> ''"
     tables = f"({when(nonempty, '[' + first + ']', EMPTY)} || regexp_extract_all({u}, {q(P.JOIN_TABLE)}, 1))"
@@ -105,8 +117,8 @@ def sql_structure(sql: str) -> dict[str, str]:
     }
 
 
-def sql_features(sql: str) -> dict[str, str]:
-    u = f"upper({sql})"
+def sql_features(sql: str, upper_sql: str | None = None) -> dict[str, str]:
+    u = upper_sql or masked_upper(sql)
     tables = (f"list_sort(list_distinct(regexp_extract_all({u}, {q(P.FROM_TABLE)}, 1) || "
               f"regexp_extract_all({u}, {q(P.JOIN_TABLE)}, 1) || regexp_extract_all({u}, {q(P.DML_TABLE)}, 1)))")
     join_tables = f"regexp_extract_all({u}, {q(P.JOIN_TABLE)}, 1)"

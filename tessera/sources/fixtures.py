@@ -38,7 +38,7 @@ def _case(key: Column, mapping: list[tuple[object, object]], default: object) ->
 
 def candidate_columns(j: DataFrame) -> DataFrame:
     """Candidates from lineitem rows joined to their pair (batch and stream alike)."""
-    sql = _case(F.col("l_partkey") % 10, [
+    sql = _case(F.col("l_partkey") % 13, [
         (0, F.col("p_sql")),
         (1, F.concat(F.lower("p_sql"), F.lit(";"))),
         (2, F.lit("SELECT * FROM projects WHERE status = 'Active'")),
@@ -50,6 +50,12 @@ def candidate_columns(j: DataFrame) -> DataFrame:
                   "WHERE Company_ID IN (SELECT Company_ID FROM SRM_COMPANIES))")),
         (8, F.lit("SELECT a.Role FROM PROJSTAFF a" + "".join(
             f" JOIN PAC_MNT_PROJECTS p{n} ON a.Project_Code = p{n}.Project_Code" for n in range(8)))),
+        (9, F.lit("SELECT 'copied FROM backup, twice' AS n FROM PAC_MNT_PROJECTS /* JOIN hidden h ON 1 = 1 */ "
+                  "WHERE Status = 'a -- b GROUP BY c' AND Note = 'it''s (one, LIMIT 5'")),
+        (10, F.lit("SELECT F(G(H(Role, 1), 2), 3), A(B(C(D(E(F(G(H(I(J(Role, 1), 2), 3), 4), 5), 6), 7), 8), 9), 10) AS r, "
+                   "COUNT(*) AS n FROM PROJSTAFF WHERE Status = 'Open' GROUP BY F(G(H(Role, 1), 2), 3), Role")),
+        (11, F.lit("-- don't JOIN anything\nSELECT Company_Name FROM SRM_COMPANIES -- FROM old_companies\n"
+                   "ORDER BY Company_Name, \"FROM x, y\"")),
     ], F.lit("DELETE FROM SRM_CONTACTS"))
     return j.select(
         F.col("l_orderkey").alias("prompt_id"),
@@ -150,7 +156,12 @@ class Views:
             k.alias("project_id"),
             F.concat(F.lit("PRJ-"), _s(k)).alias("project_name"),
             F.col("o_custkey").alias("company_id"),
-            F.when(k % 10 == 0, F.lit(None).cast("bigint"))
+            # in every eighth hundred: a chain of 40, a cycle of 7 with a chain of 9 that leads into it, a cycle of 2
+            # with one of 3, and a row that is its own parent with one below it
+            F.when((F.floor(k / 100) % 8 == 3) & (k % 100 < 63),
+                   F.when(k % 100 == 0, F.lit(None).cast("bigint")).when(k % 100 == 40, k + 6).when(k % 100 == 56, k + 1)
+                   .when(k % 100 == 61, k).otherwise(k - 1))
+            .when(k % 10 == 0, F.lit(None).cast("bigint"))
             .otherwise(F.floor(k / 10).cast("bigint")).alias("parent_id"),
         )
 

@@ -1,6 +1,7 @@
 """Relational operators: NULL semantics, ordered helpers, group statistics."""
 
 import math
+import random
 import re
 
 import pytest
@@ -76,7 +77,7 @@ def test_hierarchy_gives_every_row_an_outcome(spark):
     got = {r.project_id: (r.root_id, r.depth, r.outcome)
            for r in erp.hierarchy(spark.createDataFrame(rows, "project_id long, parent_id long"), 5).collect()}
     assert got == {1: (1, 1, "reached"), 2: (1, 2, "reached"), 3: (1, 3, "reached"), 4: (1, 4, "reached"),
-                   5: (1, 5, "reached"), 6: (None, None, "too deep"), 7: (None, None, "missing parent"),
+                   5: (1, 5, "reached"), 6: (1, 6, "reached"), 7: (None, None, "missing parent"),
                    8: (None, None, "cycle"), 9: (None, None, "cycle"), 10: (None, None, "cycle"),
                    11: (None, None, "missing parent")}
 
@@ -106,3 +107,40 @@ def test_best_worst_single_candidate(spark):
                                "prompt_id long, cand_id long, sql string, reasoning string, total_reward double")
     r = S.best_worst(df).first()
     assert r.best.cand_id == r.worst.cand_id == 1  # a group of one yields the same row twice
+
+
+def _chains(n):
+    """Links of all kinds: deep chains, branches, cycles of 1 to 9 with tails, missing parents, null ids."""
+    rng = random.Random(n)
+    links, at = {}, 0
+    for length in (1, 2, 3, 64, 65, 200):
+        links |= {at + k: at + k - 1 if k else None for k in range(length)}
+        at += length
+    for size in (1, 2, 7, 9):
+        links |= {at + k: at + (k + 1) % size for k in range(size)}
+        links |= {at + size + k: at + size + k - 1 if k else at for k in range(12)}
+        at += size + 12
+    links |= {at: -5, at + 1: at, at + 2: at + 1}
+    names = list(links)
+    for k in range(n):
+        links[at + 10 + k] = rng.choice(names)
+    return links
+
+
+def test_hierarchy_at_any_depth(spark):
+    links = _chains(300)
+
+    def walk(start):
+        at, seen = start, []
+        while at in links and at not in seen:
+            seen.append(at)
+            if links[at] is None:
+                return at, len(seen), "reached", len(seen) <= 5
+            at = links[at]
+        return None, None, "cycle" if at in links else "missing parent", False
+
+    df = spark.createDataFrame([*links.items(), (None, None), (None, 3)], "project_id long, parent_id long").repartition(4)
+    got = {r.project_id: tuple(r)[1:] for r in erp.hierarchy(df).collect()}
+    assert got.pop(None)[2] == "reached"
+    assert got == {k: walk(k) for k in links}
+    assert erp.hierarchy(df.limit(0)).count() == 0

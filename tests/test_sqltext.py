@@ -1,5 +1,7 @@
 """Column functions over SQL text, checked on hand-written cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.functions import sqltext as T
@@ -101,3 +103,41 @@ def test_graded_feedback_keeps_everything_unless_told(spark):
     row = spark.range(1).select(T.graded_feedback(c, v).alias("all"), T.graded_feedback(c, v, 2, 1).alias("some")).first()
     assert row["all"][-1] == "Suggestions: suggestions0, suggestions1, suggestions2, suggestions3"
     assert row["some"][1] == "Syntax errors: syntax_errors0, syntax_errors1" and row["some"][-1] == "Suggestions: suggestions0"
+
+
+def _features(spark, sql):
+    d = spark.createDataFrame([(s,) for s in sql], "sql string")
+    return [r.asDict() for r in S.validate(d).collect()]
+
+
+def test_literals_and_comments_name_no_tables(spark):
+    rows = _features(spark, [
+        "SELECT 'copied FROM backup' AS n FROM PAC_MNT_PROJECTS",
+        "SELECT Budget /* FROM a JOIN b */ FROM PAC_MNT_PROJECTS -- JOIN c LIMIT 5",
+        "-- it's FROM x\nSELECT Budget FROM PAC_MNT_PROJECTS WHERE Note = 'it''s -- GROUP BY x' LIMIT 3",
+        "SELECT Budget FROM PAC_MNT_PROJECTS WHERE Note = '/* ' AND Budget > 1 AND Other = ' */ LIMIT 9'",
+        "SELECT Budget FROM PAC_MNT_PROJECTS WHERE Note = 'never closed"])
+    assert [r["tables"] for r in rows] == [["PAC_MNT_PROJECTS"]] * 5
+    assert all(r["schema_errors"] == [] and r["join_tables"] == [] for r in rows)
+    assert [r["limit_value"] for r in rows] == [None, None, 3, None, None]
+    assert [r["has_where"] for r in rows] == [False, False, True, True, True]
+    assert all(r["query_type"] == "SELECT" and r["group_by"] == [] for r in rows)
+
+
+def test_lists_are_cut_at_depth_zero(spark):
+    rng = random.Random(3)
+
+    def item(depth):
+        if not depth:
+            return rng.choice(["ROLE", "A.B", "1", "''"])
+        inner = [item(rng.randint(0, depth - 1)) for _ in range(rng.randint(0, 2))] + [item(depth - 1)]
+        return f"F{depth}({', '.join(inner)})"
+
+    lists = [[item(rng.randint(0, 10)) for _ in range(rng.randint(1, 5))] for _ in range(200)]
+    d = spark.createDataFrame([(", ".join(x), k) for k, x in enumerate(lists)], "sql string, k int")
+    got = {r.k: r.x for r in d.select("k", T._items(F.col("sql")).alias("x")).collect()}
+    assert got == dict(enumerate(lists))
+    odd = spark.createDataFrame([("f(a, b",), ("a), b, c",), ("",), (" , ,",)], "sql string")
+    assert [r.x for r in odd.select(T._items(F.col("sql")).alias("x")).collect()] == [["f(a, b"], ["a)", "b", "c"], [], []]
+    errors = _features(spark, ["SELECT F(G(H(Role, 1), 2), 3), COUNT(*) FROM PROJSTAFF WHERE 1 = 1 GROUP BY F(G(H(Role, 1), 2), 3)"])
+    assert errors[0]["aggregation_errors"] == [] and errors[0]["select_items"] == ["F(G(H(ROLE, 1), 2), 3)", "COUNT(*)"]

@@ -73,7 +73,8 @@ def _ips(text: str) -> Iterator[tuple[int, int]]:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k:k + 4]
             end = start + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            short = [p.lstrip("0") for p in four]
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in short):
                 yield start, end
             start = end + 1
 
@@ -293,10 +294,13 @@ def fit(graph: Graph, labels: np.ndarray, steps: int = 300, rate: float = 0.5, d
 def weak_labels(doc: list[Token], spans: list[tuple[str, int, int]]) -> list[int]:
     """The kind of the base span that a token overlaps, else none."""
     spans = sorted(spans, key=lambda s: s[1])
-    out = []
+    out, at, open_spans = [], 0, []  # both lists are in order; spans of one kind don't overlap, so few are open at once
     for token in doc:
-        hit = [k for k, a, b in spans if a < token.end and token.start < b]
-        out.append(LABELS.index(hit[0]) if hit else 0)
+        while at < len(spans) and spans[at][1] < token.end:
+            open_spans.append(spans[at])
+            at += 1
+        open_spans = [s for s in open_spans if s[2] > token.start]
+        out.append(LABELS.index(open_spans[0][0]) if open_spans else 0)
     return out
 
 

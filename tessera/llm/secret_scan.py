@@ -6,8 +6,8 @@ in the candidate, the Shannon entropy of a sliding window is kept by incremental
 counts: moving the window by one character changes two counts and two terms of the
 sum. Windows over the class's threshold merge into spans; a run shorter than the
 window is judged by a threshold scaled to its length. Spans on the allow-list
-(identifiers in known public forms, paths, plain words or numbers, and what is no
-longer suspect without its placeholders) are left out.
+(identifiers in known public forms, numbers, paths and names whose letters read as
+words, and what is no longer suspect without its placeholders) are left out.
 """
 
 from __future__ import annotations
@@ -54,12 +54,17 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LEAST_RUN = 16
 #: Candidates and spans that aren't secrets: a whole match suppresses them.
 ALLOWED = tuple(re.compile(p) for p in (
-    r"[A-Za-z]+",                                     # words, shouted or not
     r"[0-9_=/+-]+",                                   # numbers, dates, rulers
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUIDs
-    r"[A-Za-z]+([_/=+-]+[A-Za-z]+)*[_/=+-]*[0-9]{0,4}",  # joined words, paths, names with a number
     r"[A-Z0-9]{13}EXAMPLE|[A-Za-z0-9+/]{30}EXAMPLEKEY",  # the published sample keys
 ))
+#: Words, paths and names with a number, if :func:`wordlike` agrees.
+JOINED = re.compile(r"[A-Za-z]+([_/=+-]+[A-Za-z]+)*[_/=+-]*[0-9]{0,4}")
+_PART = re.compile(r"[A-Za-z]+")
+_CASE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: Pairs of letters that words hardly hold: after j, q, v, x, z and before j, q, x, and some more.
+_ODD_PAIR = re.compile(r"(?=q[^u]|[jv][b-df-hj-np-tvwxz]|x[b-df-hj-np-rtvwxz]|z[b-df-hj-np-su-vx]"
+                       r"|[b-df-hj-np-rtvwz][jqx]|[kw][bcdfgjmpqvxzkw]|[gpfmd][vwjqxz])")
 #: Parts of a span that speak for no secret: placeholders and UUIDs.
 HARMLESS = re.compile(r"EXAMPLE|example|x{4,}|X{4,}|0{7,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
@@ -79,14 +84,14 @@ def entropy_windows(text: str, window: int, bits: float) -> Iterator[tuple[int,
     total = 0.0
     begin = end = -1
     for at, char in enumerate(text):
-        c = counts.get(char, 0)
-        total += term[c + 1] - term[c]
-        counts[char] = c + 1
-        if at >= w:
+        if at >= w:  # the old character leaves first: no count passes w
             gone = text[at - w]
             c = counts[gone]
             total += term[c - 1] - term[c]
             counts[gone] = c - 1
+        c = counts.get(char, 0)
+        total += term[c + 1] - term[c]
+        counts[char] = c + 1
         if at >= w - 1 and total <= most:
             start = at - w + 1
             if begin >= 0 and start > end:
@@ -99,8 +104,21 @@ def entropy_windows(text: str, window: int, bits: float) -> Iterator[tuple[int,
         yield begin, end
 
 
+def wordlike(name: str) -> bool:
+    """Letters that read as words: few changes of case and few odd pairs for their number.
+
+    Of random letters, 98 percent of mixed case are told apart at any length from
+    16, and 85 (16 letters) to 98 percent (32) of one case.
+    """
+    parts = _PART.findall(name)
+    letters = sum(map(len, parts))
+    changes = sum(len(_CASE.findall(p)) - 1 for p in parts)
+    odd = sum(len(_ODD_PAIR.findall(p.lower())) for p in parts)
+    return changes <= letters / 3 and odd < max(2, 0.08 * letters)
+
+
 def _allowed(candidate: str) -> bool:
-    return any(p.fullmatch(candidate) for p in ALLOWED)
+    return any(p.fullmatch(candidate) for p in ALLOWED) or bool(JOINED.fullmatch(candidate)) and wordlike(candidate)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

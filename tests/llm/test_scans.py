@@ -273,3 +273,52 @@ def test_every_class_judges_its_own_runs(text, secret):
 ])
 def test_placeholders_and_public_forms_are_left_out(text):
     assert secret_scan.entropy_spans(text) == []
+
+
+@pytest.mark.parametrize("text", [
+    "0000000000000000000000000000001f", "0x" + "0" * 40 + "dEaD1", "A" * 60 + "bcd1f2" + "A" * 30 + "==", "-" * 30 + "x1y2z",
+    "key " + "a" * 100_000 + "9"])
+def test_long_runs_of_one_character(text):
+    assert all(0 <= a < b <= len(text) for _, a, b in secret_scan.scan(text))
+
+
+def test_entropy_with_runs_longer_than_the_window():
+    rng = random.Random(9)
+    for _ in range(1500):
+        text = "".join(rng.choice("ab1c") * rng.choice((1, 1, 2, 30)) for _ in range(rng.randint(1, 12)))
+        w, want = min(16, len(text)), []
+        for a in range(len(text) - w + 1):
+            shares = [n / w for n in Counter(text[a:a + w]).values()]
+            if -sum(p * math.log2(p) for p in shares) >= 1.23:
+                if want and a <= want[-1][1]:
+                    want[-1] = (want[-1][0], a + w)
+                else:
+                    want.append((a, a + w))
+        assert list(secret_scan.entropy_windows(text, 16, 1.23)) == want, text
+
+
+def test_random_letters_are_told_from_names():
+    rng = random.Random(4)
+    for letters, least in ((string.ascii_letters, 190), (string.ascii_lowercase, 180), (string.ascii_uppercase, 180)):
+        found = [bool(secret_scan.entropy_spans("".join(rng.choice(letters) for _ in range(32)))) for _ in range(200)]
+        assert sum(found) >= least, letters
+    for name in ("AbstractSingletonProxyFactoryBean", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement",
+                 "ConcurrentModificationException", "src/main/java/org/example/ConnectionFactory", "XMLHttpRequestEventTarget",
+                 "Geschwindigkeitsbegrenzung", "MAX_CONNECTIONS_PER_HOST_AND_ROUTE", "thequickbrownfoxjumpsoverthelazydog"):
+        assert secret_scan.entropy_spans(name) == [], name
+
+
+def test_numbers_with_very_long_parts():
+    for part in ("0" * 5000, "9" * 5000):
+        found = pii.base_spans(f"1.2.3.{part}")
+        assert found == ([("ip", 0, 5006)] if part[0] == "0" else [])
+
+
+def test_labels_of_tokens_equal_a_full_comparison():
+    rng = random.Random(2)
+    parts = ["a@b.c", "1.2.3.4", " ", "+", "4111 1111 1111 1111", "+1 (555) 123-4567", "x", "7", ".", "-"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        doc, spans = pii.tokens(text), sorted(pii.base_spans(text), key=lambda s: s[1])
+        want = [next((pii.LABELS.index(k) for k, a, b in spans if a < t.end and t.start < b), 0) for t in doc]
+        assert pii.weak_labels(doc, spans) == want, text

@@ -5,8 +5,8 @@ table). Every job takes ``out``: its sink, state and checkpoint live there, so a
 call with the same folder goes on where the last one stopped; without it, a new
 folder under ``spark.checkpoint.dir`` is used. A micro-batch writes its rows to a
 folder of its own and overwrites it, so a batch that is replayed after a failure
-adds nothing. State that a job carries between batches is a table per batch
-(:class:`Carried`); what is older than the job's horizon leaves it.
+adds nothing. What a job remembers between batches is in Spark's state store
+(:mod:`.keyed`), by key, until a timer ends it.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from ..operators import monitor as M
 from ..operators import scoring as S
-from ..operators.ordered import lag_within, time_span
 from ..sources.fixtures import cache_key, candidate_columns, run_log_columns
 from ..storage import scratch_path
+from .keyed import CHANGE_ROW, FIRST_ROW, LOG_ROW, MARK, FirstPerKey, StatusChanges, first_of_each, state_store
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 LINEITEM_SCHEMA = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
@@ -49,32 +49,20 @@ def batch_sink(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_to_end(stream: DataFrame, out: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+def run_to_end(stream: DataFrame, out: str, write: Callable[[DataFrame, int], None],
+               mode: str = "append") -> dt.datetime | None:
+    """Run a stream until its input ends; where its watermark stands then, if it has one and moved."""
     q = (stream.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
+    at = q.lastProgress and q.lastProgress.eventTime.get("watermark")
+    return dt.datetime.fromisoformat(at) if at else None
 
 
 def rows_of(spark: SparkSession, out: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{out}/rows/batch=*")
 
 
-class Carried:
-    """A small table that one micro-batch leaves to the next: version n is what batch n left."""
-
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder, schema
-
-    def before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{batch_id - 1}")
-
-    def leave(self, df: DataFrame, batch_id: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{batch_id}")
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{batch_id}")
-
-
 def error_counts_by_day(spark: SparkSession, sf_dir: str, watermark: str = "1 day", out: str | None = None) -> DataFrame:
     """STR-01: per-day counts per run and level with a watermark (update mode).
 
@@ -90,93 +78,64 @@ def error_counts_by_day(spark: SparkSession, sf_dir: str, watermark: str = "1 da
     return res.groupBy("day_start", "run_id", "level").agg(F.max("n").alias("n"))
 
 
-FIRST_ROW = "cache_key string, request_id long, ts timestamp, confidence double"
-
+def first_rows(rows: DataFrame, out: str, keep: dt.timedelta, late: dt.timedelta) -> DataFrame:
+    """A stream's first row per ``cache_key``, remembered for ``keep`` of event time; rows over ``late`` behind are dropped.
 
-def first_per_key_writer(spark: SparkSession, out: str, keep: dt.timedelta) -> Callable[[DataFrame, int], None]:
-    """Rows whose key the last ``keep`` of event time hasn't seen; of a batch's rows of one key, the first."""
-    seen = Carried(spark, f"{out}/seen", FIRST_ROW)
-    sink = batch_sink(out)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy("cache_key").agg(F.min(F.struct("ts", "request_id", "confidence")).alias("r"))
-        first = first.select("cache_key", "r.request_id", "r.ts", "r.confidence")
-        known = seen.before(batch_id)
-        recent = known.select("cache_key", F.col("ts").alias("known_ts"))
-        seen_before = (first["cache_key"] == recent["cache_key"]) & (recent["known_ts"] >= first["ts"] - F.lit(keep))
-        new = first.join(recent, seen_before, "left_anti")
-        kept = known.unionByName(new)
-        horizon = kept.agg(F.max("ts")).scalar() - F.lit(keep)
-        sink(new, batch_id)
-        seen.leave(kept.where(F.col("ts") >= horizon), batch_id)
-
-    return write
+    ``rows`` has the columns of ``FIRST_ROW``. Runs until the input's end; with the
+    same ``out``, the next call goes on there.
+    """
+    spark = rows.sparkSession
+    thinned = rows.mapInArrow(first_of_each, FIRST_ROW).withWatermark("ts", f"{int(late.total_seconds())} seconds")
+    with state_store(spark):
+        run_to_end(thinned.groupBy("cache_key").transformWithStateInPandas(
+            FirstPerKey(keep), FIRST_ROW, "append", "EventTime"), out, batch_sink(out))
+    return rows_of(spark, out, FIRST_ROW)
 
 
 def first_per_key(spark: SparkSession, sf_dir: str, keep: dt.timedelta = dt.timedelta(days=1),
-                  out: str | None = None) -> DataFrame:
+                  late: dt.timedelta = dt.timedelta(hours=1), out: str | None = None) -> DataFrame:
     """STR-02: evaluation cache — the first result per cache key, remembered for ``keep`` of event time."""
-    out = out or scratch_path(spark, "str02")
     e = table_stream(spark, sf_dir, "events", EVENTS_SCHEMA)
     r = e.select(cache_key(), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"),
                  ((F.col("event_id") % 11).cast("double") / 10).alias("confidence"))
-    run_to_end(r, out, first_per_key_writer(spark, out, keep))
-    return rows_of(spark, out, FIRST_ROW)
-
+    return first_rows(r, out or scratch_path(spark, "str02"), keep, late)
 
-LOG_ROW = "event_id long, ts timestamp, run_id string, status string"
-CHANGE_ROW = "event_id long, run_id string, status string, prev_status string"
 
+def change_rows(rows: DataFrame, out: str, delay: dt.timedelta, idle: dt.timedelta, flush: bool = False) -> DataFrame:
+    """A stream's changes of status per run, in event time (:class:`~.keyed.StatusChanges`).
 
-def status_change_writer(spark: SparkSession, out: str, delay: dt.timedelta,
-                         idle: dt.timedelta) -> Callable[[DataFrame, int, bool], None]:
-    """Changes of status per run in event time.
-
-    Rows younger than the newest event time less ``delay`` wait for the next
-    batch, so rows that arrive out of order within ``delay`` are put in order;
-    rows older than what their run has already given out are late and dropped.
-    A run's last row is remembered until ``idle`` of event time has passed.
+    ``rows`` has the columns of ``LOG_ROW``. With ``flush``, the rows that still
+    wait at the input's end are given out, too: a mark ``delay`` after the newest row
+    goes into a folder that is part of the stream and moves the watermark on.
     """
-    last = Carried(spark, f"{out}/last", LOG_ROW)
-    waiting = Carried(spark, f"{out}/waiting", LOG_ROW)
-    sink = batch_sink(out)
-
-    def write(batch: DataFrame, batch_id: int, flush: bool = False) -> None:
-        known = last.before(batch_id)
-        rows = batch.select("event_id", "ts", "run_id", "status").unionByName(waiting.before(batch_id))
-        newest = rows.unionByName(known).agg(F.max("ts")).scalar()
-        waiting.leave(rows.where(F.col("ts") > newest - F.lit(delay)).where(F.lit(not flush)), batch_id)
-        ready = rows.where(F.col("ts") <= newest - F.lit(delay)) if not flush else rows
-        before = known.select("run_id", F.col("ts").alias("last_ts"), F.col("event_id").alias("last_id"))
-        on_time = (F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))
-                   | ((F.col("ts") == F.col("last_ts")) & (F.col("event_id") > F.col("last_id"))))
-        ready = ready.join(before, "run_id", "left").where(on_time).select(*known.columns, F.lit(True).alias("new"))
-        both = ready.unionByName(known.withColumn("new", F.lit(False)))
-        lagged = lag_within(both, ["run_id"], ["ts", "event_id"], "status", "prev_status", time_span("ts"))
-        changed = F.col("prev_status").isNull() | (F.col("status") != F.col("prev_status"))
-        sink(lagged.where(F.col("new") & changed).select("event_id", "run_id", "status", "prev_status"), batch_id)
-        latest = both.groupBy("run_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("l"))
-        latest = latest.select("l.event_id", "l.ts", "run_id", "l.status")
-        last.leave(latest.where(F.col("ts") >= newest - F.lit(idle)), batch_id)
-
-    return write
+    spark = rows.sparkSession
+    marks = f"{out}/marks"
+    spark.createDataFrame([], LOG_ROW).write.mode("append").parquet(marks)
+    seconds = f"{int(delay.total_seconds() * 1000)} milliseconds"
+
+    def run() -> dt.datetime | None:
+        both = rows.select("event_id", "ts", "run_id", "status").unionByName(
+            spark.readStream.schema(LOG_ROW).parquet(marks)).withWatermark("ts", seconds)
+        with state_store(spark):
+            return run_to_end(both.groupBy("run_id").transformWithStateInPandas(
+                StatusChanges(idle), CHANGE_ROW, "append", "EventTime"), out, batch_sink(out))
+
+    watermark = run()
+    if flush and watermark:
+        # the newest row is ``delay`` after the watermark; timers count whole milliseconds
+        beyond = F.lit(watermark.isoformat()).cast("timestamp") + F.lit(2 * delay + dt.timedelta(milliseconds=1))
+        mark = spark.range(1).select(F.lit(MARK).cast("long").alias("event_id"), beyond.alias("ts"),
+                                     F.lit(None).cast("string").alias("run_id"), F.lit("").alias("status"))
+        mark.write.mode("append").parquet(marks)
+        run()
+    return rows_of(spark, out, CHANGE_ROW)
 
 
 def status_changes(spark: SparkSession, sf_dir: str, delay: dt.timedelta = dt.timedelta(minutes=10),
                    idle: dt.timedelta = dt.timedelta(days=30), out: str | None = None) -> DataFrame:
     """STR-03: status changes per run; the rows that still wait at the end of the input are given out last."""
-    out = out or scratch_path(spark, "str03")
-    write = status_change_writer(spark, out, delay, idle)
-    ids: list[int] = []
-
-    def counted(batch: DataFrame, batch_id: int) -> None:
-        write(batch, batch_id)
-        ids.append(batch_id)
-
-    run_to_end(run_logs_stream(spark, sf_dir).select("event_id", "ts", "run_id", "status"), out, counted)
-    if ids:
-        write(spark.createDataFrame([], LOG_ROW), ids[-1] + 1, flush=True)
-    return rows_of(spark, out, CHANGE_ROW)
+    logs = run_logs_stream(spark, sf_dir).select("event_id", "ts", "run_id", "status")
+    return change_rows(logs, out or scratch_path(spark, "str03"), delay, idle, flush=True)
 
 
 def scored_candidates_stream(spark: SparkSession, sf_dir: str, pairs: DataFrame, out: str | None = None) -> DataFrame:

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import erp
+from ..operators import erp, sketches
 from ..operators.ordered import global_rank, global_running_sum
 from ..sources.fixtures import ERP_AS_OF
+from ..sources.versions import VersionedTable
+from ..storage import scratch_path
 from .registry import query
 
 AS_OF = ERP_AS_OF
@@ -366,6 +369,17 @@ def agg_09(v):
         F.countDistinct("project_code").alias("n_projects"))
 
 
+@query("agg_09_rollup", """SELECT c.company_code, COUNT(DISTINCT ct.project_code) AS n_projects
+FROM companies c LEFT JOIN contracts ct ON c.company_code = ct.company_code GROUP BY c.company_code""")
+def agg_09_rollup(v):
+    """AGG-09 at scale: distinct-count sketches per company and month, merged per company (small counts are exact)."""
+    monthly = sketches.distinct_sketches(
+        v.contracts.withColumn("month", F.date_trunc("month", "start_date")), ["company_code", "month"], "project_code")
+    per_company = sketches.merged_distinct(monthly, ["company_code"], "n_projects")
+    return v.companies.select("company_code").join(per_company, "company_code", "left").select(
+        "company_code", F.coalesce("n_projects", F.lit(0)).alias("n_projects"))
+
+
 @query("agg_10", """SELECT project_code, floor(SUM(allocation_percent * bill_rate / 100) * 100 + 0.5) / 100 AS weighted_rate
 FROM staff GROUP BY project_code""")
 def agg_10(v):
@@ -549,25 +563,33 @@ def sort_03(v):
 # ------------------------------------------------------------ DML
 
 
-@query("dml_01", """SELECT project_id, project_code, project_name, budget, actual_cost, revenue, department,
-CASE WHEN actual_cost > budget * 1.2 THEN 'On Hold' ELSE status END AS status, start_date, end_date FROM projects""")
+def _versions(v, change) -> DataFrame:
+    """The projects as a versioned table, changed once; both versions read back."""
+    table = VersionedTable.create(v.projects, scratch_path(v.spark, "projects-table"))
+    change(table)
+    return table.read(0).withColumn("version", F.lit(0)).unionByName(table.read().withColumn("version", F.lit(1)))
+
+
+@query("dml_01", """SELECT *, 0 AS version FROM projects UNION ALL
+SELECT project_id, project_code, project_name, budget, actual_cost, revenue, department,
+CASE WHEN actual_cost > budget * 1.2 THEN 'On Hold' ELSE status END AS status, start_date, end_date, 1 FROM projects""")
 def dml_01(v):
-    p = v.projects
-    return erp.update_where(p, F.col("actual_cost") > F.col("budget") * 1.2, {"status": F.lit("On Hold")})
+    return _versions(v, lambda t: t.update(F.col("actual_cost") > F.col("budget") * 1.2, {"status": F.lit("On Hold")}))
 
 
-@query("dml_02", """SELECT * FROM projects UNION ALL
-SELECT 99999999, '99999999', 'PRJ-NEW', 250000.0, 0.0, 0.0, '3-MEDIUM', 'Active', DATE '2000-01-01', NULL""")
+@query("dml_02", """SELECT *, 0 AS version FROM projects UNION ALL SELECT *, 1 FROM projects UNION ALL
+SELECT 99999999, '99999999', 'PRJ-NEW', 250000.0, 0.0, 0.0, '3-MEDIUM', 'Active', DATE '2000-01-01', NULL, 1""")
 def dml_02(v):
     row = {"project_id": 99999999, "project_code": "99999999", "project_name": "PRJ-NEW", "budget": 250000.0,
            "actual_cost": 0.0, "revenue": 0.0, "department": "3-MEDIUM", "status": "Active",
            "start_date": AS_OF, "end_date": None}
-    return erp.insert_values(v.projects, [row])
+    return _versions(v, lambda t: t.insert([row]))
 
 
-@query("dml_03", "SELECT * FROM projects WHERE NOT COALESCE(end_date < start_date, FALSE)")
+@query("dml_03", """SELECT *, 0 AS version FROM projects UNION ALL
+SELECT *, 1 FROM projects WHERE NOT COALESCE(end_date < start_date, FALSE)""")
 def dml_03(v):
-    return erp.delete_where(v.projects, F.col("end_date") < F.col("start_date"))
+    return _versions(v, lambda t: t.delete(F.col("end_date") < F.col("start_date")))
 
 
 # ------------------------------------------------------------ VIEWS

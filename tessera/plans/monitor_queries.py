@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import monitor as M
+from ..operators import sketches as SK
 from ..operators.erp import rounded
 from .registry import query
 
@@ -119,6 +120,14 @@ def mon_10(v):
              "error_rate", "success_rate")
 
 
+@query("mon_10_rollup", """SELECT CAST(ts AS DATE) AS day, count(latency_s) AS n, quantile_disc(latency_s, 0.5) AS p50,
+quantile_disc(latency_s, 0.95) AS p95, quantile_disc(latency_s, 0.99) AS p99 FROM requests GROUP BY 1""")
+def mon_10_rollup(v):
+    """MON-10 at scale: quantile sketches per hour, merged per day; exact while a day fits into a sketch."""
+    hourly = SK.quantile_sketches(v.requests, [F.date_trunc("hour", "ts").alias("hour")], "latency_s")
+    return SK.merged_quantiles(hourly, [F.col("hour").cast("date").alias("day")], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
 @query("mon_11", """SELECT session_id, count(*) AS requests, sum(CASE WHEN failed THEN 1 ELSE 0 END) AS failed_requests,
 max(ts) AS last_request FROM requests GROUP BY session_id""")
 def mon_11(v):

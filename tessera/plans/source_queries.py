@@ -54,6 +54,21 @@ def src_02(v):
     return g.unionByName(b)
 
 
+@query("src_02_lines", """SELECT 'part=' || CAST(pair_id % 4 AS VARCHAR) AS part, line, substr(raw, 1, 40) AS raw FROM (
+SELECT pair_id, row_number() OVER (PARTITION BY pair_id % 4 ORDER BY pair_id) AS line, '{"pair_id":' || CAST(pair_id AS VARCHAR)
+|| ',"query":"' || query || '"' AS raw FROM pairs) WHERE pair_id % 97 = 0""")
+def src_02_lines(v):
+    """SRC-02: file and line of every malformed line; four files, each in the order of its ids."""
+    p = v.pairs
+    whole = F.to_json(F.struct("pair_id", "query", "sql", "reasoning", "domain"))
+    line = F.when(F.col("pair_id") % 97 == 0, F.substring(whole, 1, 40)).otherwise(whole)
+    out = scratch_path(v.spark, "pairs-lines")
+    (p.select((F.col("pair_id") % 4).alias("part"), "pair_id", line.alias("value")).repartition(4, "part")
+     .sortWithinPartitions("part", "pair_id").select("part", "value").write.partitionBy("part").text(out))
+    found = IO.malformed_lines(v.spark, f"{out}/part=*")
+    return found.select(F.regexp_extract("source_file", r"(part=\d+)", 1).alias("part"), "line", "raw")
+
+
 @query("src_03", """SELECT pair_id, 0 AS request_no, query, '' AS context FROM pairs WHERE pair_id % 2 = 0
 UNION ALL SELECT pair_id, 0, query, domain FROM pairs WHERE pair_id % 2 = 1
 UNION ALL SELECT pair_id, 1, query || ' (again)', '' FROM pairs WHERE pair_id % 2 = 1""")
@@ -100,6 +115,22 @@ def src_09(v):
     return IO.read_run_logs(v.spark, out).select("run_id", "timestamp", "message")
 
 
+@query("src_09_tail", """SELECT run_id, timestamp, message, poll, max(timestamp) OVER (PARTITION BY run_id, poll) + 1 AS next_cursor
+FROM (SELECT run_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS timestamp, message,
+  CASE WHEN ts > TIMESTAMP '2024-01-15 00:00:00' THEN 2 ELSE 1 END AS poll FROM run_logs)""")
+def src_09_tail(v):
+    """SRC-09 / MON-03: two polls of a growing log folder; the second gives what came since the first."""
+    from ..streaming.streams import tail_run_logs
+    logs, state = scratch_path(v.spark, "log-pages"), scratch_path(v.spark, "tail")
+    millis = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("timestamp")
+    later = F.col("ts") > F.lit(dt.datetime(2024, 1, 15))
+    polls = []
+    for number, rows in ((1, v.run_logs.where(~later)), (2, v.run_logs.where(later))):
+        rows.select("run_id", millis, "message").write.mode("append").json(logs)
+        polls.append(tail_run_logs(v.spark, logs, state, page_files=4).withColumn("poll", F.lit(number)))
+    return polls[0].unionByName(polls[1]).select("run_id", "timestamp", "message", "poll", "next_cursor")
+
+
 @query("src_10", "SELECT '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || message AS value FROM run_logs")
 def src_10(v):
     out = scratch_path(v.spark, "logs-text")

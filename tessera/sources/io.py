@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 CORRUPT = "_corrupt_record"
 PAIR_SCHEMA = (f"pair_id long, query string, sql string, reasoning string, metadata map<string,string>, "
                f"difficulty string, domain string, {CORRUPT} string")
@@ -30,7 +32,7 @@ def read_pairs(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
     Lines are read as text and parsed with ``from_json``; blank lines are
     skipped and malformed lines land in
     ``_corrupt_record`` (see :func:`split_corrupt`). ``source_file`` records the
-    input file (a line number is not available in a distributed read).
+    input file; :func:`malformed_lines` gives the lines' numbers.
     """
     reader = spark.read
     if recursive:
@@ -49,6 +51,31 @@ def read_pairs(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
         F.col(CORRUPT), "source_file")
 
 
+def malformed_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
+    """SRC-02: ``source_file``, ``line`` (from 1, blank lines count) and ``raw`` of every line that isn't a pair.
+
+    A task numbers the lines of each split of a file as it reads them and leaves
+    one row per split: how many lines it has, and its malformed ones with their
+    places. The splits' counts, added up in file order, do the rest. Everything
+    comes from one pass, so it doesn't matter how the files were split; a row
+    holds at most what one split (``spark.sql.files.maxPartitionBytes``) has.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
+    lines = reader.text(paths).select("value", F.col("_metadata.file_path").alias("source_file"),
+                                      F.col("_metadata.file_block_start").alias("split"),
+                                      F.monotonically_increasing_id().alias("place"))
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    broken = (F.trim("value") != "") & F.from_json("value", PAIR_SCHEMA, opts)[CORRUPT].isNotNull()
+    lines = lines.withColumn("broken", broken)
+    splits = written(lines.groupBy("source_file", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.min("place").alias("first"),
+        F.collect_list(F.when(F.col("broken"), F.struct("place", F.col("value").alias("raw")))).alias("broken")), "splits")
+    before = Window.partitionBy("source_file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("source_file", "first", "broken", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    found = starts.select("source_file", "first", "before", F.explode("broken").alias("b"))
+    return found.select("source_file", (F.col("before") + F.col("b.place") - F.col("first") + 1).alias("line"), "b.raw")
+
+
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SRC-02: (good rows, quarantined raw lines with their file)."""
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
@@ -107,10 +134,15 @@ def load_entity_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"cat_entities": entities.where(F.col("value").isNotNull()), "cat_joins": joins, "cat_terms": terms}
 
 
-def read_run_logs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """SRC-09: ``(run_id, timestamp ms, message)`` JSON log pages; ``stream=True``
-    treats new files as new pages (file source with a checkpointed offset log)."""
+def read_run_logs(spark: SparkSession, path: str, stream: bool = False, page_files: int | None = None) -> DataFrame:
+    """SRC-09: ``(run_id, timestamp ms, message)`` JSON log pages.
+
+    ``stream=True`` takes new files as new pages, at most ``page_files`` of them a
+    micro-batch; :func:`tessera.streaming.streams.tail_run_logs` keeps the cursor.
+    """
     reader = spark.readStream if stream else spark.read
+    if stream and page_files:
+        reader = reader.option("maxFilesPerTrigger", page_files)
     df = reader.schema(LOG_SCHEMA).json(path)
     return df.withColumn("ts", F.timestamp_millis("timestamp"))
 

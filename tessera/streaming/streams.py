@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import monitor as M
 from ..operators import scoring as S
 from ..sources.fixtures import cache_key, candidate_columns, run_log_columns
+from ..sources.io import read_run_logs
 from ..storage import scratch_path
 from .keyed import CHANGE_ROW, FIRST_ROW, LOG_ROW, MARK, FirstPerKey, StatusChanges, first_of_each, state_store
 
@@ -63,6 +64,33 @@ def rows_of(spark: SparkSession, out: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{out}/rows/batch=*")
 
 
+TAIL_ROW = "run_id string, timestamp long, message string, ts timestamp"
+
+
+def tail_run_logs(spark: SparkSession, path: str, out: str, page_files: int | None = None) -> DataFrame:
+    """SRC-09 / MON-03: the events of the log pages that came since the last call with this ``out``, each once.
+
+    Returns ``run_id``, ``timestamp``, ``message``, ``ts``, ``page`` (number of the
+    micro-batch, of ``page_files`` files at most) and ``next_cursor`` (the run's newest timestamp in
+    this call, plus one). The cursor is the query's list of files read, in the
+    checkpoint, so events with equal or late times are neither lost nor repeated;
+    a page that fails is read again as the same page.
+    """
+    pages: list[int] = []
+    sink = batch_sink(out)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sink(batch, batch_id)
+        pages.append(batch_id)
+
+    run_to_end(read_run_logs(spark, path, stream=True, page_files=page_files), out, write)
+    read = spark.read.schema(f"{TAIL_ROW}, batch long").option("basePath", f"{out}/rows")
+    rows = (read.parquet(*[f"{out}/rows/batch={n}" for n in pages]) if pages
+            else spark.createDataFrame([], f"{TAIL_ROW}, batch long")).withColumnRenamed("batch", "page")
+    newest = rows.groupBy(F.col("run_id").alias("of")).agg((F.max("timestamp") + 1).alias("next_cursor"))
+    return rows.join(newest, F.col("run_id").eqNullSafe(F.col("of"))).drop("of")
+
+
 def error_counts_by_day(spark: SparkSession, sf_dir: str, watermark: str = "1 day", out: str | None = None) -> DataFrame:
     """STR-01: per-day counts per run and level with a watermark (update mode).
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import erp, ordered
 from tessera.operators import scoring as S
+from tessera.operators import sketches
 
 
 def test_not_in_three_valued(spark):
@@ -144,3 +145,31 @@ def test_hierarchy_at_any_depth(spark):
     assert got.pop(None)[2] == "reached"
     assert got == {k: walk(k) for k in links}
     assert erp.hierarchy(df.limit(0)).count() == 0
+
+
+def test_quantile_sketches_stay_within_their_rank_error(spark):
+    """Hours into days, against exact ranks: off by at most half a percent of the rows."""
+    df = spark.range(0, 300_000).selectExpr("id % 60 AS hour", "pow(rand(7), 3) * 100 AS v")
+    hourly = sketches.quantile_sketches(df, ["hour"], "v").persist()
+    asked = {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+    days = sketches.merged_quantiles(hourly, [F.floor(F.col("hour") / 24).alias("day")], asked).collect()
+    assert sorted(r.day for r in days) == [0, 1, 2]
+    for r in days:
+        rows = df.where(F.floor(F.col("hour") / 24) == r.day)
+        assert rows.count() == r.n
+        below = rows.agg(*[F.avg((F.col("v") <= r[name]).cast("int")).alias(name) for name in asked]).first()
+        assert all(abs(below[name] - p) < 0.005 for name, p in asked.items()), (below, r)
+    none = spark.createDataFrame([(1, None), (1, None), (2, 3.0)], "g int, v double")
+    got = sketches.merged_quantiles(sketches.quantile_sketches(none, ["g"], "v"), ["g"], {"p": 0.5}).collect()
+    assert [(r.g, r.n, r.p) for r in got] == [(2, 1, 3.0)]
+
+
+def test_distinct_sketches_against_exact_counts(spark):
+    """At sf0.1: parts per supplier nation and year of shipment, rolled up per year; under five percent off."""
+    li = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").select(
+        F.year("l_shipdate").alias("year"), (F.col("l_suppkey") % 25).alias("nation"), "l_orderkey")
+    fine = sketches.distinct_sketches(li, ["year", "nation"], "l_orderkey").persist()
+    got = {r.year: r.n for r in sketches.merged_distinct(fine, ["year"], "n").collect()}
+    exact = {r.year: r.n for r in li.groupBy("year").agg(F.countDistinct("l_orderkey").alias("n")).collect()}
+    assert set(got) == set(exact) and min(exact.values()) > 1000
+    assert all(abs(got[y] / exact[y] - 1) < 0.05 for y in exact), (got, exact)

@@ -47,7 +47,7 @@ def contains_any_case_sensitive(sql: Column, tables: list[str]) -> Column:
 def extracted_texts(generations: DataFrame) -> DataFrame:
     """``text``, ``sql`` and ``reasoning``: each distinct text is taken apart once, and written once."""
     t = spread(generations.select("text").where(F.col("text").isNotNull()).distinct(), "text")
-    t = split_outputs(t, "text")
+    t = split_outputs(t, "text", dedupe=False)
     # EXT-02 fallback on the already split text (same layers, evaluated once)
     t = t.select("*", F.when(F.col("out_sql") == "", F.col("text")).otherwise(F.col("out_sql")).alias("__s"))
     t = t.select("*", TF.keyword_position(F.col("__s")).alias("__pos"))

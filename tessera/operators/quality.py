@@ -1,15 +1,15 @@
 """ERP data-quality rules (DQ-01..13) and their roll-up (DQ-00).
 
-Each rule returns the violating rows; :func:`rollup` counts checked rows and
-violations per rule in one pass over each input. Domain / range rules use
-small literal tables (bounded by construction) that may be broadcast.
+Each rule returns the violating rows. The roll-up counts checked rows and violations:
+:func:`rule_counts` all row rules of a table in one aggregate, rules over a key or
+another table by counts per key.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .erp import hierarchy
@@ -120,13 +120,47 @@ def fill_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in df.columns])
 
 
-def rollup(checks: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
-    """DQ-00: ``(rule, checked, violations, rate)`` for (rule, input, violations) triples."""
+def rule_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """``(rule, checked, violations)`` of all row rules of one table, in one aggregate.
+
+    A rule is a condition that violating rows meet; null is no violation. A rule
+    may be given as ``(scope, condition)``, and then checks the rows in scope only.
+    """
+    aggs = []
+    for k, rule in enumerate(rules.values()):
+        scope, bad = rule if isinstance(rule, tuple) else (F.lit(True), rule)
+        aggs += [F.count(F.when(scope, 1)).alias(f"c{k}"), F.count(F.when(scope & bad, 1)).alias(f"v{k}")]
+    stack = ", ".join(f"'{name}', c{k}, v{k}" for k, name in enumerate(rules))
+    return df.agg(*aggs).select(F.expr(f"stack({len(rules)}, {stack}) AS (rule, checked, violations)"))
+
+
+def key_count(df: DataFrame, key: str, rule: str) -> DataFrame:
+    """DQ-03 as a count: rows and keys that occur more than once; null is a key."""
+    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("checked"), F.count(F.when(F.col("n") > 1, 1)).alias("violations")) \
+        .select(F.lit(rule).alias("rule"), "checked", "violations")
+
+
+def reference_counts(child: DataFrame, keys: dict[str, tuple[str, DataFrame, str]]) -> DataFrame:
+    """DQ-07 as counts: for all foreign keys of one table, ``{rule: (column, parent, parent key)}``.
+
+    Keys are counted per distinct value first, so a value that many rows share is
+    looked up once; one row per rule comes back.
+    """
     parts = []
-    for rule, checked, bad in checks:
-        violations = bad.agg(F.count(F.lit(1))).scalar()  # scalar subquery, one value
-        parts.append(checked.agg(F.count(F.lit(1)).alias("checked"))
-                     .select(F.lit(rule).alias("rule"), "checked", violations.alias("violations")))
+    for rule, (column, parent, parent_key) in keys.items():
+        used = child.groupBy(F.col(column).alias("__key")).agg(F.count(F.lit(1)).alias("n"))
+        there = parent.select(F.col(parent_key).alias("__there")).distinct()
+        j = used.join(there, F.col("__key") == F.col("__there"), "left")
+        missing = F.col("__key").isNotNull() & F.col("__there").isNull()
+        parts.append(j.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("checked"),
+                           F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("violations"))
+                     .select(F.lit(rule).alias("rule"), "checked", "violations"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def rollup(parts: list[DataFrame]) -> DataFrame:
+    """DQ-00: ``(rule, checked, violations, rate)`` from counts per rule."""
     out = reduce(DataFrame.unionByName, parts)
     return out.select("rule", "checked", "violations",
                       F.when(F.col("checked") > 0, F.col("violations") / F.col("checked")).otherwise(0.0).alias("rate"))

@@ -7,7 +7,11 @@ separate because they hold non-trivial expressions referenced more than once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textfix as TF
@@ -22,29 +26,51 @@ def _split_layers(df: DataFrame, text: str) -> DataFrame:
     return d.select("*", TF.drop_sql_prefix(F.col("__clean")).alias("out_sql")).drop("__clean")
 
 
-def split_outputs(df: DataFrame, text: str = "text") -> DataFrame:
-    """EXT-01: adds ``out_sql`` and ``out_reasoning``."""
-    return _split_layers(df, text)
-
-
-def extract_sql(df: DataFrame, text: str = "text", out: str = "extracted_sql") -> DataFrame:
-    """EXT-02: adds ``out`` (fenced block / statement block / '')."""
-    keep = set(df.columns)
+def _extract_layers(df: DataFrame, text: str, out: str) -> DataFrame:
     d = _split_layers(df, text)
     d = d.select("*", F.when(F.col("out_sql") == "", F.coalesce(F.col(text), F.lit(""))).otherwise(F.col("out_sql"))
                  .alias("__s"))
     d = d.select("*", TF.keyword_position(F.col("__s")).alias("__pos"))
     d = d.select("*", TF.line_start_from(F.col("__s"), F.col("__pos")).alias("__start"))
-    d = d.select("*", TF.extract_from(F.col("__s"), F.col("__start")).alias(out))
-    return d.select(*[c for c in d.columns if c in keep or c == out])
+    return d.select("*", TF.extract_from(F.col("__s"), F.col("__start")).alias(out))
+
+
+def _per_text(df: DataFrame, texts: list[Column], work: Callable[[DataFrame], DataFrame], out: list[str],
+              dedupe: bool) -> DataFrame:
+    """``df`` with the columns ``out`` that ``work`` adds to a frame of ``__t0``, ``__t1``...
+
+    With ``dedupe``, each distinct text is worked on once, on all cores, and joined
+    back by a plain join that AQE can split; without, every row is, and nothing moves
+    (better when nearly every text is unique).
+    """
+    names = [f"__t{k}" for k in range(len(texts))]
+    named = df.withColumns(dict(zip(names, texts)))
+    if not dedupe:
+        return work(named).select(*df.columns, *out)
+    done = work(spread(named.select(*names).distinct(), names[0])).select(
+        *[F.col(n).alias(f"{n}_of") for n in names], *[F.col(o).alias(f"__{o}") for o in out])
+    same = reduce(and_, [F.col(n).eqNullSafe(F.col(f"{n}_of")) for n in names])
+    return named.join(done, same).select(*[named[c] for c in df.columns], *[F.col(f"__{o}").alias(o) for o in out])
+
+
+def split_outputs(df: DataFrame, text: str = "text", dedupe: bool = True) -> DataFrame:
+    """EXT-01: adds ``out_sql`` and ``out_reasoning``."""
+    return _per_text(df, [F.col(text)], lambda d: _split_layers(d, "__t0"), ["out_sql", "out_reasoning"], dedupe)
+
+
+def extract_sql(df: DataFrame, text: str = "text", out: str = "extracted_sql", dedupe: bool = True) -> DataFrame:
+    """EXT-02: adds ``out`` (fenced block / statement block / '')."""
+    return _per_text(df, [F.col(text)], lambda d: _extract_layers(d, "__t0", out), [out], dedupe)
 
 
 def extract_after_prompt(df: DataFrame, text: str = "text", prompt: str | None = None,
-                         out: str = "extracted_sql") -> DataFrame:
-    """EXT-03: adds ``out``; ``prompt`` names a column holding the prompt prefix."""
-    p = F.col(prompt) if prompt else F.lit("")
-    d = df.select("*", TF.response_after_prompt(F.col(text), p).alias("__resp"))
-    return d.select("*", TF.extract_from_response(F.col("__resp")).alias(out)).drop("__resp")
+                         out: str = "extracted_sql", dedupe: bool = True) -> DataFrame:
+    """EXT-03: adds ``out``; ``prompt`` names a column holding the prompt prefix.
+
+    The response is what is taken apart once, so outputs that differ in their prompts alone count as one text.
+    """
+    response = TF.response_after_prompt(F.col(text), F.col(prompt) if prompt else F.lit(""))
+    return _per_text(df, [response], lambda d: d.withColumn(out, TF.extract_from_response(F.col("__t0"))), [out], dedupe)
 
 
 def repair_report(df: DataFrame, sql: str = "sql", query: str = "query") -> DataFrame:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..operators.erp import hierarchy
 from .erp_queries import HIERARCHY_SQL
 from .registry import query
 
 
+_STATUS = [("projects", "status"), ("resources", "availability"), ("tickets", "status"), ("contracts", "status")]
+
+
 def _dom(table: str) -> str:
     return ", ".join(f"'{v}'" for v in Q.STATUS_DOMAIN[table])
 
@@ -98,11 +102,9 @@ WHERE NOT coalesce(status IN ({_dom('tickets')}), FALSE) GROUP BY status
 UNION ALL SELECT 'contracts', status, count(*) FROM contracts
 WHERE NOT coalesce(status IN ({_dom('contracts')}), FALSE) GROUP BY status""")
 def dq_10(v):
-    parts = [(v.projects, "projects", "status"), (v.resources, "resources", "availability"),
-             (v.tickets, "tickets", "status"), (v.contracts, "contracts", "status")]
     return reduce(DataFrame.unionByName, [
-        Q.status_outside_domain(df, t, c).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(t).alias("table_name"), "value", "n") for df, t, c in parts])
+        Q.status_outside_domain(getattr(v, t), t, c).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit(t).alias("table_name"), "value", "n") for t, c in _STATUS])
 
 
 @query("dq_11", f"""SELECT 'projects.budget' AS rule_column, project_code AS key_value, budget AS value FROM projects
@@ -152,40 +154,70 @@ def dq_13_fill(v):
                               F.lit(None).cast("string").alias("phone")))
 
 
-# rule -> (rows checked, violating rows), as SQL
+def _outside(table: str, column: str = "status") -> str:
+    return f"NOT coalesce({column} IN ({_dom(table)}), FALSE)"
+
+
+# rule -> (rows checked, violating rows), as SQL; every rule on all of its tables
 _ROLLUP = {
-    "DQ-01 end_before_start": ("projects", "SELECT 1 FROM projects WHERE end_date < start_date"),
-    "DQ-02 cost_over_budget": ("projects", "SELECT 1 FROM projects WHERE actual_cost > budget"),
-    "DQ-03 duplicate_keys": ("staff", "SELECT 1 FROM staff GROUP BY staff_id HAVING count(*) > 1"),
-    "DQ-04 over_capacity": ("resources", """SELECT 1 FROM resources r JOIN (SELECT resource_code, SUM(allocation_percent) AS allocated
+    "DQ-01 projects.end_date": ("projects", "SELECT 1 FROM projects WHERE end_date < start_date"),
+    "DQ-02 projects.actual_cost": ("projects", "SELECT 1 FROM projects WHERE actual_cost > budget"),
+    **{f"DQ-03 {t}.{k}": (t, f"SELECT 1 FROM {t} GROUP BY {k} HAVING count(*) > 1") for t, k in _DQ03},
+    "DQ-04 resources.capacity": ("resources", """SELECT 1 FROM resources r JOIN (SELECT resource_code, SUM(allocation_percent) AS allocated
   FROM staff WHERE status = 'Assigned' GROUP BY resource_code) a ON r.resource_code = a.resource_code WHERE a.allocated > r.capacity"""),
-    "DQ-05 assigned_unavailable": ("(SELECT * FROM staff WHERE status = 'Assigned')", """SELECT 1 FROM staff s JOIN resources r
+    "DQ-05 staff.resource_code": ("(SELECT * FROM staff WHERE status = 'Assigned')", """SELECT 1 FROM staff s JOIN resources r
   ON s.resource_code = r.resource_code WHERE s.status = 'Assigned' AND r.availability <> 'Available'"""),
-    "DQ-06 cost_not_below_billing": ("resources", "SELECT 1 FROM resources WHERE cost_rate >= billing_rate"),
-    "DQ-07 orphan_staff_resource": ("staff", "SELECT 1 FROM staff s WHERE resource_code IS NOT NULL AND NOT EXISTS "
-                                             "(SELECT 1 FROM resources r WHERE r.resource_code = s.resource_code)"),
-    "DQ-08 contract_value_mismatch": ("contracts", """SELECT 1 FROM contracts ct JOIN projects p ON ct.project_code = p.project_code
+    "DQ-06 resources.cost_rate": ("resources", "SELECT 1 FROM resources WHERE cost_rate >= billing_rate"),
+    **{f"DQ-07 {fk}": (ct, f"SELECT 1 FROM {ct} c WHERE {ck} IS NOT NULL AND NOT EXISTS "
+                           f"(SELECT 1 FROM {pt} p WHERE p.{pk} = c.{ck})") for fk, ct, ck, pt, pk in _FKS},
+    "DQ-08 contracts.contract_value": ("contracts", """SELECT 1 FROM contracts ct JOIN projects p ON ct.project_code = p.project_code
   WHERE abs(ct.contract_value - p.budget) > 0.005"""),
-    "DQ-09 contract_outside_project": ("contracts", """SELECT 1 FROM contracts ct JOIN projects p ON ct.project_code = p.project_code
+    "DQ-09 contracts.start_date": ("contracts", """SELECT 1 FROM contracts ct JOIN projects p ON ct.project_code = p.project_code
   WHERE ct.start_date < p.start_date OR (p.end_date IS NOT NULL AND ct.end_date > p.end_date)"""),
-    "DQ-10 status_outside_domain": ("tickets", f"SELECT 1 FROM tickets WHERE NOT coalesce(status IN ({_dom('tickets')}), FALSE)"),
-    "DQ-11 capacity_range": ("resources", f"SELECT 1 FROM resources WHERE NOT (capacity BETWEEN {Q.CAPACITY_MIN} AND {Q.CAPACITY_MAX})"),
-    "DQ-12 hierarchy": ("srm_projects", "SELECT 1 FROM outcomes WHERE NOT within_limit"),
-    "DQ-13 missing_email": ("contacts", "SELECT 1 FROM contacts WHERE email IS NULL"),
+    **{f"DQ-10 {t}.{c}": (t, f"SELECT 1 FROM {t} WHERE {_outside(t, c)}") for t, c in _STATUS},
+    "DQ-11 projects.budget": ("projects", f"SELECT 1 FROM projects WHERE NOT (budget BETWEEN {Q.BUDGET_MIN} AND {Q.BUDGET_MAX})"),
+    "DQ-11 resources.capacity": ("resources", f"SELECT 1 FROM resources WHERE NOT (capacity BETWEEN {Q.CAPACITY_MIN} AND {Q.CAPACITY_MAX})"),
+    "DQ-12 srm_projects.parent_id": ("srm_projects", "SELECT 1 FROM outcomes WHERE NOT within_limit"),
+    **{f"DQ-13 {t}.{c}": (t, f"SELECT 1 FROM {t} WHERE {c} IS NULL") for t, cols in _NULL_COLS.items() for c in cols},
 }
 
 
+def _row_rules(table: str) -> dict[str, Column]:
+    """The rules that look at one row of a table."""
+    rules = {
+        "projects": {"DQ-01 projects.end_date": F.col("end_date") < F.col("start_date"),
+                     "DQ-02 projects.actual_cost": F.col("actual_cost") > F.col("budget"),
+                     "DQ-11 projects.budget": ~F.col("budget").between(Q.BUDGET_MIN, Q.BUDGET_MAX)},
+        "resources": {"DQ-06 resources.cost_rate": F.col("cost_rate") >= F.col("billing_rate"),
+                      "DQ-11 resources.capacity": ~F.col("capacity").between(Q.CAPACITY_MIN, Q.CAPACITY_MAX)},
+    }.get(table, {})
+    rules |= {f"DQ-10 {t}.{c}": ~F.coalesce(F.col(c).isin(*Q.STATUS_DOMAIN[t]), F.lit(False))
+              for t, c in _STATUS if t == table}
+    return rules | {f"DQ-13 {table}.{c}": F.col(c).isNull() for c in _NULL_COLS.get(table, [])}
+
+
 @query("dq_00", f"WITH RECURSIVE {HIERARCHY_SQL}, counted AS (" + " UNION ALL ".join(
     f"SELECT '{rule}' AS rule, (SELECT count(*) FROM {t}) AS checked, (SELECT count(*) FROM ({bad})) AS violations"
     for rule, (t, bad) in _ROLLUP.items()) + """)
 SELECT rule, checked, violations, CASE WHEN checked > 0 THEN violations / checked ELSE 0.0 END AS rate FROM counted""")
 def dq_00(v):
-    """DQ-00: all thirteen rules (DQ-03, DQ-07, DQ-10 and DQ-13 on the table where they matter most)."""
-    p, r, s, c, t = v.projects, v.resources, v.staff, v.contracts, v.tickets
-    bad = [(p, Q.end_before_start(p)), (p, Q.cost_over_budget(p)), (s, Q.duplicate_keys(s, "staff_id", "staff")),
-           (r, Q.over_capacity(r, s)), (s.where(F.col("status") == "Assigned"), Q.assigned_unavailable(s, r)),
-           (r, Q.cost_not_below_billing(r)), (s, Q.orphans(s, "resource_code", r, "resource_code", "staff.resource_code")),
-           (c, Q.contract_value_mismatch(c, p)), (c, Q.contract_outside_project(c, p)), (t, Q.status_outside_domain(t, "tickets")),
-           (r, Q.out_of_range(r, "capacity", Q.CAPACITY_MIN, Q.CAPACITY_MAX)),
-           (v.srm_projects, Q.too_deep(v.srm_projects)), (v.contacts, v.contacts.where(F.col("email").isNull()))]
-    return Q.rollup([(rule, checked, rows) for rule, (checked, rows) in zip(_ROLLUP, bad, strict=True)])
+    """DQ-00: all thirteen rules on all their tables; the row rules of a table in one aggregate."""
+    parts = [Q.rule_counts(getattr(v, t), rules) for t in ("projects", "contacts", "tickets") if (rules := _row_rules(t))]
+    # a staff row's resource, a resource's staff and a contract's project are looked up once for all their rules
+    staff = v.staff.join(v.resources.select("resource_code", "availability").dropDuplicates(["resource_code"]), "resource_code", "left")
+    assigned = F.col("status") == "Assigned"
+    parts.append(Q.rule_counts(staff, _row_rules("staff") | {
+        "DQ-05 staff.resource_code": (assigned, F.col("availability") != "Available")}))
+    load = v.staff.where(assigned).groupBy("resource_code").agg(F.sum("allocation_percent").alias("allocated"))
+    parts.append(Q.rule_counts(v.resources.join(load, "resource_code", "left"), _row_rules("resources") | {
+        "DQ-04 resources.capacity": F.col("allocated") > F.col("capacity")}))
+    project = v.projects.select("project_code", "budget", F.col("start_date").alias("p_start"), F.col("end_date").alias("p_end")).dropDuplicates(["project_code"])
+    parts.append(Q.rule_counts(v.contracts.join(project, "project_code", "left"), _row_rules("contracts") | {
+        "DQ-08 contracts.contract_value": F.abs(F.col("contract_value") - F.col("budget")) > Q.MONEY_TOLERANCE,
+        "DQ-09 contracts.start_date": (F.col("start_date") < F.col("p_start")) | (F.col("end_date") > F.col("p_end"))}))
+    parts += [Q.key_count(getattr(v, t), k, f"DQ-03 {t}.{k}") for t, k in _DQ03]
+    for table in dict.fromkeys(ct for _, ct, *_ in _FKS):
+        parts.append(Q.reference_counts(getattr(v, table), {
+            f"DQ-07 {fk}": (ck, getattr(v, pt), pk) for fk, ct, ck, pt, pk in _FKS if ct == table}))
+    parts.append(Q.rule_counts(hierarchy(v.srm_projects, Q.MAX_DEPTH), {"DQ-12 srm_projects.parent_id": ~F.col("within_limit")}))
+    return Q.rollup(parts)

@@ -35,3 +35,12 @@ def test_fix_from_question(spark):
     df = spark.createDataFrame([("SELECT * FROM things", "list all contracts")], "sql string, query string")
     r = df.select(TF.fix_from_question(F.col("sql"), F.col("query"))["sql"].alias("s")).first()
     assert r["s"] == "SELECT * FROM PROJCNTRTS"
+
+
+def test_distinct_texts_give_every_row_its_result(spark):
+    texts = ["<think>a</think> SELECT 1 FROM t", "```sql\nSELECT 2 FROM u;\n```", None, "", "no query", "SELECT 3 FROM v"]
+    df = spark.createDataFrame([(k, texts[k % len(texts)], "Q: ") for k in range(60)], "id int, text string, prompt string")
+    for work in (O.split_outputs, O.extract_sql, lambda d, **k: O.extract_after_prompt(d, "text", "prompt", **k)):
+        once = sorted((tuple(r) for r in work(df).collect()), key=repr)
+        each = sorted((tuple(r) for r in work(df, dedupe=False).collect()), key=repr)
+        assert once == each and len(once) == 60 and work(df).columns == work(df, dedupe=False).columns

@@ -17,12 +17,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Rows in an Arrow batch: a row is a whole text, so the usual ten thousand would hold too much at once.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch: a row is a whole text, so the usual ten thousand would hold too much at once.
+BATCH_ROWS, BATCH_BYTES = 1000, "16m"
 
 
 def in_small_batches(docs: DataFrame) -> DataFrame:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """``docs``; from here on, its session hands texts to Python in batches bounded by rows and by bytes."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return docs
 
 
@@ -87,13 +90,17 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
             coded.dictionary.to_pylist())
 
 
-def joined_ids(ids: list[bytes], place: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit ids of all words in text order, and where each text's ids begin; ``ids`` are those of the distinct words."""
-    size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-    flat = np.frombuffer(b"".join([x if len(x) != 1 else b"" for x in ids]), "<u4")  # one byte marks no ids
-    start = np.cumsum(size, dtype=np.int32) - size
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray | slice,
+             offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit ids of all words in text order, and where each text's begin; word w's are flat[start[w]:start[w] + size[w]]."""
     count = size[place]
     end = np.cumsum(count, dtype=np.int32)  # a slice of texts has far fewer ids than 32 bits count
-    at = np.repeat(start[place] - (end - count), count)
+    at = np.repeat(start[place].astype(np.int32) - (end - count), count)
     at += np.arange(len(at), dtype=np.int32)
     return flat[at], np.concatenate([[0], end])[offsets]
+
+
+def joined_ids(ids: list[bytes], place: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`gathered` for the distinct words' ids as bytes."""
+    size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+    return gathered(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size, dtype=np.int32) - size, size, place, offsets)

@@ -30,7 +30,7 @@ TASK_SPAN = 1 << 32
 class Piece:
     doc: int | None
     start: int
-    ids: bytes
+    ids: bytes | memoryview
     doc_tokens: int
 
     def __len__(self) -> int:
@@ -109,14 +109,12 @@ def pack(documents: Iterator[tuple[int | None, bytes]], window: int = WINDOW) ->
     """Windows of pieces from (doc_id, id bytes); every id lies in one piece."""
     levels = SumOfSquares(window)
     for doc, ids in documents:
-        whole = Piece(doc, 0, ids, len(ids) // 4)
-        while len(whole) > window:
-            full, whole = whole.cut(window)
-            yield [full]
-        if len(whole) == window:
-            yield [whole]
-        elif len(whole):
-            done = levels.place(whole)
+        view, tokens = memoryview(ids), len(ids) // 4  # cut without copies; only the rest is kept longer
+        full = tokens - tokens % window
+        for start in range(0, full, window):
+            yield [Piece(doc, start, view[4 * start:4 * (start + window)], tokens)]
+        if full < tokens:
+            done = levels.place(Piece(doc, full, bytes(view[4 * full:]), tokens))
             if done:
                 yield done
     yield from levels.drain()
@@ -147,7 +145,7 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, window: int, wit
         offset = 0
         for p in pieces:
             rows.append((p.doc, p.start, len(p), zlib.crc32(p.ids), p.doc_tokens, sequence, offset,
-                         p.ids if with_ids else None))
+                         bytes(p.ids) if with_ids else None))
             offset += len(p)
         sequence += 1
         if len(rows) >= 4096:

@@ -5,8 +5,8 @@ position. Two neighbouring symbols can only ever merge into pieces that hold
 their touching characters side by side, so a text is cut wherever no piece has
 that pair of characters; each distinct cut is encoded once and kept. Every cut
 that a task meets for the first time and that begins with a space is also encoded
-by the sentencepiece library, in one call per Arrow batch, and any difference
-raises an error. Decoding turns ids back into pieces and is checked the same way.
+by the sentencepiece library, in one call per Arrow batch, and so is every text
+with runs of spaces; any difference raises an error. Ids are decoded by the library.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from .common import id_text, joined_ids, slices, words_of
 
 SPACE = "▁"
-CACHE_WORDS, CACHE_CUTS = 700_000, 400_000
+CACHE_BYTES = 96 << 20  # what the known words of a worker take, about; the same again for cuts of words
+ENTRY_BYTES = 220       # a word and its ids, besides their own bytes
+LONGEST = 64            # characters of a word that is kept
 CHARS_AT_ONCE = 1_000_000
-CHECKED_TEXTS = 8  # whole texts of each Arrow batch that the library encodes and decodes as well
+CHECKED_TEXTS = 8  # whole texts of each Arrow batch that the library encodes as well
 
 NORMAL, BYTE = 1, 6  # piece types of the model format
 
@@ -39,7 +41,7 @@ def default_model() -> str:
 
 
 class Codec:
-    """Encodes and decodes exactly as the library does, for models that keep texts as they are."""
+    """Encodes exactly as the library does, for models that keep texts as they are; ``library`` decodes."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -55,21 +57,18 @@ class Codec:
         self.rank: dict[str, float] = {}  # piece -> minus its score
         self.id: dict[str, int] = {}
         self.byte_id = [self.library.unk_id()] * 256
-        self.piece_bytes: list[bytes] = []
         for i, p in enumerate(spec.pieces):
-            surface = p.piece.replace(SPACE, " ").encode() if p.type == NORMAL else b""
             if p.type == BYTE:
-                surface = bytes([int(p.piece[3:5], 16)])
-                self.byte_id[surface[0]] = i
+                self.byte_id[int(p.piece[3:5], 16)] = i
             elif p.type == NORMAL:
                 self.rank[p.piece] = -p.score
                 self.id[p.piece] = i
-            self.piece_bytes.append(surface)
         self.pairs = {p[k:k + 2] for p in self.rank for k in range(len(p) - 1)}
         if any(pair[1] == SPACE and pair[0] != SPACE for pair in self.pairs):
             raise ValueError("pieces must not run across a space")
         self._words: dict[str, bytes] = {}
         self._cuts: dict[str, bytes] = {}
+        self._held = {"words": 0, "cuts": 0}  # bytes
 
     def merge(self, symbols: str) -> list[int]:
         """Ids of one cut: pop the best adjacent pair, merge it and put its new neighbours on the agenda."""
@@ -114,24 +113,29 @@ class Codec:
             ids = self._cuts.get(cut)
             if ids is None:
                 ids = array("i", self.merge(cut)).tobytes()
-                if len(cut) <= 32:
+                if len(cut) <= LONGEST // 2:
                     self._cuts[cut] = ids
+                    self._held["cuts"] += ENTRY_BYTES + 2 * len(cut) + len(ids)
             found.append(ids)
             start = end
         return b"".join(found) if len(found) > 1 else found[0]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The 32-bit ids of all texts and where each text's begin."""
-        if len(self._cuts) > CACHE_CUTS:
-            self._cuts = {}
-        if len(self._words) > CACHE_WORDS:
-            self._words = {}
+        if self._held["cuts"] > CACHE_BYTES:
+            self._cuts, self._held["cuts"] = {}, 0
+        if self._held["words"] > CACHE_BYTES:
+            self._words, self._held["words"] = {}, 0
         offsets, place, distinct = words_of([t.replace(SPACE, " ") for t in texts])
         ids = list(map(self._words.get, distinct))
         new = [k for k, known in enumerate(ids) if known is None and distinct[k]]
         for k in new:
-            ids[k] = self._words[distinct[k]] = self._word(SPACE + distinct[k])
-        self._check_words([distinct[k] for k in new])
+            word = distinct[k]
+            ids[k] = self._word(SPACE + word)
+            if len(word) <= LONGEST:
+                self._words[word] = ids[k]
+                self._held["words"] += ENTRY_BYTES + 2 * len(word) + len(ids[k])
+        self._check([distinct[k] for k in new], [ids[k] for k in new])
         empty = distinct.index("") if "" in distinct else -1
         if empty >= 0:
             ids[empty] = b""
@@ -145,21 +149,15 @@ class Codec:
             if odd[k]:
                 runs = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE)) if text else []
                 parts.append(np.frombuffer(b"".join(map(self._word, runs)), "<i4"))
+                self._check([text], [parts[-1].tobytes()])
             else:
                 parts.append(tokens[ends[k]:ends[k + 1]])
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(list(map(len, parts)))])
 
-    def _check_words(self, words: list[str]) -> None:
-        for word, ids in zip(words, self.library.encode(words, num_threads=1)):
-            if array("i", ids).tobytes() != self._words[word]:
-                raise AssertionError(f"the library encodes {word!r} otherwise")
-
-    def decode(self, ids: list[int]) -> str:
-        """Pieces joined; the space that encoding puts first goes, bytes that aren't UTF-8 become U+FFFD."""
-        data = b"".join(map(self.piece_bytes.__getitem__, ids))
-        if ids and data[:1] == b" " and self.piece_bytes[ids[0]][:1] == b" ":
-            data = data[1:]
-        return data.decode("utf-8", "replace")
+    def _check(self, texts: list[str], ids: list[bytes]) -> None:
+        for text, mine, theirs in zip(texts, ids, self.library.encode(texts, num_threads=1)):
+            if array("i", theirs).tobytes() != mine:
+                raise AssertionError(f"the library encodes {text[:100]!r} otherwise")
 
 
 @lru_cache(maxsize=1)
@@ -183,11 +181,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], pieces: Codec) -> Iterator[tuple
 
 
 def _decoded(pieces: Codec, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
-    texts = [pieces.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-    few = [ids[a:b].tolist() for a, b in zip(ends[:CHECKED_TEXTS].tolist(), ends[1:].tolist())]
-    if pieces.library.decode(few) != texts[:len(few)]:
-        raise AssertionError("the library decodes a text otherwise")
-    return pa.array(texts, pa.string())
+    decode = pieces.library.decode
+    return pa.array([decode(ids[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string())
 
 
 def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:

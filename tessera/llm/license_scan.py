@@ -119,10 +119,15 @@ class NoticeSearch:
                     known.append([low, high])
         hits = []
         for number, places in windows.items():
-            notice, label, _ = self.notices[number]
-            for low, high in places:
-                for m in self.patterns[number].finditer(text, low, high):
+            notice, label, k = self.notices[number]
+            todo = [(low, high) for low, high in places]
+            while todo:
+                low, high = todo.pop()
+                # the best match of a stretch, then those before and after it
+                m = self.patterns[number].search(text, low, high) if high - low >= len(notice) - k else None
+                if m:
                     hits.append(Hit(label, notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    todo += [(low, m.start()), (m.end(), high)]
         best: list[Hit] = []
         free = Taken()
         for hit in sorted(hits, key=lambda h: (-h.score, h.start - h.end, h.start, h.label)):

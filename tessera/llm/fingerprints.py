@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import id_text, written
 
 SLOTS = 64
-SLOT_HEX = 4
 LEVELS = 24          # a phrase has two symbols at least, so more levels than any text needs
 FROM_LEVEL = 2       # phrases of the first level are too short to tell texts apart
 SLICE_CHARS = 120_000
@@ -124,19 +123,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(total == 0, 1.0, equal / np.maximum(total, 1))
 
 
+def as_bytes(sketch: np.ndarray) -> list[bytes]:
+    """All 32 bits of each slot, what :func:`likeness` compares; an empty slot is all ones."""
+    return [row.astype(">u4").tobytes() for row in sketch]
+
+
 def as_text(sketch: np.ndarray) -> list[str]:
-    """The low 16 bits of each slot in hexadecimal; an empty slot is ``----``."""
-    out = []
-    for row in sketch:
-        digits = (row & np.uint32(0xFFFF)).astype(">u2").tobytes().hex()
-        empty = np.flatnonzero(row == _EMPTY)
-        if len(empty):
-            parts = [digits[k:k + SLOT_HEX] for k in range(0, len(digits), SLOT_HEX)]
-            for k in empty:
-                parts[k] = "-" * SLOT_HEX
-            digits = "".join(parts)
-        out.append(digits)
-    return out
+    """:func:`as_bytes` in hexadecimal, as results hold it."""
+    return [x.hex() for x in as_bytes(sketch)]
 
 
 def edited(text: str, following: str) -> str:
@@ -145,7 +139,7 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - quarter] + following[:quarter]
 
 
-RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
           "near_edited double, near_next double")
 ROW = f"part int, border int, {RESULT}, text string"
 NAMES = [c.split(" ")[0] for c in RESULT.split(", ")]
@@ -156,7 +150,7 @@ def _describe(ids: list, texts: list[str], following: list[str], mine: np.ndarra
     theirs = sketches(changed)
     return [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed]),
-            pa.array(as_text(mine)), pa.array(as_text(theirs)), pa.array(likeness(mine, theirs), pa.float64()),
+            pa.array(as_bytes(mine), pa.binary()), pa.array(as_bytes(theirs), pa.binary()), pa.array(likeness(mine, theirs), pa.float64()),
             pa.array(likeness(mine, nexts), pa.float64())]
 
 
@@ -199,7 +193,7 @@ def _at_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(done, names=NAMES)
 
 
-_TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
 _SCHEMA = pa.schema([(c.split(" ")[0], _TYPES[c.split(" ")[1]]) for c in ROW.split(", ")])
 
 
@@ -227,4 +221,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.first("part").over(by_part.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("next"))
     tails = (rows.where("border = 1").select("part", "doc_id", "text").join(order, "part")
              .join(heads.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "following"))
-    return inner.unionByName(tails.mapInArrow(_at_borders, RESULT))
+    both = inner.unionByName(tails.mapInArrow(_at_borders, RESULT))
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})

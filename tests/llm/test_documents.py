@@ -1,6 +1,7 @@
 """Quality ranking, fingerprints, exact duplicates and the whole pipeline."""
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -51,25 +52,78 @@ def test_scores_need_neither_labels_nor_names(spark, docs):
     assert {r.doc_id - 5: r.score for r in quality.scored(moved, ranking).collect()} == a
 
 
+def _plain_level(symbols, mix):
+    mask, k1, k2 = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    runs = [(s, len(list(own))) for s, own in itertools.groupby(symbols)]
+    symbols = [mix((s + n * k2) & mask) if n > 1 else s for s, n in runs]
+    labels = symbols
+    for _ in range(3):
+        tossed = []
+        for at, label in enumerate(labels):
+            left = labels[at - 1] if at else ~label & mask
+            bit = next(b for b in range(64) if (label ^ left) >> b & 1)
+            tossed.append(2 * bit + (label >> bit & 1))
+        labels = tossed
+    starts = [0] + [k for k in range(2, len(labels) - 1) if labels[k - 1] > labels[k] < labels[k + 1]]
+    phrases = [symbols[a:b] for a, b in zip(starts, [*starts[1:], len(symbols)])]
+    return [mix(sum(mix((s * k1 + p * k2 + k1) & mask) for p, s in enumerate(phrase)) & mask) for phrase in phrases]
+
+
+def _plain_sketch(text):
+    """The same parse symbol by symbol: runs, three tosses, cuts at local minima, 64 slots of smallest names."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & mask
+        return x ^ (x >> 29)
+
+    slots = [0xFFFFFFFF] * 64
+    symbols = [mix(((ord(c) + 1) * 0x9E3779B97F4A7C15) & mask) for c in text]
+    for level in range(1, fingerprints.LEVELS + 1):
+        if not symbols:
+            break
+        symbols = _plain_level(symbols, mix)
+        alone = len(symbols) == 1
+        for name in symbols if alone or level >= fingerprints.FROM_LEVEL else []:
+            slots[name % 64] = min(slots[name % 64], name >> 32)
+        if alone:
+            break
+    return slots
+
+
+def _as_slots(fingerprint):
+    return [int(fingerprint[k:k + 8], 16) for k in range(0, 512, 8)]
+
+
+def _plain_likeness(a, b):
+    filled = [(x, y) for x, y in zip(a, b) if x != 0xFFFFFFFF or y != 0xFFFFFFFF]
+    return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
+
+
 def test_fingerprint_rows(spark, docs):
+    """Everything follows from the returned fingerprints and a parse that goes symbol by symbol."""
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs.repartition(6)).collect()}
     assert len(got) == len(rows)
-    marks = fingerprints.sketches([t for _, t in rows])
     for k, (i, text) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         cut = len(text) // 4
         changed = text[:len(text) - cut] + after[:cut]
         r = got[i]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
-        assert r.fingerprint == fingerprints.as_text(marks[k:k + 1])[0]
-        mine = fingerprints.sketches([changed, after])
-        assert r.near_edited == fingerprints.likeness(marks[k:k + 1], mine[:1])[0]
-        assert r.near_next == fingerprints.likeness(marks[k:k + 1], mine[1:])[0]
+        assert r.near_edited == _plain_likeness(_as_slots(r.fingerprint), _as_slots(r.edited_fingerprint))
+        assert r.near_next == _plain_likeness(_as_slots(r.fingerprint), _as_slots(got[rows[(k + 1) % len(rows)][0]].fingerprint))
+        if len(text) < 3000:
+            assert _as_slots(r.fingerprint) == _plain_sketch(text) and _as_slots(r.edited_fingerprint) == _plain_sketch(changed)
     long = [r for r in got.values() if r.n_chars > 1500]
     assert np.median([r.near_edited for r in long]) > 0.4 > 0.1 > np.median([r.near_next for r in long])
 
 
+def test_short_texts_have_fingerprints_of_their_own():
+    texts = [str(k) for k in range(20_000)]
+    assert len(set(fingerprints.as_text(fingerprints.sketches(texts)))) == len(texts)
+
+
 def test_fingerprints_dont_depend_on_neighbours(docs):
     texts = [r.text for r in docs.limit(30).collect()] + ["", "a", "aa", "ab", "aba", "x" * 1000, "é" * 3]
     together = fingerprints.sketches(texts)
@@ -93,7 +147,7 @@ def test_exact_groups(docs):
             assert (r.keep_id, r.group_size, r.kept) == (max(same), len(same), r.doc_id == max(same))
 
 
-@pytest.mark.parametrize("name", ["op9_exact_duplicates"])
+@pytest.mark.parametrize("name", ["op9_exact_duplicates", "op11_mixing"])
 def test_no_python_in_the_native_plan(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -125,9 +125,9 @@ def query_type(upper_sql: Column) -> Column:
             .otherwise(""))
 
 
-def sql_structure(sql: Column) -> dict[str, Column]:
+def sql_structure(sql: Column, upper_sql: Column | None = None) -> dict[str, Column]:
     """COR-03: query type, tables (first FROM + every JOIN), clause flags; literals and comments don't count."""
-    u = masked_upper(sql)
+    u = masked_upper(sql) if upper_sql is None else upper_sql
     first_from = F.regexp_extract(u, P.FROM_TABLE, 1)
     tables = F.concat(F.when(first_from != "", F.array(first_from)).otherwise(F.array().cast("array<string>")),
                       F.regexp_extract_all(u, F.lit(P.JOIN_TABLE), 1))
@@ -474,10 +474,15 @@ ACCURACY_INPUT_KEYS = ["acc_gen_norm", "acc_exp_norm", "acc_gen_type", "acc_exp_
                       "acc_exp_blank"]
 
 
-def accuracy_inputs(sql: Column, expected: Column) -> dict[str, Column]:
-    """Normalised texts and structures of generated and expected SQL (layer 1)."""
+def accuracy_inputs(sql: Column, expected: Column, upper_sql: Column | None = None,
+                    upper_expected: Column | None = None) -> dict[str, Column]:
+    """Normalised texts and structures of generated and expected SQL (layer 1).
+
+    The last two are :func:`masked_upper` of the first two, null as empty for ``sql``; projected beforehand, each
+    is computed once.
+    """
     g = F.coalesce(sql, F.lit(""))
-    gs, es = sql_structure(g), sql_structure(expected)
+    gs, es = sql_structure(g, upper_sql), sql_structure(expected, upper_expected)
     return {
         "acc_gen_norm": normalize_sql(g), "acc_exp_norm": normalize_sql(expected),
         "acc_gen_type": gs["query_type"], "acc_exp_type": es["query_type"],

@@ -76,7 +76,7 @@ def _reward_cols(validated: bool) -> tuple[Column, ...]:
 
 @lru_cache(maxsize=None)
 def _accuracy_input_cols() -> tuple[Column, ...]:
-    i = T.accuracy_inputs(F.col("sql"), F.col("expected_sql"))
+    i = T.accuracy_inputs(F.col("sql"), F.col("expected_sql"), F.col("__gen"), F.col("__exp"))
     return tuple(i[k].alias(k) for k in T.ACCURACY_INPUT_KEYS)
 
 
@@ -132,7 +132,10 @@ def _per_sql(sqls: DataFrame, validated: bool) -> DataFrame:
 
 def _with_accuracy(pairs: DataFrame) -> DataFrame:
     """What depends on the SQL text and the expected one."""
-    return pairs.select("*", *_accuracy_input_cols()).select("*", _accuracy_col()).drop(*T.ACCURACY_INPUT_KEYS)
+    masked = pairs.withColumns({"__gen": T.masked_upper(F.coalesce("sql", F.lit(""))),
+                                "__exp": T.masked_upper(F.col("expected_sql"))})
+    return (masked.select("*", *_accuracy_input_cols()).select("*", _accuracy_col())
+            .drop("__gen", "__exp", *T.ACCURACY_INPUT_KEYS))
 
 
 def score(df: DataFrame, validated: bool = True, dedupe: bool = True) -> DataFrame:
@@ -149,9 +152,9 @@ def score(df: DataFrame, validated: bool = True, dedupe: bool = True) -> DataFra
     if dedupe:
         sqls = _per_sql(spread(df.select("sql").distinct(), "sql"), validated).withColumnRenamed("sql", "__sql")
         pairs = df.select("sql", "expected_sql").distinct()
-        pairs = _with_accuracy(spread(pairs, "expected_sql")).withColumnsRenamed({"sql": "__psql", "expected_sql": "__exp"})
-        same = df["sql"].eqNullSafe(pairs["__psql"]) & df["expected_sql"].eqNullSafe(pairs["__exp"])
-        rows = (df.join(pairs, same, "inner").drop("__psql", "__exp")
+        pairs = _with_accuracy(spread(pairs, "expected_sql")).withColumnsRenamed({"sql": "__psql", "expected_sql": "__pexp"})
+        same = df["sql"].eqNullSafe(pairs["__psql"]) & df["expected_sql"].eqNullSafe(pairs["__pexp"])
+        rows = (df.join(pairs, same, "inner").drop("__psql", "__pexp")
                 .join(sqls, df["sql"].eqNullSafe(sqls["__sql"]), "inner").drop("__sql"))
     else:
         rows = _with_accuracy(_per_sql(df, validated))

@@ -110,15 +110,15 @@ def validate(df: DataFrame, sql: str = "sql") -> DataFrame:
     return with_features(df, sql).select("*", *_issue_cols(sql)).select("*", *_summary_cols())
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a deduplicated, CPU-heavy frame over all cores.
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a CPU-heavy frame over all cores, by a hash of ``key`` or evenly.
 
     It is small in bytes, so AQE would coalesce it into one task; the explicit
     partition count is the cluster's default parallelism.
     """
     sc = df.sparkSession.sparkContext
     n = max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, key)
+    return df.repartition(n, key) if key else df.repartition(n)
 
 
 def _per_sql(sqls: DataFrame, validated: bool) -> DataFrame:
@@ -146,8 +146,9 @@ def score(df: DataFrame, validated: bool = True, dedupe: bool = True) -> DataFra
     with the work behind them. Validation is done once per distinct SQL text, the
     comparison once per distinct pair, and both are joined back by plain joins,
     whose sides AQE sizes in bytes; ``dedupe=False``
-    computes it on every row instead (no shuffle; better when nearly every SQL
-    text is unique). Nothing runs before the caller's own action.
+    computes it on every row instead, dealt evenly over all cores (better when nearly every
+    SQL text is unique): rows cost a millisecond each but compress well, so AQE, which counts
+    bytes, would leave them to a few tasks. Nothing runs before the caller's own action.
     """
     if dedupe:
         sqls = _per_sql(spread(df.select("sql").distinct(), "sql"), validated).withColumnRenamed("sql", "__sql")
@@ -157,7 +158,7 @@ def score(df: DataFrame, validated: bool = True, dedupe: bool = True) -> DataFra
         rows = (df.join(pairs, same, "inner").drop("__psql", "__pexp")
                 .join(sqls, df["sql"].eqNullSafe(sqls["__sql"]), "inner").drop("__sql"))
     else:
-        rows = _with_accuracy(_per_sql(df, validated))
+        rows = _with_accuracy(_per_sql(spread(df), validated))
     rows = rows.select("*", *_reasoning_input_cols()).select("*", _reasoning_col()).drop(*T.REASONING_INPUT_KEYS)
     return rows.withColumn("total_reward", T.total_reward(*[F.col(c) for c in COMPONENTS]))
 

@@ -137,11 +137,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scores(batches: Iterator[pa.RecordBatch], ranking: Ranking) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            x = np.array([features(t.as_py()) for t in part.column("text")], float).reshape(-1, WIDTH)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ranking.score(x), pa.float64())],
-                                             names=["doc_id", "score"])
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ranking.score(x), pa.float64())],
+                                         names=["doc_id", "score"])
 
 
 def _accept(batches: Iterator[pa.RecordBatch], ranking: Ranking) -> Iterator[pa.RecordBatch]:
@@ -154,7 +152,7 @@ def _accept(batches: Iterator[pa.RecordBatch], ranking: Ranking) -> Iterator[pa.
 
 def _strengths(batches: Iterator[pa.RecordBatch], ranking: Ranking) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = np.array(batch.column("x").to_pylist(), float).reshape(-1, WIDTH)
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
         yield pa.RecordBatch.from_arrays([pa.array(ranking.strength(x), pa.float64())], names=["s"])
 
 
@@ -173,34 +171,43 @@ def value_at(values: DataFrame, rank: int) -> float:
     return low
 
 
-def learned(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ranking:
+def described(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the features ``x`` of every row of ``docs``; features move afterwards, not texts."""
+    return id_text(docs).mapInArrow(_features, "doc_id long, x array<double>")
+
+
+def learned(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: DataFrame | None = None) -> Ranking:
     """Weights from at most ``rows`` labelled rows, those with the smallest hash of their id; all else from all of them.
 
     ``labels`` holds doc_id and quality; rows with another quality than 0 or 1, or
     without doc_id, are left out, and an id with several labels counts with the
     smallest. An id in several rows of ``docs`` gives several labelled rows.
+    ``features`` is :func:`described` of ``docs``, where it is at hand.
     """
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
              .where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    # features move, not texts
-    described = id_text(docs).where("doc_id is not null").mapInArrow(_features, "doc_id long, x array<double>")
-    described = written(described.join(known, "doc_id"), "labelled")
-    sample = described.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(rows).toPandas()
-    x = np.array(sample["x"].tolist(), float).reshape(-1, WIDTH)
+    features = described(docs) if features is None else features
+    labelled = features.where("doc_id is not null").join(known, "doc_id").withColumn(
+        "s", F.shiftrightunsigned(F.xxhash64("doc_id"), 12))
+    labelled = written(labelled, "labelled")
     at = [F.col("x")[k] for k in range(WIDTH)]
-    found = described.agg(F.count("*"), F.count(F.when(F.col("quality") == 0, 1)), *map(F.avg, at),
-                          *map(F.stddev_pop, at)).first()
+    found = labelled.agg(F.count("*"), F.count(F.when(F.col("quality") == 0, 1)), *map(F.avg, at),
+                         *map(F.stddev_pop, at)).first()
     count, bad = found[:2]
+    # the cut-off of the hash is found first, so no more rows than the sample has leave the executors
+    chosen = labelled.where(F.col("s") <= int(value_at(labelled, rows - 1))) if count > rows else labelled
+    sample = chosen.orderBy("s", "doc_id", "x").limit(rows).toPandas()
+    x = np.array(sample["x"].tolist(), float).reshape(-1, WIDTH)
     moments = (np.array(found[2:2 + WIDTH]), np.array(found[2 + WIDTH:])) if count else None
     ranking = fit_ranking(x, sample["quality"].to_numpy(), moments)
     ranking.threshold = 0.0
     if 0 < bad < count and ranking.weights.any():
-        values = written(described.select("x").mapInArrow(lambda it: _strengths(it, ranking), "s double"), "strengths")
+        values = written(labelled.select("x").mapInArrow(lambda it: _strengths(it, ranking), "s double"), "strengths")
         ranking.threshold = (value_at(values, bad - 1) + value_at(values, bad)) / 2
     return ranking
 
 
-def scored(docs: DataFrame, ranking: Ranking) -> DataFrame:
+def scored(docs: DataFrame, ranking: Ranking, features: DataFrame | None = None) -> DataFrame:
     """``doc_id`` and ``score`` (0 to 1, higher: better) for every row of ``docs``.
 
     A null text counts as empty; a text without words has all features 0 and gets
@@ -208,7 +215,8 @@ def scored(docs: DataFrame, ranking: Ranking) -> DataFrame:
     repeated rows each give a row. Other columns are not read. An empty table
     gives an empty result.
     """
-    return id_text(docs).mapInArrow(lambda it: _scores(it, ranking), "doc_id long, score double")
+    features = described(docs) if features is None else features
+    return features.mapInArrow(lambda it: _scores(it, ranking), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, ranking: Ranking) -> DataFrame:
@@ -223,7 +231,8 @@ def held_out(doc_id):
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted``, learned from the labels that aren't held out."""
-    ranking = learned(docs, labels.where(~held_out(F.col("doc_id"))))
-    return scored(docs, ranking).select(
+    features = written(described(docs), "described")  # every text is read once
+    ranking = learned(docs, labels.where(~held_out(F.col("doc_id"))), features=features)
+    return scored(docs, ranking, features).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

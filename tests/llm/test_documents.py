@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import zlib
 
 import numpy as np
@@ -34,6 +35,41 @@ def test_pairs_use_every_row_of_the_smaller_side():
     assert len(l) == 8 and set(w) == {0, 1}
 
 
+def test_fit_equals_plain_gradient_descent():
+    """The penalised loss of the pairs, one by one in the simplest way, has its minimum where the fit says."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, quality.WIDTH))
+    y = (x[:, 2] - x[:, 5] + rng.normal(size=50) > 0).astype(int)
+    ranking = quality.fit_ranking(x, y)
+    z = [np.concatenate([t, t * t]) for t in np.clip((x - x.mean(axis=0)) / x.std(axis=0), -6, 6)]
+    good, bad = [a for a, b in zip(z, y) if b == 1], [a for a, b in zip(z, y) if b == 0]
+    gaps = np.array([good[w] - bad[l] for w, l in zip(*quality.preference_pairs(len(good), len(bad)))])
+
+    def loss(v):
+        return np.mean([math.log1p(math.exp(-g @ v)) for g in gaps]) + quality.PENALTY / 2 * (v @ v)
+
+    v, before = np.zeros(2 * quality.WIDTH), np.zeros(2 * quality.WIDTH)
+    rate = 1 / (np.linalg.eigvalsh(gaps.T @ gaps / len(gaps))[-1] / 4 + quality.PENALTY)
+    for k in range(6000):
+        at = v + k / (k + 3) * (v - before)
+        before, v = v, at + rate * (gaps.T @ (1 / (1 + np.exp(gaps @ at))) / len(gaps) - quality.PENALTY * at)
+    assert np.allclose(ranking.weights, v, atol=1e-5)
+    assert all(loss(ranking.weights) <= loss(ranking.weights + 0.01 * rng.normal(size=len(v))) for _ in range(50))
+    strength = np.array([a @ v for a in z])
+    order, cut = np.sort(strength), (y == 0).sum()
+    want = 1 / (1 + np.exp((order[cut - 1] + order[cut]) / 2 - strength))
+    assert np.allclose(ranking.score(x), want, atol=1e-4)
+
+
+def test_the_sample_is_cut_off_by_hash(spark):
+    """At most the asked rows are in the sample, and it is the rows of the smallest hashes whatever the partitions."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    a = quality.learned(docs, labels, rows=50)
+    b = quality.learned(docs.repartition(11), labels, rows=50)
+    assert np.allclose(a.weights, b.weights, atol=1e-9) and a.weights.any()
+
+
 def test_threshold_is_the_quantile_of_label_0():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, quality.WIDTH))

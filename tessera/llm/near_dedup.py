@@ -52,6 +52,8 @@ def band_shape(threshold: float, miss: float = MISS) -> tuple[int, int]:
         bands = math.ceil(math.log(miss) / math.log1p(-threshold**rows))
         if bands * rows <= SIGNATURE:
             best = (bands, rows)
+    if best is None:
+        raise ValueError(f"a threshold of {threshold} needs a signature of more than {SIGNATURE} functions")
     return best
 
 

@@ -76,6 +76,29 @@ def test_blocks_and_wide_clusters_give_the_same_groups(spark, copies, monkeypatc
     assert _found(spark, copies, words=3, percent=85) == want
 
 
+def test_chains_in_small_blocks(spark, monkeypatch):
+    """Chains whose ends aren't linked to each other, in blocks of three, against brute force."""
+    rng = random.Random(11)
+    rows = []
+    for family in range(3):
+        words = [f"f{family}w{k}" for k in range(80)]
+        for step in range(60):
+            rows.append((family * 1000 + rng.randrange(900), " ".join(words)))
+            words[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+    rows = list(dict(rows).items())
+    want = _brute(rows, 3, 85)
+    assert _found(spark, rows, words=3, percent=85) == want
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 3)
+    assert _found(spark, rows, words=3, percent=85) == want
+    monkeypatch.setattr(near_dedup, "WIDE", 5)
+    assert _found(spark, rows, words=3, percent=85) == want
+
+
+def test_a_threshold_out_of_reach_is_an_error():
+    with pytest.raises(ValueError):
+        band_shape(0.05)
+
+
 def test_bands_and_pruning_meet_the_miss_probability():
     for t in (0.8, 0.85, 0.9):
         bands, rows = band_shape(t)

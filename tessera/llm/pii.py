@@ -31,8 +31,9 @@ LABELS = ("none", *KINDS)
 FOUND = tuple(f"crf_{k}" for k in KINDS)  # kinds of the spans that the field adds
 FIT_DOCUMENTS = 2000    # documents in the sample that fits the weights
 FIT_TOKENS = 200        # a sampled document has at most so many tokens
-SETTLED = 1e-4          # largest change of a log message in a document whose messages have settled
+SETTLED = 1e-4          # largest change of a log message, undamped, in a document whose messages have settled
 PATIENCE = 50           # sweeps without a smaller change after which a document's step is halved
+LEAST_STEP = 1 / 64     # a document whose messages swing even at this step hasn't settled
 EVIDENCE = 8.0          # log-odds that a token inside a base span has the span's kind
 CONFIDENT = 0.7         # least marginal of a label that is reported
 
@@ -199,18 +200,26 @@ class Field:
     skip: np.ndarray
 
     def marginals(self, graph: Graph, known: np.ndarray | None = None) -> np.ndarray:
-        """Label probabilities of all tokens by damped loopy sum-product; ``known`` labels (0: unknown) are evidence.
+        """Label probabilities of all tokens; ``known`` labels (0: unknown) are evidence."""
+        return self.settled_marginals(graph, known)[0]
 
-        Every document's messages run until they settle, whatever other documents
-        do. Where they swing instead, the document's step is halved again and again.
+    def settled_marginals(self, graph: Graph, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Label probabilities of all tokens by damped loopy sum-product, and which documents' messages settled.
+
+        Every document's messages run until what they would change to is within
+        ``SETTLED`` of what they are, whatever other documents do. Where they swing
+        instead, the document's step is halved, down to ``LEAST_STEP``; one that swings
+        still is labelled by its tokens and the evidence alone.
         """
         unary = graph.features @ self.emit
         if known is not None:
             at = np.flatnonzero(known)
             unary[at, known[at]] += EVIDENCE
         tokens_n, m, s = len(unary), len(graph.chain), len(graph.skip)
+        document = np.zeros(tokens_n, np.int64) if graph.document is None else graph.document
+        calm = np.ones(int(document.max()) + 1 if tokens_n else 0, bool)
         if not m + s:
-            return _softmax(unary)
+            return _softmax(unary), calm
         unary = np.concatenate([unary, np.zeros((graph.hubs, len(LABELS)))])
         skip = graph.skip + [0, tokens_n]
         ends = np.concatenate([graph.chain, graph.chain[:, ::-1], skip, skip[:, ::-1]])
@@ -218,7 +227,6 @@ class Field:
         sections = np.array([0, m, 2 * m, 2 * m + s, 2 * (m + s)])
         back = np.concatenate([np.arange(m, 2 * m), np.arange(m), np.arange(2 * m + s, 2 * (m + s)),
                                np.arange(2 * m, 2 * m + s)])
-        document = np.zeros(tokens_n, np.int64) if graph.document is None else graph.document
         owner = document[np.concatenate([graph.chain[:, 0]] * 2 + [graph.skip[:, 0]] * 2)]
         message = np.zeros((len(ends), len(LABELS)))
         step, least, since = np.full(owner.max() + 1, 0.5), np.full(owner.max() + 1, np.inf), np.zeros(owner.max() + 1)
@@ -233,15 +241,17 @@ class Field:
             change = np.zeros(len(step))
             np.maximum.at(change, owner[live], np.abs(sent - message[live]).max(axis=1))
             message[live] += step[owner[live], None] * (sent - message[live])
-            settled = 2 * step * change < SETTLED
             since = np.where(change < least, 0, since + 1)
             least = np.minimum(least, change)
             swings = since >= PATIENCE
             step[swings] /= 2
             since[swings] = 0
-            if settled[owner[live]].any():
-                live = live[~settled[owner[live]]]
-        return _softmax((unary + _sum_at(ends[:, 1], message, len(unary)))[:tokens_n])
+            calm[:len(step)] &= step >= LEAST_STEP
+            ended = (change < SETTLED) | (step < LEAST_STEP)
+            if ended[owner[live]].any():
+                live = live[~ended[owner[live]]]
+        message[~calm[owner]] = 0
+        return _softmax((unary + _sum_at(ends[:, 1], message, len(unary)))[:tokens_n]), calm
 
 
 def _sum_at(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -350,16 +360,18 @@ def _find(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Record
             docs = [tokens(t) for t in texts]
             graph = Graph.of([d for d in docs if d])
             known = [x for doc, spans in zip(docs, base) if doc for x in weak_labels(doc, spans)]
-            marginals = field.marginals(graph, np.array(known)) if known else None
-            rows, used = [], 0
+            marginals, calm = field.settled_marginals(graph, np.array(known)) if known else (None, None)
+            rows, settled, used, number = [], [], 0, 0
             for doc, spans in zip(docs, base):
+                settled.append(bool(calm[number]) if doc else True)
                 if doc:
+                    number += 1
                     spans = spans + field_spans(doc, marginals[used:used + len(doc)], spans)
                     used += len(doc)
                 spans = sorted(spans, key=lambda s: (ORDER.index(s[0]), s[1], s[2]))
                 rows.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, _SPAN_TYPE)],
-                                             names=["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, _SPAN_TYPE), pa.array(settled)],
+                                             names=["doc_id", "spans", "settled"])
 
 
 def _weak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,9 +425,10 @@ def fit_field(docs: DataFrame, sample: int = FIT_DOCUMENTS) -> Field:
 
 
 def personal_spans(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """``doc_id`` and ``spans`` (array of kind, start, end) for every row of ``docs``.
+    """``doc_id``, ``spans`` (array of kind, start, end) and ``settled`` for every row of ``docs``.
 
-    Base kinds come first, then the field's (``crf_...``), each by start. A null
+    Base kinds come first, then the field's (``crf_...``), each by start. ``settled`` is false where a document's
+    messages never settle; its tokens are then labelled without those of its others. A null
     or empty text has no spans. A row without doc_id keeps its null; repeated rows
     each give a row. Other columns are not read. An empty table gives an empty
     result. ``field`` is fitted on ``docs`` unless given.
@@ -423,7 +436,8 @@ def personal_spans(docs: DataFrame, field: Field | None = None) -> DataFrame:
     fitted = field or fit_field(docs)
     spans = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
                                       T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", spans)])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", spans),
+                           T.StructField("settled", T.BooleanType())])
     return id_text(docs).mapInArrow(lambda it: _find(it, fitted), schema)
 
 
@@ -431,4 +445,4 @@ def personal_digests(docs: DataFrame) -> DataFrame:
     spans = F.col("spans")
     return personal_spans(docs).select(
         "doc_id", *(count_of(spans, k).alias(f"n_{k}") for k in KINDS),
-        F.sha2(joined(spans, KINDS), 256).alias("base_sha256"), joined(spans).alias("spans"))
+        F.sha2(joined(spans, KINDS), 256).alias("base_sha256"), joined(spans).alias("spans"), "settled")

@@ -115,7 +115,7 @@ def first_rows(rows: DataFrame, out: str, keep: dt.timedelta, late: dt.timedelta
     spark = rows.sparkSession
     thinned = rows.mapInArrow(first_of_each, FIRST_ROW).withWatermark("ts", f"{int(late.total_seconds())} seconds")
     with state_store(spark):
-        run_to_end(thinned.groupBy("cache_key").transformWithStateInPandas(
+        run_to_end(thinned.groupBy("cache_key").transformWithState(
             FirstPerKey(keep), FIRST_ROW, "append", "EventTime"), out, batch_sink(out))
     return rows_of(spark, out, FIRST_ROW)
 

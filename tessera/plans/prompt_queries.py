@@ -9,6 +9,7 @@ from ..functions import prompts as PR
 from ..functions import textfix as TF
 from ..operators import scoring as S
 from ..sources.catalog import ERP_SCHEMA
+from ..storage import written
 from . import textfix_sql as XT
 from .linking_queries import x_entity_tables, x_related, x_schema_context
 from .registry import query
@@ -104,13 +105,22 @@ d AS (SELECT DISTINCT query, sql FROM candidates),
 e AS (SELECT d.query, d.sql, {_ERR} AS error FROM d JOIN sv ON d.sql = sv.sql WHERE NOT sv.is_valid_strict)
 SELECT query, sql, error, {chat(lit(f'{IM_S}system' + chr(10) + PR.CORRECTION_SYSTEM + IM_E + chr(10) + IM_S + 'user' + chr(10) + 'Original Query: '), 'query', lit(chr(10) * 2 + 'Incorrect SQL:' + chr(10)), 'sql', lit(chr(10) * 2 + 'Error: '), 'error', lit(chr(10) * 2 + 'Schema:' + chr(10)), _SCH, lit(chr(10) * 2 + 'Please provide the corrected SQL with reasoning.' + chr(10) + IM_E + chr(10) + IM_S + 'assistant' + chr(10) + '<think>' + chr(10) + "The error '"), 'error', lit("' suggests that "))} AS prompt FROM e""")
 def prm_05(v):
+    """PRM-05: each SQL text is validated once and each question's context made once, on all cores.
+
+    Errors and contexts are written before they are joined: a filter on the validation's outcome would
+    otherwise be moved below it, and take the whole validation with it.
+    """
     d = v.candidates.select("query", "sql").distinct()
-    val = S.validate(v.candidates.select("sql").distinct())
-    e = d.join(val, "sql").where(~F.col("is_valid_strict")).select(
-        "query", "sql", F.array_join(F.concat("syntax_errors", "schema_errors", "business_errors", "security_warnings"),
-                                     "; ").alias("error"))
-    return e.select("query", "sql", "error", PR.correction(F.col("query"), F.col("sql"), F.col("error"),
-                                                          L.schema_context(F.col("query"))).alias("prompt"))
+    val = S.validate(S.spread(v.candidates.select("sql").distinct(), "sql"))
+    errors = F.array_join(F.concat("syntax_errors", "schema_errors", "business_errors", "security_warnings"), "; ")
+    wrong = written(val.select("sql", errors.alias("error"), "is_valid_strict"), "errors").where(~F.col("is_valid_strict"))
+    asked = S.spread(v.pairs.select("query").distinct(), "query")
+    asked = written(asked.select("query", L.schema_context(F.col("query")).alias("context")), "contexts")
+    e = d.join(wrong.select("sql", "error"), "sql")
+    # a null question has its context, too
+    e = e.join(asked.withColumnRenamed("query", "__query"), F.col("query").eqNullSafe(F.col("__query")))
+    return e.select("query", "sql", "error",
+                    PR.correction(F.col("query"), F.col("sql"), F.col("error"), F.col("context")).alias("prompt"))
 
 
 @query("prm_06", f"""SELECT pair_id, {chat(lit(f'{IM_S}system' + chr(10) + PR.TRAINING_SYSTEM + IM_E + chr(10) + IM_S + 'user' + chr(10) + 'Schema:' + chr(10)), _SCH, lit(chr(10) * 2 + 'Query: '), 'query', lit(chr(10) + IM_E + chr(10) + IM_S + 'assistant' + chr(10)), "CASE WHEN coalesce(reasoning, '') <> '' THEN '<think>' || chr(10) || reasoning || chr(10) || '</think>' || chr(10) || chr(10) END", 'sql', lit(chr(10) + IM_E))} AS prompt FROM pairs""")

@@ -61,19 +61,24 @@ def eval_records(generations: DataFrame, questions: DataFrame) -> DataFrame:
 
     ``questions`` maps ``prompt_id`` to ``query``. SQL comes from the think-split
     (EXT-01) and, when empty, from the fence / statement extractor (EXT-02). A null
-    text counts as a failed generation: empty SQL, error set.
+    text counts as a failed generation: empty SQL, error set. The generations are written
+    once, with their SQL in place of the text: they are read for their distinct pairs and for the
+    records. They meet their questions first, while they still lie by prompt.
     """
     generations = generations.withColumn("text", F.coalesce("text", F.lit("")))
-    g = generations.join(extracted_texts(generations), "text").join(questions, "prompt_id", "inner")
-    s = S.score(g)
+    g = generations.join(questions, "prompt_id", "inner").join(extracted_texts(generations), "text")
     gen, exp = F.col("sql"), F.col("expected_sql")
     correct = ((gen != "") & F.coalesce(exp != "", F.lit(False))
                & (T.normalize_sql_eval(gen) == T.normalize_sql_eval(exp)))
+    s = S.score(written(g.select("prompt_id", "cand_id", "model", "query", "expected_sql", "sql", "reasoning", "seconds",
+                                 "error"), "generations"),
+                more={"is_correct": F.coalesce(correct, F.lit(False)), "uses_domain_tables":
+                      contains_any_case_sensitive(gen, P.DOMAIN_TABLES)})
     return s.select(
         "prompt_id", "cand_id", "model", "query", "expected_sql", F.col("sql").alias("generated_sql"), "reasoning",
-        F.coalesce(correct, F.lit(False)).alias("is_correct"),
+        "is_correct",
         ((gen != "") & F.col("syntax_valid")).alias("is_valid_syntax"),
-        contains_any_case_sensitive(gen, P.DOMAIN_TABLES).alias("uses_domain_tables"),
+        "uses_domain_tables",
         (F.col("reasoning") != "").alias("has_reasoning"),
         F.when(gen != "", F.col("total_reward")).otherwise(0.0).alias("reward_score"),
         "is_valid_strict", F.col("seconds").alias("generation_time"), "error")

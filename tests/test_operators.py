@@ -173,3 +173,39 @@ def test_distinct_sketches_against_exact_counts(spark):
     exact = {r.year: r.n for r in li.groupBy("year").agg(F.countDistinct("l_orderkey").alias("n")).collect()}
     assert set(got) == set(exact) and min(exact.values()) > 1000
     assert all(abs(got[y] / exact[y] - 1) < 0.05 for y in exact), (got, exact)
+
+
+def test_shuffle_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from tessera import session
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = {n: spark.conf.get(n) for n in names}
+    monkeypatch.setattr(session, "MB_PER_PARTITION", 1)
+    try:
+        for table, size in (("a.parquet", 9 << 20), ("b.parquet/part-0", 5 << 20)):
+            (tmp_path / table).parent.mkdir(exist_ok=True)
+            (tmp_path / table).write_bytes(bytes(size))
+        assert session.size_shuffles(spark, str(tmp_path)) == max(14, int(before[names[0]]))
+        assert session.size_shuffles(spark, str(tmp_path / "b.parquet")) >= 14  # never fewer than the session has
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
+def test_distinct_texts_are_spread_over_all_cores(spark):
+    """With the session's own count of partitions, Spark dropped the spread, and AQE left the texts to one task."""
+    d = spark.range(1000).selectExpr("CAST(id % 300 AS STRING) AS sql").distinct()
+    spread = S.spread(d, "sql").mapInArrow(lambda batches: batches, "sql string")
+    assert spread.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spread.count() == 300
+
+
+def test_pairs_are_compared_as_rows_are(spark):
+    """Texts taken apart once each give the scores that rows scored one by one have, null and empty ones, too."""
+    texts = [None, "", "SELECT a FROM t", "select a from t;", "SELECT b FROM t JOIN u ON t.x = u.x WHERE b = 'x -- y'", "DELETE FROM t"]
+    rows = spark.createDataFrame([(g, e, r, q) for g in texts for e in texts for r in (None, "Step 1: select the table, then filter rows")
+                                  for q in (None, "show the rows of the table")],
+                                 "sql string, expected_sql string, reasoning string, query string")
+    more = {"same": F.col("sql").eqNullSafe(F.col("expected_sql"))}
+    cols = ["sql", "expected_sql", "reasoning", "query", *S.COMPONENTS, "total_reward", "same", "is_valid_strict"]
+    once, each = (sorted(map(repr, S.score(rows, dedupe=d, more=more).select(*cols).collect())) for d in (True, False))
+    assert len(once) == rows.count() and once == each

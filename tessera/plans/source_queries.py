@@ -58,14 +58,17 @@ def src_02(v):
 SELECT pair_id, row_number() OVER (PARTITION BY pair_id % 4 ORDER BY pair_id) AS line, '{"pair_id":' || CAST(pair_id AS VARCHAR)
 || ',"query":"' || query || '"' AS raw FROM pairs) WHERE pair_id % 97 = 0""")
 def src_02_lines(v):
-    """SRC-02: file and line of every malformed line; four files, each in the order of its ids."""
+    """SRC-02: file and line of every malformed line; four texts, each in the order of its ids.
+
+    A text is a folder's files, each a range of its ids, so no task sorts a whole text.
+    """
     p = v.pairs
     whole = F.to_json(F.struct("pair_id", "query", "sql", "reasoning", "domain"))
     line = F.when(F.col("pair_id") % 97 == 0, F.substring(whole, 1, 40)).otherwise(whole)
     out = scratch_path(v.spark, "pairs-lines")
-    (p.select((F.col("pair_id") % 4).alias("part"), "pair_id", line.alias("value")).repartition(4, "part")
+    (p.select((F.col("pair_id") % 4).alias("part"), "pair_id", line.alias("value")).repartitionByRange("part", "pair_id")
      .sortWithinPartitions("part", "pair_id").select("part", "value").write.partitionBy("part").text(out))
-    found = IO.malformed_lines(v.spark, f"{out}/part=*")
+    found = IO.malformed_lines(v.spark, f"{out}/part=*", folders=True)
     return found.select(F.regexp_extract("source_file", r"(part=\d+)", 1).alias("part"), "line", "raw")
 
 

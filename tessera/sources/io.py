@@ -51,14 +51,15 @@ def read_pairs(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
         F.col(CORRUPT), "source_file")
 
 
-def malformed_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
+def malformed_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False, folders: bool = False) -> DataFrame:
     """SRC-02: ``source_file``, ``line`` (from 1, blank lines count) and ``raw`` of every line that isn't a pair.
 
     A task numbers the lines of each split of a file as it reads them and leaves
     one row per split: how many lines it has, and its malformed ones with their
     places. The splits' counts, added up in file order, do the rest. Everything
     comes from one pass, so it doesn't matter how the files were split; a row
-    holds at most what one split (``spark.sql.files.maxPartitionBytes``) has.
+    holds at most what one split (``spark.sql.files.maxPartitionBytes``) has. With ``folders``, a
+    folder's files are one text, in the order of their names, and lines count from its first file's.
     """
     reader = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
     lines = reader.text(paths).select("value", F.col("_metadata.file_path").alias("source_file"),
@@ -70,7 +71,8 @@ def malformed_lines(spark: SparkSession, paths: str | list[str], recursive: bool
     splits = written(lines.groupBy("source_file", "split").agg(
         F.count(F.lit(1)).alias("n"), F.min("place").alias("first"),
         F.collect_list(F.when(F.col("broken"), F.struct("place", F.col("value").alias("raw")))).alias("broken")), "splits")
-    before = Window.partitionBy("source_file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    text = F.regexp_extract("source_file", "^(.*)/", 1) if folders else F.col("source_file")
+    before = Window.partitionBy(text).orderBy("source_file", "split").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select("source_file", "first", "broken", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     found = starts.select("source_file", "first", "before", F.explode("broken").alias("b"))
     return found.select("source_file", (F.col("before") + F.col("b.place") - F.col("first") + 1).alias("line"), "b.raw")

@@ -148,3 +148,14 @@ def test_of_two_writers_one_is_told(spark):
             results.append("told")
     assert table.version() == 1 and table.read().count() == 1 and 1 in results
     assert table.history().count() == 2
+
+
+def test_a_folders_files_count_as_one_text(spark, tmp_path):
+    good, bad = '{"pair_id":1,"query":"q","sql":"s"}', '{"pair_id":2,"que'
+    for folder, files in (("part=0", [[good, bad], [bad], [good, "", bad]]), ("part=1", [[bad], [good, bad]])):
+        (tmp_path / folder).mkdir()
+        for n, lines in enumerate(files):
+            (tmp_path / folder / f"part-{n:05d}.txt").write_text("\n".join(lines) + "\n")
+    found = IO.malformed_lines(spark, f"{tmp_path}/part=*", folders=True).collect()
+    assert sorted((r.source_file.split("/")[-2], r.line) for r in found) == [
+        ("part=0", 2), ("part=0", 3), ("part=0", 6), ("part=1", 1), ("part=1", 3)]

@@ -47,7 +47,7 @@ def _per_text(df: DataFrame, texts: list[Column], work: Callable[[DataFrame], Da
     named = df.withColumns(dict(zip(names, texts)))
     if not dedupe:
         return work(named).select(*df.columns, *out)
-    done = work(spread(named.select(*names).distinct(), names[0])).select(
+    done = work(spread(named.select(*names).distinct(), names[0], apart=False)).select(
         *[F.col(n).alias(f"{n}_of") for n in names], *[F.col(o).alias(f"__{o}") for o in out])
     same = reduce(and_, [F.col(n).eqNullSafe(F.col(f"{n}_of")) for n in names])
     return named.join(done, same).select(*[named[c] for c in df.columns], *[F.col(f"__{o}").alias(o) for o in out])

@@ -16,7 +16,6 @@ from ..functions import sqltext as T
 from ..functions import textfix as TF
 from ..storage import written
 from . import scoring as S
-from .scoring import spread
 from .textops import split_outputs
 
 RECALL_KEYWORDS = ["SELECT", "FROM", "WHERE", "JOIN", "GROUP BY", "ORDER BY", "HAVING"]
@@ -44,16 +43,20 @@ def contains_any_case_sensitive(sql: Column, tables: list[str]) -> Column:
     return out
 
 
-def extracted_texts(generations: DataFrame) -> DataFrame:
-    """``text``, ``sql`` and ``reasoning``: each distinct text is taken apart once, and written once."""
-    t = spread(generations.select("text").where(F.col("text").isNotNull()).distinct(), "text")
-    t = split_outputs(t, "text", dedupe=False)
-    # EXT-02 fallback on the already split text (same layers, evaluated once)
-    t = t.select("*", F.when(F.col("out_sql") == "", F.col("text")).otherwise(F.col("out_sql")).alias("__s"))
+def with_extracted(generations: DataFrame) -> DataFrame:
+    """``sql`` and ``reasoning`` in place of ``text``, row by row.
+
+    Taking a text apart costs less than moving its row to the text's one result, and a text that many
+    rows share gathers none of them in a task. The fallback's layers (EXT-02) see a text only where
+    the split leaves nothing.
+    """
+    t = split_outputs(generations, "text", dedupe=False)
+    t = t.select("*", F.when(F.col("out_sql") == "", F.col("text")).alias("__s"))
     t = t.select("*", TF.keyword_position(F.col("__s")).alias("__pos"))
     t = t.select("*", TF.line_start_from(F.col("__s"), F.col("__pos")).alias("__start"))
-    return written(t.select("text", F.when(F.col("out_sql") == "", TF.extract_from(F.col("__s"), F.col("__start")))
-                            .otherwise(F.col("out_sql")).alias("sql"), F.col("out_reasoning").alias("reasoning")), "texts")
+    return t.select(*[c for c in generations.columns if c != "text"],
+                    F.when(F.col("out_sql") == "", TF.extract_from(F.col("__s"), F.col("__start")))
+                    .otherwise(F.col("out_sql")).alias("sql"), F.col("out_reasoning").alias("reasoning"))
 
 
 def eval_records(generations: DataFrame, questions: DataFrame) -> DataFrame:
@@ -63,15 +66,17 @@ def eval_records(generations: DataFrame, questions: DataFrame) -> DataFrame:
     (EXT-01) and, when empty, from the fence / statement extractor (EXT-02). A null
     text counts as a failed generation: empty SQL, error set. The generations are written
     once, with their SQL in place of the text: they are read for their distinct pairs and for the
-    records. They meet their questions first, while they still lie by prompt.
+    records. Equal pairs of a task lie side by side, so they take little room there and on their way.
     """
     generations = generations.withColumn("text", F.coalesce("text", F.lit("")))
-    g = generations.join(questions, "prompt_id", "inner").join(extracted_texts(generations), "text")
+    g = with_extracted(generations.join(questions, "prompt_id", "inner")).withColumn(
+        "has_reasoning", F.col("reasoning") != "")
     gen, exp = F.col("sql"), F.col("expected_sql")
     correct = ((gen != "") & F.coalesce(exp != "", F.lit(False))
                & (T.normalize_sql_eval(gen) == T.normalize_sql_eval(exp)))
-    s = S.score(written(g.select("prompt_id", "cand_id", "model", "query", "expected_sql", "sql", "reasoning", "seconds",
-                                 "error"), "generations"),
+    s = S.score(written(g.select("prompt_id", "cand_id", "model", "query", "expected_sql", "sql", "reasoning",
+                                 "has_reasoning", "seconds", "error").sortWithinPartitions("expected_sql", "sql"),
+                        "generations"),
                 more={"is_correct": F.coalesce(correct, F.lit(False)), "uses_domain_tables":
                       contains_any_case_sensitive(gen, P.DOMAIN_TABLES)})
     return s.select(
@@ -79,7 +84,7 @@ def eval_records(generations: DataFrame, questions: DataFrame) -> DataFrame:
         "is_correct",
         ((gen != "") & F.col("syntax_valid")).alias("is_valid_syntax"),
         "uses_domain_tables",
-        (F.col("reasoning") != "").alias("has_reasoning"),
+        "has_reasoning",
         F.when(gen != "", F.col("total_reward")).otherwise(0.0).alias("reward_score"),
         "is_valid_strict", F.col("seconds").alias("generation_time"), "error")
 

@@ -110,6 +110,45 @@ def test_best_worst_single_candidate(spark):
     assert r.best.cand_id == r.worst.cand_id == 1  # a group of one yields the same row twice
 
 
+def test_best_worst_with_the_columns_read_only(spark):
+    """Fewer columns sorted, the same rows chosen, ties and nulls included (grp_05, grp_06, grp_08)."""
+    rows = [(g, c, q, r, t) for g in (1, None) for c in (3, 2, None) for q in ("SELECT b", "SELECT a", None)
+            for r in ("", "why", None) for t in (1.5, -2.0)]
+    df = spark.createDataFrame(rows + rows[:7], "prompt_id long, cand_id long, sql string, reasoning string, total_reward double")
+    picked = [f"{side}.{c}" for side in ("best", "worst") for c in ("cand_id", "r")]
+
+    def chosen(*more, **row):
+        return sorted(map(repr, S.best_worst(df, **row).select("prompt_id", *picked, *more).collect()))
+    sqls = [F.col(f"{side}.sql").alias(f"{side}_sql") for side in ("best", "worst")]
+    assert chosen(row=("cand_id",)) == chosen()
+    assert chosen(*sqls, row=("cand_id", "sql")) == chosen(*sqls)
+
+
+def test_hot_texts_stream_past_their_scores(spark):
+    """A sort-merge join sorted all rows of a hot SQL text in one task (grp_06)."""
+    rows = spark.createDataFrame([(k, "SELECT a FROM t", f"SELECT {k} FROM t", "", "show a") for k in range(50)],
+                                 "prompt_id int, sql string, expected_sql string, reasoning string, query string")
+    got = S.score(rows).select("prompt_id", "total_reward")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 3 and plan.count("BuildRight") == 3 and "SortMergeJoin" not in plan
+    assert got.distinct().count() == 50
+
+
+def test_hot_partitions_are_split_early(spark, tmp_path):
+    from tessera import session
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"]
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[2], str(256 << 20))
+        (tmp_path / "t.parquet").write_bytes(b"1")
+        session.size_shuffles(spark, str(tmp_path))
+        assert int(spark.conf.get(names[2])) == 4 * int(spark.conf.get(names[1])) == 64 << 20
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
 def _chains(n):
     """Links of all kinds: deep chains, branches, cycles of 1 to 9 with tails, missing parents, null ids."""
     rng = random.Random(n)
